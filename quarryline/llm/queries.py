@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import neardup, rules
+from quarryline.llm import decontaminate, neardup, ngram_lm, pii, ranking, rules
 from quarryline.llm.common import table
 
 
@@ -18,9 +18,29 @@ def op4_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.language_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_bag_min_hash": op4_bag_min_hash,
+    "op6_bradley_terry": op6_bradley_terry,
+    "op7_qgram_lemma": op7_qgram_lemma,
+    "op9_weak_supervision": op9_weak_supervision,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 #: DuckDB SQL for those that SQL expresses.

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quarryline.llm import textkernel as K
-from quarryline.llm.common import fresh, written
+from quarryline.llm.common import fresh, hash_sample, written
 
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -211,7 +211,7 @@ def fitted(stats: DataFrame, labels: DataFrame, trees: int = 100, rows: int = 25
     quality 1. Without labels of both kinds nothing is rejected beyond the base rules.
     """
     kept = stats.where(~base_failed(F.col("stats")))
-    sample = kept.orderBy(F.xxhash64("stats", F.lit(11)), "doc_id").select("stats.*").limit(trees * rows).toPandas()
+    sample = hash_sample(kept.select("stats.*"), trees * rows, *COUNTS).toPandas()
     if not len(sample):
         return grown(features(np.zeros((1, len(COUNTS)), dtype=np.int64)), 1, 1)
     forest = grown(features(sample[COUNTS].to_numpy(np.int64)), trees, rows)
