@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, neardup, ngram_lm, pii, ranking, rules
+from quarryline.llm import chat, decontaminate, mixing, neardup, ngram_lm, pii, ranking, rules, templates
 from quarryline.llm.common import table
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,6 +22,10 @@ def op4_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +34,10 @@ def op7_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -35,13 +47,16 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_perspectives": op1_chat_perspectives,
     "op2_quality_rules": op2_quality_rules,
     "op4_bag_min_hash": op4_bag_min_hash,
+    "op5_water_filling": op5_water_filling,
     "op6_bradley_terry": op6_bradley_terry,
     "op7_qgram_lemma": op7_qgram_lemma,
+    "op8_template_deduction": op8_template_deduction,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_kneser_ney": op10_kneser_ney,
 }
 
 #: DuckDB SQL for those that SQL expresses.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat_perspectives": chat.ORACLE, "op5_water_filling": mixing.ORACLE}
