@@ -28,6 +28,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 36, 7
 #: Ids of texts to fetch go to every executor up to this number (16 MB); beyond it they are joined by a shuffle.
 MOST_SENT = 500_000
+#: Shingles of a block of a band's nodes, and of the tiles that a task's group holds, about.
+BLOCK, GROUP = 250_000, 1_000_000
 
 
 def bag_min_hash(x: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -178,9 +180,9 @@ def _linked(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that share a band and have similar bags; enough of them for the components.
 
     First each band's nodes are held against the band's least node, and joined where similar. Nodes of a band that
-    are in one component by then need no link more. Of the rest every pair of two components is
-    held against each other, unless their sizes, or by the triangle inequality of the Jaccard distance their
-    similarities to the band's least node, rule out a link.
+    are in one component by then need no link more. Of the rest, nodes of two components are
+    held against each other inside tasks, a band of many nodes block against block, unless their sizes, or by the
+    triangle inequality of the Jaccard distance their similarities to the band's least node, rule out a link.
     """
     members = nodes.select("node", "n", F.explode("bands").alias("band"))
     heads = written(members.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size"), "heads")
@@ -194,20 +196,65 @@ def _linked(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     roots = written(components(links), "roots")
     placed = with_head.join(roots, "node", "left").join(sims.select(F.col("a").alias("node"), F.col("b").alias("head"), "sim"), ["node", "head"], "left")
     placed = placed.select("band", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("sim", F.lit(1.0)).alias("sim"), (F.col("node") == F.col("head")).alias("is_head"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1 and size > 2").select("band")
-    open_ = written(placed.where("not is_head").join(mixed, "band", "left_semi"), "open")
-    x = open_.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("sim").alias("sim_a"))
-    y = open_.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("sim").alias("sim_b"))
-    able = (
-        (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
-        & (F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")) & (F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - SIMILAR + 1e-9)
+    # the band's least node has been held against all others
+    mixed = placed.where("not is_head").groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("many"))
+    open_ = written(placed.where("not is_head").join(mixed.where("r0 <> r1").select("band", "many"), "band"), "open")
+    block = F.pmod(F.xxhash64("node"), F.col("many")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("many") - 1))
+    tiles = open_.where("many = 1").select("*", F.lit(0).alias("block"), F.lit(0).alias("low"), F.lit(0).alias("high")).unionByName(
+        open_.where("many > 1").select("*", block.alias("block"), other.alias("o")).select("*", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high")).drop("o")
     )
-    rest = x.join(y, "band").where(able).select("a", "b").distinct()
-    rest = written(rest.join(sims.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    late = written(_similar(rest, bags).where(F.col("sim") >= SIMILAR), "sims").select("a", "b")
+    many = max(1, (open_.agg(F.sum("n")).first()[0] or 0) // GROUP)
+    tiles = tiles.join(bags, "node").withColumn("part", F.pmod(F.xxhash64("band", "low", "high"), F.lit(many)))
+    late = written(tiles.groupBy("part").applyInArrow(tile_links, "a long, b long").distinct(), "late")
     return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(late)
 
 
+def tile_links(table: pa.Table) -> pa.Table:
+    """Links between the roots that meet in each tile, a spanning forest of them: no more than a tile has rows.
+
+    A tile is a block of a band's nodes, or two blocks held against each other.
+    """
+    node, root, size, sim, block = (table.column(c).to_numpy() for c in ("node", "root", "n", "sim", "block"))
+    keys = np.column_stack([table.column(c).to_numpy() for c in ("band", "low", "high")])
+    bags = table.column("bag").combine_chunks()
+    at = np.frombuffer(bags.buffers()[1], dtype=np.int32)[bags.offset : bags.offset + len(bags) + 1].astype(np.int64) // 8
+    words = np.frombuffer(bags.buffers()[2], dtype=np.uint64)
+    out = []
+    order = np.lexsort(keys.T)
+    cut = np.flatnonzero(np.concatenate([[True], (keys[order][1:] != keys[order][:-1]).any(axis=1), [True]]))
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        own = order[i:j]
+        low, high = keys[own[0], 1:]
+        root_, block_, size_, sim_ = root[own].copy(), block[own], size[own], sim[own]
+        if len(np.unique(root_)) < 2:
+            continue
+        first = np.concatenate([[0], np.cumsum(size_)])
+        _, ids = np.unique(np.concatenate([words[at[k] : at[k + 1]] for k in own]), return_inverse=True)
+        mark = np.zeros(len(ids), dtype=bool)
+        for k in range(len(own)):
+            able = (root_ != root_[k]) & (np.minimum(size_, size_[k]) >= SIMILAR * np.maximum(size_, size_[k])) & (np.abs(sim_ - sim_[k]) <= 1 - SIMILAR + 1e-9)
+            able[:k] = False
+            if low != high:
+                able &= block_ != block_[k]
+            to = np.flatnonzero(able)
+            if not len(to):
+                continue
+            mark[ids[first[k] : first[k + 1]]] = True
+            if 4 * len(to) < len(own):
+                both = np.array([np.count_nonzero(mark[ids[first[t] : first[t + 1]]]) for t in to])
+            else:
+                both = np.add.reduceat(mark[ids].astype(np.int64), first[:-1])[to]
+            mark[ids[first[k] : first[k + 1]]] = False
+            near = to[both >= SIMILAR * (size_[to] + size_[k] - both)]
+            for t in near:
+                if root_[t] != root_[k]:
+                    out.append((node[own[k]], node[own[t]]))
+                    root_[root_ == root_[t]] = root_[k]
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, hash, node) of documents, and (node, class_node, class_id, class_hash)."""
     rows = written(documents.select("doc_id", _text_hash().alias("hash"), signed("text").alias("s")).select("doc_id", "hash", "s.*"), "signed")
