@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import chat, decontaminate, mixing, neardup, ngram_lm, pii, ranking, rules, templates
+from quarryline.llm import chat, decontaminate, licenses, mixing, neardup, ngram_lm, pii, ranking, rules, templates
 from quarryline.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op4_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,9 +50,16 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.language_scores(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_paragraphs": op3_license_paragraphs,
     "op4_bag_min_hash": op4_bag_min_hash,
     "op5_water_filling": op5_water_filling,
     "op6_bradley_terry": op6_bradley_terry,
@@ -56,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_template_deduction": op8_template_deduction,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_kneser_ney": op10_kneser_ney,
+    "pipeline": pipeline,
 }
 
 #: DuckDB SQL for those that SQL expresses.
