@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+
 from quarryline.plans.catalog import ORACLES, QUERIES
 
 FLAGSHIP = "retrieval_budget"
 
+for _name in ("retrieval", "integrity", "claims"):
+    importlib.import_module(f"quarryline.plans.{_name}")
+
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
