@@ -15,14 +15,14 @@ _code = (
 #: An append-only ledger of experiment events: observations, changes and outcomes.
 LEDGER: dict[str, str] = {
     "event_id": "event_id",
-    "kind": "CASE WHEN event_id % 8 = 6 THEN 'CHANGE' WHEN event_id % 8 = 7 THEN 'OUTCOME' ELSE 'OBSERVATION' END",
+    "kind": "CASE WHEN (event_id * 5 + user_id) % 8 = 6 THEN 'CHANGE' WHEN (event_id * 5 + user_id) % 8 = 7 THEN 'OUTCOME' ELSE 'OBSERVATION' END",
     "evidence_class": "CASE WHEN event_id % 10 = 9 THEN 'SYNTHETIC' ELSE 'REAL_MODEL' END",
     "model_id": "concat('m', user_id % 7)",
     "condition": "CASE user_id % 3 WHEN 0 THEN 'NATIVE' WHEN 1 THEN 'ASSISTED' ELSE 'DEGRADED' END",
     "specimen_id": "concat('s', event_id % 5)",
     "question_id": "concat('Q', event_id % 9)",
     "case_key": "concat('s', event_id % 5, '|Q', event_id % 9)",
-    "candidate_id": "concat('c', event_id % 12)",
+    "candidate_id": "concat('c', user_id % 13)",
     "run_id": "concat('r', event_id % 4)",
     "stage": _stage,
     "failure_code": _code,
@@ -32,7 +32,7 @@ LEDGER: dict[str, str] = {
     "score_before": "value / 500",
     "score_after": "CASE WHEN event_id % 3 = 0 THEN value / 400 ELSE value / 600 END",
     "delta": "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN value / 400 - value / 500 ELSE value / 600 - value / 500 END",
-    "mutation": "CASE event_id % 4 WHEN 0 THEN 'LAYOUT' WHEN 1 THEN 'PROMPT' WHEN 2 THEN 'REDUNDANCY' ELSE 'PRIMITIVE' END",
+    "mutation": "CASE (event_id + user_id * 3) % 5 WHEN 0 THEN 'LAYOUT' WHEN 1 THEN 'PROMPT' WHEN 2 THEN 'REDUNDANCY' ELSE 'PRIMITIVE' END",
     "ts": "ts",
 }
 
