@@ -8,7 +8,7 @@ from quarryline.plans.catalog import ORACLES, QUERIES
 
 FLAGSHIP = "retrieval_budget"
 
-for _name in ("retrieval", "integrity", "claims", "ledger"):
+for _name in ("retrieval", "integrity", "claims", "ledger", "scoring"):
     importlib.import_module(f"quarryline.plans.{_name}")
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
