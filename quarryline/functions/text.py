@@ -88,7 +88,8 @@ def numbers(s: Column) -> Column:
 
 
 def acronyms(s: Column) -> Column:
-    return F.regexp_extract_all(s, F.lit(r"\b[A-Z]{2,}\b"), 0)
+    """Words of two capital letters A-Z or more."""
+    return F.filter(F.split(s, r"[^\p{L}\p{Nd}_]+"), lambda w: w.rlike("^[A-Z]{2,}$"))
 
 
 def question_class(s: Column) -> Column:
@@ -142,5 +143,7 @@ def block_kind(s: Column) -> Column:
 def trigrams(s: Column) -> Column:
     """Distinct runs of three lower-case words."""
     w = F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{Nd}]+"), 0)
-    runs = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " ")))
-    return F.array_distinct(F.coalesce(runs, F.array().cast("array<string>")))
+    rest = lambda n: F.slice(w, F.lit(n), F.greatest(F.size(w), F.lit(1)))
+    # three copies of the words, each one word on: every word is taken out of the text once a copy
+    runs = F.transform(F.arrays_zip(w.alias("a"), rest(2).alias("b"), rest(3).alias("c")), lambda x: F.when(x["c"].isNotNull(), F.concat_ws(" ", x["a"], x["b"], x["c"])))
+    return F.array_distinct(F.filter(runs, lambda x: x.isNotNull()))

@@ -24,7 +24,7 @@ def leaves(rows: DataFrame, order: list[str], content: Column) -> DataFrame:
 
 
 def numbered(marked: DataFrame) -> DataFrame:
-    """The leaves with their global index; marked is written or cached, so that partitions keep their numbers."""
+    """The leaves with their global index; marked is a written table, so that rows keep their numbers."""
     from pyspark.sql import Window
 
     sizes = marked.groupBy("part").agg(F.count("*").alias("n"))

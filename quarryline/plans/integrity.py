@@ -9,6 +9,7 @@ from quarryline.functions import text as X
 from quarryline.operators import integrity as I
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import LEDGER_SQL, ledger, read
+from quarryline.sources.shared import written
 
 
 @query("SELECT doc_id, sha256(text) AS cid, substr(sha256(text), 1, 16) AS short_id, substr(sha256(text), 1, 2) AS fan, CAST((strlen(text) + 3) // 4 AS BIGINT) AS tokens FROM documents")
@@ -34,8 +35,8 @@ def prefix_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-24, D8: (level, nodes, first hash) of the tree over all documents in the order of their ids; the last level is the root."""
-    marked = I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")).persist()
-    levels = I.merkle_levels(I.numbered(marked).select("idx", "hash").persist())
+    marked = written(I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")), "leaves")
+    levels = I.merkle_levels(written(I.numbered(marked).select("idx", "hash"), "leaves"))
     out = None
     for k, level in enumerate(levels):
         row = level.agg(F.count("*").alias("nodes"), F.min_by("hash", "idx").alias("first_hash")).select(F.lit(k).cast("long").alias("level"), "nodes", "first_hash")
@@ -46,8 +47,8 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-22, AG-25, SP-02: the proof of one leaf, verified, and refused for another leaf."""
-    marked = I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")).persist()
-    levels = I.merkle_levels(I.numbered(marked).select("idx", "hash").persist())
+    marked = written(I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")), "leaves")
+    levels = I.merkle_levels(written(I.numbered(marked).select("idx", "hash"), "leaves"))
     root = levels[-1].first()["hash"]
     leaf = {r["idx"]: r["hash"] for r in levels[0].where("idx in (5, 6)").collect()}
     proof = I.merkle_proof(levels, 5)
