@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: dict[str, str] = {}
+from quarryline.sources.shared import new_path, shared_dir, written
+
+__all__ = ["WORD", "bounded_batches", "fresh", "hash_sample", "new_path", "shared_dir", "table", "written"]
 
 #: A word, as the contracts of the queries have it: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,31 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset a local session gets a temporary folder of its own; any other
-    session has to name one, as a machine's own folder isn't seen by the others.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    return _OWN_DIR.setdefault(app, tempfile.mkdtemp(prefix="quarryline-"))
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: later reads don't depend on any executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to some megabytes, so that a worker's memory doesn't follow the texts' lengths."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = re.match(r"[0-9]+", conf.get(key) or "")
+        if not now or int(now[0]) > most:
+            conf.set(key, str(most))
+    return df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quarryline.llm import textkernel as K
-from quarryline.llm.common import fresh
+from quarryline.llm.common import bounded_batches, fresh
 
 Q = 10
 RATE = 0.08
@@ -225,7 +225,7 @@ def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[DataFrame]:
 
 def leaks(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each item found in each document: doc_id, item_id, the stretch's offsets in the text, and edits."""
-    spark, out = documents.sparkSession, None
+    spark, out = bounded_batches(documents).sparkSession, None
     for part in blocks(benchmark, block):
         items = part.collect()
         ids = spark.createDataFrame([(i, x) for i, r in enumerate(items) for x in r["ids"]], "item int, item_id long")
@@ -237,7 +237,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of documents, as they are, in which no item is found."""
-    own = fresh(documents, "leaks")
+    own = fresh(bounded_batches(documents), "leaks")
     for part in blocks(benchmark, block):
         found = finder([r["text"] for r in part.select("text").collect()])
         documents = documents.withColumn(own, found("text")).where(F.size(own) == 0).drop(own)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quarryline.llm import textkernel as K
-from quarryline.llm.common import fresh, written
+from quarryline.llm.common import bounded_batches, fresh, written
 from quarryline.llm.components import components
 
 SHINGLE = 5
@@ -257,7 +257,7 @@ def tile_links(table: pa.Table) -> pa.Table:
 
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, hash, node) of documents, and (node, class_node, class_id, class_hash)."""
-    rows = written(documents.select("doc_id", _text_hash().alias("hash"), signed("text").alias("s")).select("doc_id", "hash", "s.*"), "signed")
+    rows = written(bounded_batches(documents).select("doc_id", _text_hash().alias("hash"), signed("text").alias("s")).select("doc_id", "hash", "s.*"), "signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
     nodes = rows.where("node is not null").groupBy("node").agg(least.alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes.select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.hash").alias("hash"), "n", "bands"), "nodes")

@@ -25,14 +25,14 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quarryline.llm import textkernel as K
-from quarryline.llm.common import hash_sample, new_path
+from quarryline.llm.common import bounded_batches, hash_sample, new_path
 from quarryline.llm.ranking import held_out
 
 START, END = (np.uint64(x) for x in (0x53544152545F5F31, 0x454E445F5F5F5F31))
 #: Tokens that a shard of the pairs holds, about; and pairs that a task gathers before it sends them on.
 SHARD_TOKENS = 2_000_000
 GATHERED = 1_500_000
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def tokens(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,6 +356,7 @@ def scorer(model: Model):
 def language_scores(documents: DataFrame) -> DataFrame:
     """Scores of every row of documents by a model of those that aren't held out."""
     out = held_out(F.col("doc_id"), 7)
+    bounded_batches(documents)
     model = trained(documents.where(~out))
     scored = documents.select("doc_id", out.alias("held_out"), scorer(model)("text").alias("s"))
     return scored.select(

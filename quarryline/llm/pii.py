@@ -14,13 +14,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quarryline.llm import textkernel as K
-from quarryline.llm.common import written
+from quarryline.llm.common import bounded_batches, written
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "secret"]
 EMAIL, IP, CARD, PHONE, SSN, IBAN, SECRET = range(len(KINDS))
@@ -181,16 +182,18 @@ def masker(accepted: set[int]):
         hit = flagged(texts)
         if not hit:
             return texts
-        out = texts.to_pylist()
+        new = []
         for i in hit:
-            text, parts, last = out[i], [], 0
+            text, parts, last = texts[i].as_py(), [], 0
             for start, kind, end, base, _, bits in spans(text):
                 if base or code(kind, bits) in accepted:
                     if start >= last:
                         parts += [text[last:start], f"[{KINDS[kind].upper()}]"]
                     last = max(last, end)
-            out[i] = "".join(parts) + text[last:]
-        return pa.array(out, type=pa.string())
+            new.append("".join(parts) + text[last:])
+        mask = np.zeros(len(texts), dtype=bool)
+        mask[hit] = True
+        return pc.replace_with_mask(texts, pa.array(mask), pa.array(new, type=texts.type))
 
     return masked
 
@@ -262,7 +265,7 @@ def _digest(s: Column) -> Column:
 
 def personal_data(documents: DataFrame) -> DataFrame:
     """doc_id, counts of the base spans by kind, base_sha256 and spans, a row for each row of documents."""
-    found = written(documents.select("doc_id", proposed("text").alias("spans")), "spans")
+    found = written(bounded_batches(documents).select("doc_id", proposed("text").alias("spans")), "spans")
     accepted = F.array(*[F.lit(c) for c in sorted(fitted(found))] or [F.lit(-1)])
     base = F.filter("spans", lambda s: s["base"])
 
@@ -278,6 +281,6 @@ def personal_data(documents: DataFrame) -> DataFrame:
 
 def without_personal_data(documents: DataFrame) -> DataFrame:
     """documents with their spans masked in text; n_chars, if there, becomes the new length."""
-    accepted = fitted(documents.select(proposed("text").alias("spans")))
+    accepted = fitted(bounded_batches(documents).select(proposed("text").alias("spans")))
     out = documents.withColumn("text", masker(accepted)("text"))
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quarryline.llm import rules
-from quarryline.llm.common import hash_sample, written
+from quarryline.llm.common import bounded_batches, hash_sample, written
 
 #: Labelled rows that the ranking is fitted on at most; they are the least by hash of their counts.
 FIT_ROWS = 40_000
@@ -113,7 +113,7 @@ def fitted(stats: DataFrame, labels: DataFrame) -> Ranking:
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted, a row for each row of documents."""
-    stats = written(documents.select("doc_id", rules.rule_stats("text").alias("stats")), "rule_stats")
+    stats = written(bounded_batches(documents).select("doc_id", rules.rule_stats("text").alias("stats")), "rule_stats")
     model = fitted(stats, labels)
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _expression(model, "scores")("stats").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quarryline.llm import textkernel as K
-from quarryline.llm.common import fresh, hash_sample, written
+from quarryline.llm.common import bounded_batches, fresh, hash_sample, written
 
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -234,7 +234,7 @@ def fitted(stats: DataFrame, labels: DataFrame, trees: int = 100, rows: int = 25
 
 def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the rule statistics, base_failed, the forest's score and kept, a row for each row of documents."""
-    stats = written(documents.select("doc_id", rule_stats("text").alias("stats")), "rule_stats")
+    stats = written(bounded_batches(documents).select("doc_id", rule_stats("text").alias("stats")), "rule_stats")
     forest = fitted(stats, labels)
     return judged(stats.withColumn("score", stats_scorer(forest)("stats")), forest)
 
@@ -249,10 +249,8 @@ def judged(scored: DataFrame, forest: Forest) -> DataFrame:
 
 def keep_by_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents, as they are, that the rules and the forest keep."""
-    labelled = documents.select("doc_id", "text").join(one_label(labels, "quality").select("doc_id"), "doc_id", "left_semi")
-    stats = written(labelled.select("doc_id", rule_stats("text").alias("stats")), "rule_stats")
-    if stats.isEmpty():  # no label fits: the forest grows from all documents
-        stats = written(documents.select("doc_id", rule_stats("text").alias("stats")), "rule_stats")
+    # the counts of all rows, without their texts, are what the fit reads; the texts are never shuffled
+    stats = written(bounded_batches(documents).select("doc_id", rule_stats("text").alias("stats")), "rule_stats")
     forest = fitted(stats, labels)
     own = fresh(documents, "rules")
     s = F.col(own)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from quarryline.llm.common import written
+from quarryline.llm.common import bounded_batches, written
 from quarryline.llm.htmlblocks import main_blocks, parse
 from quarryline.llm.neardup import few
 
@@ -86,7 +86,7 @@ def template_blocks(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars, a row for each row of pages."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    own = pages.select("page_id", "url", F.when(host != "", host).alias("host"), parsed("html").alias("p"))
+    own = bounded_batches(pages).select("page_id", "url", F.when(host != "", host).alias("host"), parsed("html").alias("p"))
     own = written(own.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "host", "p.*"), "pages")
     article = F.xxhash64("texts").alias("article")
     gone = few(written(template_blocks(own.select("row", "host", "tokens", "places", "marked", article)), "gone"))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -50,7 +50,7 @@ class _Powers:
     @classmethod
     def first(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(cls.up):
-            size = 1 << int(n).bit_length()
+            size = max(n, SLICE + 4096)
             for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
                 run = np.full(size, base, dtype=U64)
                 run[0] = 1
@@ -104,7 +104,8 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n + 1 offsets of an array of strings; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, at, data = texts.buffers()
     if not len(texts):
