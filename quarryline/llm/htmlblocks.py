@@ -79,29 +79,24 @@ def parse(html: str) -> tuple[list[int], list[Block]]:
     tokens: list[int] = []
     blocks: list[Block] = []
     stack = [_Open("", False, False, False, 0)]
-    text: list[str] = []
-    owner = stack[0]
+    # what a block says, and what inline parts set aside inside it say
+    held: dict[bool, list[str]] = {False: [], True: []}
+    owner = {False: stack[0], True: stack[0]}
 
     def flush() -> None:
-        if text:
-            whole = " ".join("".join(text).split())
-            text.clear()
+        for side in (False, True):
+            whole = " ".join("".join(held[side]).split())
+            held[side].clear()
             if whole:
-                blocks.append(Block(len(tokens), whole, owner.aside, owner.article, owner.main))
-                tokens.append(_h(f"{owner.path} {whole}"))
+                blocks.append(Block(len(tokens), whole, side, owner[side].article, owner[side].main))
+                tokens.append(_h(f"{owner[side].path} {whole}"))
 
     def add(piece: str) -> None:
-        nonlocal owner
-        if not piece:
-            return
-        top = stack[-1]
-        if not text or owner.aside != top.aside:
-            if text and not piece.strip():
-                return
-            if text:
-                flush()
-            owner = top
-        text.append(unescape(piece))
+        if piece:
+            top = stack[-1]
+            if not held[top.aside]:
+                owner[top.aside] = top
+            held[top.aside].append(unescape(piece))
 
     at, end = 0, len(html)
     while at < end:

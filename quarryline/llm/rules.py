@@ -125,7 +125,6 @@ class Forest:
     split: np.ndarray
     length: np.ndarray
     norm: float
-    threshold: float = 1.0
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """2 ** -(mean path / expected path): near 1 for an anomaly, below 0.5 for a usual row."""
@@ -172,78 +171,108 @@ def grown(x: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 7) -> Fo
     return Forest(feature, split, length, max(_expected(rows), 1e-9))
 
 
-def scorer(forest: Forest):
-    """An expression on the text: the counts with the forest's score."""
+@dataclass(frozen=True)
+class Detector:
+    """A forest for each statistic and one for all together, each with its threshold; an infinite one rejects nothing."""
+
+    forests: tuple[tuple[tuple[int, ...], Forest], ...]
+    thresholds: tuple[float, ...]
+
+    def parts(self, rows: np.ndarray) -> np.ndarray:
+        x = features(rows)
+        return np.column_stack([f.scores(x[:, list(columns)]) for columns, f in self.forests])
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """The greatest of the forests' scores over their thresholds: 1 and more is rejected."""
+        return (self.parts(rows) / np.array(self.thresholds)).max(axis=1)
+
+
+def scorer(detector: Detector):
+    """An expression on the text: the counts with the detector's score."""
     kind = T.StructType([*STATS.fields, T.StructField("score", T.DoubleType())])
 
     @arrow_udf(kind)
     def scored(texts: pa.Array) -> pa.Array:
         rows = counted(texts)
         out = structs(rows)
-        return pa.StructArray.from_arrays([*out.flatten(), pa.array(forest.scores(features(rows)))], names=[*COUNTS, "score"])
+        return pa.StructArray.from_arrays([*out.flatten(), pa.array(detector.scores(rows))], names=[*COUNTS, "score"])
 
     return scored
 
 
-def stats_scorer(forest: Forest):
-    """An expression on a struct of counts: the forest's score."""
+def _rows(stats: pa.Array) -> np.ndarray:
+    return np.column_stack([np.asarray(c.fill_null(0)) for c in stats.flatten()])
+
+
+def stats_scorer(detector: Detector):
+    """An expression on a struct of counts: the detector's score."""
 
     @arrow_udf(T.DoubleType())
     def scored(stats: pa.Array) -> pa.Array:
-        rows = np.column_stack([np.asarray(c.fill_null(0)) for c in stats.flatten()])
-        return pa.array(forest.scores(features(rows)))
+        return pa.array(detector.scores(_rows(stats)))
 
     return scored
 
 
+def bins_of(detector: Detector, bins: int):
+    """An expression on a struct of counts: each forest's score as one of equal bins from 0 to 1."""
+
+    @arrow_udf(T.ArrayType(T.IntegerType()))
+    def binned(stats: pa.Array) -> pa.Array:
+        parts = np.minimum((detector.parts(_rows(stats)) * bins).astype(np.int32), bins - 1)
+        at = pa.array(np.arange(len(parts) + 1, dtype=np.int32) * parts.shape[1])
+        return pa.ListArray.from_arrays(at, pa.array(parts.reshape(-1)))
+
+    return binned
+
+
 def one_label(labels: DataFrame, column: str) -> DataFrame:
     """One row for each labelled doc_id; of contradicting labels the lower one holds."""
     return labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).alias(column))
 
 
-def fitted(stats: DataFrame, labels: DataFrame, trees: int = 100, rows: int = 256, most_lost: float = 0.002, bins: int = 4096) -> Forest:
-    """The forest of a table (doc_id, stats) and its threshold.
+def fitted(stats: DataFrame, labels: DataFrame, trees: int = 100, rows: int = 256, most_lost: float = 0.001, bins: int = 4096) -> Detector:
+    """The forests of a table (doc_id, stats) and their thresholds.
 
-    It grows from trees * rows documents at most, those that pass the base rules and have the least
-    hashes of their statistics: the method's own subsampling. The threshold covers all labelled
-    documents: by a histogram of their scores, the one with the most quality-0 documents above
-    it less four times the quality-1 documents above it, of those thresholds that lose at most most_lost of
-    quality 1. Without labels of both kinds nothing is rejected beyond the base rules.
+    They grow from trees * rows documents at most, those that pass the base rules and have the least
+    hashes of their statistics: the method's own subsampling. The thresholds cover all labelled
+    documents: by a histogram of each forest's scores, the threshold with the most quality-0 documents above
+    it less ten times the quality-1 documents above it, of those that lose at most most_lost of
+    quality 1, or two documents. Without labels of both kinds nothing is rejected beyond the base rules.
     """
     kept = stats.where(~base_failed(F.col("stats")))
     sample = hash_sample(kept.select("stats.*"), trees * rows, *COUNTS).toPandas()
-    if not len(sample):
-        return grown(features(np.zeros((1, len(COUNTS)), dtype=np.int64)), 1, 1)
-    forest = grown(features(sample[COUNTS].to_numpy(np.int64)), trees, rows)
-    bin_ = F.least(F.lit(bins - 1), F.floor(stats_scorer(forest)("stats") * bins))
+    x = features(sample[COUNTS].to_numpy(np.int64) if len(sample) else np.zeros((1, len(COUNTS)), dtype=np.int64))
+    groups = [*[(i,) for i in range(x.shape[1])], tuple(range(x.shape[1]))]
+    forests = tuple((g, grown(x[:, list(g)], trees if len(g) > 1 else trees // 4, rows, seed=7 + k)) for k, g in enumerate(groups))
+    detector = Detector(forests, (np.inf,) * len(forests))
     found = (
-        kept.join(one_label(labels, "quality"), "doc_id")
-        .select(bin_.alias("bin"), "quality").groupBy("bin").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") != 0).alias("good"))
-        .toPandas()
+        kept.join(one_label(labels, "quality"), "doc_id").select(F.posexplode(bins_of(detector, bins)("stats")).alias("forest", "bin"), "quality")
+        .groupBy("forest", "bin").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") != 0).alias("good")).toPandas()
     )
-    bad, good = np.zeros(bins + 1), np.zeros(bins + 1)
-    for b, n0, n1 in found.itertuples(index=False):
-        bad[int(b)], good[int(b)] = n0, n1
-    over_bad, over_good = bad[::-1].cumsum()[::-1], good[::-1].cumsum()[::-1]
-    gain = np.where(over_good <= most_lost * max(good.sum(), 1), over_bad - 4 * over_good, -np.inf)
-    if not bad.sum() or not good.sum():
-        return forest
-    best = np.flatnonzero(gain == gain.max())
-    return Forest(forest.feature, forest.split, forest.length, forest.norm, float(best[len(best) // 2]) / bins)
+    thresholds = []
+    for k in range(len(forests)):
+        bad, good = np.zeros(bins + 1), np.zeros(bins + 1)
+        for b, n0, n1 in found[found.forest == k][["bin", "bad", "good"]].itertuples(index=False):
+            bad[int(b)], good[int(b)] = n0, n1
+        over_bad, over_good = bad[::-1].cumsum()[::-1], good[::-1].cumsum()[::-1]
+        gain = np.where(over_good <= max(most_lost * good.sum(), 2), over_bad - 10 * over_good, -np.inf)
+        best = np.flatnonzero(gain == gain.max())
+        thresholds.append(float(best[len(best) // 2]) / bins if good.sum() and gain.max() > 0 else np.inf)
+    return Detector(forests, tuple(thresholds))
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the rule statistics, base_failed, the forest's score and kept, a row for each row of documents."""
+    """doc_id, the rule statistics, base_failed, kept and the anomaly that decides on it, a row for each row of documents."""
     stats = written(bounded_batches(documents).select("doc_id", rule_stats("text").alias("stats")), "rule_stats")
-    forest = fitted(stats, labels)
-    return judged(stats.withColumn("score", stats_scorer(forest)("stats")), forest)
+    return judged(stats.withColumn("score", stats_scorer(fitted(stats, labels))("stats")))
 
 
-def judged(scored: DataFrame, forest: Forest) -> DataFrame:
+def judged(scored: DataFrame) -> DataFrame:
     failed = base_failed(F.col("stats"))
     return scored.select(
         "doc_id", *[F.col("stats")[c].alias(c) for c in COUNTS[:5]], failed.alias("base_failed"),
-        (~failed & (F.col("score") < forest.threshold)).alias("kept"), F.col("score").alias("anomaly"),
+        (~failed & (F.col("score") < 1)).alias("kept"), F.col("score").alias("anomaly"),
     )
 
 
@@ -251,7 +280,7 @@ def keep_by_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents, as they are, that the rules and the forest keep."""
     # the counts of all rows, without their texts, are what the fit reads; the texts are never shuffled
     stats = written(bounded_batches(documents).select("doc_id", rule_stats("text").alias("stats")), "rule_stats")
-    forest = fitted(stats, labels)
+    detector = fitted(stats, labels)
     own = fresh(documents, "rules")
     s = F.col(own)
-    return documents.withColumn(own, scorer(forest)("text")).where(~base_failed(s) & (s["score"] < forest.threshold)).drop(own)
+    return documents.withColumn(own, scorer(detector)("text")).where(~base_failed(s) & (s["score"] < 1)).drop(own)

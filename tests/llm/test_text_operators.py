@@ -1,0 +1,325 @@
+"""The operators on documents against plain Python versions, and on odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quarryline.llm import decontaminate, licenses, mixing, neardup, ngram_lm, pii, ranking, rules
+from quarryline.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [
+    (1, None, "en", None), (2, "", "en", "a"), (3, "   \n\t ", None, "a"), (4, "one", "en", "b"), (4, "one", "en", "b"), (None, "no id here", "en", "b"), (5, "x " * 30000, "en", "a"),
+    (6, "é ß 😀 ñ +1 (988) 555-2485 a@b.co", "fr", "c"), (7, "Released under the MIT License.", "en", "c"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns whose names clash with the operators' own."""
+    rows = [(*r, i, "k", 1.5) for i, r in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, node string, score double")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(4, 1, 0), (4, 0, 0), (6, 1, None), (None, 1, 0), (99, 0, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+def base_stats(t):
+    t = t or ""
+    w = WORD.findall(t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    runs = Counter(zip(w, w[1:], w[2:], strict=False))
+    mark = [False] * len(w)
+    for i in range(len(w) - 2):
+        if runs[w[i], w[i + 1], w[i + 2]] > 1:
+            mark[i] = mark[i + 1] = mark[i + 2] = True
+    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, sum(mark)]
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é\n\t#|\x0b", max_size=60)), max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_rule_counts(values):
+    got = rules.counted(pa.array(values, pa.string()))[:, :5].tolist()
+    assert got == [base_stats(v) for v in values]
+
+
+def test_quality_rules_keep_clean_documents(spark):
+    r = Q.op2_quality_rules(spark, "/root/testdata/sf0.01").toPandas()
+    known = {x["doc_id"]: x["quality"] for x in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    own = r[~r.base_failed & r.doc_id.isin(known)]
+    good = own[own.doc_id.map(known) == 1]
+    bad = own[own.doc_id.map(known) == 0]
+    assert good.kept.mean() > 0.99 and bad.kept.mean() < 0.2
+    assert not r[r.base_failed].kept.any()
+
+
+def test_quality_rules_odd_rows(spark, odd, labels):
+    r = rules.quality_rules(odd, labels).toPandas()
+    assert len(r) == len(ODD)
+    assert r[r.n_words == 30000].base_failed.all() and r.base_failed.sum() == len(ODD)
+    assert rules.keep_by_rules(odd, labels).columns == odd.columns
+    assert rules.quality_rules(odd.limit(0), labels).count() == 0
+
+
+def test_near_duplicates_equal_brute_force(spark, docs, texts):
+    bags = {}
+    for i, t in texts.items():
+        w = WORD.findall(t)
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+    parent = {i: i for i in bags}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(bags)
+    for a in ids:
+        for b in ids:
+            if a < b and bags[a] and bags[b]:
+                both = sum((bags[a] & bags[b]).values())
+                if both >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - both):
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: find(i) for i in ids}
+    assert neardup.keep_one(docs).count() == len(set(got.values()))
+
+
+def test_near_duplicates_odd_rows(spark, odd):
+    r = [(x["doc_id"], x["class_id"]) for x in neardup.near_duplicates(odd).collect()]
+    assert sorted(r, key=str) == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (None, None), (5, 5), (6, 6), (7, 7)], key=str)
+    kept = neardup.keep_one(odd)
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 1
+    assert neardup.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_near_duplicates_chain_and_multiset(spark):
+    base = [f"w{i}" for i in range(200)]
+    changed = lambda k: " ".join(base[:-k] + [f"z{k}-{i}" for i in range(k)]) if k else " ".join(base)
+    rows = [(i, changed(4 * i)) for i in range(6)] + [(50, "a b c d e " * 40), (51, "a b c d e " * 12)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(6)] == [0] * 6  # linked in a chain, the ends are not alike
+    assert got[50] != got[51]  # equal sets of shingles, different weights
+
+
+def test_bag_min_hash_is_unbiased():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    off = []
+    for _ in range(40):
+        a = {int(k): int(v) for k, v in zip(rng.integers(0, 200, 60), rng.geometric(0.3, 60), strict=True)}
+        b = {k: max(1, v + int(rng.integers(-2, 3))) for k, v in list(a.items())[:40]} | {int(k): 1 for k in rng.integers(300, 400, 20)}
+        x = np.array([*a, *b], dtype=np.uint64)
+        s = neardup.bag_min_hash(x, np.array([*a.values(), *b.values()]), np.array([0] * len(a) + [1] * len(b)), 2, 1000)
+        both = sum(min(a[k], b[k]) for k in a if k in b)
+        off.append((s[0] == s[1]).mean() - both / (sum(a.values()) + sum(b.values()) - both))
+    assert abs(np.mean(off)) < 0.01
+
+
+def test_mixing_meets_targets(spark, docs):
+    r = mixing.mixed(docs).toPandas()
+    again = mixing.mixed(docs).toPandas()
+    key = lambda d: sorted(map(tuple, d.values.tolist()))
+    assert key(r) == key(again)
+    assert (r.taken <= 3 * r["size"]).all()
+    src = {x["doc_id"]: x["source"] for x in docs.select("doc_id", "source").collect()}
+    g = r.assign(source=r.doc_id.map(src)).groupby("source").agg({"taken": "sum", "target": "first", "size": "max", "source_size": "first"})
+    assert ((g.taken - g.target).abs() <= g["size"]).all()
+    assert abs(g.target.sum() - g.source_size.sum()) < 1e-6 * g.source_size.sum()
+
+
+def test_water_filling_caps(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
+    t = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    assert t["a"] == 30 and t[None] == 0
+    assert math.isclose(t["b"], (2010 - 30) * 2 / 3) and math.isclose(t["c"], (2010 - 30) / 3)
+
+
+def test_mixing_odd_rows(spark, odd):
+    r = mixing.mixed(odd).toPandas()
+    assert len(r) == len(ODD) and (r.taken <= 3 * r["size"]).all()
+    assert mixing.mixed(odd.limit(0)).count() == 0
+
+
+def test_ranking_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    r = Q.op6_bradley_terry(spark, sf).toPandas()
+    assert (r.held_out == r.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
+    known = {x["doc_id"]: x["quality"] for x in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    h = r[r.held_out & r.doc_id.isin(known)]
+    assert (h.predicted == h.doc_id.map(known)).mean() > 0.95
+    assert r.score.between(0, 1).all() and (r.predicted == (r.score >= 0.7)).all()
+
+
+def test_ranking_odd_rows(spark, odd, labels):
+    r = ranking.quality_scores(odd, labels).toPandas()
+    assert len(r) == len(ODD) and r.score.between(0, 1).all()
+    assert ranking.quality_scores(odd.limit(0), labels).count() == 0
+
+
+def test_leaks_found_within_the_edit_budget(spark):
+    item = "The quick brown fox jumps over the lazy dog while the patient turtle watches from the old garden wall and counts."
+    near = item.replace("quick", "quack").replace("turtle", "tortle").replace("garden", "gardenn").upper()
+    far = " ".join(w[::-1] for w in item.split())
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, f"x\n\n {near}\ny"), (3, far), (4, None), (5, ""), (6, "short item")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, None), (12, "short item"), (13, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["edits"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == {(1, 10), (1, 13), (2, 10), (2, 13)}
+    assert got[1, 10] == (7, 7 + len(item), 0) and got[2, 10][2] == 3
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, bench).orderBy("doc_id").collect()] == [3, 4, 5, 6]
+    assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+    # one block for each item or two gives the same
+    small = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, block=60).collect()}
+    assert small == set(got)
+
+
+def edits(a, b):
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_leaks_equal_brute_force():
+    import random
+
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdehinorst") for _ in range(random.randint(2, 8)))
+    items = [" ".join(word() for _ in range(random.randint(8, 20))) for _ in range(12)]
+    texts = []
+    for k in range(60):
+        t = list(random.choice(items))
+        for _ in range(random.randint(0, 12)):
+            p = random.randrange(len(t))
+            t[p] = random.choice(["", "q", t[p] + "z"])
+        texts.append(" ".join([word() for _ in range(10)]) + " " + "".join(t) + " " + " ".join(word() for _ in range(10)))
+    index = decontaminate.Index(items)
+    got = {(t, i) for t, i, *_ in index.matches(texts)}
+    fold = lambda s: " ".join(s.lower().split())
+    want = {(t, i) for t, x in enumerate(texts) for i, y in enumerate(items) if edits(fold(y), fold(x)) <= int(index.e[i])}
+    assert got == want
+
+
+def pii_base(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[ -]", "", m[0])
+        if 12 <= len(d) <= 19 and pii.luhn(d):
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+    return sorted(out)
+
+
+@given(st.text(alphabet="a.@+-019 ()%_é4", max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_base_spans(text):
+    assert pii.base_spans(text) == pii_base(text)
+
+
+def test_personal_data_contract(spark, docs, texts):
+    names = ["email", "ip", "card", "phone"]
+    for r in pii.personal_data(docs).collect():
+        base = pii_base(texts[r["doc_id"]])
+        listed = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in base)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert [r[f"n_{n}"] for n in names] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        assert set(listed.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_personal_data_odd_rows(spark, odd):
+    r = {(x["doc_id"]): x for x in pii.personal_data(odd).collect()}
+    assert r[6]["n_email"] == 1 and r[6]["n_phone"] == 1 and r[1]["spans"] == "" and r[2]["spans"] == ""
+    out = pii.without_personal_data(odd)
+    assert out.columns == odd.columns
+    masked = {x["doc_id"]: x["text"] for x in out.collect()}
+    assert masked[6] == "é ß 😀 ñ [PHONE] [EMAIL]" and masked[1] is None
+    assert pii.personal_data(odd.limit(0)).count() == 0
+
+
+def test_language_model_equals_brute_force(spark, docs, texts):
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    tok = {i: [*WORD.findall((t or "").translate(low)), 0] for i, t in texts.items()}
+    train = [i for i in tok if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pair = Counter(), Counter()
+    for i in train:
+        for v, w in zip([1, *tok[i]], tok[i], strict=False):
+            c[w] += 1
+            pair[v, w] += 1
+    n, v_ = sum(c.values()), len(c)
+    total, kinds, left = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
+    for (v, w), k in pair.items():
+        total[v] += k
+        kinds[v][min(k, 3) - 1] += 1
+        left[w] += 1
+
+    def discounts(values):
+        m = [sum(x == k for x in values) for k in range(1, 5)]
+        y = m[0] / (m[0] + 2 * m[1])
+        return [0, *[k - (k + 1) * y * m[k] / m[k - 1] for k in (1, 2, 3)]]
+
+    d2, d1, a = discounts(pair.values()), discounts(left.values()), sum(left.values())
+    rest = sum(d1[min(x, 3)] for x in left.values()) / a
+    for r in ngram_lm.language_scores(docs).collect():
+        base = score = 0.0
+        for v, w in zip([1, *tok[r["doc_id"]]], tok[r["doc_id"]], strict=False):
+            base += math.log10((c[w] + 1) / (n + v_ + 1))
+            one = max(left[w] - d1[min(left[w], 3)], 0) / a + rest / (v_ + 1)
+            two = (max(pair[v, w] - d2[min(pair[v, w], 3)], 0) + sum(x * y for x, y in zip(d2[1:], kinds[v], strict=True)) * one) / total[v] if total[v] else one
+            score += math.log10(two)
+        assert r["n_tokens"] == len(tok[r["doc_id"]]) and r["train_tokens"] == n and r["n_known"] == sum(c[w] > 0 for w in tok[r["doc_id"]])
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
+
+
+def test_language_model_odd_rows(spark, odd):
+    r = ngram_lm.language_scores(odd).toPandas()
+    assert len(r) == len(ODD) and r.score.notna().all() and (r[r.doc_id == 2].n_tokens == 1).all()
+    assert ngram_lm.language_scores(odd.limit(0)).count() == 0
+
+
+def test_licence_paragraphs(spark, odd):
+    rows = [
+        (1, "The MIT campus is big."), (2, "text\nDistributed under the MIT License"), (3, "SPDX-License-Identifier: Apache-2.0"), (4, "a license to kill, public domain version 3"), (5, "Licensed under CC BY-SA 4.0."),
+        (6, "Released under the BSD 3-clause license"), (7, "This work is licensed under the GNU General Public License, version 3."), (8, "Licensed under CC BY-NC 4.0."),
+    ]
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in licenses.licence_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 1): "mit", (3, 0): "apache-2.0", (5, 0): "cc-by-sa", (6, 0): "bsd", (7, 0): "gpl", (8, 0): "cc-by-nc"}
+    assert {(r["doc_id"], r["family"]) for r in licenses.licence_paragraphs(odd).collect()} == {(7, "mit")}
+    assert licenses.licence_paragraphs(odd.limit(0)).count() == 0
+
+
+def test_licences_of_the_documents(spark, docs, texts):
+    found = {(r["doc_id"], r["paragraph"]) for r in licenses.licence_paragraphs(docs).collect()}
+    assert found == {(i, k) for i, t in texts.items() for k, line in enumerate(t.split("\n")) if re.search(r"(?i)licensed? under|license\.$|public license", line)}
