@@ -73,7 +73,7 @@ def outcomes(ledger: DataFrame) -> DataFrame:
     """(candidate_id, n, mean, best, worst) of the outcomes' deltas; a missing delta is after less before."""
     d = F.coalesce("delta", F.col("score_after") - F.col("score_before"))
     own = ledger.where("kind = 'OUTCOME'").groupBy("candidate_id").agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.max(d).alias("best"), F.min(d).alias("worst"))
-    return own.select("candidate_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "best", "worst")])
+    return own.select("candidate_id", "n", *[F.round(c, 9).alias(c) for c in ("mean", "best", "worst")])
 
 
 def profiles(ledger: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def historical_signals(ledger: DataFrame) -> DataFrame:
     tried = ledger.where("kind = 'CHANGE'").select("candidate_id", "mutation").distinct()
     d = F.coalesce("delta", F.col("score_after") - F.col("score_before"))
     own = ledger.where("kind = 'OUTCOME'").select("candidate_id", d.alias("d"))
-    return own.join(tried, "candidate_id").groupBy("mutation").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"))
+    return own.join(tried, "candidate_id").groupBy("mutation").agg(F.count("*").alias("n"), F.round(F.avg("d"), 9).alias("mean"))
 
 
 def parents(failures: DataFrame, most: int = 20) -> DataFrame:

@@ -17,7 +17,7 @@ _PROFILE = f"WITH {LEDGER_SQL}, p AS (SELECT concat(model_id, '/', condition) AS
 _KINDS = ", ".join(f"('{t}', '{k}', {w})" for t, ks in L.TARGET_KINDS.items() for k, w in zip(ks.split(), L.KIND_WEIGHTS, strict=True))
 _ALL = ", ".join(f"('{k}')" for k in L.ALL_KINDS)
 _WEIGHTS = _PATTERNS + f", k(target, mutation, w) AS (VALUES {_KINDS}), a(mutation) AS (VALUES {_ALL}), r AS (SELECT mutation, sum(n * (1 + 0.1 * (n_models - 1) + 0.05 * (n_specimens - 1)) * CAST(w AS DOUBLE)) AS raw FROM (SELECT *, {_TARGET} AS target FROM p) JOIN k USING (target) GROUP BY mutation), e AS (SELECT a.mutation, coalesce(raw, 0.0) AS raw FROM a LEFT JOIN r USING (mutation)), w AS (SELECT mutation, round(0.85 * CASE WHEN sum(raw) OVER () > 0 THEN raw / sum(raw) OVER () ELSE 1.0 / 11 END + 0.15 / 11, 6) AS weight FROM e)"
-_SIGNALS = f"WITH {LEDGER_SQL}, t AS (SELECT DISTINCT candidate_id, mutation FROM ledger WHERE kind = 'CHANGE'), s AS (SELECT mutation, count(*) AS n, round(avg({_DELTA}), 6) AS mean FROM ledger l JOIN t USING (candidate_id) WHERE kind = 'OUTCOME' GROUP BY ALL)".replace("SELECT mutation, count", "SELECT t.mutation, count")
+_SIGNALS = f"WITH {LEDGER_SQL}, t AS (SELECT DISTINCT candidate_id, mutation FROM ledger WHERE kind = 'CHANGE'), s AS (SELECT mutation, count(*) AS n, round(avg({_DELTA}), 9) AS mean FROM ledger l JOIN t USING (candidate_id) WHERE kind = 'OUTCOME' GROUP BY ALL)".replace("SELECT mutation, count", "SELECT t.mutation, count")
 
 
 @query(f"WITH {LEDGER_SQL} SELECT count(*) AS events, count_if(kind = 'OBSERVATION')::BIGINT AS observations, count_if(kind = 'CHANGE')::BIGINT AS changes, count_if(kind = 'OUTCOME')::BIGINT AS outcomes, count_if(kind = 'OBSERVATION' AND NOT coalesce(pass, false))::BIGINT AS failures, count_if(kind = 'OBSERVATION' AND evidence_class = 'REAL_MODEL')::BIGINT AS real, count_if(kind = 'OBSERVATION' AND evidence_class = 'SYNTHETIC')::BIGINT AS synthetic, count(DISTINCT model_id) AS models FROM ledger")
@@ -39,7 +39,7 @@ def next_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(L.target(F.col("code"), F.col("stage")).alias("target"), "n", F.concat_ws("|", "stage", "code", "layer").alias("pattern")).orderBy(F.desc("n"), "pattern").limit(1)
 
 
-@query(f"WITH {LEDGER_SQL} SELECT candidate_id, count(*) AS n, round(avg({_DELTA}), 6) AS mean, round(max({_DELTA}), 6) AS best, round(min({_DELTA}), 6) AS worst FROM ledger WHERE kind = 'OUTCOME' GROUP BY candidate_id")
+@query(f"WITH {LEDGER_SQL} SELECT candidate_id, count(*) AS n, round(avg({_DELTA}), 9) AS mean, round(max({_DELTA}), 9) AS best, round(min({_DELTA}), 9) AS worst FROM ledger WHERE kind = 'OUTCOME' GROUP BY candidate_id")
 def candidate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-03: outcomes by candidate."""
     return L.outcomes(ledger(spark, sf_dir))
