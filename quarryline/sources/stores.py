@@ -103,3 +103,13 @@ def read_object(spark: SparkSession, path: str, cid: str) -> DataFrame:
     """One content by its id, from its fan-out folder only, checked against the id."""
     row = spark.read.parquet(path).where((F.col("fan") == cid[:2]) & (F.col("cid") == cid))
     return row.withColumn("data", F.when(F.sha2("data", 256) == F.col("cid"), F.col("data")).otherwise(F.raise_error(F.lit("the content isn't what its id says"))))
+
+
+def append_external(observations: DataFrame, path: str) -> None:
+    """External observations, by model family and key."""
+    observations.write.partitionBy("family", "model_key").mode("append").parquet(path)
+
+
+def dump_pages(pages: DataFrame, path: str, stride: int, limit: int) -> None:
+    """Every stride-th page as JSON lines, limit of them at most: both are the dump's own parameters."""
+    pages.where(F.pmod(F.col("page_id") - 1, F.lit(stride)) == 0).orderBy("page_id").limit(limit).write.mode("errorifexists").json(path)
