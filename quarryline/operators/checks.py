@@ -13,7 +13,7 @@ FAILURES = [
     "NONE", "NO_VISUAL_SIGNAL", "BOOT_NOT_FOUND", "ROSETTA_NOT_FOUND", "CODEC_NOT_FOUND", "CAPABILITY_MISMATCH", "T2_NOT_FOUND", "SEMANTIC_EVIDENCE_INSUFFICIENT",
     "TEMPORAL_RULE_AMBIGUOUS", "CHECKPOINT_NOT_FOUND", "EXACT_DECODER_REQUIRED", "UNSUPPORTED_OPERATION", "OTHER",
 ]
-MARKER = "ORIGAMI_DEBUG_R0="
+MARKER = "DEBUG_TRACE_R0="
 TRACE = "schema string, status string, last_completed_stage string, failure_code string, confidence double"
 
 

@@ -61,11 +61,11 @@ def verification_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.verification_plan(claims(spark, sf_dir))
 
 
-@query(f"WITH {CLAIMS_SQL}, stored AS (SELECT DISTINCT concat('ohf://carrier/docs/d', l_suppkey, '/pages/', lpad(CAST(l_orderkey % 1000000 AS VARCHAR), 6, '0')) AS address, concat('x', l_orderkey) AS cid FROM lineitem WHERE l_suppkey % 3 <> 0) SELECT producer, count(*) AS n FROM claims c WHERE EXISTS (SELECT 1 FROM stored t WHERE t.address = c.address AND (c.cid = '' OR c.cid = t.cid)) GROUP BY producer")
+@query(f"WITH {CLAIMS_SQL}, stored AS (SELECT DISTINCT concat('store://carrier/docs/d', l_suppkey, '/pages/', lpad(CAST(l_orderkey % 1000000 AS VARCHAR), 6, '0')) AS address, concat('x', l_orderkey) AS cid FROM lineitem WHERE l_suppkey % 3 <> 0) SELECT producer, count(*) AS n FROM claims c WHERE EXISTS (SELECT 1 FROM stored t WHERE t.address = c.address AND (c.cid = '' OR c.cid = t.cid)) GROUP BY producer")
 def evidence_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SP-02, UD-05, AG-32: claims whose evidence is stored under their address and content id."""
     own = claims(spark, sf_dir)
-    stored = own.where("address NOT RLIKE '^ohf://carrier/docs/d[0-9]*/' OR CAST(regexp_extract(address, 'docs/d([0-9]+)', 1) AS BIGINT) % 3 <> 0").select("address", F.concat(F.lit("x"), F.regexp_extract("candidate_id", "^k0*([0-9]+)-", 1)).alias("cid"))
+    stored = own.where("address NOT RLIKE '^store://carrier/docs/d[0-9]*/' OR CAST(regexp_extract(address, 'docs/d([0-9]+)', 1) AS BIGINT) % 3 <> 0").select("address", F.concat(F.lit("x"), F.regexp_extract("candidate_id", "^k0*([0-9]+)-", 1)).alias("cid"))
     return C.verified(own, stored).groupBy("producer").agg(F.count("*").alias("n"))
 
 

@@ -45,7 +45,7 @@ CLAIMS: dict[str, str] = {
     "object": "concat(CASE WHEN l_linenumber % 2 = 0 THEN ' Line  ' ELSE 'line ' END, l_linestatus)",
     "polarity": "l_discount <= 0.09",
     "confidence": "CASE WHEN l_linenumber = 7 THEN 1.5 ELSE 1 - l_tax END",
-    "address": "concat('ohf://carrier/docs/d', l_suppkey, '/pages/', lpad(CAST(l_orderkey % 1000000 AS string), 6, '0'))",
+    "address": "concat('store://carrier/docs/d', l_suppkey, '/pages/', lpad(CAST(l_orderkey % 1000000 AS string), 6, '0'))",
     "cid": "CASE WHEN l_linenumber = 6 THEN '' ELSE concat('x', l_orderkey) END",
 }
 

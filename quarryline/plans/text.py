@@ -157,24 +157,24 @@ def semantic_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("conv_id", F.round(F.when(F.size("want") == 0, 1.0).otherwise(kept / F.size("want")), 6).alias("preserved"), F.round(F.when(F.size("got") == 0, 0.0).otherwise(F.size(F.array_except("got", "want")) / F.size("got")), 6).alias("invented"))
 
 
-@query(r"SELECT doc_id, regexp_extract(a, '^ohf://carrier/docs/([^/]+)/', 1) AS doc, CAST(regexp_extract(a, '/pages/([0-9]{6})', 1) AS BIGINT) AS page, coalesce(TRY_CAST(nullif(regexp_extract(a, '/blocks/([0-9]{4})$', 1), '') AS BIGINT), -1) AS block, regexp_full_match(a, 'ohf://carrier/(docs/[^/]+/)?pages/[0-9]{6}(/blocks/[0-9]{4})?') AS valid FROM (SELECT doc_id, concat('ohf://carrier/docs/', source, '/pages/', lpad(CAST(doc_id AS VARCHAR), 6, '0'), CASE WHEN doc_id % 2 = 0 THEN concat('/blocks/', lpad(CAST(doc_id % 100 AS VARCHAR), 4, '0')) ELSE '' END) AS a FROM documents)")
+@query(r"SELECT doc_id, regexp_extract(a, '^store://carrier/docs/([^/]+)/', 1) AS doc, CAST(regexp_extract(a, '/pages/([0-9]{6})', 1) AS BIGINT) AS page, coalesce(TRY_CAST(nullif(regexp_extract(a, '/blocks/([0-9]{4})$', 1), '') AS BIGINT), -1) AS block, regexp_full_match(a, 'store://carrier/(docs/[^/]+/)?pages/[0-9]{6}(/blocks/[0-9]{4})?') AS valid FROM (SELECT doc_id, concat('store://carrier/docs/', source, '/pages/', lpad(CAST(doc_id AS VARCHAR), 6, '0'), CASE WHEN doc_id % 2 = 0 THEN concat('/blocks/', lpad(CAST(doc_id % 100 AS VARCHAR), 4, '0')) ELSE '' END) AS a FROM documents)")
 def address_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-19, FLT-20: addresses taken apart and checked."""
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    a = F.concat(F.lit("ohf://carrier/docs/"), "source", F.lit("/pages/"), pad(F.col("doc_id"), 6), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/blocks/"), pad(F.col("doc_id") % 100, 4))).otherwise(""))
+    a = F.concat(F.lit("store://carrier/docs/"), "source", F.lit("/pages/"), pad(F.col("doc_id"), 6), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/blocks/"), pad(F.col("doc_id") % 100, 4))).otherwise(""))
     d = read(spark, sf_dir, "documents").select("doc_id", a.alias("a"))
     block = F.regexp_extract("a", r"/blocks/([0-9]{4})$", 1)
-    return d.select("doc_id", F.regexp_extract("a", r"^ohf://carrier/docs/([^/]+)/", 1).alias("doc"), F.regexp_extract("a", r"/pages/([0-9]{6})", 1).cast("long").alias("page"), F.when(block != "", block.try_cast("long")).otherwise(F.lit(-1)).cast("long").alias("block"), F.col("a").rlike(r"^ohf://carrier/(docs/[^/]+/)?pages/[0-9]{6}(/blocks/[0-9]{4})?$").alias("valid"))
+    return d.select("doc_id", F.regexp_extract("a", r"^store://carrier/docs/([^/]+)/", 1).alias("doc"), F.regexp_extract("a", r"/pages/([0-9]{6})", 1).cast("long").alias("page"), F.when(block != "", block.try_cast("long")).otherwise(F.lit(-1)).cast("long").alias("block"), F.col("a").rlike(r"^store://carrier/(docs/[^/]+/)?pages/[0-9]{6}(/blocks/[0-9]{4})?$").alias("valid"))
 
 
-@query(r"WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('UNFOLD ohf://carrier/pages/', lpad(CAST(doc_id AS VARCHAR), 6, '0'), CASE WHEN doc_id % 4 = 0 THEN ':low' ELSE '' END) ELSE concat('GROUP term:', source, ' depth:', doc_id % 4) END AS cmd FROM documents) SELECT doc_id, regexp_extract(cmd, '^(UNFOLD|GROUP)', 1) AS verb, regexp_extract(cmd, '^UNFOLD (ohf://\S+?)(?::(low|high))?$', 1) AS address, regexp_extract(cmd, ':(low|high)$', 1) AS fidelity, regexp_extract(cmd, 'term:(\S+)', 1) AS term, coalesce(TRY_CAST(nullif(regexp_extract(cmd, 'depth:([0-9]+)', 1), '') AS BIGINT), 0) AS depth FROM c")
+@query(r"WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('UNFOLD store://carrier/pages/', lpad(CAST(doc_id AS VARCHAR), 6, '0'), CASE WHEN doc_id % 4 = 0 THEN ':low' ELSE '' END) ELSE concat('GROUP term:', source, ' depth:', doc_id % 4) END AS cmd FROM documents) SELECT doc_id, regexp_extract(cmd, '^(UNFOLD|GROUP)', 1) AS verb, regexp_extract(cmd, '^UNFOLD (store://\S+?)(?::(low|high))?$', 1) AS address, regexp_extract(cmd, ':(low|high)$', 1) AS fidelity, regexp_extract(cmd, 'term:(\S+)', 1) AS term, coalesce(TRY_CAST(nullif(regexp_extract(cmd, 'depth:([0-9]+)', 1), '') AS BIGINT), 0) AS depth FROM c")
 def command_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-21: the two commands taken apart."""
-    cmd = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("UNFOLD ohf://carrier/pages/"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.when(F.col("doc_id") % 4 == 0, ":low").otherwise(""))).otherwise(F.concat(F.lit("GROUP term:"), "source", F.lit(" depth:"), (F.col("doc_id") % 4).cast("string")))
+    cmd = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("UNFOLD store://carrier/pages/"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.when(F.col("doc_id") % 4 == 0, ":low").otherwise(""))).otherwise(F.concat(F.lit("GROUP term:"), "source", F.lit(" depth:"), (F.col("doc_id") % 4).cast("string")))
     c = read(spark, sf_dir, "documents").select("doc_id", cmd.alias("cmd"))
     x = lambda p: F.regexp_extract("cmd", p, 1)
     depth = x(r"depth:([0-9]+)")
-    return c.select("doc_id", x(r"^(UNFOLD|GROUP)").alias("verb"), x(r"^UNFOLD (ohf://\S+?)(?::(low|high))?$").alias("address"), x(r":(low|high)$").alias("fidelity"), x(r"term:(\S+)").alias("term"), F.when(depth != "", depth.try_cast("long")).otherwise(F.lit(0)).cast("long").alias("depth"))
+    return c.select("doc_id", x(r"^(UNFOLD|GROUP)").alias("verb"), x(r"^UNFOLD (store://\S+?)(?::(low|high))?$").alias("address"), x(r":(low|high)$").alias("fidelity"), x(r"term:(\S+)").alias("term"), F.when(depth != "", depth.try_cast("long")).otherwise(F.lit(0)).cast("long").alias("depth"))
 
 
 @query("WITH s AS (SELECT doc_id, string_split(text, '.') AS parts FROM documents WHERE doc_id % 2 = 0), q AS (SELECT doc_id, concat('¿Cuál es el contenido principal de la página ', doc_id, '?') AS question FROM s UNION ALL SELECT doc_id, concat('Resumen brevemente los puntos importantes de la página ', doc_id) FROM s UNION ALL SELECT doc_id, concat('¿Qué términos técnicos o conceptos clave aparecen en la página ', doc_id, '?') FROM s) SELECT question, count(*) AS n FROM q GROUP BY question")
