@@ -112,12 +112,13 @@ def confusion(pairs: DataFrame, truth: Column, guess: Column) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, p50, p95, total) by the nearest rank above; a key's values are ranked, not gathered."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    n = F.count("*").over(Window.partitionBy(key))
-    ranked = rows.select(key, value, place.alias("place"), n.alias("n"))
-    at = lambda q: F.max(F.when(F.col("place") == F.floor((F.col("n") - 1) * F.lit(q) + F.lit(0.999999)) + 1, F.col(value)))
-    return ranked.groupBy(key).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.sum(value), 4).alias("total"))
+    """(key, n, p50, p95, total) by the nearest rank above. Equal values are counted together before they are put in order."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(key)
+    run = F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(key, value, "c", run.alias("upto"), F.sum("c").over(w).alias("n"))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.floor((F.col("n") - 1) * F.lit(q) + F.lit(0.999999)) + 1, F.col(value)))
+    return ranked.groupBy(key).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.sum(F.col(value) * F.col("c")), 4).alias("total"))
 
 
 def percentile_of(values: Column, q: float) -> Column:

@@ -116,12 +116,12 @@ def closed_loop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.loop_table(spark, C.closed_loop(t, 4))
 
 
-@query(f"WITH {LEDGER_SQL}, r AS (SELECT model_id, specimen_id FROM ledger WHERE kind = 'OBSERVATION' AND event_id % 2 = 0), d AS (SELECT model_id, any_value(failure_code) AS x, max(failure_code) AS code FROM ledger WHERE event_id % 7 = 3 GROUP BY model_id) SELECT r.model_id, coalesce(d.code, 'OTHER') AS code, count(*) AS n FROM r LEFT JOIN d USING (model_id) GROUP BY ALL")
+@query(f"WITH {LEDGER_SQL}, r AS (SELECT model_id, specimen_id FROM ledger WHERE kind = 'OBSERVATION'), d AS (SELECT model_id, max(failure_code) AS code FROM ledger WHERE kind = 'CHANGE' GROUP BY model_id) SELECT r.model_id, coalesce(d.code, 'OTHER') AS code, count(*) AS n FROM r LEFT JOIN d USING (model_id) GROUP BY ALL")
 def import_with_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-01, JN-02, SRC-07: results joined to their trials, with a debug report's code where there is one."""
     own = ledger(spark, sf_dir)
-    code = own.where("event_id % 7 = 3").groupBy("model_id").agg(F.max("failure_code").alias("code"))
-    return own.where("kind = 'OBSERVATION' AND event_id % 2 = 0").join(code, "model_id", "left").groupBy("model_id", F.coalesce("code", F.lit("OTHER")).alias("code")).agg(F.count("*").alias("n"))
+    code = own.where("kind = 'CHANGE'").groupBy("model_id").agg(F.max("failure_code").alias("code"))
+    return own.where("kind = 'OBSERVATION'").join(code, "model_id", "left").groupBy("model_id", F.coalesce("code", F.lit("OTHER")).alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, count_if(o_orderstatus = 'F' AND o_totalprice < 50000)::BIGINT AS without_evidence FROM orders GROUP BY 1")

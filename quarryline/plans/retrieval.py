@@ -112,17 +112,17 @@ def block_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {POSTINGS}, qs AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: trim(w, '.,;:!?¿()[]{{}}\"''')), lambda w: strlen(w) > 3 AND w NOT IN ({', '.join(repr(w) for w in X.SCOUT_STOP)}))) AS ws FROM conversations WHERE turn = 0), "
-    "c AS (SELECT block_id, list(term ORDER BY term) AS terms FROM (SELECT block_id, term, row_number() OVER (PARTITION BY block_id ORDER BY term) AS n FROM postings WHERE block_id < 40) WHERE n <= 64 GROUP BY block_id), "
-    "s AS (SELECT conv_id, block_id, len(list_intersect(ws, terms)) AS overlap FROM qs, c) "
-    "SELECT conv_id, block_id AS page, overlap FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, block_id) AS n FROM s WHERE overlap > 0) WHERE n = 1"
+    "c AS (SELECT block_id, term FROM (SELECT block_id, term, row_number() OVER (PARTITION BY block_id ORDER BY term) AS n FROM postings) WHERE n <= 64), "
+    "w AS (SELECT conv_id, unnest(ws) AS term FROM qs), s AS (SELECT conv_id, block_id, count(*) AS overlap FROM w JOIN c USING (term) GROUP BY ALL) "
+    "SELECT conv_id, block_id AS page, overlap FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, block_id) AS n FROM s) WHERE n = 1"
 )
 def page_scout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-21, SF-26: the page whose cover terms a question shares most, the lowest page on ties, none without overlap.
 
-    Covers are the first 64 terms of the first 40 pages, a fixed catalogue; questions meet them by term, not by pairs.
+    A page's cover is its first 64 terms; questions meet covers by term, not by pairs, and the best is a maximum, so nothing is gathered.
     """
     asked = read(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.explode(X.keywords(F.col("text"), 3, X.SCOUT_STOP, ".,;:!?¿()[]{}\"'")).alias("term"))
-    own = postings(spark, sf_dir).where("block_id < 40").withColumn("n", F.row_number().over(Window.partitionBy("block_id").orderBy("term"))).where("n <= 64")
-    hits = asked.join(own.select("term", "block_id"), "term").groupBy("conv_id", F.col("block_id").alias("page")).agg(F.count("*").alias("overlap"))
-    best = Window.partitionBy("conv_id").orderBy(F.desc("overlap"), "page")
-    return hits.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    own = postings(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("block_id").orderBy("term"))).where("n <= 64")
+    hits = asked.join(own.select("term", "block_id"), "term").groupBy("conv_id", "block_id").agg(F.count("*").alias("overlap"))
+    best = F.max(F.struct(F.col("overlap"), (-F.col("block_id")).alias("b")))
+    return hits.groupBy("conv_id").agg(best.alias("m")).select("conv_id", (-F.col("m.b")).alias("page"), "m.overlap")

@@ -11,6 +11,8 @@ from quarryline.operators import grounding as G
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import read
 
+#: Query vectors that go to the executors at once.
+QUERY_BLOCK = 20_000
 _KEY_STOP = ", ".join(f"'{w}'" for w in X.KEYWORD_STOP)
 _KEYS = f"list_distinct(list_filter(list_transform(list_filter(string_split_regex(lower(%s), '\\s+'), lambda w: w <> ''), lambda w: trim(w, '.,;:!?()[]{{}}\"''')), lambda w: strlen(w) > 4 AND w NOT IN ({_KEY_STOP})))"
 
@@ -70,10 +72,10 @@ def answer_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.passages(F.col("text")), "|").alias("passages"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{Nd}]+', '-', 'g'), '-') AS slug, trim(regexp_replace(regexp_replace(source, '[0-9]', '#', 'g'), '\s+', ' ', 'g')) AS shape FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', '-', 'g'), '-') AS slug, trim(regexp_replace(regexp_replace(source, '[0-9]', '#', 'g'), '\s+', ' ', 'g')) AS shape FROM documents")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-28, SF-29: slugs of the titles, here their first 60 characters, and shapes of the source names."""
-    return read(spark, sf_dir, "documents").select("doc_id", X.slug(F.substring("text", 1, 60)).alias("slug"), X.repetition_shape(F.col("source")).alias("shape"))
+    """SF-28, SF-29: slugs of the texts and shapes of the source names."""
+    return read(spark, sf_dir, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"), X.repetition_shape(F.col("source")).alias("shape"))
 
 
 @query(r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[0-9]', '#', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents) SELECT doc_id, len(ls) >= 3 AND len(list_distinct(ls[-3:])) = 1 AS degenerate FROM l")
@@ -124,13 +126,18 @@ def trigram_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_passage_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-33, JN-13, SRC-22: each query vector's best cosine with the vectors of each label, not below 0.
 
-    The queries are the vectors whose id 20 divides, held against all rows; the query set is sent to the executors if it is small.
+    The queries are the vectors whose id 20 divides, held against all rows in blocks of a bounded number of queries.
     """
     e = read(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    small = q.count() <= 100_000
-    p = e.join(F.broadcast(q) if small else q, F.col("vec_id") != F.col("query_id"))
-    return p.groupBy("query_id", "label").agg(F.round(F.max(F.greatest(F.lit(0.0), N.cosine(F.col("q"), F.col("embedding")))), 6).alias("best"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        part = F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q)
+        p = e.join(part, F.col("vec_id") != F.col("query_id"))
+        rows = p.groupBy("query_id", "label").agg(F.round(F.max(F.greatest(F.lit(0.0), N.cosine(F.col("q"), F.col("embedding")))), 6).alias("best"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
 
 
 @query(
@@ -177,11 +184,11 @@ def command_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", x(r"^(UNFOLD|GROUP)").alias("verb"), x(r"^UNFOLD (store://\S+?)(?::(low|high))?$").alias("address"), x(r":(low|high)$").alias("fidelity"), x(r"term:(\S+)").alias("term"), F.when(depth != "", depth.try_cast("long")).otherwise(F.lit(0)).cast("long").alias("depth"))
 
 
-@query("WITH s AS (SELECT doc_id, string_split(text, '.') AS parts FROM documents WHERE doc_id % 2 = 0), q AS (SELECT doc_id, concat('¿Cuál es el contenido principal de la página ', doc_id, '?') AS question FROM s UNION ALL SELECT doc_id, concat('Resumen brevemente los puntos importantes de la página ', doc_id) FROM s UNION ALL SELECT doc_id, concat('¿Qué términos técnicos o conceptos clave aparecen en la página ', doc_id, '?') FROM s) SELECT question, count(*) AS n FROM q GROUP BY question")
+@query("WITH s AS (SELECT doc_id, string_split(text, '.') AS parts FROM documents), q AS (SELECT doc_id, concat('¿Cuál es el contenido principal de la página ', doc_id, '?') AS question FROM s UNION ALL SELECT doc_id, concat('Resumen brevemente los puntos importantes de la página ', doc_id) FROM s UNION ALL SELECT doc_id, concat('¿Qué términos técnicos o conceptos clave aparecen en la página ', doc_id, '?') FROM s) SELECT question, count(*) AS n FROM q GROUP BY question")
 def template_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-27: the three fixed questions of each page of even number."""
+    """SF-27: the three fixed questions of each page."""
     forms = F.array(F.lit("¿Cuál es el contenido principal de la página %d?"), F.lit("Resumen brevemente los puntos importantes de la página %d"), F.lit("¿Qué términos técnicos o conceptos clave aparecen en la página %d?"))
-    d = read(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.explode(forms).alias("form"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(forms).alias("form"))
     return d.groupBy(F.replace("form", F.lit("%d"), F.col("doc_id").cast("string")).alias("question")).agg(F.count("*").alias("n"))
 
 
