@@ -196,3 +196,30 @@ def test_stream_guard_and_lifecycle(spark, tmp_path):
     moves = spark.readStream.schema("worker string, pass boolean, seq long").parquet(str(tmp_path / "moves"))
     r = ran(appends.lifecycle(moves), "phases")[-1]
     assert (r["phase"], r["moves"]) == ("RETIRED", 4)
+
+
+def test_module_packing(spark):
+    rows = [("p", "a", 9, True, 6, 2), ("p", "b", 8, False, 6, 3), ("p", "c", 7, True, 5, 4), ("p", "d", 6, False, 1, 1)]
+    d = spark.createDataFrame(rows, "pack string, module string, priority int, required boolean, full int, small int")
+    assert tuple(checks.module_packing(d, 10).first()) == ("p", "a:FULL,b:MIN,c:ERROR,d:FULL", 10)
+
+
+def test_closed_loop(spark):
+    rows = [(0, "c0", "q", 0.4), (0, "c1", "q", 0.6), (0, "c2", "q", 0.5), (1, "c1", "q", 0.3), (1, "c2", "q", 0.2), (2, "c1", "q", 0.9)]
+    d = spark.createDataFrame(rows, "generation int, candidate_id string, question_id string, score double")
+    log = [(r["generation"], r["incumbent"], r["event"]) for r in checks.closed_loop(d, 5)]
+    assert log == [(0, "c1", "ADVANCED"), (1, "c1", "KEPT"), (2, "c1", "NO_ACTIVE_FAILURES")]
+
+
+def test_percentiles_by_counts(spark):
+    d = spark.createDataFrame([("k", float(v)) for v in [5, 1, 1, 1, 9, 2, 2, 7, 7, 3]], "key string, value double")
+    own = sorted([5, 1, 1, 1, 9, 2, 2, 7, 7, 3])
+    r = scoring.percentiles(d, "key", "value").first()
+    assert (r["n"], r["p50"], r["p95"]) == (10, own[int(9 * 0.5 + 0.999999)], own[int(9 * 0.95 + 0.999999)])
+
+
+def test_debug_footer(spark):
+    text = 'the answer\nDEBUG_TRACE_R0=```json\n{"schema": "r0", "status": "PASS", "last_completed_stage": "BOOT", "failure_code": "T2_NOT_FOUND", "confidence": 2.0}\n```'
+    answer, trace = checks.parse_debug(F.lit(text))
+    r = spark.range(1).select(answer.alias("a"), trace.alias("t")).select("a", checks.debug_violations(F.col("t")).alias("v")).first()
+    assert tuple(r) == ("the answer", "PASS_WITH_CODE,CONFIDENCE")
