@@ -36,5 +36,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later reads don't depend on any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
