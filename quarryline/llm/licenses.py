@@ -67,7 +67,8 @@ def trained(spark: SparkSession) -> tuple[DataFrame, dict[str, float], float, li
     known = known.withColumn("grams", F.filter("grams", lambda g: F.arrays_overlap(F.split(g, " "), sign)))
     families = sorted({*NAMES, "unknown"})
     labels = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    known = known.withColumn("label", labels.cast("double"))
+    # some 1 200 short rows, a fixed table: one partition keeps the optimiser's many small jobs short
+    known = written(known.select("family", "fold", "grams", labels.cast("double").alias("label")).coalesce(1), "examples")
     counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16).fit(known)
     model = LogisticRegression(regParam=2e-4, maxIter=60, family="multinomial", standardization=False).fit(counter.transform(known.where("fold <> 4")))
     weight = model.coefficientMatrix.toArray()
