@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.numeric import clamp, higher_is_better, lower_is_better
+from quarryline.operators.ordering import placed
 
 # The terms of the tournament's score with their weights, and of the receivers' fitness.
 SCORE_RATES = {"roundtrip": 0.15, "boot": 0.09, "index_rate": 0.14, "answer_rate": 0.10, "routing": 0.08, "evidence": 0.08, "transport": 0.05, "context": 0.05}
@@ -40,7 +41,7 @@ def tournament(candidates: DataFrame, base: dict[str, float], policy: dict[str,
     own = candidates.select("candidate_id", F.round(weighted_score(base), 6).alias("score"), gates(policy).alias("gates"))
     failed = F.array_join(F.transform(F.filter("gates", lambda g: ~g["pass"]), lambda g: g["name"]), ",")
     own = own.select("candidate_id", "score", failed.alias("failed"), F.forall("gates", lambda g: g["pass"]).alias("eligible"))
-    return own.withColumn("place", F.row_number().over(Window.orderBy(F.desc("eligible"), F.desc("score"), "candidate_id")))
+    return placed(own, F.desc("eligible"), F.desc("score"), "candidate_id")
 
 
 def fitness(window: int) -> tuple[Column, Column]:
@@ -61,7 +62,7 @@ def worker_rank(workers: DataFrame, capability: str, scope: str, domain: str, mo
     ok = (F.col("capability") == capability) & (F.col("params") <= most_params) & F.col("scope").isin(scope, "ANY") & F.col("domain").isin(domain, "GENERAL")
     score = 100 * (F.col("scope") == scope).cast("int") + 50 * (F.col("domain") == domain).cast("int") + 25 * (F.col("params") == 0).cast("int") + 10 * (F.col("engine") == "RULES").cast("int")
     own = workers.where(ok).withColumn("score", score)
-    return own.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.col("params") != 0, "params", "worker_id"))).select("worker_id", "score", "params", "place")
+    return placed(own.select("worker_id", "score", "params"), F.desc("score"), F.col("params") != 0, "params", "worker_id")
 
 
 def parity(expected: DataFrame, actual: DataFrame, declared: DataFrame) -> DataFrame:

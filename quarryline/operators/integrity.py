@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
+from quarryline.operators.ordering import placed
 
 MINHASH_LANES = 64
 
@@ -17,19 +18,8 @@ def content_id(columns: list[str], without: tuple[str, ...] = ("ts",)) -> Column
 
 
 def leaves(rows: DataFrame, order: list[str], content: Column) -> DataFrame:
-    """(idx, hash) of rows in order, from 0. The numbering is by ranges, so no task holds all rows."""
-    sorted_ = rows.select(*order, F.sha2(content, 256).alias("hash")).repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = sorted_.withColumn("part", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id() % (1 << 33))
-    return marked
-
-
-def numbered(marked: DataFrame) -> DataFrame:
-    """The leaves with their global index; marked is a written table, so that rows keep their numbers."""
-    from pyspark.sql import Window
-
-    sizes = marked.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return marked.join(F.broadcast(before.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part").withColumn("idx", (F.col("before") + F.col("m")).cast("long"))
+    """(idx, hash) of rows in order, from 0."""
+    return placed(rows.select(*order, F.sha2(content, 256).alias("hash")), *order, name="idx", first=0).select("idx", "hash")
 
 
 def _parent(level: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.numeric import ratio
+from quarryline.operators.ordering import placed
 
 # What a failure code suggests to work on, and which kinds of change suit a target, best first.
 CODE_TARGET = {
@@ -128,7 +129,7 @@ def queue(candidates: DataFrame, weights: DataFrame, limit: int | None = None) -
     kinds = candidates.select("candidate_id", "mutation").distinct().join(weights, "mutation").groupBy("candidate_id").agg(F.avg("weight").alias("mean"))
     many = candidates.groupBy("candidate_id").agg(F.count("*").alias("mutations"))
     scored = kinds.join(many, "candidate_id").select("candidate_id", F.round(F.greatest(F.lit(0.0), F.col("mean") - 0.02 * (F.col("mutations") - 1)), 6).alias("priority"))
-    out = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "candidate_id")))
+    out = placed(scored, F.desc("priority"), "candidate_id")
     return out.where(F.col("place") <= limit) if limit else out
 
 

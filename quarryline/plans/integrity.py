@@ -35,8 +35,7 @@ def prefix_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-24, D8: (level, nodes, first hash) of the tree over all documents in the order of their ids; the last level is the root."""
-    marked = written(I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")), "leaves")
-    levels = I.merkle_levels(written(I.numbered(marked).select("idx", "hash"), "leaves"))
+    levels = I.merkle_levels(written(I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")), "leaves"))
     out = None
     for k, level in enumerate(levels):
         row = level.agg(F.count("*").alias("nodes"), F.min_by("hash", "idx").alias("first_hash")).select(F.lit(k).cast("long").alias("level"), "nodes", "first_hash")
@@ -47,8 +46,7 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-22, AG-25, SP-02: the proof of one leaf, verified, and refused for another leaf."""
-    marked = written(I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")), "leaves")
-    levels = I.merkle_levels(written(I.numbered(marked).select("idx", "hash"), "leaves"))
+    levels = I.merkle_levels(written(I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")), "leaves"))
     root = levels[-1].first()["hash"]
     leaf = {r["idx"]: r["hash"] for r in levels[0].where("idx in (5, 6)").collect()}
     proof = I.merkle_proof(levels, 5)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import numeric as N
 from quarryline.functions import text as X
-from quarryline.operators import checks, claims, gates, graphs, grounding, integrity, ledger, retrieval, scoring
+from quarryline.operators import checks, claims, gates, graphs, grounding, integrity, ledger, ordering, retrieval, scoring
 from quarryline.sources import stores
 from quarryline.streaming import appends
 
@@ -76,6 +76,13 @@ def test_merkle_equals_a_plain_tree(spark):
     assert [r["v"] for r in ok.select(integrity.verified(F.col("leaf"), F.col("proof"), F.lit(level[0].hex())).alias("v")).collect()] == [True, False]
 
 
+def test_places_across_ranges(spark):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("k"))
+    got = {r["id"]: r["place"] for r in ordering.placed(rows, F.desc("k"), "id").collect()}
+    assert got == {i: n + 1 for n, i in enumerate(sorted(range(1000), key=lambda i: (-(i % 7), i)))}
+    assert ordering.placed(rows.limit(0), "id", name="idx", first=0).columns == ["id", "k", "idx"]
+
+
 def test_segments_give_the_page_back(spark):
     pages = [(1, "TITLE\n\nfirst line\nsecond\n\n    code\n    more\n\nend"), (2, "\n".join(f"l{i}" for i in range(30)) + "\n"), (3, "x")]
     cut = retrieval.segments(spark.createDataFrame(pages, "page_id long, text string"))
