@@ -248,6 +248,11 @@ def test_base_spans(text):
     assert pii.base_spans(text) == pii_base(text)
 
 
+def test_long_runs_of_digits():
+    zeros = "0" * 6000
+    assert pii.base_spans(f"{zeros}1.2.3.{zeros}") == [(0, 1, 12006)] and pii.base_spans(f"1.2.3.9{zeros}") == []
+
+
 def test_personal_data_contract(spark, docs, texts):
     names = ["email", "ip", "card", "phone"]
     for r in pii.personal_data(docs).collect():
