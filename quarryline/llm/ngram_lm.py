@@ -32,6 +32,8 @@ START, END = (np.uint64(x) for x in (0x53544152545F5F31, 0x454E445F5F5F5F31))
 #: Tokens that a shard of the pairs holds, about; and pairs that a task gathers before it sends them on.
 SHARD_TOKENS = 2_000_000
 GATHERED = 1_500_000
+#: Files that a worker has mapped at once; systems allow some 65 000 maps a process.
+MAPPED = 16_384
 SLICE = 2 << 20
 
 
@@ -58,6 +60,13 @@ def _merged(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[first], order[first], *[np.add.reduceat(s[order], first) if len(first) else s[:0] for s in sums])
 
 
+def _runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, begin, end) of each run of equal values in a sorted array."""
+    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(shard[a]), a, b
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where the model lies and how its pairs are dealt: by the context, those of a hot context by the pair."""
@@ -111,15 +120,12 @@ def _pair_counts(layout: Layout):
         shard = (place >> K.U64(64 - layout.bits)).astype(np.int64)
         order = np.lexsort((context, shard))
         context, token, count, shard = context[order], token[order], count[order], shard[order]
-        cut = np.searchsorted(shard, np.arange((1 << layout.bits) + 1))
         rows = []
-        for s in range(1 << layout.bits):
-            a, b = cut[s], cut[s + 1]
-            if a < b:
-                own = context[a:b]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                c = count[a:b]
-                rows.append((s, _packed(own[first], np.diff(np.append(first, b - a)).astype(np.uint32), token[a:b], np.minimum(c, 255).astype(np.uint8), c[c >= 255])))
+        for s, a, b in _runs(shard):
+            own = context[a:b]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            c = count[a:b]
+            rows.append((s, _packed(own[first], np.diff(np.append(first, b - a)).astype(np.uint32), token[a:b], np.minimum(c, 255).astype(np.uint8), c[c >= 255])))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_BLOBS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +167,9 @@ def _pairs_merged(layout: Layout, word_bits: int):
         head, _, n1, n2, n3 = _merged(context, *seen)
         rows = [(shard & ((1 << word_bits) - 1), 2, _packed(np.array([(count == k).sum() for k in range(1, 5)], dtype=np.int64)))]
         for kind, key, values in ((0, word, (left, total)), (1, head, (n1, n2, n3))):
-            cut = np.searchsorted(key >> K.U64(64 - word_bits), np.arange((1 << word_bits) + 1).astype(np.uint64))
-            for s in range(1 << word_bits):
-                a, b = cut[s], cut[s + 1]
-                if a < b:
-                    slim = [v[a:b].astype(np.uint32) if v[a:b].max() < 1 << 32 else v[a:b] for v in values]
-                    rows.append((s, kind + 4 * int(any(v.dtype != np.uint32 for v in slim)), _packed(key[a:b], *[v if all(x.dtype == np.uint32 for x in slim) else v.astype(np.int64) for v in slim])))
+            for s, a, b in _runs(key >> K.U64(64 - word_bits)):
+                slim = [v[a:b].astype(np.uint32) if v[a:b].max() < 1 << 32 else v[a:b] for v in values]
+                rows.append((s, kind + 4 * int(any(v.dtype != np.uint32 for v in slim)), _packed(key[a:b], *[v if all(x.dtype == np.uint32 for x in slim) else v.astype(np.int64) for v in slim])))
         return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=_BLOBS)
 
     return run
@@ -272,35 +275,27 @@ def _hot(documents: DataFrame, bits: int, rows: int = 2_000) -> tuple[int, ...]:
     return tuple(sorted(int(np.int64(r["h"]).view(np.uint64)) for r in most if r["n"] * (4 << bits) > total))
 
 
-@lru_cache(maxsize=1)
-def _mapped(layout: Layout, word_bits: int) -> tuple[list[np.ndarray], ...]:
-    def all_of(kind: str, many: int) -> list[np.ndarray]:
-        out = []
-        for s in range(many):
-            try:
-                out.append(np.load(layout.file(kind, s), mmap_mode="r"))
-            except FileNotFoundError:  # no token fell into that shard
-                out.append(None)
-        return out
-
-    pairs, words = 1 << layout.bits, 1 << word_bits
-    return all_of("pairs", pairs), all_of("counts", pairs), all_of("words", words), all_of("stats", words)
+@lru_cache(maxsize=MAPPED)
+def _mapped(path: str) -> np.ndarray | None:
+    try:
+        return np.load(path, mmap_mode="r")
+    except FileNotFoundError:  # no token fell into that shard
+        return None
 
 
-def _looked_up(query: np.ndarray, bits: int, keys: list[np.ndarray], values: list[np.ndarray], width: int) -> np.ndarray:
+def _looked_up(layout: Layout, query: np.ndarray, bits: int, keys: str, values: str, width: int) -> np.ndarray:
     """The values of queries, 0 for those that aren't there; shard by shard, in order."""
     order = np.argsort(query)
     q = query[order]
     out = np.zeros((len(q), width), dtype=np.int64)
-    cut = np.searchsorted(q >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
-    for s in np.flatnonzero(np.diff(cut)):
-        own = keys[s]
+    for s, a, b in _runs(q >> np.uint64(64 - bits)):
+        own = _mapped(layout.file(keys, s))
         if own is None or not len(own):
             continue
-        part = q[cut[s] : cut[s + 1]]
+        part = q[a:b]
         at = np.minimum(np.searchsorted(own, part), len(own) - 1)
         hit = own[at] == part
-        out[cut[s] + np.flatnonzero(hit)] = np.asarray(values[s][at[hit]]).reshape(-1, width)
+        out[a + np.flatnonzero(hit)] = np.asarray(_mapped(layout.file(values, s))[at[hit]]).reshape(-1, width)
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -308,20 +303,19 @@ def _looked_up(query: np.ndarray, bits: int, keys: list[np.ndarray], values: lis
 
 def _score(model: Model, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """For each slice its first text and rows (tokens, known tokens, base score, score)."""
-    pairs, counts, words, stats = _mapped(model.layout, model.word_bits)
-    s = model.sums
+    layout, s = model.layout, model.sums
     n, v = s["tokens"], s["words"]
     d2, d1 = model.pair_discounts, model.word_discounts
     rest = (d1[1] * s["left1"] + d1[2] * s["left2"] + d1[3] * s["left_over2"]) / s["lefts"] if s["lefts"] else 1.0
     for w in K.words(texts, lower=True, size=SLICE):
         token, context, at = tokens(w)
-        row = _looked_up(token, model.word_bits, words, stats, 5)
-        pair = _looked_up(model.layout.places(context, token), model.layout.bits, pairs, counts, 1)[:, 0]
+        row = _looked_up(layout, token, model.word_bits, "words", "stats", 5)
+        pair = _looked_up(layout, layout.places(context, token), layout.bits, "pairs", "counts", 1)[:, 0]
         left, count = row[:, 0], row[:, 1]
         one = np.maximum(left - d1[np.minimum(left, 3)], 0) / max(s["lefts"], 1) + rest / (v + 1)
         before = np.empty_like(row)  # the context's row: that of the token before, or the start's
         before[1:] = row[:-1]
-        start = _looked_up(np.array([START]), model.word_bits, words, stats, 5)[0]
+        start = _looked_up(layout, np.array([START]), model.word_bits, "words", "stats", 5)[0]
         start[1] = s["ends"]
         before[at[:-1]] = start
         total = before[:, 1]
