@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
 from quarryline.operators.ordering import placed
+from quarryline.sources.shared import written
 
 MINHASH_LANES = 64
 
@@ -29,11 +30,11 @@ def _parent(level: DataFrame) -> DataFrame:
 
 
 def merkle_levels(indexed: DataFrame) -> list[DataFrame]:
-    """The tree's levels, leaves first, the root last; as many as the leaves' number has bits."""
+    """The tree's levels, leaves first, the root last; as many as the leaves' number has bits. Each is written, so none is worked out twice."""
     out = [indexed.select("idx", "hash")]
     n = indexed.count()
     while n > 1:
-        out.append(_parent(out[-1]))
+        out.append(written(_parent(out[-1]), "level"))
         n = (n + 1) // 2
     return out
 

@@ -80,7 +80,21 @@ def action_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rolled_back(_actions(spark, sf_dir)).select("action_id", F.col("args")["from"].alias("src"), F.col("args")["to"].alias("dst"))
 
 
-@query()
+_PACKING = """
+WITH RECURSIVE m AS (
+  SELECT l_orderkey AS pack, CAST(l_linenumber AS VARCHAR) AS module, l_linenumber = 1 AS required, CAST(trunc(l_quantity) AS INTEGER) AS size, CAST(trunc(l_quantity / 4) AS INTEGER) AS small,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, trunc(l_quantity), trunc(l_quantity / 4)) AS k FROM lineitem),
+f(pack, k, left_, out) AS (
+  SELECT DISTINCT pack, CAST(0 AS BIGINT), 60, CAST([] AS VARCHAR[]) FROM m
+  UNION ALL
+  SELECT f.pack, m.k, left_ - CASE WHEN size <= left_ THEN size WHEN small <= left_ THEN small ELSE 0 END,
+         CASE WHEN size <= left_ THEN list_append(out, module || ':FULL') WHEN small <= left_ THEN list_append(out, module || ':MIN') WHEN required THEN list_append(out, module || ':ERROR') ELSE out END
+  FROM f JOIN m ON m.pack = f.pack AND m.k = f.k + 1)
+SELECT pack, array_to_string(max_by(out, k), ',') AS chosen, CAST(60 - max_by(left_, k) AS BIGINT) AS used FROM f GROUP BY pack
+"""
+
+
+@query(_PACKING)
 def module_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK-16: each order's lines as modules, packed in full or small under a budget."""
     k = F.col("l_linenumber")

@@ -32,7 +32,17 @@ def prefix_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.collisions(read(spark, sf_dir, "documents").select(F.substring(F.sha2("text", 256), 1, 3).alias("cid"), F.col("text").alias("data")))
 
 
-@query()
+_MERKLE = """
+WITH RECURSIVE l(level, idx, hash) AS (
+  SELECT CAST(0 AS BIGINT), row_number() OVER (ORDER BY doc_id) - 1, sha256(text) FROM documents
+  UNION ALL
+  SELECT max(level) + 1, idx // 2, sha256(unhex(concat(min_by(hash, idx), max_by(hash, idx))))
+  FROM (SELECT *, max(idx) OVER () AS last FROM l) WHERE last > 0 GROUP BY idx // 2)
+SELECT level, count(*) AS nodes, min_by(hash, idx) AS first_hash FROM l GROUP BY level
+"""
+
+
+@query(_MERKLE)
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-24, D8: (level, nodes, first hash) of the tree over all documents in the order of their ids; the last level is the root."""
     levels = I.merkle_levels(written(I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")), "leaves"))
