@@ -1,16 +1,18 @@
 """Main text of pages, by the templates of their hosts (operator 8).
 
 Tokens of a page are its elements and its blocks of text, each with its path of elements. Tokens of a host that occur
-equally often on each of its pages form an equivalence class. A class of three tokens or more on
-three pages or more is valid if its tokens stand in the same order on each page and, unless it occurs on all pages and so is
-of the root, all between the same two tokens of the root. The valid classes are the host's template; the main text is what
-fills the slots of the article: its blocks less those that belong to the template.
-Only hosts of five different articles or more have a template. Where a page marks its article, only blocks of the
-root are taken out of it, and only if that leaves 70% of it: copies of one article
-share their paragraphs, too. Where it doesn't, all blocks outside menus, headers, footers and the like are held
-against the whole template; if nothing is left the page keeps them all.
-Null and empty html give an empty text. Pages without a host share none and have no template. Pages are read whole;
-rows that repeat are rows of their own; an empty table gives an empty result.
+equally often on each of its pages form an equivalence class. The root is the class of most tokens among those on half of
+the host's pages or more; pages without any token are no pages of a host. A class of three tokens or more is valid if it
+stands on three different articles or more, its tokens stand in the same order on each page and, unless it is the root,
+all between the same two tokens of the root wherever a page has the root. The valid classes are the host's template.
+Articles are different if they differ in what is in no class. For a class other than the root a page counts only if the
+class is at most half of the page's text: copies of one article share their paragraphs, too.
+The root cuts a page into slots. A slot is the article's if most of its text on the host's pages is, by the pages that
+mark their article if there are such. The main text is what fills the article's slots: their blocks less those of the
+template; if nothing is left the page keeps them all. What tags set aside inside a slot stays out of it.
+Pages of hosts without a root, pages without the root of their host and pages without a host go by their tags.
+Null and empty html give an empty text. Pages are read whole; rows that repeat are rows of their own; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,62 +27,86 @@ from quarryline.llm.common import bounded_batches, written
 from quarryline.llm.htmlblocks import main_blocks, parse
 from quarryline.llm.neardup import few
 
-#: Least tokens of a valid class, least pages it occurs on, and least different articles of a host whose articles have template parts.
-TOKENS, PAGES, ARTICLES = 3, 3, 5
+#: Least tokens of a valid class, and least different articles it stands on.
+TOKENS, PAGES = 3, 3
 
 PARSED = T.StructType([
-    T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType())),
+    T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("chars", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.IntegerType())),
     T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("marked", T.BooleanType()),
 ])
 
 
 @arrow_udf(PARSED)
 def parsed(htmls: pa.Array) -> pa.Array:
-    """All tokens in order; of the main blocks their places among the tokens and their texts; whether the page marks them as such."""
-    tokens, places, texts, marked = [], [], [], []
+    """All tokens in order, with the characters of main blocks, those of other blocks below 0, and 0 for elements; of the main blocks their places among the tokens and their texts; whether the page marks them as such."""
+    tokens, chars, places, texts, marked = [], [], [], [], []
     for html in htmls:
         own, blocks = parse(html.as_py() or "")
         main = main_blocks(blocks)
+        size = [0] * len(own)
+        for b in blocks:
+            size[b.place] = -len(b.text)
+        for b in main:
+            size[b.place] = len(b.text)
         tokens.append(own)
+        chars.append(size)
         places.append([b.place for b in main])
         texts.append([b.text for b in main])
         marked.append(any(b.article or b.main for b in main))
-    out = [pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(marked, pa.bool_())]
-    return pa.StructArray.from_arrays(out, names=["tokens", "places", "texts", "marked"])
+    out = [pa.array(tokens, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(marked, pa.bool_())]
+    return pa.StructArray.from_arrays(out, names=["tokens", "chars", "places", "texts", "marked"])
 
 
-def template_blocks(pages: DataFrame) -> DataFrame:
-    """(row, gone): the places of each page's main blocks that belong to its host's template.
+def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, gone): the places of each page's main blocks that belong to its host's template; (row, root_at): where the root's tokens stand; (host, slots): the article's slots.
 
-    pages has row, host, tokens, places, marked and article, a hash of the main blocks. No vector of a token's occurrences is ever gathered: a sum of hashes of
+    pages has row, host, tokens, chars, places and marked. No vector of a token's occurrences is ever gathered: a sum of hashes of
     (page, occurrences) stands for it, and tokens of equal sums are one class.
     """
-    hosts = pages.where("host is not null").groupBy("host").agg(F.count("*").alias("pages"), F.countDistinct("article").alias("kinds"))
-    hosts = written(hosts.where((F.col("pages") >= PAGES) & (F.col("kinds") >= ARTICLES)).select("host", "pages"), "hosts")
-    shared = pages.join(hosts, "host")
-    each = shared.select("host", "row", F.posexplode("tokens").alias("place", "token"))
-    counted = each.groupBy("host", "row", "token").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
+    pages = pages.where("host is not null and size(tokens) > 0")
+    hosts = written(pages.groupBy("host").agg(F.count("*").alias("pages"), F.bool_or("marked").alias("marks")).where(F.col("pages") >= PAGES), "hosts")
+    shared = pages.join(few(hosts), "host")
+    each = shared.select("host", "row", F.posexplode(F.arrays_zip("tokens", "chars")).alias("place", "t")).select("host", "row", "place", F.col("t.tokens").alias("token"), F.col("t.chars").alias("chars"))
+    main = F.when(F.col("chars") > 0, F.col("chars"))
+    counted = each.groupBy("host", "row", "token").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.count(main).alias("mains"), F.sum(main).alias("chars"))
     vector = F.sum(F.xxhash64("row", "n").cast("decimal(20,0)")).alias("vector")
     tokens = counted.groupBy("host", "token").agg(vector, F.count("*").alias("on")).where(F.col("on") >= PAGES)
     classes = tokens.groupBy("host", "vector", "on").agg(F.count("*").alias("size")).where(F.col("size") >= TOKENS)
-    members = written(tokens.join(classes, ["host", "vector", "on"]).join(hosts, "host").select("host", "token", "vector", (F.col("on") == F.col("pages")).alias("root")), "members")
-    found = counted.join(members, ["host", "token"])
-    # each class on each page: its order, and the gap of the root class that it stands in
+    members = written(tokens.join(classes, ["host", "vector", "on"]).select("host", "token", "vector", "on", "size"), "members")
+    found = counted.join(members.select("host", "token", "vector"), ["host", "token"])
+    # each class on each page: its order, and the main text that it holds; shifted tokens stand for texts, so that sums fit
     spots = F.array_sort(F.collect_list(F.struct("first", "token")))
-    on_page = found.groupBy("host", "row", "vector").agg(spots.alias("spots"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("root").alias("root"))
+    on_page = found.groupBy("host", "row", "vector").agg(
+        spots.alias("spots"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.shiftright("token", 24) * F.col("mains")).alias("said"), F.sum("chars").alias("chars"),
+    )
     on_page = written(on_page, "classes")
-    root = on_page.where("root").groupBy("row").agg(F.flatten(F.collect_list("spots.first")).alias("root_at"))
-    gap = on_page.join(root, "row").select(
-        "host", "vector", "root", F.xxhash64(F.transform("spots", lambda s: s["token"])).alias("order"),
-        F.size(F.filter("root_at", lambda p: p < F.col("first"))).alias("before"), F.size(F.filter("root_at", lambda p: p <= F.col("last"))).alias("behind"),
+    text = F.filter(F.arrays_zip("tokens", "chars"), lambda t: t["chars"] > 0)
+    whole = shared.select(
+        "row", F.aggregate(text, F.lit(0).cast("long"), lambda x, t: x + F.shiftright(t["tokens"], 24)).alias("all_said"), F.aggregate(text, F.lit(0).cast("long"), lambda x, t: x + t["chars"]).alias("all_chars"),
+    )
+    rest = on_page.groupBy("row").agg(F.sum("said").alias("shared")).join(whole, "row").select("row", "all_chars", (F.col("all_said") - F.col("shared")).alias("rest"))
+    small = 2 * F.coalesce("chars", F.lit(0)) <= F.col("all_chars")
+    kinds = on_page.select("host", "row", "vector", "chars").join(rest, "row").groupBy("host", "vector").agg(F.count_distinct("rest").alias("kinds"), F.count_distinct(F.when(small, F.col("rest"))).alias("nested_kinds"))
+    kinds = written(kinds, "kinds")
+    wide = members.select("host", "vector", "on", "size").distinct().join(kinds.where(F.col("kinds") >= PAGES), ["host", "vector"]).join(few(hosts), "host").where(2 * F.col("on") >= F.col("pages"))
+    roots = written(wide.groupBy("host").agg(F.max_by("vector", F.struct("size", "on", "vector")).alias("vector")), "roots")
+    root_at = on_page.join(few(roots), ["host", "vector"]).select("row", F.col("spots.first").alias("root_at"))
+    gap = on_page.join(root_at, "row", "left").join(few(roots.select("host", F.col("vector").alias("of_root"))), "host", "left").select(
+        "host", "vector", F.coalesce(F.col("vector") == F.col("of_root"), F.lit(False)).alias("root"), F.xxhash64(F.transform("spots", lambda s: s["token"])).alias("order"),
+        F.when(F.col("root_at").isNotNull(), F.size(F.filter("root_at", lambda p: p < F.col("first")))).alias("before"), F.when(F.col("root_at").isNotNull(), F.size(F.filter("root_at", lambda p: p <= F.col("last")))).alias("behind"),
     )
     kept = gap.groupBy("host", "vector").agg(
         F.min("order").alias("o0"), F.max("order").alias("o1"), F.bool_and("root").alias("root"),
         F.bool_and(F.col("before") == F.col("behind")).alias("nested"), F.min("before").alias("b0"), F.max("before").alias("b1"),
-    ).where("o0 = o1 and (root or nested and b0 = b1)").select("host", "vector", "root")
-    template = members.drop("root").join(kept, ["host", "vector"]).select("host", "token", "root")
-    blocks = shared.select("host", "row", "marked", F.explode(F.transform("places", lambda p: F.struct(p.alias("place"), F.element_at("tokens", p + 1).alias("token")))).alias("b")).select("host", "row", "marked", "b.*")
-    return blocks.join(template, ["host", "token"]).where("root or not marked").groupBy("row").agg(F.collect_set("place").alias("gone"))
+    ).join(kinds, ["host", "vector"]).where(f"o0 = o1 and (root or coalesce(nested and b0 = b1, true) and nested_kinds >= {PAGES})").select("host", "vector")
+    template = members.select("host", "token", "vector").join(kept, ["host", "vector"]).select("host", "token")
+    blocks = shared.select("host", "row", F.explode(F.transform("places", lambda p: F.struct(p.alias("place"), F.element_at("tokens", p + 1).alias("token")))).alias("b")).select("host", "row", "b.*")
+    gone = blocks.join(template, ["host", "token"]).groupBy("row").agg(F.collect_set("place").alias("gone"))
+    # the slots of the pages' blocks
+    at = F.size(F.filter("root_at", lambda p: p <= F.col("place"))).alias("slot")
+    voting = shared.where("marked or not marks").select("host", "row", F.posexplode("chars").alias("place", "chars")).where("chars <> 0").join(root_at, "row")
+    slots = voting.select("host", at, "chars").groupBy("host", "slot").agg(F.sum(F.col("chars").cast("long")).alias("chars")).where("chars > 0").groupBy("host").agg(F.collect_list("slot").alias("slots"))
+    return gone, root_at, slots
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -88,12 +114,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     own = bounded_batches(pages).select("page_id", "url", F.when(host != "", host).alias("host"), parsed("html").alias("p"))
     own = written(own.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "host", "p.*"), "pages")
-    article = F.xxhash64("texts").alias("article")
-    gone = few(written(template_blocks(own.select("row", "host", "tokens", "places", "marked", article)), "gone"))
-    kept = F.filter(F.arrays_zip("places", "texts"), lambda b: ~F.coalesce(F.array_contains("gone", b["places"]), F.lit(False)))
+    gone, root_at, slots = templates(own.select("row", "host", "tokens", "chars", "places", "marked"))
+    gone, root_at, slots = few(written(gone, "gone")), few(written(root_at, "roots_at")), few(written(slots, "slots"))
+    slot = lambda b: F.size(F.filter("root_at", lambda p: p <= b["places"]))
+    in_slot = lambda b: F.col("root_at").isNull() | F.col("slots").isNull() | F.array_contains("slots", slot(b))
+    is_gone = lambda b: F.coalesce(F.array_contains("gone", b["places"]), F.lit(False))
+    kept = F.filter(F.arrays_zip("places", "texts"), lambda b: ~is_gone(b) & in_slot(b))
     text = F.array_join(F.transform(kept, lambda b: b["texts"]), "\n")
     whole = F.array_join("texts", "\n")
-    out = own.join(gone, "row", "left").select("page_id", "url", "marked", text.alias("text"), whole.alias("whole"))
-    left = F.when(F.col("marked"), F.length("text") >= 0.7 * F.length("whole")).otherwise(F.col("text") != "")
-    out = out.select("page_id", "url", F.when(left, F.col("text")).otherwise(F.col("whole")).alias("text"))
+    out = own.join(gone, "row", "left").join(root_at, "row", "left").join(slots, "host", "left").select("page_id", "url", text.alias("text"), whole.alias("whole"))
+    out = out.select("page_id", "url", F.when(F.col("text") != "", F.col("text")).otherwise(F.col("whole")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

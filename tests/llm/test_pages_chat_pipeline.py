@@ -60,6 +60,37 @@ def test_template_text_goes_on_pages_without_an_article(spark):
     assert got == {i: f"Story {i} about {'x' * (i + 1)}." for i in range(6)}
 
 
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in templates.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_without_the_root_leave_the_template_to_the_others(spark):
+    page = lambda i: f"<body><div>Site name</div><div>All our offers today</div><div><p>Story {i} about {'x' * (i + 1)}.</p></div><div>Imprint of the site</div></body>"
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(6)] + [(100, "https://h.example/x", ""), (101, "https://h.example/y", None), (102, "https://h.example/z", "<p>Gone</p>")]
+    assert texts_of(spark, rows) == {i: f"Story {i} about {'x' * (i + 1)}." for i in range(6)} | {100: "", 101: "", 102: "Gone"}
+
+
+def test_notices_inside_some_articles_go_and_copied_articles_stay(spark):
+    own = lambda i: f"<p>Story {i} begins with {'x' * (i + 9)} and goes on for many words of its own {i}.</p><p>And it ends with {i * 7} words that nobody else has written so far.</p>"
+    notice = "<section><b>Our offer</b><div>Sign now</div></section>"
+    page = lambda body: f"<body><nav><a>Home</a></nav><article><h1>Title</h1>{body}</article><footer>Imprint</footer></body>"
+    copied = "".join(f"<p>Copied paragraph number {k} of one long article.</p>" for k in range(6))
+    rows = [(i, f"https://h.example/{i}", page(own(i) + (notice if i < 4 else ""))) for i in range(8)]
+    rows += [(i, f"https://h.example/{i}", page(copied + f"<p>Edit {i}.</p>")) for i in range(20, 24)]
+    got = texts_of(spark, rows)
+    assert all("Our offer" not in got[i] and "Sign now" not in got[i] and f"Story {i} begins" in got[i] and f"{i * 7} words" in got[i] for i in range(8))
+    assert all(f"paragraph number {k} " in got[i] for i in range(20, 24) for k in range(6))
+
+
+def test_slots_of_a_small_host_decide_on_its_unmarked_pages(spark):
+    page = lambda i, a: f"<body><div>Menu {i}</div><{a}><h1>Head {i}</h1><p>Story {i}.</p></{a}><section>Weather {i}</section></body>"
+    rows = [(i, f"https://h.example/{i}", page(i, "article")) for i in range(3)] + [(3, "https://h.example/3", "<body><div>Menu 3</div><h1>Head 3</h1></body>")]
+    assert texts_of(spark, rows)[0] == "Head 0\nStory 0."
+    same = lambda i, mark: f"<body><div>Menu {i}</div><h2></h2><dl></dl>{mark[0]}<p>Story {i}.</p>{mark[1]}<section>Weather {i}</section></body>"
+    rows = [(i, f"https://g.example/{i}", same(i, ("<span class=x>", "</span>") if i == 3 else ("<span itemprop=articleBody>", "</span>"))) for i in range(4)]
+    assert texts_of(spark, rows) == {i: f"Story {i}." for i in range(4)}
+
 def rows_of(df):
     return sorted(map(repr, df.select(*sorted(df.columns)).toPandas().values.tolist()))
 
