@@ -50,6 +50,19 @@ def merkle_proof(levels: list[DataFrame], idx: int) -> list[tuple[str, str]]:
     return proof
 
 
+def merkle_proofs(levels: list[DataFrame]) -> DataFrame:
+    """(idx, leaf, proof) of every leaf, the proof as in merkle_proof: one join a level from the root down, where both children of a node take over its proof."""
+    out = levels[-1].select("idx", F.col("hash").alias("leaf"), F.array().cast("array<struct<side:string,hash:string>>").alias("proof"))
+    for level in reversed(levels[:-1]):
+        pair = level.groupBy((F.col("idx") / 2).cast("long").alias("idx")).agg(F.max_by("hash", -F.col("idx")).alias("l"), F.max_by("hash", F.col("idx")).alias("r"), F.count("*").alias("n"))
+        step = lambda side, h: F.concat(F.array(F.struct(F.lit(side).alias("side"), F.col(h).alias("hash"))), F.col("proof"))
+        left = F.struct((2 * F.col("idx")).alias("idx"), F.col("l").alias("leaf"), step("R", "r").alias("proof"))
+        right = F.struct((2 * F.col("idx") + 1).alias("idx"), F.col("r").alias("leaf"), step("L", "l").alias("proof"))
+        both = F.when(F.col("n") == 2, F.array(left, right)).otherwise(F.array(left))
+        out = pair.join(out.select("idx", "proof"), "idx").select(F.explode(both).alias("c")).select("c.*")
+    return out
+
+
 def verified(leaf: Column, proof: Column, root: Column) -> Column:
     """Whether an array of (side, hash) leads from the leaf to the root."""
     def up(h: Column, s: Column) -> Column:

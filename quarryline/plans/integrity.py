@@ -55,13 +55,13 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-22, AG-25, SP-02: the proof of one leaf, verified, and refused for another leaf."""
+    """JN-22, AG-25, SP-02: the proof of every document's leaf, verified, and held against the next leaf, which it refuses unless that has the same text."""
     levels = I.merkle_levels(written(I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")), "leaves"))
-    root = levels[-1].first()["hash"]
-    leaf = {r["idx"]: r["hash"] for r in levels[0].where("idx in (5, 6)").collect()}
-    proof = I.merkle_proof(levels, 5)
-    rows = spark.createDataFrame([(5, leaf[5], proof, root), (6, leaf[6], proof, root)], "idx long, leaf string, proof array<struct<side:string,hash:string>>, root string")
-    return rows.select("idx", F.size("proof").cast("long").alias("steps"), I.verified(F.col("leaf"), F.col("proof"), F.col("root")).alias("valid"))
+    n = F.lit(max(levels[0].count(), 1))
+    behind = levels[0].select(F.pmod(F.col("idx") - 1, n).alias("idx"), F.col("hash").alias("next"))
+    rows = I.merkle_proofs(levels).join(behind, "idx").crossJoin(F.broadcast(levels[-1].select(F.col("hash").alias("root"))))
+    valid = lambda leaf: I.verified(F.col(leaf), F.col("proof"), F.col("root"))
+    return rows.select("idx", F.size("proof").cast("long").alias("steps"), valid("leaf").alias("valid"), valid("next").alias("next_valid"))
 
 
 _MINHASH = r"""

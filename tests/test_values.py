@@ -76,6 +76,25 @@ def test_merkle_equals_a_plain_tree(spark):
     assert [r["v"] for r in ok.select(integrity.verified(F.col("leaf"), F.col("proof"), F.lit(level[0].hex())).alias("v")).collect()] == [True, False]
 
 
+def test_merkle_proofs_of_all_leaves(spark, tmp_path):
+    from quarryline.plans import integrity as plans
+
+    for n in (1, 3, 13):
+        hashes = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
+        want, level, at = [[] for _ in hashes], hashes, list(range(n))
+        while len(level) > 1:
+            for i, k in enumerate(at):
+                want[i].append(("L" if k % 2 else "R", level[k - 1 if k % 2 else min(k + 1, len(level) - 1)].hex()))
+            level = [hashlib.sha256(level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
+            at = [k // 2 for k in at]
+        levels = integrity.merkle_levels(spark.createDataFrame([(i, h.hex()) for i, h in enumerate(hashes)], "idx long, hash string"))
+        got = {r["idx"]: (r["leaf"], [tuple(x) for x in r["proof"]]) for r in integrity.merkle_proofs(levels).collect()}
+        assert got == {i: (h.hex(), want[i]) for i, h in enumerate(hashes)}
+    spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(map(tuple, plans.merkle_proofs(spark, str(tmp_path)).collect()))
+    assert rows == [(i, 3, True, False) for i in range(5)]
+
+
 def test_places_across_ranges(spark):
     rows = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("k"))
     got = {r["id"]: r["place"] for r in ordering.placed(rows, F.desc("k"), "id").collect()}
