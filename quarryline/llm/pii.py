@@ -148,14 +148,17 @@ def spans(text: str) -> list[tuple[int, int, int, bool, int, int]]:
 
 
 _TRIGGER = np.zeros(256, dtype=bool)
-_TRIGGER[[ord(c) for c in "@0123456789"]] = True
+_TRIGGER[[ord(c) for c in "@0123456789=:"]] = True
+# Keys that may hold none of these characters.
+_KEY = "AKIA|ASIA|gh[pousr]_|sk_live_"
 
 
 def flagged(texts: pa.Array) -> list[int]:
-    """The texts that hold a digit or an at sign: no other has a span."""
+    """The texts that hold a digit, an at sign, an equals sign, a colon or the prefix of a key: no other has a span."""
     data, at = K.raw(texts)
     hits = np.flatnonzero(_TRIGGER[data])
-    return np.unique(np.searchsorted(at, hits, side="right") - 1).tolist()
+    keys = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _KEY), False).to_numpy(zero_copy_only=False))
+    return np.union1d(np.searchsorted(at, hits, side="right") - 1, keys).astype(int).tolist()
 
 
 SPAN = T.StructType([
