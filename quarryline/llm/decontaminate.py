@@ -2,10 +2,13 @@
 
 Documents and items are compared as folded characters: lower case, each run of white space as one space.
 An item of n characters is found where it aligns with a stretch of a document within
-e = min(8% of n, n / 10 - 1) edits. Such a stretch shares n + 1 - 10 * (e + 1) q-grams of 10 characters
-with the item at least, all within e diagonals; so no stretch within the budget is missed.
-Null and empty documents have no matches; null items, and items under 20 characters, which
-name nothing, match nothing; items with equal text match alike, each by its own id. Documents
+e = min(8% of n, n / 10 - 1) edits, and none below 20 characters. Such a stretch shares n + 1 - 10 * (e + 1) q-grams of
+10 characters with the item at least, all within e diagonals; so no stretch within the budget is missed. Items under 10
+characters have no such q-gram: they are found where all their characters stand in a row.
+Stretches of an item that begin within a few edits of each other are one: its best one is reported. Of an item under
+10 characters each document's first stretch is.
+Null and empty documents have no matches; null items, and empty ones or those of white space, match nothing; items with
+equal text match alike, each by its own id, a null one too; rows that repeat a document are reported each. Documents
 are read whole. Empty tables give an empty result; columns beside the ids and texts aren't read.
 """
 
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -25,13 +28,20 @@ from quarryline.llm.common import bounded_batches, fresh
 
 Q = 10
 RATE = 0.08
-LEAST = 20
 #: Characters of items that go to the executors at once; a larger benchmark is worked through block by block.
 BLOCK = 8_000_000
 
-_FOLD = np.arange(0x250, dtype=np.uint32)
-_FOLD[:] = [ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0x250)]
-_FOLD[[0, 9, 10, 11, 12, 13, 0x85, 0xA0]] = 32
+#: No code point from this one on has a lower case or is white space.
+_CASED = 0x1E944
+
+
+def _fold() -> np.ndarray:
+    chars = [chr(i) for i in range(_CASED)]
+    one = [next((x for x in (c.casefold(), c.lower()) if len(x) == 1), c) for c in chars]
+    return np.array([32 if c == "\0" or c.isspace() else ord(x) for c, x in zip(chars, one, strict=True)], dtype=np.uint32)
+
+
+_FOLD = _fold()
 
 
 def budget(n: np.ndarray) -> np.ndarray:
@@ -43,27 +53,29 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined = np.frombuffer(("\0".join(x.replace("\0", " ") for x in texts) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.flatnonzero(joined == 0)
     out = _FOLD.take(joined, mode="clip")
-    if joined.max(initial=0) >= len(_FOLD):
-        out = np.where(joined < len(_FOLD), out, joined)
+    if joined.max(initial=0) >= _CASED:
+        out = np.where(joined < _CASED, out, joined)
     out[ends] = 0
     blank = out == 32
     edge = blank.copy()  # a blank, or the end of a text
     edge[ends] = True
+    # of a run of blanks the last one stays, and none at either end of a text
     keep = np.ones(len(out), dtype=bool)
-    keep[1:] = ~(blank[1:] & edge[:-1])
-    keep[:1] &= ~blank[:1]
+    keep[:-1] = ~(blank[:-1] & edge[1:])
+    solid = np.maximum.accumulate(np.where(blank, -1, np.arange(len(out))))
+    keep &= ~(blank & ((solid < 0) | (out[solid] == 0)))
     source = np.flatnonzero(keep)
     return out[keep], source, np.concatenate([[0], np.searchsorted(source, ends) + 1])
 
 
-def _gram_hashes(chars: np.ndarray) -> np.ndarray:
-    n = len(chars) - Q + 1
+def _gram_hashes(chars: np.ndarray, q: int = Q) -> np.ndarray:
+    n = len(chars) - q + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     up, down = K._Powers.first(len(chars) + 1)
     prefix = np.zeros(len(chars) + 1, dtype=np.uint64)
     np.cumsum((chars.astype(np.uint64) + K.U64(1)) * K.U64(0xD6E8FEB86659FD93) * up[: len(chars)], out=prefix[1:])
-    return K.mixed((prefix[Q:] - prefix[:-Q]) * down[:n])
+    return K.mixed((prefix[q:] - prefix[:-q]) * down[:n])
 
 
 class Index:
@@ -77,7 +89,7 @@ class Index:
         self.need = self.n + 1 - Q * (self.e + 1)
         hashes, item, place = [], [], []
         for i, x in enumerate(self.items):
-            if len(x) >= LEAST:
+            if len(x) >= Q:
                 h = _gram_hashes(x)
                 hashes.append(h)
                 item.append(np.full(len(h), i))
@@ -91,12 +103,18 @@ class Index:
         self.shift = K.U64(64 - max(16, int(len(self.keys)).bit_length() + 5))
         self.seen = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.seen[self.keys >> self.shift] = True
+        # items without a q-gram: by their length, the hash of all their characters and the items that have it
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, x in enumerate(self.items):
+            if 0 < len(x) < Q:
+                self.short.setdefault(len(x), {}).setdefault(int(_gram_hashes(x, len(x))[0]), []).append(i)
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits), offsets in characters of the text as it stands."""
+        chars, source, at = folded(texts)
+        yield from self._short(chars, source, at)
         if not len(self.keys):
             return
-        chars, source, at = folded(texts)
         h = _gram_hashes(chars)
         here = np.flatnonzero(self.seen[h >> self.shift])
         key = np.minimum(np.searchsorted(self.keys, h[here]), len(self.keys) - 1)
@@ -115,6 +133,22 @@ class Index:
             yield from self._regions(chars, source, at, here[i:j], key[i:j], owner[i:j], many[i:j])
             i = j
 
+    def _short(self, chars, source, at) -> Iterator[tuple[int, int, int, int, int]]:
+        """The first place in each text of each item under Q characters."""
+        for q, items in self.short.items():
+            keys = np.array(sorted(items), dtype=np.uint64)
+            h = _gram_hashes(chars, q)
+            if not len(h):
+                continue
+            key = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            here = np.flatnonzero(keys[key] == h)
+            owner = np.searchsorted(at, here, side="right") - 1
+            _, first = np.unique(np.column_stack([owner, key[here]]), axis=0, return_index=True)
+            for k in first.tolist():
+                t, p = int(owner[k]), int(here[k])
+                for i in items[int(keys[key[p]])]:
+                    yield t, i, int(source[p] - source[at[t]]), int(source[p + q - 1] - source[at[t]] + 1), 0
+
     def _regions(self, chars, source, at, here, key, owner, many) -> Iterator[tuple[int, int, int, int, int]]:
         first = np.cumsum(many) - many
         post = np.arange(many.sum()) - np.repeat(first, many) + np.repeat(self.at[key], many)
@@ -189,16 +223,16 @@ def aligned(item: np.ndarray, chars: np.ndarray, begin: int, stop: int, low: int
     return max(begin, end - length), end, edits
 
 
-MATCH = T.StructType([T.StructField("item", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())])
-_ARROW = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
+MATCH = T.StructType([T.StructField("item", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())])
+_ARROW = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
 
 
-def finder(items: list[str]):
-    """An expression on the text: its matches with the items, by their place in the list."""
+def finder(items: list[tuple[str, int]]):
+    """An expression on the text: its matches with the items (text, key), by their keys."""
 
     @arrow_udf(T.ArrayType(MATCH))
     def matches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(items)
+        index = Index([text for text, _ in items])
         for texts in batches:
             at = K.raw(texts)[1]
             out = []
@@ -206,7 +240,7 @@ def finder(items: list[str]):
                 part = [x or "" for x in texts.slice(i, j - i).to_pylist()]
                 found: list[list[dict]] = [[] for _ in part]
                 for t, item, start, end, edits in index.matches(part):
-                    found[t].append({"item": item, "start": start, "end": end, "edits": edits})
+                    found[t].append({"item": items[item][1], "start": start, "end": end, "edits": edits})
                 out += found
             yield pa.array(out, type=_ARROW)
 
@@ -214,31 +248,33 @@ def finder(items: list[str]):
     return matches
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[DataFrame]:
-    """The distinct texts of the benchmark in blocks of about size characters, each with its ids."""
-    items = benchmark.where(F.length("text") >= LEAST).groupBy("text").agg(F.collect_set("item_id").alias("ids"))
+def _key() -> Column:
+    return F.xxhash64("text").alias("key")
+
+
+def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[str, int]]]:
+    """The distinct texts of the benchmark with their keys, in blocks of about size characters."""
+    items = benchmark.where("text is not null").select("text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     many = max(1, -(-total // size))
     for b in range(many):
-        yield items.where(F.pmod(F.xxhash64("text"), F.lit(many)) == b)
+        yield [(r["text"], r["key"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(many)) == b).select("text", _key()).collect()]
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each item found in each document: doc_id, item_id, the stretch's offsets in the text, and edits."""
-    spark, out = bounded_batches(documents).sparkSession, None
-    for part in blocks(benchmark, block):
-        items = part.collect()
-        ids = spark.createDataFrame([(i, x) for i, r in enumerate(items) for x in r["ids"]], "item int, item_id long")
-        hits = documents.select("doc_id", F.explode(finder([r["text"] for r in items])("text")).alias("m"))
-        hits = hits.select("doc_id", "m.*").join(F.broadcast(ids), "item").select("doc_id", "item_id", "start", "end", "edits")
+    bounded_batches(documents)
+    ids = benchmark.where("text is not null").select("item_id", _key()).distinct()
+    out = None
+    for items in blocks(benchmark, block):
+        hits = documents.select("doc_id", F.explode(finder(items)("text")).alias("m")).select("doc_id", "m.*")
         out = hits if out is None else out.unionAll(hits)
-    return out
+    return out.join(ids, out["item"] == ids["key"]).select("doc_id", "item_id", "start", "end", "edits")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of documents, as they are, in which no item is found."""
     own = fresh(bounded_batches(documents), "leaks")
-    for part in blocks(benchmark, block):
-        found = finder([r["text"] for r in part.select("text").collect()])
-        documents = documents.withColumn(own, found("text")).where(F.size(own) == 0).drop(own)
+    for items in blocks(benchmark, block):
+        documents = documents.withColumn(own, finder(items)("text")).where(F.size(own) == 0).drop(own)
     return documents
