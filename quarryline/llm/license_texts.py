@@ -22,6 +22,7 @@ FRAMES = [
     "Licensed under {}.", "Released under {}.", "Released under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.",
     "This software is licensed under {}.", "This project is distributed under the terms of {}.", "Available under {}, see LICENSE for details.",
     "This file is subject to the terms of {}.", "The code is made available under {}.", "SPDX-License-Identifier: {}", "License: {}", "Content on this site is licensed under {}.",
+    "{}", "[{}]", "**License:** {}", "Licence: {}", "license = \"{}\"", "This repository uses the {}.", "See the {} for the full text.", "Distributed under {}; see the LICENSE file.",
 ]
 
 #: Well-known paragraphs of the families' texts.

@@ -2,22 +2,27 @@
 
 A multinomial logistic regression over the words, pairs and triples of words of a paragraph (a line of text) gives each family, and an
 unknown class, a chance. It is fitted to notices made of the families' names and paragraphs, and to
-paragraphs that license nothing. A family is reported if its chance reaches the threshold, which is
+paragraphs that license nothing: written ones, and up to some NEGATIVES of the table's own that hold a word of the
+notices but share nothing with any template. A family is reported if its chance reaches the threshold, which is
 calibrated on notices and paragraphs left out of the fit, and if the comparison with the family's templates confirms it: the
 share of one template's distinctive word triples, or pairs in short notices, that the paragraph contains.
 The weights' n-grams each contain a word of the templates that is no stop word, so paragraphs without any such word are unknown; they
 are passed over before n-grams are made. Null and empty texts have no paragraph. Texts are read whole; a line is a paragraph however
-long. Repeated rows are reported each. An empty table gives an empty result.
+long. Repeated rows are reported each; of families of equal chance the first by name holds. An empty table gives an empty result;
+columns beside doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import written
+from quarryline.llm.neardup import few
 from quarryline.llm.license_texts import FRAMES, NAMES, PARAGRAPHS, UNKNOWN
 
 # Words that are no sign of a licence by themselves.
@@ -31,6 +36,9 @@ STOP = (
 #: Names that say nothing without a word of licensing before them.
 BARE = ("MIT", "ISC")
 
+#: Paragraphs of the table that the unknown class learns from, about.
+NEGATIVES = 2_000
+
 #: Confirmation: the least share of a template's triples (pairs in short notices).
 CONFIRM = 0.6
 
@@ -53,44 +61,71 @@ def examples(spark: SparkSession) -> DataFrame:
     """family, text, fold of the training paragraphs; every fifth is left for calibration."""
     rows = []
     for family, names in NAMES.items():
-        notices = [f.format(n).replace("the the ", "the ").replace("the The ", "The ").replace("the a ", "a ") for f in FRAMES for n in names]
+        notices = [f.format(n).replace("the the ", "the ").replace("the The ", "The ").replace("the a ", "a ") for f in FRAMES for n in names if f != "{}" or n not in BARE]
         rows += [(family, t) for t in [*dict.fromkeys(notices), *PARAGRAPHS.get(family, []) * 4]]
     rows += [("unknown", t) for t in UNKNOWN] + [("unknown", f.format(x)) for f in FRAMES for x in ("these conditions", "the usual terms", "contract", "pressure", "a new name")]
     return spark.createDataFrame([(f, t, i % 5) for i, (f, t) in enumerate(rows)], "family string, text string, fold int")
 
 
-def trained(spark: SparkSession) -> tuple[DataFrame, dict[str, float], float, list[str]]:
-    """(gram, family, weight) rows, intercepts, the chance from which on a family is taken, and the words that signs contain."""
-    known = examples(spark).withColumn("grams", features(words(F.col("text"))))
-    signs = [r["w"] for r in known.where("family <> 'unknown'").select(F.explode(words(F.col("text"))).alias("w")).distinct().where(~F.col("w").isin(STOP)).orderBy("w").collect()]
+def signs_of(known: DataFrame) -> list[str]:
+    """The words of the families' training paragraphs that are a sign of a licence."""
+    w = known.where("family <> 'unknown'").select(F.explode(words(F.col("text"))).alias("w"))
+    return [r["w"] for r in w.distinct().where(~F.col("w").isin(STOP)).orderBy("w").collect()]
+
+
+def negatives(rows: DataFrame, most: int = NEGATIVES) -> DataFrame:
+    """(family, fold, grams) of some rows (row, grams) without any n-gram of a template; the same rows at every run on the same table."""
+    n = rows.count()
+    mark = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
+    some = rows.where(mark < int(min(1.0, most / max(n, 1)) * (1 << 30))).select("row", "grams", (mark % 5).cast("int").alias("fold"))
+    like = some.select("row", F.explode("grams").alias("gram")).join(F.broadcast(templates(rows.sparkSession).select("gram")), "gram").select("row")
+    return some.join(like, "row", "left_anti").select(F.lit("unknown").alias("family"), "fold", "grams")
+
+
+@dataclass(frozen=True)
+class Model:
+    weights: DataFrame  # (gram, w): a weight for each family
+    families: list[str]
+    intercepts: list[float]
+    threshold: float  # the chance from which on a family is taken
+
+
+def trained(spark: SparkSession, signs: list[str], unknown: DataFrame | None = None) -> Model:
+    """Fitted to the examples and to unknown (family, fold, grams)."""
     sign = F.array(*[F.lit(s) for s in signs])
+    known = examples(spark).select("family", "fold", features(words(F.col("text"))).alias("grams"))
+    known = known if unknown is None else known.unionByName(unknown)
     known = known.withColumn("grams", F.filter("grams", lambda g: F.arrays_overlap(F.split(g, " "), sign)))
     families = sorted({*NAMES, "unknown"})
     labels = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    # some 1 200 short rows, a fixed table: one partition keeps the optimiser's many small jobs short
+    # some thousands of short rows, a bounded table: one partition keeps the optimiser's many small jobs short
     known = written(known.select("family", "fold", "grams", labels.cast("double").alias("label")).coalesce(1), "examples")
-    counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16).fit(known)
+    counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16, minDF=2).fit(known)
     model = LogisticRegression(regParam=2e-4, maxIter=60, family="multinomial", standardization=False).fit(counter.transform(known.where("fold <> 4")))
     weight = model.coefficientMatrix.toArray()
-    rows = [(g, f, float(weight[k, j])) for j, g in enumerate(counter.vocabulary) for k, f in enumerate(families) if abs(weight[k, j]) > 1e-3]
-    weights = spark.createDataFrame(rows, "gram string, family string, weight double")
-    intercepts = dict(zip(families, (float(x) for x in model.interceptVector), strict=True))
+    rows = [(g, [float(x) for x in weight[:, j]]) for j, g in enumerate(counter.vocabulary) if abs(weight[:, j]).max() > 1e-3]
+    fitted = Model(spark.createDataFrame(rows, "gram string, w array<double>"), families, [float(x) for x in model.interceptVector], 0.0)
     # the calibration fold: above all unknown paragraphs' best family, below nearly all right families
     left = known.where("fold = 4").select(F.monotonically_increasing_id().alias("row"), F.col("family").alias("truth"), "grams")
     left = written(left, "calibration")
-    chances = probabilities(left, weights, intercepts).join(left.select("row", "truth"), "row")
-    low = chances.where("truth = 'unknown' and family <> 'unknown'").agg(F.max("chance")).first()[0] or 0.0
-    high = chances.where("truth = family and truth <> 'unknown'").agg(F.percentile("chance", F.lit(0.05))).first()[0] or 1.0
-    return weights, intercepts, max(0.5, min((low + high) / 2, high)) if high > low else max(0.5, low), signs
+    chances = probabilities(left, fitted, "truth")
+    of = lambda family: F.element_at("chances", F.array_position(F.array(*[F.lit(f) for f in families]), family).cast("int"))
+    low = chances.where("truth = 'unknown'").agg(F.max(F.array_max(F.filter("chances", lambda c, i: i != families.index("unknown"))))).first()[0] or 0.0
+    high = chances.where("truth <> 'unknown'").agg(F.percentile(of(F.col("truth")), F.lit(0.05))).first()[0] or 1.0
+    return replace(fitted, threshold=max(0.5, min((low + high) / 2, high)) if high > low else max(0.5, low))
+
 
+def probabilities(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """(row, *keep, chances) of every row (row, grams, *keep): the softmax of the families' sums of weights.
 
-def probabilities(rows: DataFrame, weights: DataFrame, intercepts: dict[str, float]) -> DataFrame:
-    """(row, family, chance) of every row (row, grams): the softmax of the sums of weights."""
-    sums = rows.select("row", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy("row", "family").agg(F.sum("weight").alias("s"))
-    start = F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in intercepts]), F.array(*[F.lit(v) for v in intercepts.values()]))).alias("family", "b")
-    every = rows.select("row", start).join(sums, ["row", "family"], "left").withColumn("z", F.col("b") + F.coalesce("s", F.lit(0.0)))
-    total = every.groupBy("row").agg(F.sum(F.exp("z")).alias("total"))
-    return every.join(total, "row").select("row", "family", (F.exp("z") / F.col("total")).alias("chance"))
+    A row's n-grams lie together, so its sums are whole before they are shuffled.
+    """
+    each = rows.select("row", *keep, F.explode("grams").alias("gram")).join(F.broadcast(model.weights), "gram", "left")
+    sums = [F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(len(model.families))]
+    z = F.array(*[F.col(f"s{i}") + F.lit(b) for i, b in enumerate(model.intercepts)])
+    own = each.groupBy("row", *keep).agg(*sums).select("row", *keep, z.alias("z"))
+    e = own.select("row", *keep, F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
+    return e.select("row", *keep, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("chances"))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -107,15 +142,16 @@ def templates(spark: SparkSession) -> DataFrame:
 def licence_paragraphs(documents: DataFrame) -> DataFrame:
     """doc_id, paragraph (its place among the text's lines, from 0), family, chance and match of every confirmed paragraph."""
     spark = documents.sparkSession
-    weights, intercepts, threshold, signs = trained(spark)
+    signs = signs_of(examples(spark))
     sign = F.array(*[F.lit(s) for s in signs])
-    # whole texts are passed over by their words before they are cut into lines
-    rough = F.split(F.lower("text"), r"[\s\"'(),;:<>=/-]+")
-    texts = documents.select("doc_id", "text").where(F.arrays_overlap(F.transform(rough, lambda w: F.rtrim(w, F.lit("."))), sign))
+    # a text's words are those of its lines, so texts without any sign have no line with one
+    texts = documents.select("doc_id", "text").where(F.arrays_overlap(words(F.col("text")), sign))
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("w", words(F.col("line"))).where(F.arrays_overlap("w", sign))
-    rows = written(lines.select(F.monotonically_increasing_id().alias("row"), "doc_id", "paragraph", features(F.col("w")).alias("grams")), "paragraphs")
-    best = probabilities(rows.select("row", "grams"), weights, intercepts).groupBy("row").agg(F.max_by("family", F.struct("chance", "family")).alias("family"), F.max("chance").alias("chance"))
-    best = best.where((F.col("family") != "unknown") & (F.col("chance") >= threshold))
-    shared = rows.join(best, "row").select("row", "family", F.explode("grams").alias("gram")).join(F.broadcast(templates(spark)), ["gram", "family"])
+    rows = written(lines.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("paragraph").cast("long").alias("paragraph"), features(F.col("w")).alias("grams")), "paragraphs")
+    model = trained(spark, signs, negatives(rows))
+    best = probabilities(rows, model, "doc_id", "paragraph").withColumn("chance", F.array_max("chances"))
+    best = best.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in model.families]), F.array_position("chances", F.col("chance")).cast("int")))
+    best = written(best.where((F.col("family") != "unknown") & (F.col("chance") >= model.threshold)).select("row", "doc_id", "paragraph", "family", "chance"), "likely")
+    shared = rows.select("row", "grams").join(few(best.select("row", "family")), "row").select("row", "family", F.explode("grams").alias("gram")).join(F.broadcast(templates(spark)), ["gram", "family"])
     match = shared.groupBy("row", "template", "many").count().select("row", (F.col("count") / F.col("many")).alias("m")).groupBy("row").agg(F.max("m").alias("match"))
-    return rows.join(best, "row").join(match.where(F.col("match") >= CONFIRM), "row").select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("chance", 4).alias("chance"), F.round("match", 4).alias("match"))
+    return best.join(match.where(F.col("match") >= CONFIRM), "row").select("doc_id", "paragraph", "family", F.round("chance", 4).alias("chance"), F.round("match", 4).alias("match"))
