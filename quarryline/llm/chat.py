@@ -3,10 +3,13 @@
 Every speaker of a conversation but the system is a participant. For each of them the dialogue is rendered with that
 speaker as assistant and the others as named users; the mask holds the stretches of the text that
 the assistant says. Turns stand in order of their number, null last, then of speaker and text, so ties have one order;
-a repeated row is a turn of its own. A null or blank role is the speaker "unknown", a null text is empty. Marks of the format inside a text
-are broken up. A conversation of the system alone has no participant and no row; one of null id is a conversation
-like others. A dialogue comes in segments of 64 turn numbers, a segment of more rows in parts of 64: no group
-grows with a long conversation. An empty table gives an empty result.
+a repeated row is a turn of its own. A null or blank role is the speaker "unknown", "system" in any case of letters is the
+system, a null text is empty. Speakers are named by their roles. A role with other characters than letters, digits, _ and -
+has them as _ and eight digits of its hash behind a ~, so that no two roles get one name. Marks of the format inside a
+text are broken up. A conversation of the system alone has no participant and no row; one of null id is a conversation
+like others. A dialogue comes in segments of 64 turn numbers, a segment of more rows in parts of 64: no group grows with a
+long conversation. n_turns, n_chars and the mask's offsets are those of the row's own part. An empty table gives an empty
+result; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ SPAN = 64
 def perspectives(conversations: DataFrame, span: int = SPAN) -> DataFrame:
     """conv_id, segment, part, speaker, n_turns, text, n_chars and mask ("start:end" of the assistant's words, comma-joined)."""
     blank = F.trim(F.coalesce("role", F.lit("")))
-    name = F.when(blank == "", "unknown").otherwise(F.regexp_replace(blank, r"[^\p{L}\p{N}_-]+", "_"))
+    clean = F.regexp_replace(blank, r"[^\p{L}\p{N}_-]+", "_")
+    apart = F.when(clean == blank, clean).otherwise(F.concat(clean, F.lit("~"), F.left(F.md5(blank), F.lit(8))))
+    name = F.when(blank == "", "unknown").when(F.lower(blank) == "system", "system").otherwise(apart)
     turns = conversations.select(
         "conv_id", F.col("turn"), name.alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"),
         F.floor(F.col("turn") / span).alias("segment"),
@@ -28,8 +33,8 @@ def perspectives(conversations: DataFrame, span: int = SPAN) -> DataFrame:
     order = Window.partitionBy("conv_id", "segment").orderBy(F.col("turn").asc_nulls_last(), "speaker", "said")
     turns = turns.withColumn("place", F.row_number().over(order)).withColumn("part", F.floor((F.col("place") - 1) / span))
     rows = turns.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("place", "speaker", "said"))).alias("turns"))
-    people = conversations.select("conv_id", name.alias("view")).where("view <> 'system'").distinct()
-    joined = rows.join(people.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")))
+    people = conversations.select(F.col("conv_id").alias("id"), name.alias("view")).where("view <> 'system'").distinct()
+    joined = rows.join(people, F.col("conv_id").eqNullSafe(F.col("id")))
     head = lambda t: (
         F.when(t["speaker"] == "system", "<|im_start|>system\n").when(t["speaker"] == F.col("view"), "<|im_start|>assistant\n")
         .otherwise(F.concat(F.lit("<|im_start|>user name="), t["speaker"], F.lit("\n")))
@@ -51,9 +56,11 @@ def perspectives(conversations: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 ORACLE = r"""
-WITH t AS (
-  SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE regexp_replace(trim(role), '[^\p{L}\p{N}_-]+', '_', 'g') END AS speaker,
-         replace(coalesce(text, ''), '<|', '< |') AS said, CAST(floor(turn / 64.0) AS BIGINT) AS segment FROM conversations),
+WITH r AS (
+  SELECT conv_id, turn, text, trim(coalesce(role, '')) AS own, regexp_replace(trim(coalesce(role, '')), '[^\p{L}\p{N}_-]+', '_', 'g') AS clean FROM conversations),
+t AS (
+  SELECT conv_id, turn, CASE WHEN own = '' THEN 'unknown' WHEN lower(own) = 'system' THEN 'system' WHEN own = clean THEN own ELSE clean || '~' || left(md5(own), 8) END AS speaker,
+         replace(coalesce(text, ''), '<|', '< |') AS said, CAST(floor(turn / 64.0) AS BIGINT) AS segment FROM r),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS LAST, speaker, said) AS place FROM t),
 v AS (SELECT DISTINCT conv_id, speaker FROM t WHERE speaker <> 'system'),
 x AS (
