@@ -5,8 +5,9 @@ start that is never predicted. Tokens and pairs stand for themselves by 64-bit h
 hash arrays in the shared folder: pairs with their counts, tokens with their counts, their
 numbers of left neighbours and of right neighbours seen once, twice and more often. Workers
 map these files into memory; a batch's tokens are looked up in sorted order.
-Null and empty texts are one end. A null id isn't held out. Repeated rows count as often as they stand there.
-An untrained model gives every token the chance 1. Long texts are read whole.
+Null and empty texts are one end. A null id isn't held out. Repeated rows count as often as they stand there, and rows of
+equal texts get equal scores. An untrained model gives every token the chance 1. Long texts are read whole. An empty table
+gives an empty result; columns beside doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +26,18 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quarryline.llm import textkernel as K
-from quarryline.llm.common import bounded_batches, hash_sample, new_path
+from quarryline.llm.common import bounded_batches, new_path
 from quarryline.llm.ranking import held_out
 
 START, END = (np.uint64(x) for x in (0x53544152545F5F31, 0x454E445F5F5F5F31))
-#: Tokens that a shard of the pairs holds, about; and pairs that a task gathers before it sends them on.
-SHARD_TOKENS = 2_000_000
+#: Tokens that a shard of the pairs holds, about, and how many they may become before there are more than MOST_SHARDS shards.
+SHARD_TOKENS, LARGE_SHARD_TOKENS = 2_000_000, 16_000_000
+MOST_SHARDS = 4_096
+#: Pairs that a task gathers before it sends them on.
 GATHERED = 1_500_000
 #: Files that a worker has mapped at once; systems allow some 65 000 maps a process.
 MAPPED = 16_384
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 
 def tokens(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,9 +251,9 @@ def trained(documents: DataFrame) -> Model:
     spark = documents.sparkSession
     path = local(new_path(spark, "ngrams"))
     os.makedirs(path, exist_ok=True)
-    chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = max(3, int(chars // 6 // SHARD_TOKENS).bit_length())
-    layout = Layout(path, bits, _hot(documents, bits))
+    size = documents.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows")).first()
+    bits = shard_bits((size["chars"] or 0) // 6)
+    layout = Layout(path, bits, _hot(documents, bits, size["rows"]))
     word_bits = max(3, bits - 2)
     counted = documents.select("text").mapInArrow(_pair_counts(layout), BLOBS)
     pairs = counted.groupBy("shard").applyInArrow(_pairs_merged(layout, word_bits), BLOBS)
@@ -259,7 +262,13 @@ def trained(documents: DataFrame) -> Model:
     return Model(layout, word_bits, {k: v or 0 for k, v in total.items()})
 
 
-def _hot(documents: DataFrame, bits: int, rows: int = 2_000) -> tuple[int, ...]:
+def shard_bits(tokens: int) -> int:
+    """The shards' number as a power of two: small shards up to MOST_SHARDS, then as many large ones, then more of them."""
+    few, more = (int(tokens // n).bit_length() for n in (SHARD_TOKENS, LARGE_SHARD_TOKENS))
+    return max(3, min(few, MOST_SHARDS.bit_length() - 1), more)
+
+
+def _hot(documents: DataFrame, bits: int, n: int, rows: int = 2_000) -> tuple[int, ...]:
     """Tokens that many pairs begin with, by a sample: they decide only how pairs are dealt, not what is counted."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +277,8 @@ def _hot(documents: DataFrame, bits: int, rows: int = 2_000) -> tuple[int, ...]:
                 h, n = np.unique(tokens(w)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    sample = hash_sample(documents.select("doc_id", "text"), rows, "doc_id").select("text")
-    found = sample.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, rows / max(n, 1)) * (1 << 30))
+    found = documents.where(part).select("text").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     most = found.orderBy(F.desc("n"), "h").limit(4 << bits).collect()
     total = sum(r["n"] for r in most)
     return tuple(sorted(int(np.int64(r["h"]).view(np.uint64)) for r in most if r["n"] * (4 << bits) > total))
