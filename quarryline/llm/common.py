@@ -38,12 +38,17 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def hash_sample(df: DataFrame, most: int, *columns: str, seed: int = 11) -> DataFrame:
-    """At most `most` rows of df, those with the least hashes of the columns: the same rows at every run.
+    """A sample of some `most` rows of df, as distinct rows of the columns with the number of their copies: the same at every run.
 
-    Rows of large hashes go before any sorting, so no more than about 1.5 * most rows are sorted or sent anywhere.
+    Every row is drawn with the same chance, and equal rows one by one: of c equal rows floor(c * chance) are taken, and one
+    more if their hash says so. So a row that makes up nearly all of the table makes up as much of the sample. A table
+    of `most` rows or fewer is taken whole; of one with rows, one copy is taken at least.
     """
-    mark = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30))
+    groups = df.groupBy(*columns).agg(F.count("*").alias("copies"))
     n = df.count()
-    if n > 2 * most:
-        df = df.where(mark < int(1.5 * most / n * (1 << 30)))
-    return df.orderBy(mark, *columns).limit(most)
+    if n <= most:
+        return groups
+    due = F.col("copies") * F.lit(most / n)
+    unit = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    taken = (F.floor(due) + (unit < due - F.floor(due)).cast("long")).cast("long")
+    return groups.withColumn("copies", taken).where("copies > 0")

@@ -275,19 +275,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of documents, as they are, without all but one row of each class."""
+    """The rows of documents, as they are, without all but one row of each class.
+
+    Of rows that repeat both the id and the text of the class's first row, the one of the least values in the other
+    columns stays, compared as JSON.
+    """
     rows, named = _classes(documents)
     placed = rows.where("node is not null").join(named, "node")
     is_best = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("hash") == F.col("class_hash"))
-    gone = placed.where(~is_best).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (_text_hash() == F.col("_hash"))
+    # names that no column of documents has, so that nothing is ambiguous
+    id_, hash_, key = (fresh(documents, name) for name in ("_id", "_hash", "_key"))
+    gone = placed.where(~is_best).select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (_text_hash() == F.col(hash_))
     left = documents.join(few(written(gone, "gone")), same, "left_anti")
-    again = placed.where(is_best).groupBy("doc_id", "hash").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    again = placed.where(is_best).groupBy("doc_id", "hash").count().where("count > 1").select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_))
     again = written(again, "again")
     if again.isEmpty():
         return left
-    # rows that repeat both the id and the text: one of each stays
-    number = fresh(left, "number")
-    twice = left.join(few(again), same, "left_semi")
-    first = twice.groupBy("doc_id", "text").agg(*[F.first(c).alias(c) for c in left.columns if c not in ("doc_id", "text")])
-    return left.join(few(again), same, "left_anti").unionByName(first.select(*left.columns).drop(number))
+    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in left.columns]
+    twice = left.join(few(again), same, "left_semi").select(F.struct(*quoted).alias(key))
+    first = twice.groupBy(F.col(key)["doc_id"].alias(id_), F.xxhash64(F.coalesce(F.col(key)["text"], F.lit(""))).alias(hash_)).agg(F.min_by(key, F.to_json(key)).alias(key))
+    return left.join(few(again), same, "left_anti").unionAll(first.select(f"{key}.*"))

@@ -4,7 +4,8 @@ A document's strength is a weighted sum of features of its text alone; the chanc
 quality 1 is preferred to one of quality 0 is the logistic function of the difference
 of their strengths. Null and empty texts have all-zero counts and get the score of such a text.
 Labels of null, or for ids that aren't there, are left out, of contradicting labels of an id the lower one holds. With no
-pair to learn from, every score is 0.5. Texts are read whole; repeated rows get equal scores.
+pair to learn from, every score is 0.5. Texts are read whole; repeated rows get equal scores, and so do ties. An empty
+table gives an empty result; columns beside doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql.functions import arrow_udf
 from quarryline.llm import rules
 from quarryline.llm.common import bounded_batches, hash_sample, written
 
-#: Labelled rows that the ranking is fitted on at most; they are the least by hash of their counts.
+#: Labelled rows that the ranking is fitted on, about; they are drawn by the hash of their counts, copies in proportion.
 FIT_ROWS = 40_000
+#: Random preference pairs of those rows that the weights minimise the loss over.
 PAIRS = 200_000
 #: A score of this or more predicts label 1.
 CUT = 0.7
@@ -97,11 +99,12 @@ def held_out(doc_id: Column, folds: int = 4) -> Column:
 def fitted(stats: DataFrame, labels: DataFrame) -> Ranking:
     """Learned from the labelled rows of (doc_id, stats) that aren't held out.
 
-    The weights come from FIT_ROWS of them at most. The threshold is the quantile of all their strengths
+    The weights come from PAIRS pairs of some FIT_ROWS of them. The threshold is the quantile of all their strengths
     at the share of label 0, halfway between the strengths just below and above it.
     """
     known = stats.where(~held_out(F.col("doc_id"))).join(rules.one_label(labels, "quality"), "doc_id").select("stats.*", "quality")
     sample = hash_sample(known, FIT_ROWS, *rules.COUNTS, "quality").toPandas()
+    sample = sample.loc[np.repeat(np.arange(len(sample)), sample["copies"].to_numpy(np.int64))]
     model = learned(sample[rules.COUNTS].to_numpy(np.int64), sample["quality"].to_numpy(np.int64))
     if not model.weight.any():
         return model

@@ -234,15 +234,16 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
 def fitted(stats: DataFrame, labels: DataFrame, trees: int = 100, rows: int = 256, most_lost: float = 0.001, bins: int = 4096) -> Detector:
     """The forests of a table (doc_id, stats) and their thresholds.
 
-    They grow from trees * rows documents at most, those that pass the base rules and have the least
-    hashes of their statistics: the method's own subsampling. The thresholds cover all labelled
+    They grow from some trees * rows of the documents that pass the base rules, drawn by the hashes of their
+    statistics with all copies in proportion: the method's own subsampling. The thresholds cover all labelled
     documents: by a histogram of each forest's scores, the threshold with the most quality-0 documents above
     it less ten times the quality-1 documents above it, of those that lose at most most_lost of
     quality 1, or two documents. Without labels of both kinds nothing is rejected beyond the base rules.
     """
     kept = stats.where(~base_failed(F.col("stats")))
     sample = hash_sample(kept.select("stats.*"), trees * rows, *COUNTS).toPandas()
-    x = features(sample[COUNTS].to_numpy(np.int64) if len(sample) else np.zeros((1, len(COUNTS)), dtype=np.int64))
+    counts = np.repeat(sample[COUNTS].to_numpy(np.int64), sample["copies"].to_numpy(np.int64), axis=0)
+    x = features(counts if len(counts) else np.zeros((1, len(COUNTS)), dtype=np.int64))
     groups = [*[(i,) for i in range(x.shape[1])], tuple(range(x.shape[1]))]
     forests = tuple((g, grown(x[:, list(g)], trees if len(g) > 1 else trees // 4, rows, seed=7 + k)) for k, g in enumerate(groups))
     detector = Detector(forests, (np.inf,) * len(forests))

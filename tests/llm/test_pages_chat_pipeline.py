@@ -115,6 +115,15 @@ def test_perspectives(spark):
     assert chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_speakers_of_clashing_names_stay_apart(spark):
+    rows = [(1, 0, "System", "be kind"), (1, 1, "ann a", "x"), (1, 2, "ann_a", "y"), (1, 3, "ann#a", "z"), (1, 4, " ann_a ", "w")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS speaker", "2 AS view", "3 AS id", "4 AS pieces", "5 AS part")
+    got = {r["speaker"]: r for r in chat.perspectives(df).collect()}
+    assert len(got) == 3 and "ann_a" in got and all(s == "ann_a" or s.startswith("ann_a~") for s in got)
+    assert [r["text"][int(a) : int(b)] for r in (got["ann_a"],) for a, b in (m.split(":") for m in r["mask"].split(","))] == ["y", "w"]
+    assert sorted(r["mask"].count(":") for r in got.values()) == [1, 1, 2] and all(r["text"].startswith("<|im_start|>system") for r in got.values())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     n = docs.count()

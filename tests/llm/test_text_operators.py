@@ -12,8 +12,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, licenses, mixing, neardup, ngram_lm, pii, ranking, rules
+from quarryline.llm import common, decontaminate, licenses, mixing, neardup, ngram_lm, pii, ranking, rules
 from quarryline.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -192,9 +193,9 @@ def test_leaks_found_within_the_edit_budget(spark):
     docs = spark.createDataFrame([(1, f"before {item} after"), (2, f"x\n\n {near}\ny"), (3, far), (4, None), (5, ""), (6, "short item")], "doc_id long, text string")
     bench = spark.createDataFrame([(10, item), (11, None), (12, "short item"), (13, item)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["edits"]) for r in decontaminate.leaks(docs, bench).collect()}
-    assert set(got) == {(1, 10), (1, 13), (2, 10), (2, 13)}
-    assert got[1, 10] == (7, 7 + len(item), 0) and got[2, 10][2] == 3
-    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, bench).orderBy("doc_id").collect()] == [3, 4, 5, 6]
+    assert set(got) == {(1, 10), (1, 13), (2, 10), (2, 13), (6, 12)}  # no length of an item is passed over
+    assert got[1, 10] == (7, 7 + len(item), 0) and got[2, 10][2] == 3 and got[6, 12] == (0, 10, 0)
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, bench).orderBy("doc_id").collect()] == [3, 4, 5]
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
     # one block for each item or two gives the same
     small = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, block=60).collect()}
@@ -231,6 +232,49 @@ def test_leaks_equal_brute_force():
     assert got == want
 
 
+@given(
+    st.lists(st.text(alphabet="abПжΣς \u00a0", min_size=1, max_size=19), min_size=1, max_size=4), st.lists(st.text(alphabet="abAПпЖΣσς \n\u2003", max_size=80), max_size=5), st.booleans(),
+)
+@settings(max_examples=200, deadline=None)
+def test_items_under_twenty_characters_match_exactly(items, texts, planted):
+    if planted:
+        texts = [*texts, f"ab {items[0].upper()} ba"]
+    fold = lambda s: " ".join("".join(c.casefold() for c in s).split())
+    got = {(t, i) for t, i, *_ in decontaminate.Index(items).matches(texts)}
+    assert got == {(t, i) for t, x in enumerate(texts) for i, y in enumerate(items) if fold(y) and fold(y) in fold(x)}
+
+
+def test_sample_takes_copies_in_proportion(spark):
+    df = spark.range(20_000).selectExpr("CASE WHEN id < 19000 THEN -1 ELSE id END AS v", "cast(null AS string) AS w")
+    got = {r["v"]: r["copies"] for r in common.hash_sample(df, 1_000, "v", "w").collect()}
+    assert got[-1] == 950 and 20 <= sum(got.values()) - 950 <= 85
+    assert {r["v"]: r["copies"] for r in common.hash_sample(df, 1_000, "v", "w").collect()} == got
+    assert common.hash_sample(df.where("v < 0"), 1_000, "v").first()["copies"] == 1_000
+    assert common.hash_sample(df.limit(0), 10, "v").count() == 0 and common.hash_sample(df, 50_000, "v").agg({"copies": "sum"}).first()[0] == 20_000
+
+
+def test_rules_and_ranking_of_a_table_that_is_nearly_one_row(spark):
+    rows = [(i, " ".join(f"word{i % 60}x{k}" for k in range(80)) + ("." if i % 2 else " ###" * 40)) for i in range(60)]
+    rows = [(1000 + i, rows[1][1]) for i in range(1200)] + rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1000 + i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    r = rules.quality_rules(docs, marks).toPandas().set_index("doc_id")
+    assert r.loc[list(range(1000, 2200))].kept.all() and r.anomaly.nunique() > 1
+    s = ranking.quality_scores(docs, marks).toPandas().set_index("doc_id")
+    assert s.loc[[i for i in range(60) if i % 2]].score.min() > s.loc[[i for i in range(60) if not i % 2]].score.max()
+
+
+def test_keep_one_with_clashing_and_few_columns(spark):
+    t = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, t, "b", 2), (1, t, "a", 9), (1, t, "b", 2), (2, t, "c", 1), (3, "other words here", "d", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _hash int").withColumnRenamed("_hash", "a.b").withColumn("_HASH", F.lit(1)).withColumn("_key", F.lit("k"))
+    for _ in range(2):  # the same row stays at every run
+        kept = neardup.keep_one(docs)
+        assert kept.columns == docs.columns and sorted((r["doc_id"], r["_id"], r["a.b"]) for r in kept.collect()) == [(1, "a", 9), (3, "d", 1)]
+    two = neardup.keep_one(docs.select("doc_id", "text"))
+    assert two.columns == ["doc_id", "text"] and sorted(r["doc_id"] for r in two.collect()) == [1, 3]
+
+
 def pii_base(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -335,6 +379,27 @@ def test_licence_paragraphs(spark, odd):
     assert licenses.licence_paragraphs(odd.limit(0)).count() == 0
 
 
+def test_licences_in_marks_are_found_whatever_the_other_lines_say(spark):
+    lines = ["Some words and [MIT License]", "*Apache License 2.0*", "{BSD-3-Clause}!", "_GPLv3_", "# LGPL-2.1 | text", "?Mozilla Public License?"]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(10 + i, f"license words here\n{x}") for i, x in enumerate(lines)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(c) for c in ("row", "paragraph", "family", "gram", "chance", "w")])
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in licenses.licence_paragraphs(clash).collect()}
+    want = ["mit", "apache-2.0", "bsd", "gpl", "lgpl", "mpl-2.0"]
+    assert got == {(i, 0): f for i, f in enumerate(want)} | {(10 + i, 1): f for i, f in enumerate(want)}
+
+
+def test_licence_chances_are_the_softmax(spark, docs):
+    signs = licenses.signs_of(licenses.examples(spark))
+    model = licenses.trained(spark, signs)
+    weight = {r["gram"]: r["w"] for r in model.weights.collect()}
+    lines = docs.selectExpr("doc_id", "posexplode(split(text, '\n')) AS (paragraph, line)").withColumn("grams", licenses.features(licenses.words(F.col("line"))))
+    rows = lines.select(F.concat_ws("-", "doc_id", "paragraph").alias("row"), "grams").where("size(grams) > 0")
+    for r in licenses.probabilities(rows.join(licenses.probabilities(rows, model), "row"), model, "grams").collect():
+        z = [b + sum(weight[g][k] for g in r["grams"] if g in weight) for k, b in enumerate(model.intercepts)]
+        e = [math.exp(x - max(z)) for x in z]
+        assert all(math.isclose(a, b / sum(e), rel_tol=1e-9, abs_tol=1e-12) for a, b in zip(r["chances"], e, strict=True))
+
+
 def test_licences_of_the_documents(spark, docs, texts):
     found = {(r["doc_id"], r["paragraph"]) for r in licenses.licence_paragraphs(docs).collect()}
     assert found == {(i, k) for i, t in texts.items() for k, line in enumerate(t.split("\n")) if re.search(r"(?i)licensed? under|license\.$|public license", line)}
