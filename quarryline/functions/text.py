@@ -10,6 +10,11 @@ INDEX_STOP = "the and for that with from this are was were you your into what wh
 KEYWORD_STOP = "el la los las un una y o que de en es a al del con por para este ese eso como pero".split()
 SCOUT_STOP = "el la los las un una y o que de en es a al del con por para como pero cual cuál the and for are with this".split()
 
+FUNCTION_WORDS = (
+    "a an the this that these those of in on at to from by for with without about into over under between and or but nor so yet as is are was were be been being it its they them their his her our your "
+    "my we you he she i not no if then than un una el la los las de en por para con sin sobre entre y o pero como es son era eran ser este esa eso estos esas su sus mi tu nuestro se lo le les del al que"
+).split()
+
 
 def literals(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -30,10 +35,30 @@ def upper_tokens_text(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(s), r"[^\p{L}\p{Nd}_]+", " "))
 
 
+def words(s: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{Nd}]+"), 0)
+
+
 def tokens(s: Column) -> Column:
-    """All index terms of a text: words of three characters or more that aren't stop words, distinct and sorted."""
-    words = F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{Nd}]+"), 0)
-    return F.array_sort(F.array_except(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3)), literals(INDEX_STOP)))
+    """All index terms of a text, distinct: words of three characters or more that aren't stop words."""
+    return F.array_except(F.filter(words(s), lambda w: F.length(w) >= 3), literals(INDEX_STOP))
+
+
+def model_family(model: Column) -> Column:
+    """DEEPSEEK, QWEN, LIQUID_AI or UNKNOWN, by what an id contains."""
+    m = F.lower(F.trim(model))
+    has = lambda *names: F.coalesce(m.rlike("|".join(names)), F.lit(False))
+    return F.when(has("deepseek"), "DEEPSEEK").when(has("qwen"), "QWEN").when(has("liquid", "lfm"), "LIQUID_AI").otherwise("UNKNOWN")
+
+
+def transport_condition(raw: Column, compatibility: Column) -> Column:
+    """How a model was reached: by names of the direct and the mediated way; without a name directly if a compatibility is known; other names stay."""
+    v, known = F.upper(F.trim(F.coalesce(raw, F.lit("")))), F.trim(F.coalesce(compatibility, F.lit(""))) != ""
+    return (
+        F.when(v.isin("", "AUTO"), F.when(known, "DIRECT_IMAGE_API").otherwise("UNKNOWN")).when(v.isin("DIRECT", "DIRECT_IMAGE", "DIRECT_IMAGE_API", "NATIVE_API"), "DIRECT_IMAGE_API")
+        .when(v.isin("PLATFORM", "PLATFORM_MEDIATED", "WEB", "APP"), "PLATFORM_MEDIATED").otherwise(v)
+    )
 
 
 def has_tokens(s: Column, need: list[str]) -> Column:
@@ -140,10 +165,14 @@ def block_kind(s: Column) -> Column:
     )
 
 
-def trigrams(s: Column) -> Column:
-    """Distinct runs of three lower-case words."""
-    w = F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{Nd}]+"), 0)
+def triples(w: Column) -> Column:
+    """All runs of three words of an array, in order."""
     rest = lambda n: F.slice(w, F.lit(n), F.greatest(F.size(w), F.lit(1)))
     # three copies of the words, each one word on: every word is taken out of the text once a copy
     runs = F.transform(F.arrays_zip(w.alias("a"), rest(2).alias("b"), rest(3).alias("c")), lambda x: F.when(x["c"].isNotNull(), F.concat_ws(" ", x["a"], x["b"], x["c"])))
-    return F.array_distinct(F.filter(runs, lambda x: x.isNotNull()))
+    return F.filter(runs, lambda x: x.isNotNull())
+
+
+def trigrams(s: Column) -> Column:
+    """Distinct runs of three lower-case words."""
+    return F.array_distinct(triples(words(s)))

@@ -51,15 +51,12 @@ def fused_single(claims: DataFrame) -> DataFrame:
 
 
 def decisions(claims: DataFrame) -> DataFrame:
-    """(candidate_id, decision): rejected, in conflict, and of a merged group the first accepted and the rest merged."""
+    """(candidate_id, decision): rejected, in conflict, and of a merged group the first accepted and the rest merged; rows of one id share its decision."""
     judged = reject_reason(claims)
-    groups = Window.partitionBy("s", "p", "o")
-    rows = keyed(judged.where("reason IS NULL")).withColumns({
-        "clash": F.max(F.col("polarity").cast("int")).over(groups) != F.min(F.col("polarity").cast("int")).over(groups),
-        "n": F.row_number().over(groups.orderBy("candidate_id")),
-    })
-    kind = F.when(F.col("clash"), "CONFLICT").when(F.col("n") == 1, "ACCEPTED").otherwise("MERGED")
-    return rows.select("candidate_id", kind.alias("decision")).unionAll(judged.where("reason IS NOT NULL").select("candidate_id", F.lit("REJECTED").alias("decision")))
+    rows = keyed(judged.where("reason IS NULL"))
+    groups = rows.groupBy("s", "p", "o").agg((F.bool_or("polarity") & F.bool_or(~F.col("polarity"))).alias("clash"), F.min("candidate_id").alias("first_id"))
+    kind = F.when(F.col("clash"), "CONFLICT").when(F.col("candidate_id") == F.col("first_id"), "ACCEPTED").otherwise("MERGED")
+    return rows.join(groups, ["s", "p", "o"]).select("candidate_id", kind.alias("decision")).unionAll(judged.where("reason IS NOT NULL").select("candidate_id", F.lit("REJECTED").alias("decision")))
 
 
 def metrics(decided: DataFrame) -> DataFrame:
@@ -70,11 +67,10 @@ def metrics(decided: DataFrame) -> DataFrame:
 
 
 def verification_plan(claims: DataFrame) -> DataFrame:
-    """(s, p, o, candidates, addresses) of each conflict: what to read again to settle it."""
-    return (
-        keyed(claims).groupBy("s", "p", "o").agg(F.bool_or("polarity").alias("yes"), F.bool_or(~F.col("polarity")).alias("no"), F.collect_set("candidate_id").alias("c"), F.collect_set("address").alias("a"))
-        .where("yes AND no").select("s", "p", "o", F.array_join(F.array_sort("c"), ",").alias("candidates"), F.array_join(F.array_sort("a"), ",").alias("addresses"))
-    )
+    """(s, p, o, candidate_id, address) of each conflict's candidates: what to read again to settle it, a row each."""
+    own = keyed(claims)
+    clash = own.groupBy("s", "p", "o").agg(F.bool_or("polarity").alias("yes"), F.bool_or(~F.col("polarity")).alias("no")).where("yes AND no")
+    return own.join(clash, ["s", "p", "o"], "left_semi").select("s", "p", "o", "candidate_id", "address").distinct()
 
 
 def majority(votes: DataFrame, key: str, value: str, valid: str) -> DataFrame:

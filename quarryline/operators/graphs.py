@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.sources.shared import written
@@ -17,33 +17,82 @@ def plan_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return twice.unionAll(unknown).unionAll(quorum).distinct()
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(node, level): a node's level is one above its highest dependency; nodes on a cycle, and those behind it, have none.
+class Cyclic(ValueError):
+    """A plan has nodes on a cycle."""
 
-    Each round takes off the nodes without open dependencies; the state is written out, so the lineage stays short.
+
+class MissingProducer(ValueError):
+    """A goal needs something that nothing gives."""
+
+
+def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level, finish) of nodes (node, cost): round by round those without open dependencies; nodes on a cycle, and those behind it, are never reached.
+
+    The state is one row for each node that is left: how many dependencies are open, and the latest finish of those that are done. It is
+    written out every round, so the lineage stays short. Every round takes off a node at least, so the rounds end without a bound.
     """
-    left, edges = nodes.select("node").distinct(), edges.select("src", "dst").distinct()
-    out = None
-    for level in range(most):
-        ready = written(left.join(edges, left["node"] == edges["dst"], "left_anti").select("node", F.lit(level).cast("long").alias("level")), "graph")
-        if ready.isEmpty():
-            break
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    open_ = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open"))
+    cost = nodes.groupBy("node").agg(F.max("cost").alias("cost"))
+    left = written(cost.join(open_, "node", "left").select("node", "cost", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("long").alias("before")), "graph")
+    out, level = None, 0
+    while True:
+        ready = left.where("open = 0").select("node", F.lit(level).cast("long").alias("level"), (F.col("cost") + F.col("before")).alias("finish"))
+        ready = written(ready, "graph")
         out = ready if out is None else out.unionAll(ready)
-        left = written(left.join(ready, "node", "left_anti"), "graph")
-        edges = written(edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti"), "graph")
-    return out if out is not None else nodes.select("node", F.lit(0).cast("long").alias("level")).limit(0)
+        if ready.isEmpty():
+            return out
+        done = edges.join(ready.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("done"), F.max("finish").alias("latest"))
+        left = left.where("open > 0").join(done, "node", "left").select(
+            "node", "cost", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open"), F.greatest("before", F.coalesce("latest", F.lit(0)).cast("long")).alias("before"),
+        )
+        left, level = written(left, "graph"), level + 1
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): a node's level is one above its highest dependency; nodes on a cycle, and those behind it, have none."""
+    return _peeled(nodes.select("node", F.lit(0).cast("long").alias("cost")), edges).select("node", "level")
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, finish): the longest chain of costs that ends in each node, relaxed round by round until nothing grows."""
-    cost = nodes.select("node", "cost")
-    now = written(cost.withColumnRenamed("cost", "finish"), "graph")
-    while True:
-        via = edges.join(now.select(F.col("node").alias("src"), F.col("finish").alias("before")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("before").alias("before"))
-        new = written(cost.join(via, "node", "left").select("node", (F.col("cost") + F.coalesce("before", F.lit(0))).alias("finish")), "graph")
-        if new.join(now.withColumnRenamed("finish", "old"), "node").where("finish <> old").isEmpty():
-            return new
-        now = new
+    """(node, finish): the longest chain of costs that ends in each node; a plan with a cycle has none and raises."""
+    done = _peeled(nodes.select("node", F.col("cost").cast("long").alias("cost")), edges)
+    if done.count() < nodes.select("node").distinct().count():
+        raise Cyclic("the plan has a cycle, so its chains have no end")
+    return done.select("node", "finish")
+
+
+def resolved(goals: DataFrame, needs: DataFrame, producers: DataFrame, available: DataFrame | None = None) -> DataFrame:
+    """(goal, worker, depth): the workers that goals (goal, product) take, by chaining backwards, each at its least depth.
+
+    producers is (product, worker, rank): of a product's producers the one of least rank is taken, ties by name. needs is (worker, product). What is
+    `available` (product) needs no producer. Rounds go over distinct workers until nothing is new. A product that nobody gives,
+    and workers that need each other, raise.
+    """
+    best = producers.groupBy("product").agg(F.min(F.struct("rank", "worker")).alias("b")).select("product", F.col("b.worker").alias("worker"))
+    open_ = needs if available is None else needs.join(available.select("product").distinct(), "product", "left_anti")
+    # the links that any goal may follow, worked out once
+    links = written(open_.join(best.withColumnRenamed("worker", "by"), "product", "left").select("worker", "product", "by"), "links")
+
+    first = goals.join(best.withColumnRenamed("worker", "by"), "product", "left")
+    lost = first.where("by IS NULL").select("product").first()
+    edge = written(first.select("goal", F.col("by").alias("worker"), F.lit(0).cast("long").alias("depth")).distinct(), "chain")
+    gaps = links.where("by IS NULL")  # only workers that a goal comes to miss anything
+    some = not gaps.isEmpty()
+    seen, depth = edge, 0
+    while not lost and not edge.isEmpty():
+        lost = gaps.join(edge, "worker", "left_semi").select("product").first() if some else None
+        depth += 1
+        step = edge.join(links, "worker").select("goal", F.col("by").alias("worker")).distinct()
+        edge = written(step.join(seen.select("goal", "worker"), ["goal", "worker"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "chain")
+        seen = seen.unionAll(edge)
+    if lost:
+        raise MissingProducer(f"nothing produces {lost['product']}")
+    used = written(seen.select("worker").distinct(), "chain")
+    among = links.join(used, "worker", "left_semi").select(F.col("by").alias("src"), F.col("worker").alias("dst"))
+    if levels(used.withColumnRenamed("worker", "node"), among).count() < used.count():
+        raise Cyclic("workers need each other")
+    return seen
 
 
 def barriers(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -57,12 +106,19 @@ def barriers(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame
     return j.select("node", state.alias("state"))
 
 
+def _digest(parts: str) -> Column:
+    """A hash of all rows of a group, in whatever order: their number and two sums of words of their SHA-256, so that no group is gathered."""
+    h = F.sha2(parts, 256)
+    word = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)"))
+    return F.sha2(F.concat_ws(":", F.count(parts).cast("string"), word(1).cast("string"), word(17).cast("string")), 256)
+
+
 def topology_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(plan, shape): SHA-256 of the plan with its names, and of the in-degrees and kinds alone."""
-    e = edges.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "src", "dst"))), ",").alias("e"))
+    """(plan, edges, shape) of nodes (plan, node, join_kind) and edges (plan, src, dst): a hash of each plan with its names, and of its in-degrees and kinds alone."""
+    named = edges.select("plan", F.concat_ws(">", "src", "dst").alias("e")).groupBy("plan").agg(_digest("e").alias("edges"))
     deg = nodes.join(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("d")), "node", "left")
-    shape = deg.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.coalesce("d", F.lit(0)).cast("string"), "join_kind"))), ",").alias("s"))
-    return e.crossJoin(shape).select(F.sha2("e", 256).alias("plan"), F.sha2("s", 256).alias("shape"))
+    shape = deg.select("plan", F.concat_ws(":", F.coalesce("d", F.lit(0)).cast("string"), "join_kind").alias("s")).groupBy("plan").agg(_digest("s").alias("shape"))
+    return shape.join(named, "plan", "left").select("plan", "edges", "shape")
 
 
 class ConflictingWrites(ValueError):
@@ -83,10 +139,11 @@ def rule_fixpoint(cells: DataFrame, rules: DataFrame, requires: DataFrame, most:
         need = requires.groupBy("rule").agg(F.count("*").alias("need"))
         fires = rules.join(need, "rule", "left").join(met, "rule", "left").where(F.coalesce("need", F.lit(0)) == F.coalesce("met", F.lit(0)))
         fires = fires.join(now.select(F.col("cell").alias("target"), F.col("state").alias("from_state")), ["target", "from_state"])
-        writes = written(fires.groupBy(F.col("target").alias("cell")).agg(F.count_distinct("to_state").alias("kinds"), F.min("to_state").alias("to_state")), "graph")
-        if writes.isEmpty():
+        writes = written(fires.groupBy(F.col("target").alias("cell")).agg(F.min("to_state").alias("to_state"), F.max("to_state").alias("other")), "graph")
+        found = writes.agg(F.count("*").alias("n"), F.count_if(F.col("to_state") != F.col("other")).alias("clashes")).first()
+        if not found["n"]:
             return now
-        if not writes.where("kinds > 1").isEmpty():
+        if found["clashes"]:
             raise ConflictingWrites("two rules write different states to one cell")
         now = written(now.join(writes.select("cell", "to_state"), "cell", "left").select("cell", F.coalesce("to_state", "state").alias("state")), "graph")
     raise ValueError(f"no fixpoint within {most} steps")

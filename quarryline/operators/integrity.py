@@ -113,7 +113,7 @@ def put_counts(stored: DataFrame, incoming: DataFrame, key: str = "event_id") ->
 
 def collisions(objects: DataFrame, cid: str = "cid", data: str = "data") -> DataFrame:
     """Content ids that stand for different data."""
-    return objects.groupBy(cid).agg(F.count_distinct(data).alias("kinds"), F.count("*").alias("n")).where("kinds > 1")
+    return objects.groupBy(cid).agg(F.count_distinct(F.sha2(data, 256)).alias("kinds"), F.count("*").alias("n")).where("kinds > 1")
 
 
 def audit(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
@@ -127,7 +127,7 @@ def audit(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
 def upserted(old: DataFrame, seen: DataFrame) -> DataFrame:
     """A registry (fingerprint, success_count, first_seen, last_seen, evidence) with newly seen rows added up."""
     rows = old.unionByName(seen)
-    return rows.groupBy("fingerprint").agg(
-        F.sum("success_count").cast("long").alias("success_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"),
-    )
+    sums = rows.groupBy("fingerprint").agg(F.sum("success_count").cast("long").alias("success_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    # distinct items meet before they are listed
+    items = rows.select("fingerprint", F.explode("evidence").alias("item")).distinct().groupBy("fingerprint").agg(F.array_sort(F.collect_list("item")).alias("evidence"))
+    return sums.join(items, "fingerprint", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(old.schema["evidence"].dataType)))

@@ -5,24 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.numeric import ratio
+from quarryline.functions.numeric import clamp, ratio
 from quarryline.operators.ordering import placed
 
 # What a failure code suggests to work on, and which kinds of change suit a target, best first.
 CODE_TARGET = {
     "NO_VISUAL_SIGNAL": "VISUAL_SIGNAL", "BOOT_NOT_FOUND": "BOOT", "ROSETTA_NOT_FOUND": "ROSETTA", "CODEC_NOT_FOUND": "CODEC_REGISTRY",
     "CAPABILITY_MISMATCH": "CAPABILITY_FALLBACK", "T2_NOT_FOUND": "T2_NAVIGATION", "SEMANTIC_EVIDENCE_INSUFFICIENT": "SEMANTIC_LAYOUT",
-    "TEMPORAL_RULE_AMBIGUOUS": "TEMPORAL_GRAMMAR", "TEMPORAL_EXECUTION_INCOMPLETE": "EXECUTION_POLICY_COMPLIANCE", "CHECKPOINT_NOT_FOUND": "TEMPORAL_ROUTING",
-    "CELL_IDENTITY_CONFUSION": "CELL_IDENTITY_ENCODING", "UNSUPPORTED_OPERATION": "CAPABILITY_PROFILE",
+    "TEMPORAL_RULE_AMBIGUOUS": "TEMPORAL_GRAMMAR", "TEMPORAL_EXECUTION_INCOMPLETE": "EXECUTION_POLICY_COMPLIANCE",
+    "RULE_FIRING_PRECONDITION_VIOLATION": "SYNCHRONOUS_EXECUTION_FIDELITY", "EXECUTION_SEMANTICS_CONTRADICTION": "SYNCHRONOUS_EXECUTION_FIDELITY",
+    "CROSS_MODEL_EXECUTION_FIDELITY_FAILED": "SYNCHRONOUS_EXECUTION_FIDELITY", "CELL_IDENTITY_CONFUSION": "CELL_IDENTITY_ENCODING",
+    "FROM_STATE_PRECONDITION_CONFUSION": "FROM_STATE_PRECONDITION_VISIBILITY", "CONDITION_TARGET_BINDING_CONFUSION": "RULE_ROLE_BINDING",
+    "CHECKPOINT_NOT_FOUND": "TEMPORAL_ROUTING", "ARTIFACT_GENERATION_REGRESSION": "SEMANTIC_PARITY_GATE", "UNAUTHORIZED_SEMANTIC_DRIFT": "SEMANTIC_PARITY_GATE",
+    "UNSUPPORTED_OPERATION": "CAPABILITY_PROFILE",
 }
 STAGE_TARGET = {"ROSETTA": "ROSETTA_TO_T2_ROUTE", "TEMPORAL_ROUTE": "TEMPORAL_PROGRAM", "TEMPORAL_STEP": "TEMPORAL_PROGRAM"}
 OTHER_TARGET = "BENCHMARK_FAILURE_ANALYSIS"
+UNKNOWN_STAGE, UNKNOWN_CODE, UNKNOWN_LAYER = "UNKNOWN_STAGE", "BENCHMARK_ASSERTION_FAILED", "UNKNOWN_LAYER"
 TARGET_KINDS = {
     "VISUAL_SIGNAL": "PRIMITIVE REDUNDANCY LAYOUT COLOR_USAGE", "BOOT": "PROMPT LAYOUT REDUNDANCY PRIMITIVE", "ROSETTA": "PROMPT LAYOUT REDUNDANCY PRIMITIVE",
-    "T2_NAVIGATION": "LAYOUT PROMPT REDUNDANCY CHANNEL_ROLE", "SEMANTIC_LAYOUT": "LAYOUT PRIMITIVE REDUNDANCY CHANNEL_ROLE",
-    "TEMPORAL_GRAMMAR": "TEMPORAL_STRUCTURE PROMPT PRIMITIVE CHANNEL_ROLE", "TEMPORAL_PROGRAM": "TEMPORAL_STRUCTURE LAYOUT PROMPT REDUNDANCY",
-    "ROSETTA_TO_T2_ROUTE": "LAYOUT PROMPT REDUNDANCY CHANNEL_ROLE", "BENCHMARK_FAILURE_ANALYSIS": "PROMPT LAYOUT REDUNDANCY PRIMITIVE",
+    "CODEC_REGISTRY": "PROMPT LAYOUT CHANNEL_ROLE REDUNDANCY", "CAPABILITY_FALLBACK": "PROMPT CHANNEL_ROLE REDUNDANCY", "T2_NAVIGATION": "LAYOUT PROMPT REDUNDANCY CHANNEL_ROLE",
+    "SEMANTIC_LAYOUT": "LAYOUT PRIMITIVE REDUNDANCY CHANNEL_ROLE", "TEMPORAL_GRAMMAR": "TEMPORAL_STRUCTURE PROMPT PRIMITIVE CHANNEL_ROLE",
+    "TEMPORAL_ROUTING": "TEMPORAL_STRUCTURE LAYOUT REDUNDANCY PROMPT", "CAPABILITY_PROFILE": "PROMPT CHANNEL_ROLE REDUNDANCY",
+    "ROSETTA_TO_T2_ROUTE": "LAYOUT PROMPT REDUNDANCY CHANNEL_ROLE", "TEMPORAL_PROGRAM": "TEMPORAL_STRUCTURE LAYOUT PROMPT REDUNDANCY",
 }
+OTHER_KINDS = "PROMPT LAYOUT REDUNDANCY PRIMITIVE"
+# What a kind of change is suggested to set, and where that differs for two targets.
+SUGGESTED = {
+    "LAYOUT": "LOCALIZE_FAILURE_TARGET_REGION", "PROMPT": "SHORT_EXPLICIT_PROTOCOL_INSTRUCTION", "REDUNDANCY": "BOUNDED_REDUNDANT_ANCHOR", "CHANNEL_ROLE": "DEDICATED_SEMANTIC_ROUTING_ROLE",
+    "PRIMITIVE": "DISTINCT_FAILURE_TARGET_PRIMITIVE", "TEMPORAL_STRUCTURE": "EXPLICIT_PHASE_EVENT_CHECKPOINT_STRUCTURE", "COLOR_USAGE": "HIGH_CONTRAST_ROLE_SEPARATION",
+    "NUMERIC_STRUCTURE": "EXPERIMENTAL_ADDRESS_ORDER_SIGNAL", "INTERFERENCE_STRUCTURE": "EXPERIMENTAL_INTERFERENCE_SIGNAL", "DEPTH_STRUCTURE": "EXPERIMENTAL_DEPTH_SIGNAL",
+    "EMERGENT_STRUCTURE": "EXPERIMENTAL_EMERGENT_SIGNAL",
+}
+SUGGESTED_FOR = {
+    ("T2_NAVIGATION", "LAYOUT"): ("T1_TO_T2_ENTRY_ROUTE", "EXPLICIT_DIRECTIONAL_ANCHOR"), ("ROSETTA_TO_T2_ROUTE", "LAYOUT"): ("T1_TO_T2_ENTRY_ROUTE", "EXPLICIT_DIRECTIONAL_ANCHOR"),
+    ("T2_NAVIGATION", "PROMPT"): ("ROSETTA.S2.READ_SUPERINDEX", "DECLARE_T2_LOCATION_BEFORE_DECODE"), ("ROSETTA_TO_T2_ROUTE", "PROMPT"): ("ROSETTA.S2.READ_SUPERINDEX", "DECLARE_T2_LOCATION_BEFORE_DECODE"),
+    ("T2_NAVIGATION", "REDUNDANCY"): ("T2_ENTRY_MARKER", "REPEAT_AT_BOOT_AND_ROSETTA"),
+}
+NO_TARGET = "GENERAL_EXPLORATION"
+#: Patterns that a plan looks at, changes that it suggests, and how far outcomes may move a kind's weight.
+FOCUS, SUGGESTIONS, SWING = 5, 4, 0.25
 KIND_WEIGHTS = (1.0, 0.8, 0.6, 0.4)
 ALL_KINDS = "PROMPT CHANNEL_ROLE PRIMITIVE LAYOUT REDUNDANCY COLOR_USAGE NUMERIC_STRUCTURE INTERFERENCE_STRUCTURE DEPTH_STRUCTURE TEMPORAL_STRUCTURE EMERGENT_STRUCTURE".split()
 EXPLORE = 0.15
@@ -46,7 +68,8 @@ def summary(ledger: DataFrame) -> DataFrame:
 
 def patterned(failures: DataFrame) -> DataFrame:
     """With the defaults that a pattern's key uses for what isn't known."""
-    return failures.withColumns({"stage_": F.coalesce("stage", F.lit("UNKNOWN")), "code_": F.coalesce("failure_code", F.lit("OTHER")), "layer_": F.coalesce("layer", F.lit("UNKNOWN"))})
+    known = lambda c, default: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(default))
+    return failures.withColumns({"stage_": known("stage", UNKNOWN_STAGE), "code_": known("failure_code", UNKNOWN_CODE), "layer_": known("layer", UNKNOWN_LAYER)})
 
 
 def listed(column: str) -> Column:
@@ -108,22 +131,43 @@ def pairwise(profile: DataFrame) -> DataFrame:
 
 def kind_table(spark: SparkSession) -> DataFrame:
     """(target, mutation, weight, place): the kinds of change that suit each target."""
-    rows = [(t, k, w, i + 1) for t, ks in TARGET_KINDS.items() for i, (k, w) in enumerate(zip(ks.split(), KIND_WEIGHTS, strict=True))]
+    targets = dict.fromkeys([*CODE_TARGET.values(), *STAGE_TARGET.values(), OTHER_TARGET])
+    rows = [(t, k, w, i + 1) for t in targets for i, (k, w) in enumerate(zip(TARGET_KINDS.get(t, OTHER_KINDS).split(), KIND_WEIGHTS, strict=False))]
     return spark.createDataFrame(rows, "target string, mutation string, weight double, place int")
 
 
-def exploration_weights(failures: DataFrame) -> DataFrame:
-    """(mutation, weight) of all kinds: the patterns' mass by target, made wider by models and specimens, with a floor for every kind. The weights sum to 1."""
+def focus(failures: DataFrame, most: int = FOCUS) -> DataFrame:
+    """The most frequent patterns, ties by key, each with its target: what a plan looks at."""
+    p = failure_patterns(failures).withColumns({"pattern": F.concat_ws("|", "stage", "code", "layer"), "target": target(F.col("code"), F.col("stage"))})
+    return p.orderBy(F.desc("n"), "pattern").limit(most)
+
+
+def exploration_weights(failures: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """(mutation, weight) of all kinds: the mass of the patterns in focus by target, made wider by models and specimens, each kind's
+    moved by the outcomes (mutation, mean) of its changes so far, with a floor for every kind. Without failures all kinds weigh alike. The weights sum to 1."""
     spark = failures.sparkSession
-    p = failure_patterns(failures).withColumn("target", target(F.col("code"), F.col("stage")))
-    mass = F.col("n") * (1 + 0.1 * (F.col("n_models") - 1) + 0.05 * (F.col("n_specimens") - 1))
-    raw = p.select("target", mass.alias("mass")).join(F.broadcast(kind_table(spark)), "target").groupBy("mutation").agg(F.sum(F.col("mass") * F.col("weight")).alias("raw"))
+    mass = F.col("n") * (1 + 0.1 * F.greatest(F.col("n_models") - 1, F.lit(0)) + 0.05 * F.greatest(F.col("n_specimens") - 1, F.lit(0)))
+    raw = focus(failures).select("target", mass.alias("mass")).join(F.broadcast(kind_table(spark)), "target").groupBy("mutation").agg(F.sum(F.col("mass") * F.col("weight")).alias("raw"))
     every = spark.createDataFrame([(k,) for k in ALL_KINDS], "mutation string").join(raw, "mutation", "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
-    total = F.sum("raw").over(Window.partitionBy())
-    share = F.when(total > 0, F.col("raw") / total).otherwise(1.0 / len(ALL_KINDS))
+    all_ = Window.partitionBy()  # a row for each kind, eleven in all
+    every = every.withColumn("raw", F.when(F.sum("raw").over(all_) > 0, F.col("raw")).otherwise(1.0))
+    if history is not None:
+        every = every.join(history.select("mutation", F.col("mean").alias("swing")), "mutation", "left").withColumn("raw", F.col("raw") * (1 + clamp(F.coalesce("swing", F.lit(0.0)), -SWING, SWING)))
+    share = F.col("raw") / F.sum("raw").over(all_)
     return every.select("mutation", F.round((1 - EXPLORE) * share + EXPLORE / len(ALL_KINDS), 6).alias("weight"))
 
 
+def suggestions(failures: DataFrame, weights: DataFrame, most: int = SUGGESTIONS) -> DataFrame:
+    """(place, mutation, field, value): the kinds of most weight, and what each is to set for the target of the most frequent pattern."""
+    spark = failures.sparkSession
+    first = focus(failures, 1).select("target")
+    rows = [(t, k, *SUGGESTED_FOR.get((t, k), (t, v))) for t in dict.fromkeys([*CODE_TARGET.values(), *STAGE_TARGET.values(), OTHER_TARGET, NO_TARGET]) for k, v in SUGGESTED.items()]
+    table = spark.createDataFrame(rows, "target string, mutation string, field string, value string")
+    top = weights.orderBy(F.desc("weight"), "mutation").limit(most).withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "mutation")))
+    aim = first.agg(F.coalesce(F.max("target"), F.lit(NO_TARGET)).alias("target"))
+    return top.crossJoin(aim).join(F.broadcast(table), ["target", "mutation"]).select("place", "mutation", "field", "value")
+
+
 def queue(candidates: DataFrame, weights: DataFrame, limit: int | None = None) -> DataFrame:
     """(candidate_id, priority, place): the mean weight of a candidate's distinct kinds, less for each further one, not below 0."""
     kinds = candidates.select("candidate_id", "mutation").distinct().join(weights, "mutation").groupBy("candidate_id").agg(F.avg("weight").alias("mean"))

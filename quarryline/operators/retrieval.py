@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import literals, token_estimate, tokens
+from quarryline.functions.text import INDEX_STOP, literals, token_estimate, tokens, words
+from quarryline.sources.shared import written
 
 #: The postings of the query's own terms count this much, those of added neighbours 1.
 OWN_WEIGHT = 3
@@ -17,6 +18,11 @@ def postings(blocks: DataFrame) -> DataFrame:
     return blocks.select("block_id", F.explode(tokens(F.col("text"))).alias("term"))
 
 
+def matched(blocks: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of some terms alone, looked for inside each row: no other term of a text is taken out of it."""
+    return blocks.select("block_id", F.explode(F.array_intersect(words(F.col("text")), literals([t for t in terms if t not in INDEX_STOP and len(t) >= 3]))).alias("term"))
+
+
 def document_frequency(posting: DataFrame) -> DataFrame:
     return posting.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -41,6 +47,20 @@ def term_graph(posting: DataFrame, terms: int = GRAPH_TERMS, per_page: int = TER
     return weights.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours)
 
 
+def neighbours(graph: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, term, depth): the terms within `depth` links (src, dst) of each start (term), each at its least distance; breadth first."""
+    links = graph.select("src", "dst")
+    seen = written(starts.select(F.col("term").alias("start"), "term", F.lit(0).cast("long").alias("depth")).distinct(), "near")
+    edge = seen
+    for d in range(1, depth + 1):
+        step = edge.join(links, edge["term"] == links["src"]).select("start", F.col("dst").alias("term")).distinct()
+        edge = written(step.join(seen, ["start", "term"], "left_anti").withColumn("depth", F.lit(d).cast("long")), "near")
+        if edge.isEmpty():
+            break
+        seen = seen.unionAll(edge)
+    return seen.where("depth > 0")
+
+
 def query_terms(terms: list[str]) -> list[str]:
     return sorted(set(terms))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions import text as X
 from quarryline.operators import checks as C
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import LEDGER_SQL, ledger, read
@@ -45,7 +46,7 @@ def _debug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {LEDGER_SQL}, o AS (SELECT event_id, question_id, coalesce(pass, false) AS ok, coalesce(failure_code, CASE WHEN event_id % 2 = 0 THEN 'NONE' ELSE 'ODD' END) AS code, score * 1.2 AS confidence, event_id % 5 = 0 AS bare FROM ledger WHERE kind = 'OBSERVATION') "
-    "SELECT event_id, concat('answer ', question_id) AS answer, CASE WHEN bare THEN '' ELSE concat_ws(',', CASE WHEN code = 'ODD' THEN 'CODE' END, CASE WHEN ok AND code <> 'NONE' THEN 'PASS_WITH_CODE' END, CASE WHEN NOT ok AND code = 'NONE' THEN 'FAIL_WITHOUT_CODE' END, CASE WHEN confidence > 1 THEN 'CONFIDENCE' END) END AS violations FROM o"
+    "SELECT event_id, concat('answer ', question_id) AS answer, CASE WHEN bare THEN '' ELSE concat_ws(',', CASE WHEN code NOT IN ('NONE', 'NO_VISUAL_SIGNAL', 'BOOT_NOT_FOUND', 'ROSETTA_NOT_FOUND', 'CODEC_NOT_FOUND', 'CAPABILITY_MISMATCH', 'T2_NOT_FOUND', 'SEMANTIC_EVIDENCE_INSUFFICIENT', 'TEMPORAL_RULE_AMBIGUOUS', 'CHECKPOINT_NOT_FOUND', 'EXACT_DECODER_REQUIRED', 'UNSUPPORTED_OPERATION', 'OTHER') THEN 'CODE' END, CASE WHEN ok AND code <> 'NONE' THEN 'PASS_WITH_CODE' END, CASE WHEN NOT ok AND code = 'NONE' THEN 'FAIL_WITHOUT_CODE' END, CASE WHEN confidence > 1 THEN 'CONFIDENCE' END) END AS violations FROM o"
 )
 def debug_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-32, FLT-17, FLT-18, SP-37: answers taken apart from their debug footers, and what those break."""
@@ -109,12 +110,13 @@ def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.layout_text(r)
 
 
-@query(r"WITH r AS (SELECT item_id, trim(t) AS t, h FROM (SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'Figure 3 shows' WHEN 1 THEN '- ' || text WHEN 2 THEN 'a = b + c' WHEN 3 THEN upper(substr(text, 1, 20)) ELSE text END AS t, item_id % 30 AS h FROM benchmark)) SELECT item_id, CASE WHEN h > 25 OR (regexp_matches(t, '\p{L}') AND upper(t) = t AND length(t) < 80) THEN 'heading' WHEN regexp_matches(t, '^(Figure|Fig\.|Table) ') THEN 'caption' WHEN regexp_matches(t, '^([-*•]|[0-9]+[.)]) ') THEN 'list' WHEN contains(t, '=') AND length(t) < 120 THEN 'equation' ELSE 'paragraph' END AS kind FROM r")
+@query(r"WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS x FROM p), r AS (SELECT doc_id, line, trim(CASE (doc_id + line) % 5 WHEN 0 THEN 'Figure 3 ' || x WHEN 1 THEN '- ' || x WHEN 2 THEN x || ' = b + c' ELSE x END) AS t, (doc_id + line) % 30 AS h FROM l) SELECT doc_id, CAST(line AS INTEGER) AS line, CASE WHEN h > 25 OR (regexp_matches(t, '\p{L}') AND upper(replace(t, 'ß', 'SS')) = t AND length(t) < 80) THEN 'heading' WHEN regexp_matches(t, '^(Figure|Fig\.|Table) ') THEN 'caption' WHEN regexp_matches(t, '^([-*•]|[0-9]+[.)]) ') THEN 'list' WHEN contains(t, '=') AND length(t) < 120 THEN 'equation' ELSE 'paragraph' END AS kind FROM r")
 def region_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-22: kinds of layout regions."""
-    i, text = F.col("item_id"), F.col("text")
-    t = F.when(i % 5 == 0, "Figure 3 shows").when(i % 5 == 1, F.concat(F.lit("- "), text)).when(i % 5 == 2, "a = b + c").when(i % 5 == 3, F.upper(F.substring(text, 1, 20))).otherwise(text)
-    return read(spark, sf_dir, "benchmark").select("item_id", C.region_kind(t, i % 30, F.lit(1250)).alias("kind"))
+    """SF-22: kinds of layout regions: every line of every document, some as captions, list items and equations."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    n, x = F.col("doc_id") + F.col("line"), F.col("x")
+    t = F.when(n % 5 == 0, F.concat(F.lit("Figure 3 "), x)).when(n % 5 == 1, F.concat(F.lit("- "), x)).when(n % 5 == 2, F.concat(x, F.lit(" = b + c"))).otherwise(x)
+    return d.select("doc_id", "line", C.region_kind(t, n % 30, F.lit(1250)).alias("kind"))
 
 
 @query("SELECT event_id, props AS found FROM events")
@@ -145,13 +147,18 @@ def claim_ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.count_if(lacks).alias("without_evidence"))
 
 
-@query("WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'GPT-4o ' WHEN 1 THEN 'qwen2-vl' WHEN 2 THEN 'LLaMA-3' ELSE 'other' END AS m FROM customer) SELECT CASE WHEN contains(lower(m), 'gpt') THEN 'GPT' WHEN contains(lower(m), 'qwen') THEN 'QWEN' WHEN contains(lower(m), 'llama') THEN 'LLAMA' ELSE 'UNKNOWN' END AS family, count(*) AS n FROM c GROUP BY 1")
+@query(
+    "WITH c AS (SELECT CASE c_custkey % 5 WHEN 0 THEN 'DeepSeek-VL2 ' WHEN 1 THEN 'qwen2-vl' WHEN 2 THEN 'LFM2-VL' WHEN 3 THEN 'liquid/x' ELSE c_name END AS m, CASE c_custkey % 7 WHEN 0 THEN ' direct' WHEN 1 THEN 'web' WHEN 2 THEN 'auto' WHEN 3 THEN '' WHEN 4 THEN 'relay' WHEN 5 THEN 'NATIVE_API' END AS t, CASE WHEN c_custkey % 2 = 0 THEN 'openai' ELSE ' ' END AS k FROM customer), "
+    "f AS (SELECT CASE WHEN contains(lower(m), 'deepseek') THEN 'DEEPSEEK' WHEN contains(lower(m), 'qwen') THEN 'QWEN' WHEN contains(lower(m), 'liquid') OR contains(lower(m), 'lfm') THEN 'LIQUID_AI' ELSE 'UNKNOWN' END AS family, CASE upper(trim(coalesce(t, ''))) WHEN 'DIRECT' THEN 'DIRECT_IMAGE_API' WHEN 'NATIVE_API' THEN 'DIRECT_IMAGE_API' WHEN 'WEB' THEN 'PLATFORM_MEDIATED' WHEN 'RELAY' THEN 'RELAY' ELSE CASE WHEN k = 'openai' THEN 'DIRECT_IMAGE_API' ELSE 'UNKNOWN' END END AS transport FROM c) "
+    "SELECT family, transport, count(*) AS n FROM f GROUP BY ALL"
+)
 def model_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-30: model families by id."""
-    k = F.col("c_custkey") % 4
-    m = F.lower(F.when(k == 0, "GPT-4o ").when(k == 1, "qwen2-vl").when(k == 2, "LLaMA-3").otherwise("other"))
-    family = F.when(F.contains(m, F.lit("gpt")), "GPT").when(F.contains(m, F.lit("qwen")), "QWEN").when(F.contains(m, F.lit("llama")), "LLAMA").otherwise("UNKNOWN")
-    return read(spark, sf_dir, "customer").groupBy(family.alias("family")).agg(F.count("*").alias("n"))
+    """SF-30: model families by id, and the condition under which each was reached."""
+    k = F.col("c_custkey")
+    m = F.when(k % 5 == 0, "DeepSeek-VL2 ").when(k % 5 == 1, "qwen2-vl").when(k % 5 == 2, "LFM2-VL").when(k % 5 == 3, "liquid/x").otherwise(F.col("c_name"))
+    t = F.when(k % 7 == 0, " direct").when(k % 7 == 1, "web").when(k % 7 == 2, "auto").when(k % 7 == 3, "").when(k % 7 == 4, "relay").when(k % 7 == 5, "NATIVE_API")
+    family, transport = X.model_family(m), X.transport_condition(t, F.when(k % 2 == 0, "openai").otherwise(" "))
+    return read(spark, sf_dir, "customer").groupBy(family.alias("family"), transport.alias("transport")).agg(F.count("*").alias("n"))
 
 
 @query("WITH r AS (SELECT strftime(ts, '%Y-%m') AS month, concat(strftime(ts, '%Y%m%dT%H%M%S'), '-', substr(sha256(CAST(user_id AS VARCHAR)), 1, 8)) AS run_id FROM events) SELECT month, count(*) AS n, min(run_id) AS first_run FROM r GROUP BY month")

@@ -55,7 +55,7 @@ def controller_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.when(F.col("conflict") > 0, "RESOLVE_CONFLICTS").when(F.col("uncertainty") > 0.35, "REDUCE_UNCERTAINTY").otherwise("SATISFIED").alias("state"))
 
 
-@query(f"WITH {CLAIMS_SQL}, k AS ({_K} FROM claims) SELECT s, p, o, string_agg(DISTINCT candidate_id, ',' ORDER BY candidate_id) AS candidates, string_agg(DISTINCT address, ',' ORDER BY address) AS addresses FROM k GROUP BY s, p, o HAVING bool_or(polarity) AND bool_or(NOT polarity)")
+@query(f"WITH {CLAIMS_SQL}, k AS ({_K} FROM claims) SELECT DISTINCT s, p, o, candidate_id, address FROM k JOIN (SELECT s, p, o FROM k GROUP BY s, p, o HAVING bool_or(polarity) AND bool_or(NOT polarity)) USING (s, p, o)")
 def verification_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-11, SP-03: the evidence to read again for each conflict."""
     return C.verification_plan(claims(spark, sf_dir))

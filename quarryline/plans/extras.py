@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
-from quarryline.functions.numeric import ratio
+from quarryline.operators import grounding as G
 from quarryline.operators import integrity as I
 from quarryline.operators import ledger as L
 from quarryline.operators import retrieval as R
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import read
 from quarryline.plans.retrieval import POSTINGS, blocks
+from quarryline.plans.text import answered
 from quarryline.sources.shared import new_path
 
 
@@ -22,25 +23,30 @@ def upper_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.upper_spaced(F.col("text")).alias("spaced"), X.upper_tokens_text(F.col("text")).alias("tokens"))
 
 
-_FW = ["the", "of", "and", "to", "in", "is", "a", "de", "la", "que", "le", "les"]
+_FW = ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS)
+_W = "regexp_extract_all(lower(%s), '[a-záéíóúñü0-9]+')"
+_COS = "list_cosine_similarity(CAST(%s AS DOUBLE[]), CAST(%s AS DOUBLE[]))"
+_SHARE = "coalesce(len(list_intersect(list_distinct(list_filter(%s, lambda w: w NOT IN ({0}))), %s)) / nullif(len(list_distinct(list_filter(%s, lambda w: w NOT IN ({0})))), 0), 0)".replace("{0}", _FW)
 
 
 @query(
-    r"WITH p AS (SELECT a.conv_id, regexp_extract_all(lower(b.text), '[\p{L}\p{Nd}]+') AS x, regexp_extract_all(lower(a.text), '[\p{L}\p{Nd}]+') AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1), "
-    "q AS (SELECT *, list_distinct(x) AS dx, list_distinct(y) AS dy FROM p) "
-    f"SELECT conv_id, round(coalesce(len(list_intersect(dx, dy)) / nullif(len(dx), 0), 0), 6) AS overlap, round(coalesce(len(x) / nullif(len(y), 0), 0), 6) AS length_ratio, round(coalesce(len(dx) / nullif(len(x), 0), 0), 6) AS type_token, round(coalesce(len(list_filter(x, lambda w: w IN ({', '.join(repr(w) for w in _FW)}))) / nullif(len(x), 0), 0), 6) AS function_words FROM q"
+    f"WITH p AS (SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations), "
+    f"c AS (SELECT p.conv_id, p.turn, trim(answer) AS a, trim(question) AS q, trim(d.text) AS g, v1.embedding AS qv, v2.embedding AS av, v3.embedding AS gv, v4.embedding AS hv FROM p JOIN documents d ON doc_id = conv_id JOIN embeddings v1 ON v1.vec_id = (conv_id * 7 + turn) % 500 JOIN embeddings v2 ON v2.vec_id = (conv_id * 11 + turn) % 500 JOIN embeddings v3 ON v3.vec_id = conv_id % 500 JOIN embeddings v4 ON v4.vec_id = (conv_id + 1) % 500 WHERE question IS NOT NULL), "
+    f"t AS (SELECT *, {_W % 'a'} AS x, {_W % 'q'} AS y, {_W % 'g'} AS z, greatest({_COS % ('av', 'gv')}, {_COS % ('av', 'hv')}) AS s1, greatest({_COS % ('qv', 'gv')}, {_COS % ('qv', 'hv')}) AS s2 FROM c), "
+    "u AS (SELECT *, list_transform(range(1, greatest(len(x) - 1, 1)), lambda i: array_to_string(x[i : i + 2], ' ')) AS x3, list_transform(range(1, greatest(len(z) - 1, 1)), lambda i: array_to_string(z[i : i + 2], ' ')) AS z3 FROM t) "
+    f"SELECT conv_id, turn, round({_COS % ('av', 'gv')}, 5) AS cos_answer_passage, round({_COS % ('qv', 'gv')}, 5) AS cos_question_passage, round({_COS % ('qv', 'av')}, 5) AS cos_question_answer, round((s1 + s2) / 2, 5) AS support_mean, round(least(s1, s2), 5) AS support_min, round(greatest(s1, s2), 5) AS support_max, "
+    f"round({_SHARE % ('x', 'z', 'x')}, 6) AS answer_in_passage, round({_SHARE % ('y', 'x', 'y')}, 6) AS question_in_answer, round(coalesce(len(list_filter(x3, lambda w: list_contains(z3, w))) / nullif(len(x3), 0), 0), 6) AS verbatim_triples, "
+    f"round(least(2.0, length(a) / greatest(length(g), 1)), 6) AS length_ratio, round(coalesce(len(list_distinct(x)) / nullif(len(x), 0), 0), 6) AS type_token, round(coalesce(len(list_filter(x, lambda w: w IN ({_FW}))) / nullif(len(x), 0), 0), 6) AS function_words FROM u"
 )
 def answer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-31: lexical features of an answer against its passage."""
-    c = read(spark, sf_dir, "conversations")
-    w = lambda col: F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{Nd}]+"), 0)
-    p = c.where("turn = 0").select("conv_id", w("text").alias("y")).join(c.where("turn = 1").select("conv_id", w("text").alias("x")), "conv_id")
-    p = p.withColumns({"dx": F.array_distinct("x"), "dy": F.array_distinct("y")})
-    n = F.size
-    return p.select(
-        "conv_id", F.round(ratio(n(F.array_intersect("dx", "dy")), n("dx")), 6).alias("overlap"), F.round(ratio(n("x"), n("y")), 6).alias("length_ratio"),
-        F.round(ratio(n("dx"), n("x")), 6).alias("type_token"), F.round(ratio(n(F.filter("x", lambda t: t.isin(_FW))), n("x")), 6).alias("function_words"),
-    )
+    """SF-31: the twelve features of every turn as an answer to the one before, over a document; vectors of the embeddings stand for those of the texts."""
+    e = read(spark, sf_dir, "embeddings")
+    k, t = F.col("conv_id"), F.col("turn")
+    p = answered(spark, sf_dir).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("passage")), "conv_id")
+    for name, at in (("qv", (k * 7 + t) % 500), ("av", (k * 11 + t) % 500), ("gv", k % 500), ("hv", (k + 1) % 500)):
+        p = p.withColumn(f"{name}_at", at).join(e.select(F.col("vec_id").alias(f"{name}_at"), F.col("embedding").alias(name)), f"{name}_at")
+    own = G.answer_features(F.trim("content"), F.trim("answer"), F.trim("passage"), F.col("qv"), F.col("av"), F.col("gv"), F.array("av", "qv"), F.array("gv", "hv"))
+    return p.select("conv_id", "turn", *own)
 
 
 @query("WITH h AS (SELECT o_custkey AS doc, o_orderkey AS place, o_orderpriority AS heading FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT doc, heading AS a, lead(heading) OVER (PARTITION BY doc ORDER BY place) AS b FROM h) SELECT a, b, count(*) AS n FROM n WHERE b IS NOT NULL GROUP BY a, b")

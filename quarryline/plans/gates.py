@@ -9,6 +9,7 @@ from quarryline.operators import gates as G
 from quarryline.operators import ledger as L
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import LEDGER_SQL, ledger, read, select
+from quarryline.sources.shared import written
 
 BASE = {"units": 40.0, "bytes": 1000.0, "recognition_ms": 300.0, "bootstrap_steps": 4.0, "decode_steps": 6.0}
 POLICY = {"roundtrip": 0.2, "index_rate": 0.3, "answer_rate": 0.1, "evidence": 0.2, "routing": 0.1, "bytes": 1900.0, "trials": 3.0}
@@ -122,9 +123,9 @@ def worker_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK-11, DG-07, SP-58: profiles picked one at a time for quality and for what they add to those picked."""
-    p = L.profiles(ledger(spark, sf_dir)).persist()
-    quality = L.accuracy(p).select(F.col("profile").alias("member"), F.col("accuracy").alias("q")).persist()
-    pairs = L.pairwise(p).select("a", "b", F.col("complementarity").alias("c")).persist()
+    p = written(L.profiles(ledger(spark, sf_dir)), "profiles")
+    quality = written(L.accuracy(p).select(F.col("profile").alias("member"), F.col("accuracy").alias("q")), "quality")
+    pairs = written(L.pairwise(p).select("a", "b", F.col("complementarity").alias("c")), "pairs")
     return spark.createDataFrame([(i + 1, m) for i, m in enumerate(G.ensemble(quality, pairs, 3))], "place int, member string")
 
 

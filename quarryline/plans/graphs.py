@@ -1,4 +1,4 @@
-"""Queries of the graph and fixpoint family: fixed plans and rules, and traces from conversations and events."""
+"""Queries of the graph and fixpoint family: plans from orders, cells from customers, traces from conversations and events."""
 
 from __future__ import annotations
 
@@ -9,17 +9,17 @@ from quarryline.operators import graphs as D
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import read
 
-#: A plan derived from the nations: node i depends on i / 2 and i / 3, so it has no cycle.
-_NODES = "n AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(10 + n_nationkey * 7 % 13 AS BIGINT) AS cost, CASE n_nationkey % 3 WHEN 0 THEN 'ALL' WHEN 1 THEN 'ANY' ELSE 'QUORUM' END AS join_kind, 2 AS quorum FROM nation)"
-_EDGES = "e AS (SELECT DISTINCT src, dst FROM (SELECT node // 2 AS src, node AS dst FROM n WHERE node > 0 UNION ALL SELECT node // 3, node FROM n WHERE node > 0))"
+#: A plan derived from the orders: node i depends on i / 2 and i / 3, so it has no cycle; each customer's orders are a plan of their own where plans are told apart.
+_NODES = "n AS (SELECT CAST(o_orderkey AS BIGINT) AS node, CAST(o_custkey AS BIGINT) AS plan, CAST(10 + o_orderkey * 7 % 13 AS BIGINT) AS cost, CASE o_orderkey % 3 WHEN 0 THEN 'ALL' WHEN 1 THEN 'ANY' ELSE 'QUORUM' END AS join_kind, 2 AS quorum FROM orders)"
+_EDGES = "e AS (SELECT DISTINCT plan, src, dst FROM (SELECT plan, node // 2 AS src, node AS dst FROM n WHERE node > 0 UNION ALL SELECT plan, node // 3, node FROM n WHERE node > 0))"
 
 
 def plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    k = F.col("n_nationkey").cast("long")
+    k = F.col("o_orderkey").cast("long")
     kind = F.when(k % 3 == 0, "ALL").when(k % 3 == 1, "ANY").otherwise("QUORUM")
-    nodes = read(spark, sf_dir, "nation").select(k.alias("node"), (10 + k * 7 % 13).alias("cost"), kind.alias("join_kind"), F.lit(2).alias("quorum"))
+    nodes = read(spark, sf_dir, "orders").select(k.alias("node"), F.col("o_custkey").cast("long").alias("plan"), (10 + k * 7 % 13).alias("cost"), kind.alias("join_kind"), F.lit(2).alias("quorum"))
     n = nodes.where("node > 0")
-    edges = n.select(F.floor(F.col("node") / 2).alias("src"), F.col("node").alias("dst")).union(n.select(F.floor(F.col("node") / 3), "node")).distinct()
+    edges = n.select("plan", F.floor(F.col("node") / 2).alias("src"), F.col("node").alias("dst")).union(n.select("plan", F.floor(F.col("node") / 3), "node")).distinct()
     return nodes, edges
 
 
@@ -49,37 +49,37 @@ def dag_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.barriers(nodes, edges, nodes.select("node", F.when(k % 5 == 0, "FAILED").when(k % 2 == 0, "SUCCEEDED").otherwise("RUNNING").alias("state")))
 
 
-@query(f"WITH {_NODES}, {_EDGES}, d AS (SELECT dst AS node, count(*) AS deps FROM e GROUP BY 1) SELECT (SELECT sha256(string_agg(concat(src, '>', dst), ',' ORDER BY concat(src, '>', dst))) FROM e) AS plan, sha256(string_agg(concat(coalesce(deps, 0), ':', join_kind), ',' ORDER BY concat(coalesce(deps, 0), ':', join_kind))) AS shape FROM n LEFT JOIN d USING (node)")
+_SUMS = "sha256(concat_ws(':', count(*), sum(CAST('0x' || substr(sha256(x), 1, 15) AS BIGINT)), sum(CAST('0x' || substr(sha256(x), 17, 15) AS BIGINT))))"
+
+
+@query(f"WITH {_NODES}, {_EDGES}, d AS (SELECT dst AS node, count(*) AS deps FROM e GROUP BY 1), s AS (SELECT plan, {_SUMS} AS shape FROM (SELECT plan, concat(coalesce(deps, 0), ':', join_kind) AS x FROM n LEFT JOIN d USING (node)) GROUP BY plan), h AS (SELECT plan, {_SUMS} AS edges FROM (SELECT plan, concat(src, '>', dst) AS x FROM e) GROUP BY plan) SELECT plan, edges, shape FROM s LEFT JOIN h USING (plan)")
 def plan_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DG-08: a plan's hash and that of its shape."""
+    """DG-08: each plan's hash and that of its shape."""
     return D.topology_hash(*plan(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_NODES}, {_EDGES}, p(product, node, depth) AS (SELECT CAST(24 AS BIGINT), CAST(24 AS BIGINT), 0 UNION SELECT src, src, depth + 1 FROM p JOIN e ON e.dst = p.node WHERE depth < 8) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM p GROUP BY node")
+@query(f"WITH RECURSIVE {_NODES}, {_EDGES}, g AS (SELECT plan AS goal, max(node) AS node FROM n GROUP BY plan), p(goal, node, depth) AS (SELECT goal, node, 0 FROM g UNION SELECT goal, src, depth + 1 FROM p JOIN e ON e.dst = p.node WHERE src <> 1) SELECT goal, node, CAST(min(depth) AS BIGINT) AS depth FROM p GROUP BY goal, node")
 def goal_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DG-06: the producers a goal needs, by chaining backwards from it."""
+    """DG-06: the producers that each customer's last order needs, by chaining backwards from it to the end; what node 1 gives is there already."""
     nodes, edges = plan(spark, sf_dir)
-    edges.createOrReplaceTempView("plan_edges")
-    return spark.sql("WITH RECURSIVE p(node, depth) AS (SELECT CAST(24 AS BIGINT), 0 UNION ALL SELECT src, depth + 1 FROM p JOIN plan_edges ON dst = node WHERE depth < 8) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM p GROUP BY node")
-
-
-@query(f"WITH RECURSIVE {_NODES}, {_EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), p(node, depth) AS (SELECT CAST(4 AS BIGINT), 0 UNION SELECT y, depth + 1 FROM p JOIN b ON x = node WHERE depth < 2) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM p WHERE node <> 4 GROUP BY node")
-def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-10, SP-50: neighbours within two hops, each at its least depth (breadth first, where the source walks depth first)."""
-    _, e = plan(spark, sf_dir)
-    both = e.union(e.select("dst", "src")).distinct()
-    one = both.where("src = 4").select(F.col("dst").alias("node"), F.lit(1).cast("long").alias("depth"))
-    two = one.join(both, one["node"] == both["src"]).select(F.col("dst").alias("node"), F.lit(2).cast("long").alias("depth"))
-    return one.union(two).where("node <> 4").groupBy("node").agg(F.min("depth").alias("depth"))
+    producers = nodes.select(F.col("node").alias("product"), F.col("node").alias("worker"), F.lit(0).alias("rank"))
+    needs = edges.select(F.col("dst").alias("worker"), F.col("src").alias("product"))
+    goals = nodes.groupBy(F.col("plan").alias("goal")).agg(F.max("node").alias("product"))
+    return D.resolved(goals, needs, producers, spark.range(1, 2).withColumnRenamed("id", "product")).withColumnRenamed("worker", "node")
 
 
-@query("SELECT * FROM (VALUES ('A', 'DONE'), ('B', 'DONE'), ('C', 'ACTIVE')) t(cell, state)")
+@query(
+    "WITH RECURSIVE c AS (SELECT c_custkey + 1 AS cell, (c_custkey + 1) % 7 = 5 AS blocked FROM customer), d(cell) AS (SELECT cell FROM c WHERE cell = 1 UNION SELECT c.cell FROM c JOIN d ON c.cell // 2 = d.cell WHERE NOT blocked) "
+    "SELECT c.cell, CASE WHEN d.cell IS NOT NULL THEN 'DONE' WHEN blocked THEN 'BLOCKED' ELSE 'IDLE' END AS state FROM c LEFT JOIN d USING (cell)"
+)
 def rule_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX-01, SP-39: three cells under synchronous rules."""
-    cells = spark.createDataFrame([("A", "ACTIVE"), ("B", "IDLE"), ("C", "IDLE")], "cell string, state string")
-    rules = spark.createDataFrame([("r1", "A", "ACTIVE", "DONE"), ("r2", "B", "IDLE", "ACTIVE"), ("r3", "B", "ACTIVE", "DONE"), ("r4", "C", "IDLE", "ACTIVE")], "rule string, target string, from_state string, to_state string")
-    requires = spark.createDataFrame([("r2", "A", "DONE"), ("r3", "A", "DONE"), ("r4", "B", "DONE")], "rule string, cell string, state string")
-    return D.rule_fixpoint(cells, rules, requires)
+    """FX-01, SP-39: a cell for each customer: it is done once the cell of half its number is; blocked cells have no rule and hold up what is behind them."""
+    k = F.col("c_custkey").cast("long") + 1
+    own = read(spark, sf_dir, "customer").select(k.alias("cell"), (k % 7 == 5).alias("blocked"))
+    cells = own.select("cell", F.when(F.col("blocked"), "BLOCKED").otherwise("IDLE").alias("state"))
+    rules = own.where("NOT blocked").select(F.col("cell").alias("rule"), F.col("cell").alias("target"), F.lit("IDLE").alias("from_state"), F.lit("DONE").alias("to_state"))
+    behind = rules.where("target > 1").select("rule", F.floor(F.col("target") / 2).alias("cell"), F.lit("DONE").alias("state"))
+    return D.rule_fixpoint(cells, rules, behind)
 
 
 @query("WITH s AS (SELECT turn AS step, role AS target, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn) AS from_state, role AS to_state FROM conversations) SELECT target, from_state, to_state, count(*) AS n, min(step) AS first_step FROM s GROUP BY ALL")
@@ -90,11 +90,11 @@ def trace_distill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.distilled(s)
 
 
-@query("WITH s AS (SELECT lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn) AS state, substr(text, 1, 1) AS token, role AS action, role AS next_state FROM conversations) SELECT state, token, min(action) AS action, min(next_state) AS next_state, count(DISTINCT (action, next_state)) = 1 AS deterministic, count(*) AS n FROM s GROUP BY ALL")
+@query("WITH s AS (SELECT lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn) AS state, text AS token, role AS action, role AS next_state FROM conversations) SELECT state, token, min(action) AS action, min(next_state) AS next_state, count(DISTINCT (action, next_state)) = 1 AS deterministic, count(*) AS n FROM s GROUP BY ALL")
 def receiver_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-47: a receiver's rules, and where its trace is not deterministic."""
+    """AG-47: a receiver's rules by state and whole text, and where its trace is not deterministic."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    s = read(spark, sf_dir, "conversations").select(F.lag("role", 1, "start").over(w).alias("state"), F.substring("text", 1, 1).alias("token"), F.col("role").alias("action"), F.col("role").alias("next_state"))
+    s = read(spark, sf_dir, "conversations").select(F.lag("role", 1, "start").over(w).alias("state"), F.col("text").alias("token"), F.col("role").alias("action"), F.col("role").alias("next_state"))
     return D.receiver_rules(s)
 
 

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The stages of an experiment, in order.
 STAGES = ["BOOT", "ROSETTA", "CODEC_DISCOVERY", "T2_NAVIGATION", "SEMANTIC_DECODE", "TEMPORAL_ROUTE", "TEMPORAL_STEP", "EXACT_BOUNDARY", "ANSWER"]
 
 _stage = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(("BOOT", "ROSETTA", "T2_NAVIGATION", "SEMANTIC_DECODE", "TEMPORAL_STEP"))) + " END"
-_code = (
-    "CASE event_id % 6 WHEN 0 THEN 'BOOT_NOT_FOUND' WHEN 1 THEN 'ROSETTA_NOT_FOUND' WHEN 2 THEN 'T2_NOT_FOUND' WHEN 3 THEN 'SEMANTIC_EVIDENCE_INSUFFICIENT' "
-    "WHEN 4 THEN 'TEMPORAL_RULE_AMBIGUOUS' END"
-)
+# The codes of failures.
+CODES = (
+    "NO_VISUAL_SIGNAL BOOT_NOT_FOUND ROSETTA_NOT_FOUND CODEC_NOT_FOUND CAPABILITY_MISMATCH T2_NOT_FOUND SEMANTIC_EVIDENCE_INSUFFICIENT TEMPORAL_RULE_AMBIGUOUS TEMPORAL_EXECUTION_INCOMPLETE "
+    "RULE_FIRING_PRECONDITION_VIOLATION EXECUTION_SEMANTICS_CONTRADICTION CROSS_MODEL_EXECUTION_FIDELITY_FAILED CELL_IDENTITY_CONFUSION FROM_STATE_PRECONDITION_CONFUSION "
+    "CONDITION_TARGET_BINDING_CONFUSION CHECKPOINT_NOT_FOUND ARTIFACT_GENERATION_REGRESSION UNAUTHORIZED_SEMANTIC_DRIFT UNSUPPORTED_OPERATION"
+).split()
+# every code occurs; some more often than others, and a tenth of the events has none or one that is not known
+_code = "CASE (event_id * 7 + user_id) % 23 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES)) + " WHEN 19 THEN 'T2_NOT_FOUND' WHEN 20 THEN 'SOMETHING_ELSE' END"
 
 #: An append-only ledger of experiment events: observations, changes and outcomes.
 LEDGER: dict[str, str] = {

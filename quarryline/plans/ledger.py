@@ -9,15 +9,36 @@ from quarryline.operators import ledger as L
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import LEDGER_SQL, ledger, read
 
-_FAIL = f"WITH {LEDGER_SQL}, f AS (SELECT *, coalesce(stage, 'UNKNOWN') AS stage_, coalesce(failure_code, 'OTHER') AS code_, coalesce(layer, 'UNKNOWN') AS layer_ FROM ledger WHERE kind = 'OBSERVATION' AND evidence_class = 'REAL_MODEL' AND pass = false)"
-_TARGET = "CASE " + " ".join(f"WHEN code = '{k}' THEN '{v}'" for k, v in L.CODE_TARGET.items()) + " " + " ".join(f"WHEN stage = '{k}' THEN '{v}'" for k, v in L.STAGE_TARGET.items()) + f" ELSE '{L.OTHER_TARGET}' END"
+_FAIL = f"WITH {LEDGER_SQL}, f AS (SELECT *, coalesce(stage, 'UNKNOWN_STAGE') AS stage_, coalesce(failure_code, 'BENCHMARK_ASSERTION_FAILED') AS code_, coalesce(layer, 'UNKNOWN_LAYER') AS layer_ FROM ledger WHERE kind = 'OBSERVATION' AND evidence_class = 'REAL_MODEL' AND pass = false)"
+# Fixed values, written out for SQL: codes and stages with their targets, targets with their kinds of change, best first.
+_TARGET = """CASE WHEN code = 'NO_VISUAL_SIGNAL' THEN 'VISUAL_SIGNAL' WHEN code = 'BOOT_NOT_FOUND' THEN 'BOOT' WHEN code = 'ROSETTA_NOT_FOUND' THEN 'ROSETTA'
+  WHEN code = 'CODEC_NOT_FOUND' THEN 'CODEC_REGISTRY' WHEN code = 'CAPABILITY_MISMATCH' THEN 'CAPABILITY_FALLBACK' WHEN code = 'T2_NOT_FOUND' THEN 'T2_NAVIGATION'
+  WHEN code = 'SEMANTIC_EVIDENCE_INSUFFICIENT' THEN 'SEMANTIC_LAYOUT' WHEN code = 'TEMPORAL_RULE_AMBIGUOUS' THEN 'TEMPORAL_GRAMMAR'
+  WHEN code = 'TEMPORAL_EXECUTION_INCOMPLETE' THEN 'EXECUTION_POLICY_COMPLIANCE'
+  WHEN code IN ('RULE_FIRING_PRECONDITION_VIOLATION', 'EXECUTION_SEMANTICS_CONTRADICTION', 'CROSS_MODEL_EXECUTION_FIDELITY_FAILED') THEN 'SYNCHRONOUS_EXECUTION_FIDELITY'
+  WHEN code = 'CELL_IDENTITY_CONFUSION' THEN 'CELL_IDENTITY_ENCODING' WHEN code = 'FROM_STATE_PRECONDITION_CONFUSION' THEN 'FROM_STATE_PRECONDITION_VISIBILITY'
+  WHEN code = 'CONDITION_TARGET_BINDING_CONFUSION' THEN 'RULE_ROLE_BINDING' WHEN code = 'CHECKPOINT_NOT_FOUND' THEN 'TEMPORAL_ROUTING'
+  WHEN code IN ('ARTIFACT_GENERATION_REGRESSION', 'UNAUTHORIZED_SEMANTIC_DRIFT') THEN 'SEMANTIC_PARITY_GATE' WHEN code = 'UNSUPPORTED_OPERATION' THEN 'CAPABILITY_PROFILE'
+  WHEN stage = 'ROSETTA' THEN 'ROSETTA_TO_T2_ROUTE' WHEN stage IN ('TEMPORAL_ROUTE', 'TEMPORAL_STEP') THEN 'TEMPORAL_PROGRAM' ELSE 'BENCHMARK_FAILURE_ANALYSIS' END"""
+_KINDS_OF = """CASE target WHEN 'VISUAL_SIGNAL' THEN ['PRIMITIVE', 'REDUNDANCY', 'LAYOUT', 'COLOR_USAGE'] WHEN 'BOOT' THEN ['PROMPT', 'LAYOUT', 'REDUNDANCY', 'PRIMITIVE']
+  WHEN 'ROSETTA' THEN ['PROMPT', 'LAYOUT', 'REDUNDANCY', 'PRIMITIVE'] WHEN 'CODEC_REGISTRY' THEN ['PROMPT', 'LAYOUT', 'CHANNEL_ROLE', 'REDUNDANCY']
+  WHEN 'CAPABILITY_FALLBACK' THEN ['PROMPT', 'CHANNEL_ROLE', 'REDUNDANCY'] WHEN 'T2_NAVIGATION' THEN ['LAYOUT', 'PROMPT', 'REDUNDANCY', 'CHANNEL_ROLE']
+  WHEN 'SEMANTIC_LAYOUT' THEN ['LAYOUT', 'PRIMITIVE', 'REDUNDANCY', 'CHANNEL_ROLE'] WHEN 'TEMPORAL_GRAMMAR' THEN ['TEMPORAL_STRUCTURE', 'PROMPT', 'PRIMITIVE', 'CHANNEL_ROLE']
+  WHEN 'TEMPORAL_ROUTING' THEN ['TEMPORAL_STRUCTURE', 'LAYOUT', 'REDUNDANCY', 'PROMPT'] WHEN 'CAPABILITY_PROFILE' THEN ['PROMPT', 'CHANNEL_ROLE', 'REDUNDANCY']
+  WHEN 'ROSETTA_TO_T2_ROUTE' THEN ['LAYOUT', 'PROMPT', 'REDUNDANCY', 'CHANNEL_ROLE'] WHEN 'TEMPORAL_PROGRAM' THEN ['TEMPORAL_STRUCTURE', 'LAYOUT', 'PROMPT', 'REDUNDANCY']
+  ELSE ['PROMPT', 'LAYOUT', 'REDUNDANCY', 'PRIMITIVE'] END"""
+_ALL = "('PROMPT'), ('CHANNEL_ROLE'), ('PRIMITIVE'), ('LAYOUT'), ('REDUNDANCY'), ('COLOR_USAGE'), ('NUMERIC_STRUCTURE'), ('INTERFERENCE_STRUCTURE'), ('DEPTH_STRUCTURE'), ('TEMPORAL_STRUCTURE'), ('EMERGENT_STRUCTURE')"
 _PATTERNS = _FAIL + ", p AS (SELECT stage_ AS stage, code_ AS code, layer_ AS layer, count(*) AS n, string_agg(DISTINCT model_id, ',' ORDER BY model_id) AS models, string_agg(DISTINCT specimen_id, ',' ORDER BY specimen_id) AS specimens, string_agg(DISTINCT question_id, ',' ORDER BY question_id) AS questions, count(DISTINCT model_id) AS n_models, count(DISTINCT specimen_id) AS n_specimens FROM f GROUP BY ALL)"
 _DELTA = "coalesce(delta, score_after - score_before)"
 _PROFILE = f"WITH {LEDGER_SQL}, p AS (SELECT concat(model_id, '/', condition) AS profile, case_key, bool_and(pass) AS pass FROM ledger WHERE kind = 'OBSERVATION' AND pass IS NOT NULL GROUP BY 1, 2)"
-_KINDS = ", ".join(f"('{t}', '{k}', {w})" for t, ks in L.TARGET_KINDS.items() for k, w in zip(ks.split(), L.KIND_WEIGHTS, strict=True))
-_ALL = ", ".join(f"('{k}')" for k in L.ALL_KINDS)
-_WEIGHTS = _PATTERNS + f", k(target, mutation, w) AS (VALUES {_KINDS}), a(mutation) AS (VALUES {_ALL}), r AS (SELECT mutation, sum(n * (1 + 0.1 * (n_models - 1) + 0.05 * (n_specimens - 1)) * CAST(w AS DOUBLE)) AS raw FROM (SELECT *, {_TARGET} AS target FROM p) JOIN k USING (target) GROUP BY mutation), e AS (SELECT a.mutation, coalesce(raw, 0.0) AS raw FROM a LEFT JOIN r USING (mutation)), w AS (SELECT mutation, round(0.85 * CASE WHEN sum(raw) OVER () > 0 THEN raw / sum(raw) OVER () ELSE 1.0 / 11 END + 0.15 / 11, 6) AS weight FROM e)"
-_SIGNALS = f"WITH {LEDGER_SQL}, t AS (SELECT DISTINCT candidate_id, mutation FROM ledger WHERE kind = 'CHANGE'), s AS (SELECT mutation, count(*) AS n, round(avg({_DELTA}), 9) AS mean FROM ledger l JOIN t USING (candidate_id) WHERE kind = 'OUTCOME' GROUP BY ALL)".replace("SELECT mutation, count", "SELECT t.mutation, count")
+_HISTORY = f"t AS (SELECT DISTINCT candidate_id, mutation FROM ledger WHERE kind = 'CHANGE'), s AS (SELECT t.mutation, count(*) AS n, round(avg({_DELTA}), 9) AS mean FROM ledger l JOIN t USING (candidate_id) WHERE kind = 'OUTCOME' GROUP BY ALL)"
+_WEIGHTS = _PATTERNS + f""", {_HISTORY}, top AS (SELECT *, {_TARGET} AS target FROM p ORDER BY n DESC, concat(stage, '|', code, '|', layer) LIMIT 5),
+k AS (SELECT n * (1 + 0.1 * (n_models - 1) + 0.05 * (n_specimens - 1)) AS mass, {_KINDS_OF} AS kinds FROM top),
+r AS (SELECT mutation, sum(mass * w) AS raw FROM (SELECT mass, unnest(kinds) AS mutation, unnest([1.0, 0.8, 0.6, 0.4][1 : len(kinds)])::DOUBLE AS w FROM k) GROUP BY mutation),
+a(mutation) AS (VALUES {_ALL}), e AS (SELECT mutation, coalesce(raw, 0.0)::DOUBLE AS raw FROM a LEFT JOIN r USING (mutation)),
+g AS (SELECT mutation, CASE WHEN sum(raw) OVER () > 0 THEN raw ELSE 1.0 END * (1 + greatest(-0.25, least(0.25, coalesce(mean, 0)))) AS raw FROM e LEFT JOIN s USING (mutation)),
+w AS (SELECT mutation, round(0.85 * raw / sum(raw) OVER () + 0.15 / 11, 6) AS weight FROM g)"""
+_SIGNALS = f"WITH {LEDGER_SQL}, {_HISTORY}"
 
 
 @query(f"WITH {LEDGER_SQL} SELECT count(*) AS events, count_if(kind = 'OBSERVATION')::BIGINT AS observations, count_if(kind = 'CHANGE')::BIGINT AS changes, count_if(kind = 'OUTCOME')::BIGINT AS outcomes, count_if(kind = 'OBSERVATION' AND NOT coalesce(pass, false))::BIGINT AS failures, count_if(kind = 'OBSERVATION' AND evidence_class = 'REAL_MODEL')::BIGINT AS real, count_if(kind = 'OBSERVATION' AND evidence_class = 'SYNTHETIC')::BIGINT AS synthetic, count(DISTINCT model_id) AS models FROM ledger")
@@ -35,8 +56,7 @@ def failure_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PATTERNS + f" SELECT {_TARGET} AS target, n, concat(stage, '|', code, '|', layer) AS pattern FROM p ORDER BY n DESC, pattern LIMIT 1")
 def next_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK-05, SF-46: the most frequent pattern and what it suggests to work on."""
-    p = L.failure_patterns(L.real_failures(ledger(spark, sf_dir)))
-    return p.select(L.target(F.col("code"), F.col("stage")).alias("target"), "n", F.concat_ws("|", "stage", "code", "layer").alias("pattern")).orderBy(F.desc("n"), "pattern").limit(1)
+    return L.focus(L.real_failures(ledger(spark, sf_dir)), 1).select("target", "n", "pattern")
 
 
 @query(f"WITH {LEDGER_SQL} SELECT candidate_id, count(*) AS n, round(avg({_DELTA}), 9) AS mean, round(max({_DELTA}), 9) AS best, round(min({_DELTA}), 9) AS worst FROM ledger WHERE kind = 'OUTCOME' GROUP BY candidate_id")
@@ -60,15 +80,30 @@ def profile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WEIGHTS + " SELECT * FROM w")
 def exploration_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-48, AG-49, SF-47: how likely each kind of change is to be tried next."""
-    return L.exploration_weights(L.real_failures(ledger(spark, sf_dir)))
+    own = ledger(spark, sf_dir)
+    return L.exploration_weights(L.real_failures(own), L.historical_signals(own))
+
+
+@query(
+    _WEIGHTS + """, o AS (SELECT mutation, row_number() OVER (ORDER BY weight DESC, mutation) AS place FROM w), z AS (SELECT o.*, (SELECT target FROM top ORDER BY n DESC, concat(stage, '|', code, '|', layer) LIMIT 1) AS t FROM o WHERE place <= 4)
+SELECT CAST(place AS INTEGER) AS place, mutation, CASE WHEN mutation = 'LAYOUT' AND t IN ('T2_NAVIGATION', 'ROSETTA_TO_T2_ROUTE') THEN 'T1_TO_T2_ENTRY_ROUTE' WHEN mutation = 'PROMPT' AND t IN ('T2_NAVIGATION', 'ROSETTA_TO_T2_ROUTE') THEN 'ROSETTA.S2.READ_SUPERINDEX' WHEN mutation = 'REDUNDANCY' AND t = 'T2_NAVIGATION' THEN 'T2_ENTRY_MARKER' ELSE t END AS field,
+CASE WHEN mutation = 'LAYOUT' THEN CASE WHEN t IN ('T2_NAVIGATION', 'ROSETTA_TO_T2_ROUTE') THEN 'EXPLICIT_DIRECTIONAL_ANCHOR' ELSE 'LOCALIZE_FAILURE_TARGET_REGION' END WHEN mutation = 'PROMPT' THEN CASE WHEN t IN ('T2_NAVIGATION', 'ROSETTA_TO_T2_ROUTE') THEN 'DECLARE_T2_LOCATION_BEFORE_DECODE' ELSE 'SHORT_EXPLICIT_PROTOCOL_INSTRUCTION' END
+WHEN mutation = 'REDUNDANCY' THEN CASE WHEN t = 'T2_NAVIGATION' THEN 'REPEAT_AT_BOOT_AND_ROSETTA' ELSE 'BOUNDED_REDUNDANT_ANCHOR' END WHEN mutation = 'CHANNEL_ROLE' THEN 'DEDICATED_SEMANTIC_ROUTING_ROLE' WHEN mutation = 'PRIMITIVE' THEN 'DISTINCT_FAILURE_TARGET_PRIMITIVE' WHEN mutation = 'TEMPORAL_STRUCTURE' THEN 'EXPLICIT_PHASE_EVENT_CHECKPOINT_STRUCTURE'
+WHEN mutation = 'COLOR_USAGE' THEN 'HIGH_CONTRAST_ROLE_SEPARATION' END AS value FROM z"""
+)
+def suggested_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SF-47: what the likeliest kinds of change are to set."""
+    own = ledger(spark, sf_dir)
+    failures = L.real_failures(own)
+    return L.suggestions(failures, L.exploration_weights(failures, L.historical_signals(own)))
 
 
-@query(_WEIGHTS + ", c AS (SELECT DISTINCT candidate_id, mutation FROM ledger WHERE kind = 'CHANGE'), m AS (SELECT candidate_id, count(DISTINCT concat(mutation, event_id % 3)) AS mutations FROM ledger WHERE kind = 'CHANGE' GROUP BY 1), s AS (SELECT candidate_id, round(greatest(0.0, avg(weight) - 0.02 * (any_value(mutations) - 1)), 6) AS priority FROM c JOIN w USING (mutation) JOIN m USING (candidate_id) GROUP BY candidate_id) SELECT candidate_id, priority, CAST(row_number() OVER (ORDER BY priority DESC, candidate_id) AS INTEGER) AS place FROM s")
+@query(_WEIGHTS + ", c AS (SELECT DISTINCT candidate_id, mutation FROM ledger WHERE kind = 'CHANGE'), m AS (SELECT candidate_id, count(DISTINCT concat(mutation, event_id % 3)) AS mutations FROM ledger WHERE kind = 'CHANGE' GROUP BY 1), q AS (SELECT candidate_id, round(greatest(0.0, avg(weight) - 0.02 * (any_value(mutations) - 1)), 6) AS priority FROM c JOIN w USING (mutation) JOIN m USING (candidate_id) GROUP BY candidate_id) SELECT candidate_id, priority, CAST(row_number() OVER (ORDER BY priority DESC, candidate_id) AS INTEGER) AS place FROM q")
 def candidate_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK-06, WN-07, SP-22: candidates in the order in which to try them."""
     own = ledger(spark, sf_dir)
     tried = own.where("kind = 'CHANGE'").select("candidate_id", "mutation", (F.col("event_id") % 3).alias("v")).distinct()
-    return L.queue(tried.select("candidate_id", "mutation"), L.exploration_weights(L.real_failures(own)))
+    return L.queue(tried.select("candidate_id", "mutation"), L.exploration_weights(L.real_failures(own), L.historical_signals(own)))
 
 
 @query(_SIGNALS + " SELECT * FROM s")

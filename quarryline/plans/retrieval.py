@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
+from quarryline.operators import comparison as C
 from quarryline.operators import retrieval as R
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import read
+from quarryline.sources.shared import written
 
 TERMS = ["aile", "heer", "onation", "ther", "thereon"]
 _STOP = ", ".join(f"'{w}'" for w in X.INDEX_STOP)
@@ -38,8 +40,8 @@ def _own(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {POSTINGS}, q(term) AS (VALUES {_WANT}) SELECT block_id, 3 * count(*) AS score, count(*) AS matched FROM postings JOIN q USING (term) GROUP BY block_id ORDER BY score DESC, block_id LIMIT 20")
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-01, SF-02, AG-27, JN-07, TK-01, TK-02: ranked search by an inverted index."""
-    return R.ranked(postings(spark, sf_dir), _own(spark), 20)
+    """SF-01, SF-02, AG-27, JN-07, TK-01, TK-02: ranked search by the postings of the query's terms."""
+    return R.ranked(R.matched(blocks(spark, sf_dir), TERMS), _own(spark), 20)
 
 
 @query(f"WITH {POSTINGS} SELECT term, count(*) AS df FROM postings GROUP BY term ORDER BY df DESC, term LIMIT 512")
@@ -51,7 +53,7 @@ def inverted_index_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GRAPH} SELECT src, dst, weight, CAST(rank AS INTEGER) AS rank FROM graph")
 def term_cooccurrence_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-09, WN-01, WN-02: the term graph."""
-    return R.term_graph(postings(spark, sf_dir))
+    return R.term_graph(written(postings(spark, sf_dir), "postings"))
 
 
 @query(
@@ -60,7 +62,7 @@ def term_cooccurrence_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_expand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-08, ST-01, TK-01: search with the graph's neighbours added to the query."""
-    own = postings(spark, sf_dir)
+    own = written(postings(spark, sf_dir), "postings")  # read for the frequencies, the graph and the ranking
     return R.ranked(own, R.expanded(own, TERMS), 32)
 
 
@@ -77,7 +79,7 @@ _HITS = f"WITH RECURSIVE {POSTINGS}, q(term) AS (VALUES {_WANT}), h AS MATERIALI
 def retrieval_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-10, SF-38, SP-01: ranked search, then blocks packed greedily under a token budget."""
     own = blocks(spark, sf_dir)
-    hits = R.ranked(R.postings(own), _own(spark), 80)
+    hits = R.ranked(R.matched(own, TERMS), _own(spark), 80)
     # the costs and content ids of the few hits only
     costed = R.with_cost(own.join(F.broadcast(hits.select("block_id")), "block_id", "left_semi"))
     return R.packed(costed.join(F.broadcast(hits), "block_id"), 6000, 20, [F.desc("score"), F.col("block_id")])
@@ -90,7 +92,7 @@ def retrieval_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def route_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The routing step of a query: which share of its terms each scope covers, and the depth that follows."""
     own = blocks(spark, sf_dir)
-    hit = R.postings(own).where(F.col("term").isin(TERMS)).join(own.select("block_id", "source"), "block_id").select("term", "source").distinct()
+    hit = own.select("source", F.explode(F.array_intersect(X.words(F.col("text")), X.literals(TERMS))).alias("term")).distinct()
     u = 1 - F.col("covered") / float(len(TERMS))
     out = hit.groupBy("source").agg(F.count("*").alias("covered"))
     return out.select("source", "covered", F.round(F.col("covered") / float(len(TERMS)), 6).alias("coverage"), F.round(u, 6).alias("uncertainty"), F.when(u > 0.6, 3).when(u > 0.25, 2).otherwise(1).alias("depth"))
@@ -111,18 +113,27 @@ def block_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {POSTINGS}, qs AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: trim(w, '.,;:!?¿()[]{{}}\"''')), lambda w: strlen(w) > 3 AND w NOT IN ({', '.join(repr(w) for w in X.SCOUT_STOP)}))) AS ws FROM conversations WHERE turn = 0), "
-    "c AS (SELECT block_id, term FROM (SELECT block_id, term, row_number() OVER (PARTITION BY block_id ORDER BY term) AS n FROM postings) WHERE n <= 64), "
-    "w AS (SELECT conv_id, unnest(ws) AS term FROM qs), s AS (SELECT conv_id, block_id, count(*) AS overlap FROM w JOIN c USING (term) GROUP BY ALL) "
-    "SELECT conv_id, block_id AS page, overlap FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, block_id) AS n FROM s) WHERE n = 1"
+    f"WITH {POSTINGS}, qs AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: trim(w, '.,;:!?¿()[]{{}}\"''')), lambda w: strlen(w) > 3 AND w NOT IN ({', '.join(repr(w) for w in X.SCOUT_STOP)}))) AS ws FROM conversations WHERE conv_id % 20 = 0), "
+    "w AS (SELECT conv_id, turn, unnest(ws) AS term FROM qs), s AS (SELECT conv_id, turn, block_id, count(*) AS overlap FROM w JOIN postings USING (term) GROUP BY ALL) "
+    "SELECT conv_id, turn, block_id AS page, overlap FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY overlap DESC, block_id) AS n FROM s) WHERE n = 1"
 )
 def page_scout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-21, SF-26: the page whose cover terms a question shares most, the lowest page on ties, none without overlap.
+    """JN-21, SF-26: the page that shares most terms with a question, the lowest page on ties, none without overlap.
 
-    A page's cover is its first 64 terms; questions meet covers by term, not by pairs, and the best is a maximum, so nothing is gathered.
+    Questions are all turns of the dialogues whose id 20 divides, held in blocks against all terms of all pages.
     """
-    asked = read(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.explode(X.keywords(F.col("text"), 3, X.SCOUT_STOP, ".,;:!?¿()[]{}\"'")).alias("term"))
-    own = postings(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("block_id").orderBy("term"))).where("n <= 64")
-    hits = asked.join(own.select("term", "block_id"), "term").groupBy("conv_id", "block_id").agg(F.count("*").alias("overlap"))
-    best = F.max(F.struct(F.col("overlap"), (-F.col("block_id")).alias("b")))
-    return hits.groupBy("conv_id").agg(best.alias("m")).select("conv_id", (-F.col("m.b")).alias("page"), "m.overlap")
+    asked = read(spark, sf_dir, "conversations").where("conv_id % 20 = 0")
+    asked = asked.select(F.struct("conv_id", "turn").alias("question"), F.explode(X.keywords(F.col("text"), 3, X.SCOUT_STOP, ".,;:!?¿()[]{}\"'")).alias("term"))
+    best = C.best_overlap(asked, postings(spark, sf_dir).withColumnRenamed("block_id", "page"))
+    return best.select("question.conv_id", "question.turn", "page", "overlap")
+
+
+@query(
+    f"WITH RECURSIVE {GRAPH.replace('postings AS (', 'postings AS MATERIALIZED (', 1).replace('graph AS (', 'graph AS MATERIALIZED (', 1)}, q(term) AS (VALUES {_WANT}), p(start, term, depth) AS (SELECT term, term, 0 FROM q UNION SELECT start, dst, depth + 1 FROM p JOIN graph ON src = p.term WHERE depth < 2), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term) "
+    "SELECT start, term, CAST(min(depth) AS BIGINT) AS depth, any_value(df) AS df FROM p JOIN df USING (term) WHERE term <> start GROUP BY start, term"
+)
+def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-10, SP-50: the terms within two links of each query term in the term graph, each at its least distance (breadth first, where the source walks depth first), with their document frequencies."""
+    own = written(postings(spark, sf_dir), "postings")
+    near = R.neighbours(R.term_graph(own), _own(spark), 2)
+    return near.join(R.document_frequency(own), "term").select("start", "term", "depth", "df")

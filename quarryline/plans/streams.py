@@ -40,10 +40,15 @@ def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query()
+_NEXT = "CASE WHEN pass THEN CASE phase WHEN 'CANDIDATE' THEN 'SHADOW' WHEN 'SHADOW' THEN 'ACTIVE' WHEN 'DEGRADED' THEN 'ACTIVE' ELSE phase END ELSE CASE phase WHEN 'ACTIVE' THEN 'DEGRADED' WHEN 'SHADOW' THEN 'CANDIDATE' WHEN 'DEGRADED' THEN 'RETIRED' ELSE phase END END"
+
+
+@query(
+    f"WITH RECURSIVE {LEDGER_SQL}, r AS MATERIALIZED (SELECT concat(model_id, '/', question_id) AS worker, pass, row_number() OVER (PARTITION BY model_id, question_id ORDER BY event_id) AS n FROM ledger WHERE pass IS NOT NULL), "
+    f"s(worker, n, phase, moves) AS (SELECT DISTINCT worker, 0::BIGINT, 'CANDIDATE', 0::BIGINT FROM r UNION ALL SELECT worker, n, {_NEXT}, moves + CAST({_NEXT} <> phase AS BIGINT) FROM (SELECT s.worker, r.n, pass, phase, moves FROM s JOIN r ON r.worker = s.worker AND r.n = s.n + 1)) "
+    "SELECT worker, max_by(phase, n) AS phase, max(moves) AS moves FROM s GROUP BY worker"
+)
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM-04, SP-45: each worker's phase, moved by its successes and failures."""
-    path = new_path(spark, "phases")
-    own = select(events(spark, sf_dir), LEDGER).where("pass IS NOT NULL").select(F.col("model_id").alias("worker"), "pass", F.col("event_id").alias("seq"))
-    A.lifecycle(own).writeStream.outputMode("update").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(path)).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    """SM-04, SP-45: the phase of each worker, a model on a question, moved by its successes and failures."""
+    own = select(events(spark, sf_dir), LEDGER).where("pass IS NOT NULL").select(F.concat_ws("/", "model_id", "question_id").alias("worker"), "pass", F.col("event_id").alias("seq"))
+    return A.lifecycle(own, new_path(spark, "phases"), new_path(spark, "offsets"))

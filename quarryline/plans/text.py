@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import numeric as N
 from quarryline.functions import text as X
+from quarryline.operators import comparison as C
 from quarryline.operators import grounding as G
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import read
@@ -38,24 +39,29 @@ def question_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORE = (
-    "WITH p AS (SELECT a.conv_id, b.text AS answer, a.text AS content FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1), "
-    f"k AS (SELECT *, {_KEYS % 'content'} AS keys_, len(list_filter(string_split_regex(answer, '\\s+'), lambda w: w <> '')) AS na, len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) AS nc FROM p), "
+    "WITH p AS (SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS content FROM conversations), "
+    f"k AS (SELECT *, {_KEYS % 'content'} AS keys_, len(list_filter(string_split_regex(answer, '\\s+'), lambda w: w <> '')) AS na, len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) AS nc FROM p WHERE content IS NOT NULL), "
     "m AS (SELECT *, len(keys_) AS total, len(list_filter(keys_, lambda w: contains(lower(answer), w))) AS matched FROM k) "
-    "SELECT conv_id, CAST(total AS BIGINT) AS total, CAST(matched AS BIGINT) AS matched, round(CASE WHEN total = 0 THEN 0.5 ELSE (matched / total * 0.4 + CASE WHEN na = 0 THEN 0.0 WHEN na < nc // 10 THEN 0.6 WHEN na > nc * 2 THEN 0.7 ELSE 1.0 END * 0.3 + CASE WHEN matched = 0 THEN 0.3 ELSE 0.8 END * 0.3) * 0.8 + 0.1 END, 6) AS score FROM m"
+    "SELECT conv_id, turn, CAST(total AS BIGINT) AS total, CAST(matched AS BIGINT) AS matched, round(CASE WHEN total = 0 THEN 0.5 ELSE (matched / total * 0.4 + CASE WHEN na = 0 THEN 0.0 WHEN na < nc // 10 THEN 0.6 WHEN na > nc * 2 THEN 0.7 ELSE 1.0 END * 0.3 + CASE WHEN matched = 0 THEN 0.3 ELSE 0.8 END * 0.3) * 0.8 + 0.1 END, 6) AS score FROM m"
 )
 
 
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, content, answer): each turn with the one before it."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", before.alias("content"), F.col("text").alias("answer")).where("content IS NOT NULL")
+
+
 @query(_SCORE)
 def keyword_overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-18: an answer's score by the content's keywords, its length and a flexibility of 0.8."""
-    c = read(spark, sf_dir, "conversations")
-    p = c.where("turn = 0").select("conv_id", F.col("text").alias("content")).join(c.where("turn = 1").select("conv_id", F.col("text").alias("answer")), "conv_id")
+    """SF-18: each turn's score as an answer to the one before: by that one's keywords, its length and a flexibility of 0.8."""
+    p = answered(spark, sf_dir)
     n = lambda col: F.size(F.filter(F.split(col, r"\s+"), lambda w: w != ""))
     p = p.withColumns({"keys": X.keywords(F.col("content")), "na": n("answer"), "nc": n("content")})
     p = p.withColumns({"total": F.size("keys"), "matched": F.size(F.filter("keys", lambda w: F.contains(F.lower("answer"), w)))})
     length = F.when(F.col("na") == 0, 0.0).when(F.col("na") < F.floor(F.col("nc") / 10), 0.6).when(F.col("na") > F.col("nc") * 2, 0.7).otherwise(1.0)
     raw = F.col("matched") / F.col("total") * 0.4 + length * 0.3 + F.when(F.col("matched") == 0, 0.3).otherwise(0.8) * 0.3
-    return p.select("conv_id", F.col("total").cast("long").alias("total"), F.col("matched").cast("long").alias("matched"), F.round(F.when(F.col("total") == 0, 0.5).otherwise(raw * 0.8 + 0.1), 6).alias("score"))
+    return p.select("conv_id", "turn", F.col("total").cast("long").alias("total"), F.col("matched").cast("long").alias("matched"), F.round(F.when(F.col("total") == 0, 0.5).otherwise(raw * 0.8 + 0.1), 6).alias("score"))
 
 
 @query("WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'No estoy muy SEGURO ' WHEN 1 THEN 'Definitivamente ' WHEN 2 THEN 'parece que ' ELSE '' END || text AS t FROM conversations) SELECT conv_id, turn, CASE WHEN contains(lower(t), 'no sé') OR (contains(lower(t), 'no estoy') AND contains(lower(t), 'seguro')) THEN 0.4 WHEN regexp_matches(lower(t), 'seguro|definitivamente') THEN 0.9 WHEN regexp_matches(lower(t), 'probablemente|parece') THEN 0.6 ELSE 0.7 END::DOUBLE AS confidence FROM c")
@@ -95,12 +101,48 @@ def unsupported_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("conv_id", "turn", F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 2) & ~F.contains("evidence", x)))), ",").alias("missing"))
 
 
-@query()
+def _listed(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _any(n: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({n}, ' {w} ')" for w in words) + ")"
+
+
+_PARTS = r"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(%s, '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '[.!?;\n]'), lambda p: regexp_replace(replace(p, chr(1), '.'), '^\s+|\s+$', '', 'g')), lambda p: p <> '')"
+_NORM = r"' ' || trim(regexp_replace(regexp_replace(lower(%s), '[^\p{L}\p{Nd}%%.,\-\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' '"
+_STEM = "CASE " + " ".join(f"WHEN strlen(w) > {len(x) + 3} AND suffix(w, '{x}') THEN left(w, length(w) - {len(x)})" for x in G.SUFFIXES) + " ELSE w END"
+_TERMS = f"list_distinct(list_filter(list_transform(list_filter(string_split(%s, ' '), lambda w: w <> ''), lambda w: {_STEM}), lambda w: strlen(w) >= 2 AND w NOT IN ({_listed(G.STOP)})))"
+_NUMBERS = r"list_sort(list_transform(regexp_extract_all(%s, '[-+]?[0-9]+(?:[.,][0-9]+)?%%?'), lambda x: regexp_replace(regexp_replace(regexp_replace(replace(rtrim(x, '%%'), ',', '.'), '^(-?)0+([0-9])', '\1\2'), '(\.[0-9]*?)0+$', '\1'), '\.$', '') || CASE WHEN suffix(x, '%%') THEN '%%' ELSE '' END))"
+_QUANTIFIER = "CASE " + " ".join(f"WHEN {_any('%s', w.split())} THEN '{q}'" for q, w in G.QUANTIFIERS) + " END"
+_OPPOSED = " OR ".join(f"contains(c, ' {x} ') AND contains(e, ' {y} ') OR contains(c, ' {y} ') AND contains(e, ' {x} ')" for x, y in G.ANTONYMS)
+_GROUND = f"""
+WITH f AS (SELECT doc_id, text, trim(split_part(text, '.', 1)) AS s FROM documents),
+x AS (SELECT conv_id, turn, concat(c.text, '. ', CASE turn % 3 WHEN 0 THEN 'not ' || s WHEN 1 THEN s || ' in 1999' ELSE s END) AS answer, concat(s, ' in 2001. ', f.text) AS evidence FROM conversations c JOIN f ON doc_id = conv_id),
+cl AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS k, unnest(p) AS claim FROM (SELECT conv_id, turn, {_PARTS % 'answer'} AS p FROM x)),
+sp AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS place, unnest(p) AS span FROM (SELECT conv_id, turn, {_PARTS % 'evidence'} AS p FROM x)),
+ct AS (SELECT conv_id, turn, k, c, {_TERMS % 'c'} AS t FROM (SELECT conv_id, turn, k, {_NORM % 'claim'} AS c FROM cl)),
+st AS (SELECT conv_id, turn, place, n, {_TERMS % 'n'} AS t FROM (SELECT conv_id, turn, place, {_NORM % 'span'} AS n FROM sp)),
+m AS (SELECT conv_id, turn, k, c, n AS e, CASE WHEN len(ct.t) > 0 THEN len(list_intersect(ct.t, coalesce(st.t, []))) / len(ct.t) ELSE 0 END AS alignment, place FROM ct LEFT JOIN st USING (conv_id, turn)),
+b AS (SELECT conv_id, turn, k, c, coalesce(e, '  ') AS e, alignment FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, k ORDER BY alignment DESC, place) AS r FROM m) WHERE r = 1),
+q AS (SELECT *, {_NUMBERS % 'c'} AS nc, {_NUMBERS % 'e'} AS ne, {_QUANTIFIER.replace('%s', 'c')} AS qc, {_QUANTIFIER.replace('%s', 'e')} AS qe FROM b),
+v AS (SELECT conv_id, turn, alignment, CASE WHEN alignment < 0.45 THEN 'LOW_ALIGNMENT' WHEN len(nc) > 0 AND len(nc) = len(ne) AND nc <> ne THEN 'NUMERIC' WHEN {_any('c', G.NEGATIVE)} <> {_any('e', G.NEGATIVE)} THEN 'POLARITY'
+  WHEN qc <> qe AND (qc = 'NEVER' OR qe = 'NEVER') THEN 'QUANTIFIER' WHEN {_OPPOSED} THEN 'ANTONYM' WHEN alignment >= 0.70 THEN 'SUPPORTED' ELSE 'ALIGNED' END AS reason FROM q),
+g AS (SELECT conv_id, turn, count(*) AS claims, avg(round(alignment, 6)) AS mean, count_if(reason <> 'LOW_ALIGNMENT') AS covered, count_if(reason IN ('NUMERIC', 'POLARITY', 'QUANTIFIER', 'ANTONYM')) AS against, count_if(reason = 'SUPPORTED') AS good FROM v GROUP BY ALL),
+d AS (SELECT *, CASE WHEN against > 0 THEN 'CONTRADICTED' WHEN covered = 0 THEN 'UNKNOWN' WHEN good = claims THEN 'SUPPORTED' WHEN covered < claims THEN 'INSUFFICIENT' ELSE 'UNKNOWN' END AS verdict FROM g)
+SELECT conv_id, turn, verdict, round(CASE WHEN against > 0 THEN 1.0 WHEN covered = 0 THEN 0.0 WHEN verdict = 'INSUFFICIENT' THEN covered / claims ELSE mean END, 6) AS confidence, round(covered / claims, 6) AS coverage, claims FROM d
+"""
+
+
+@query(_GROUND)
 def grounding_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-09 to SF-17, JN-12: benchmark items, some changed, verified against documents of the same number."""
-    b = read(spark, sf_dir, "benchmark")
-    changed = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("not "), F.col("text"))).when(F.col("item_id") % 3 == 1, F.concat("text", F.lit(" in 1999"))).otherwise(F.col("text"))
-    return G.verdicts(b.select(F.col("item_id").alias("id"), changed.alias("answer"), F.concat(F.regexp_replace("text", r"\.", ". "), F.lit(" in 2001")).alias("evidence")))
+    """SF-09 to SF-17, JN-12: each turn, and a changed sentence of a document, verified against that document's whole text."""
+    s = F.trim(F.substring_index("text", ".", 1))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), s.alias("s"), F.concat(s, F.lit(" in 2001. "), "text").alias("evidence"))
+    c = read(spark, sf_dir, "conversations").join(d, "conv_id")
+    changed = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("not "), "s")).when(F.col("turn") % 3 == 1, F.concat("s", F.lit(" in 1999"))).otherwise(F.col("s"))
+    r = G.verdicts(c.select(F.struct("conv_id", "turn").alias("id"), F.concat("text", F.lit(". "), changed).alias("answer"), "evidence"))
+    return r.select("id.conv_id", "id.turn", "verdict", "confidence", "coverage", "claims")
 
 
 _TRI = r"list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i : i + 2], ' ')))"
@@ -112,12 +154,10 @@ _TRI = r"list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda
 )
 def trigram_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-08, JN-20: benchmark items of whose word triples a document has half or more."""
-    bt = read(spark, sf_dir, "benchmark").select("item_id", F.explode(X.trigrams(F.col("text"))).alias("t"))
-    total = bt.groupBy("item_id").agg(F.count("*").alias("total"))
-    dt = read(spark, sf_dir, "documents").select("doc_id", F.explode(X.trigrams(F.col("text"))).alias("t"))
-    hit = dt.join(bt, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).join(total, "item_id")
-    share = F.col("shared") / F.col("total")
-    return hit.where(share >= 0.5).select("item_id", "doc_id", "shared", "total", F.round(share, 6).alias("share"))
+    items = read(spark, sf_dir, "benchmark").select("item_id", X.trigrams(F.col("text")).alias("t"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", X.trigrams(F.col("text")).alias("t"))
+    hit = C.contained(docs, items, 0.5)
+    return hit.select("item_id", "doc_id", "shared", "total", F.round("share", 6).alias("share"))
 
 
 @query(
@@ -154,14 +194,15 @@ def hop_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH a AS (SELECT conv_id, list(DISTINCT role || ':' || substr(text, 1, 1)) FILTER (WHERE turn < 2) AS want, list(DISTINCT role || ':' || substr(text, 1, 1)) FILTER (WHERE turn >= 2) AS got FROM conversations GROUP BY conv_id), b AS (SELECT conv_id, coalesce(want, []) AS want, coalesce(got, []) AS got FROM a) SELECT conv_id, round(CASE WHEN len(want) = 0 THEN 1 ELSE len(list_intersect(want, got)) / len(want) END, 6) AS preserved, round(CASE WHEN len(got) = 0 THEN 0 ELSE (len(got) - len(list_intersect(got, want))) / len(got) END, 6) AS invented FROM b"
+    r"WITH t AS (SELECT conv_id, turn, unnest(list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'), lambda w: concat_ws(':', role, w)))) AS atom FROM conversations), "
+    "a AS (SELECT conv_id, atom, bool_or(turn < 2) AS want, bool_or(turn >= 2) AS got FROM t GROUP BY ALL) "
+    "SELECT conv_id, round(coalesce(count_if(want AND got) / nullif(count_if(want), 0), 1), 6) AS preserved, round(coalesce(count_if(got AND NOT want) / nullif(count_if(got), 0), 0), 6) AS invented FROM a GROUP BY conv_id"
 )
 def semantic_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-42, ST-04, ST-09, SP-34, SP-35: atoms kept and invented between two states."""
-    atom = F.concat_ws(":", "role", F.substring("text", 1, 1))
-    a = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set(F.when(F.col("turn") < 2, atom)).alias("want"), F.collect_set(F.when(F.col("turn") >= 2, atom)).alias("got"))
-    kept = F.size(F.array_intersect("want", "got"))
-    return a.select("conv_id", F.round(F.when(F.size("want") == 0, 1.0).otherwise(kept / F.size("want")), 6).alias("preserved"), F.round(F.when(F.size("got") == 0, 0.0).otherwise(F.size(F.array_except("got", "want")) / F.size("got")), 6).alias("invented"))
+    """AG-42, ST-04, ST-09, SP-34, SP-35: atoms, all words of each role, kept and invented between a dialogue's first two turns and the rest."""
+    atom = F.explode(F.array_distinct(F.transform(X.words(F.col("text")), lambda w: F.concat_ws(":", F.col("role"), w)))).alias("atom")
+    late = F.col("turn") >= 2
+    return C.preserved(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), late.alias("late"), atom)).withColumnRenamed("key", "conv_id")
 
 
 @query(r"SELECT doc_id, regexp_extract(a, '^store://carrier/docs/([^/]+)/', 1) AS doc, CAST(regexp_extract(a, '/pages/([0-9]{6})', 1) AS BIGINT) AS page, coalesce(TRY_CAST(nullif(regexp_extract(a, '/blocks/([0-9]{4})$', 1), '') AS BIGINT), -1) AS block, regexp_full_match(a, 'store://carrier/(docs/[^/]+/)?pages/[0-9]{6}(/blocks/[0-9]{4})?') AS valid FROM (SELECT doc_id, concat('store://carrier/docs/', source, '/pages/', lpad(CAST(doc_id AS VARCHAR), 6, '0'), CASE WHEN doc_id % 2 = 0 THEN concat('/blocks/', lpad(CAST(doc_id % 100 AS VARCHAR), 4, '0')) ELSE '' END) AS a FROM documents)")

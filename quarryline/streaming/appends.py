@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
+from quarryline.functions.text import repetition_shape
 from quarryline.operators.ledger import summary
+from quarryline.sources.shared import written
 from quarryline.sources.stores import append_ledger
 
 
@@ -43,39 +43,92 @@ def windowed(events: DataFrame, size: str = "1 day", delay: str = "2 days") -> D
     return events.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+#: Places of an order that are merged in one group, at most.
+WIDTH = 4_096
+
+
+def folded(rows: DataFrame, key: str, seq: str, value: str, merge: Callable[[Column], Column]) -> DataFrame:
+    """(key, value): a key's values merged in the order of seq, ties by value. merge makes one value of an array of them and is associative.
+
+    Ranges of WIDTH places are merged first, then ranges of ranges, until each key is one: no group holds more rows than
+    WIDTH places have, however many a key has.
+    """
+    ends = rows.agg(F.min(seq).alias("a"), F.max(seq).alias("b")).first()
+    low, span = ends["a"] or 0, (ends["b"] or 0) - (ends["a"] or 0)
+    rows = rows.select(F.col(key).alias("key"), (F.col(seq) - low).alias("seq"), F.col(value).alias("value"))
+    while True:
+        listed = rows.groupBy("key", F.floor(F.col("seq") / WIDTH).alias("range")).agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("l"))
+        rows = written(listed.select("key", F.col("range").alias("seq"), merge(F.transform("l", lambda x: x["value"])).alias("value")), "folds")
+        span //= WIDTH
+        if span == 0:
+            return rows.select(F.col("key").alias(key), F.col("value").alias(value))
+
+
+def kept(stream: DataFrame, path: str, checkpoint: str, update: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """Runs a stream to its end; update makes the whole new state of a batch and the state before it. Returns the last state.
+
+    A state is written under its batch's number, so a batch that is replayed writes the same state again.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{path}/batch={number - 1}") if number else None
+        update(batch, before).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    every = stream.sparkSession.read.parquet(path)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+
+
 PHASES = ["CANDIDATE", "SHADOW", "ACTIVE", "DEGRADED", "RETIRED"]
 _UP = {"CANDIDATE": "SHADOW", "SHADOW": "ACTIVE", "DEGRADED": "ACTIVE"}
 _DOWN = {"ACTIVE": "DEGRADED", "SHADOW": "CANDIDATE", "DEGRADED": "RETIRED"}
 
 
-def lifecycle(events: DataFrame) -> DataFrame:
-    """(worker, phase, moves) of a stream (worker, pass): a success moves a worker up, a failure down, RETIRED is for good.
+def _moves(by: dict[str, str]) -> Column:
+    """What one outcome makes of each phase: the next phase's place, and whether that is a move."""
+    return F.array(*[F.struct(F.lit(PHASES.index(by.get(p, p))).alias("to"), F.lit(int(p in by)).cast("long").alias("moves")) for p in PHASES])
+
 
-    A worker's state is its phase and a count; rows of a batch apply in the order of seq.
+def _composed(maps: Column) -> Column:
+    """The moves of several outcomes, one after the other."""
+    after = lambda e, m: F.element_at(m, e["to"] + 1)
+    return F.aggregate(maps, _moves({}), lambda acc, m: F.transform(acc, lambda e: F.struct(after(e, m)["to"].alias("to"), (e["moves"] + after(e, m)["moves"]).alias("moves"))))
+
+
+def lifecycle(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """(worker, phase, moves) after a stream (worker, pass, seq): a success moves a worker up, a failure down, RETIRED is for good.
+
+    Rows of a batch apply in the order of seq. An outcome is a map of the five phases; maps compose, so a worker's rows are
+    folded by ranges before the one map that is left meets its state.
     """
 
-    def move(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        phase, moves = state.get if state.exists else ("CANDIDATE", 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for ok in rows["pass"]:
-            to = (_UP if ok else _DOWN).get(phase, phase) if phase != "RETIRED" else phase
-            moves += to != phase
-            phase = to
-        state.update((phase, int(moves)))
-        yield pd.DataFrame({"worker": [key[0]], "phase": [phase], "moves": [int(moves)]})
+    def update(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        rows = batch.select("worker", "seq", F.when(F.col("pass"), _moves(_UP)).otherwise(_moves(_DOWN)).alias("m"))
+        new = folded(rows, "worker", "seq", "m", _composed)
+        old = before if before is not None else new.select("worker", F.lit(PHASES[0]).alias("phase"), F.lit(0).cast("long").alias("moves"))
+        at = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in PHASES]), F.col("phase")).cast("int"), F.lit(1))
+        step = F.coalesce(F.element_at("m", at), F.struct((at - 1).alias("to"), F.lit(0).cast("long").alias("moves")))
+        phase = F.element_at(F.array(*[F.lit(p) for p in PHASES]), step["to"] + 1)
+        return new.join(old, "worker", "full_outer").select("worker", phase.alias("phase"), (F.coalesce("moves", F.lit(0)) + step["moves"]).alias("moves"))
+
+    return kept(events, path, checkpoint, update)
 
-    return events.groupBy("worker").applyInPandasWithState(move, "worker string, phase string, moves long", "phase string, moves long", "update", "NoTimeout")
 
+def guarded(chunks: DataFrame, path: str, checkpoint: str, last: int = 16) -> DataFrame:
+    """(key, n_chunks, degenerate) after a stream of text chunks (key, seq, line): whether a text's last lines repeat one shape; only those lines are kept."""
 
-def guarded(chunks: DataFrame, last: int = 16) -> DataFrame:
-    """(key, n_chunks, degenerate) of a stream of text chunks (key, seq, line): whether a text's last lines repeat one shape; only those lines are kept."""
+    def merged(values: Column) -> Column:
+        lines = F.flatten(F.transform(values, lambda v: v["lines"]))
+        n = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v["n"])
+        return F.struct(n.alias("n"), F.slice(lines, F.greatest(F.size(lines) - last, F.lit(0)) + 1, last).alias("lines"))
 
-    def add(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, kept = state.get if state.exists else (0, [])
-        rows = pd.concat(list(batches)).sort_values("seq")
-        shapes = rows["line"].str.replace(r"[0-9]", "#", regex=True).str.replace(r"\s+", " ", regex=True).str.strip()
-        kept = [*kept, *[s for s in shapes if s]][-last:]
-        state.update((n + len(rows), kept))
-        yield pd.DataFrame({"key": [key[0]], "n_chunks": [n + len(rows)], "degenerate": [len(kept) == last and len(set(kept)) == 1]})
+    def update(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        shape = repetition_shape(F.col("line"))
+        value = F.struct(F.lit(1).cast("long").alias("n"), F.when(shape != "", F.array(shape)).otherwise(F.array().cast("array<string>")).alias("lines"))
+        new = folded(batch.select("key", "seq", value.alias("v")), "key", "seq", "v", merged)
+        old = before.select("key", F.col("v").alias("w")) if before is not None else new.select("key", F.lit(None).cast(new.schema["v"].dataType).alias("w"))
+        both = F.filter(F.array("w", "v"), lambda v: v.isNotNull())
+        return new.join(old, "key", "full_outer").select("key", merged(both).alias("v"))
 
-    return chunks.groupBy("key").applyInPandasWithState(add, "key string, n_chunks long, degenerate boolean", "n long, kept array<string>", "update", "NoTimeout")
+    state = kept(chunks, path, checkpoint, update)
+    return state.select("key", F.col("v.n").alias("n_chunks"), ((F.size("v.lines") == last) & (F.size(F.array_distinct("v.lines")) == 1)).alias("degenerate"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import numeric as N
 from quarryline.functions import text as X
-from quarryline.operators import checks, claims, gates, graphs, grounding, integrity, ledger, ordering, retrieval, scoring
+from quarryline.operators import checks, claims, comparison, gates, graphs, grounding, integrity, ledger, ordering, retrieval, scoring
 from quarryline.sources import stores
 from quarryline.streaming import appends
 
@@ -131,7 +131,8 @@ def test_claims(spark):
         ("The valve opens at 40 degrees.", "The valve opens at 40 degrees. It is red.", "SUPPORTED"), ("The valve opens at 50 degrees.", "The valve opens at 40 degrees.", "CONTRADICTED"),
         ("The valve does not open at 40 degrees.", "The valve opens at 40 degrees.", "CONTRADICTED"), ("All valves open slowly today.", "Never valves open slowly today.", "CONTRADICTED"),
         ("Pressure increases before start.", "Pressure decreases before start.", "CONTRADICTED"), ("Whales sing in winter.", "The valve opens at 40 degrees.", "UNKNOWN"), ("", "x", "INSUFFICIENT"),
-        ("It costs 2.50 today.", "It costs 2,5 today.", "SUPPORTED"),
+        ("It costs 2.50 today.", "It costs 2,5 today.", "SUPPORTED"), ("Filter be by pump", "Filter pump", "SUPPORTED"), ("It shows -5 degrees", "It shows 5 degrees", "CONTRADICTED"),
+        ("It shows -05.0 degrees", "It shows -5 degrees", "SUPPORTED"),
     ],
 )
 def test_grounding(spark, answer, evidence, verdict):
@@ -139,6 +140,16 @@ def test_grounding(spark, answer, evidence, verdict):
     assert grounding.verdicts(d).first()["verdict"] == verdict
 
 
+def test_grounding_confidence(spark):
+    rows = [
+        (1, "The valve opens at 40 degrees", "The valve opens at 40 degrees", 1.0), (2, "The valve opens at 50 degrees", "The valve opens at 40 degrees", 1.0), (3, "Whales sing", "The valve opens", 0.0), (4, "", "x", 0.0),
+        (5, "The valve opens at 40 degrees. Whales sing", "The valve opens at 40 degrees", 0.5), (6, "The valve opens slowly tonight", "The valve opens", 0.5),
+    ]
+    d = spark.createDataFrame(rows, "id long, answer string, evidence string, want double")
+    got = {r["id"]: r["confidence"] for r in grounding.verdicts(d).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 def test_amplitudes_cancel(spark):
     b = spark.createDataFrame([(1, "A", 0.5, 0.0), (1, "A", -0.5, 0.0), (2, "A", 1.0, 0.0), (2, "B", 1.0, 0.0)], "state_id long, label string, re double, im double")
     s = graphs.interfered(b)
@@ -209,19 +220,88 @@ def test_reports_runs_and_objects(spark, tmp_path):
 
 
 def test_stream_guard_and_lifecycle(spark, tmp_path):
-    def ran(frame, name):
-        q = frame.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
-        return spark.table(name).collect()
-
-    spark.createDataFrame([("k", i, f"line {i}") for i in range(4)] + [("j", 0, "a"), ("j", 1, "b")], "key string, seq long, line string").coalesce(1).write.parquet(str(tmp_path / "chunks"))
-    chunks = spark.readStream.schema("key string, seq long, line string").parquet(str(tmp_path / "chunks"))
-    assert {r["key"]: r["degenerate"] for r in ran(appends.guarded(chunks, 3), "guard")} == {"k": True, "j": False}
-    spark.createDataFrame([("w", True, 1), ("w", True, 2), ("w", False, 3), ("w", False, 4), ("w", True, 5)], "worker string, pass boolean, seq long").coalesce(1).write.parquet(str(tmp_path / "moves"))
-    moves = spark.readStream.schema("worker string, pass boolean, seq long").parquet(str(tmp_path / "moves"))
-    r = ran(appends.lifecycle(moves), "phases")[-1]
-    assert (r["phase"], r["moves"]) == ("RETIRED", 4)
+    def ran(run, rows, schema, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        return {r[0]: r for r in run(stream, str(tmp_path / f"{name}-state"), str(tmp_path / f"{name}-offsets")).collect()}
+
+    guard = lambda s, p, c: appends.guarded(s, p, c, 3)
+    got = ran(guard, [("k", i, f"line {i}") for i in range(4)] + [("j", 0, "a"), ("j", 1, "b")], "key string, seq long, line string", "chunks")
+    assert {k: (r["n_chunks"], r["degenerate"]) for k, r in got.items()} == {"k": (4, True), "j": (2, False)}
+    # what comes later meets what was kept
+    got = ran(guard, [("j", 2, "b"), ("j", 3, "b"), ("i", 9000, "x")], "key string, seq long, line string", "chunks")
+    assert {k: (r["n_chunks"], r["degenerate"]) for k, r in got.items()} == {"k": (4, True), "j": (4, True), "i": (1, False)}
+    rows = [("w", True, 1), ("w", True, 2), ("w", False, 3), ("w", False, 4), ("w", True, 5), ("v", True, 1)]
+    r = ran(appends.lifecycle, rows, "worker string, pass boolean, seq long", "moves")
+    assert (r["w"]["phase"], r["w"]["moves"], r["v"]["phase"]) == ("RETIRED", 4, "SHADOW")
+    r = ran(appends.lifecycle, [("v", True, 6), ("w", True, 7)], "worker string, pass boolean, seq long", "moves")
+    assert (r["w"]["phase"], r["w"]["moves"], r["v"]["phase"], r["v"]["moves"]) == ("RETIRED", 4, "ACTIVE", 2)
+
+
+def test_folds_keep_the_order_whatever_the_ranges(spark, monkeypatch):
+    monkeypatch.setattr(appends, "WIDTH", 3)
+    rows = [("a", 10 * i, f"{i}") for i in range(40)] + [("b", -7, "z"), ("b", -8, "y")]
+    df = spark.createDataFrame(rows, "k string, at long, v string").repartition(5)
+    got = {r["k"]: r["v"] for r in appends.folded(df, "k", "at", "v", lambda vs: F.array_join(vs, ",")).collect()}
+    assert got == {"a": ",".join(str(i) for i in range(40)), "b": "y,z"}
+    assert appends.folded(df.limit(0), "k", "at", "v", lambda vs: F.array_join(vs, ",")).count() == 0
+
+
+def test_cycles_and_missing_producers_raise(spark):
+    nodes = spark.createDataFrame([(i, 1) for i in range(4)], "node long, cost long")
+    ring = spark.createDataFrame([(0, 1), (1, 2), (2, 1), (2, 3)], "src long, dst long")
+    assert {r["node"] for r in graphs.levels(nodes, ring).collect()} == {0}
+    with pytest.raises(graphs.Cyclic):
+        graphs.critical_path(nodes, ring)
+    makes = spark.createDataFrame([("p", "a", 0), ("q", "b", 1), ("q", "c", 0), ("r", "d", 0)], "product string, worker string, rank int")
+    needs = spark.createDataFrame([("a", "q"), ("c", "r"), ("b", "nothing")], "worker string, product string")
+    goal = spark.createDataFrame([("g", "p")], "goal string, product string")
+    assert {(r["worker"], r["depth"]) for r in graphs.resolved(goal, needs, makes).collect()} == {("a", 0), ("c", 1), ("d", 2)}
+    had = spark.createDataFrame([("q",)], "product string")
+    assert {r["worker"] for r in graphs.resolved(goal, needs, makes, had).collect()} == {"a"}
+    with pytest.raises(graphs.MissingProducer):
+        graphs.resolved(goal, needs.unionAll(spark.createDataFrame([("d", "s")], needs.schema)), makes)
+    with pytest.raises(graphs.Cyclic):
+        graphs.resolved(goal, needs.unionAll(spark.createDataFrame([("d", "p")], needs.schema)), makes)
+
+
+def test_goals_deeper_than_any_bound(spark):
+    chain = spark.range(1, 13)
+    makes = chain.selectExpr("id AS product", "id AS worker", "0 AS rank")
+    needs = chain.where("id > 1").selectExpr("id AS worker", "id - 1 AS product")
+    goal = spark.createDataFrame([(0, 12)], "goal long, product long")
+    assert {r["worker"]: r["depth"] for r in graphs.resolved(goal, needs, makes).collect()} == {i: 12 - i for i in range(1, 13)}
+
+
+@pytest.mark.parametrize("code,kinds", [("CODEC_NOT_FOUND", "PROMPT LAYOUT CHANNEL_ROLE REDUNDANCY"), ("CAPABILITY_MISMATCH", "PROMPT CHANNEL_ROLE REDUNDANCY"), ("CHECKPOINT_NOT_FOUND", "TEMPORAL_STRUCTURE LAYOUT REDUNDANCY PROMPT"), ("UNAUTHORIZED_SEMANTIC_DRIFT", "PROMPT LAYOUT REDUNDANCY PRIMITIVE")])
+def test_every_target_keeps_its_mass(spark, code, kinds):
+    cols = "event_id long, stage string, failure_code string, layer string, model_id string, specimen_id string, question_id string"
+    f = spark.createDataFrame([(1, "BOOT", code, "P", "m", "s", "Q1")], cols)
+    w = {r["mutation"]: r["weight"] for r in ledger.exploration_weights(f).collect()}
+    assert sorted(w, key=w.get, reverse=True)[: len(kinds.split())] == kinds.split() and abs(sum(w.values()) - 1) < 1e-4
+    history = spark.createDataFrame([("PROMPT", 9.0)], "mutation string, mean double")
+    swung = {r["mutation"]: r["weight"] for r in ledger.exploration_weights(f, history).collect()}
+    base = lambda x: (x["PROMPT"] - 0.15 / 11) / (x["REDUNDANCY"] - 0.15 / 11)
+    assert abs(base(swung) / base(w) - 1.25) < 1e-3  # outcomes move a kind by a quarter at most
+    assert [r["field"] for r in ledger.suggestions(f, ledger.exploration_weights(f)).collect()][0] == ledger.CODE_TARGET[code]
+
+
+def test_families_and_transport(spark):
+    rows = [("DeepSeek-VL", "auto", "x"), ("my-LFM2", None, ""), ("gpt", "Web", ""), ("QWEN2", "relay", None)]
+    r = spark.createDataFrame(rows, "m string, t string, k string").select(X.model_family(F.col("m")), X.transport_condition(F.col("t"), F.col("k"))).collect()
+    assert [tuple(x) for x in r] == [("DEEPSEEK", "DIRECT_IMAGE_API"), ("LIQUID_AI", "UNKNOWN"), ("UNKNOWN", "PLATFORM_MEDIATED"), ("QWEN", "RELAY")]
+
+
+def test_containment_in_blocks(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"]), (3, [])], "doc_id long, t array<string>")
+    items = spark.createDataFrame([(10, ["a", "b"]), (11, ["c", "x", "y"]), (12, ["a"])], "item_id long, t array<string>")
+    want = {(10, 1, 1.0), (12, 1, 1.0), (10, 2, 0.5), (12, 2, 1.0)}
+    for block in (1_000_000, 2):
+        assert {(r["item_id"], r["doc_id"], r["share"]) for r in comparison.contained(docs, items, 0.5, block).collect()} == want
+    asked = spark.createDataFrame([("q", "a"), ("q", "b"), ("p", "z")], "question string, term string")
+    pages = spark.createDataFrame([(5, "a"), (4, "a"), (4, "b"), (3, "a"), (3, "b")], "page long, term string")
+    for block in (1_000_000, 1):
+        assert [tuple(r) for r in comparison.best_overlap(asked, pages, block).collect()] == [("q", 3, 2)]
 
 
 def test_module_packing(spark):
