@@ -12,7 +12,7 @@ mark their article if there are such. The main text is what fills the article's
 template; if nothing is left the page keeps them all. What tags set aside inside a slot stays out of it.
 Pages of hosts without a root, pages without the root of their host and pages without a host go by their tags.
 Null and empty html give an empty text. Pages are read whole; rows that repeat are rows of their own; an empty table
-gives an empty result.
+gives an empty result; columns beside page_id, url and html aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,16 +30,18 @@ from quarryline.llm.neardup import few
 #: Least tokens of a valid class, and least different articles it stands on.
 TOKENS, PAGES = 3, 3
 
+COUNTED = T.StructType([T.StructField("token", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("n", "first", "last", "mains", "chars")]])
 PARSED = T.StructType([
     T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("chars", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.IntegerType())),
-    T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("marked", T.BooleanType()),
+    T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("marked", T.BooleanType()), T.StructField("counts", T.ArrayType(COUNTED)),
 ])
 
 
 @arrow_udf(PARSED)
 def parsed(htmls: pa.Array) -> pa.Array:
-    """All tokens in order, with the characters of main blocks, those of other blocks below 0, and 0 for elements; of the main blocks their places among the tokens and their texts; whether the page marks them as such."""
-    tokens, chars, places, texts, marked = [], [], [], [], []
+    """All tokens in order, with the characters of main blocks, those of other blocks below 0, and 0 for elements; of the main blocks their places among the tokens and their texts; whether the page marks them as such; and of
+    each different token how often it stands there, its first and last place, and how many main blocks it is with how many characters. Counted here, a page's tokens needn't be shuffled to be counted."""
+    tokens, chars, places, texts, marked, at, counts = [], [], [], [], [], [0], [[] for _ in COUNTED]
     for html in htmls:
         own, blocks = parse(html.as_py() or "")
         main = main_blocks(blocks)
@@ -53,22 +55,28 @@ def parsed(htmls: pa.Array) -> pa.Array:
         places.append([b.place for b in main])
         texts.append([b.text for b in main])
         marked.append(any(b.article or b.main for b in main))
+        seen: dict[int, list[int]] = {}
+        for place, (token, c) in enumerate(zip(own, size, strict=True)):
+            row = seen.setdefault(token, [0, place, place, 0, 0])
+            row[0], row[2], row[3], row[4] = row[0] + 1, place, row[3] + (c > 0), row[4] + max(c, 0)
+        at.append(at[-1] + len(seen))
+        for values, new in zip(counts, [list(seen), *zip(*seen.values(), strict=True)] if seen else [[]] * len(counts), strict=True):
+            values.extend(new)
+    each = pa.StructArray.from_arrays([pa.array(v, pa.int64() if f.name == "token" else pa.int32()) for f, v in zip(COUNTED, counts, strict=True)], names=COUNTED.names)
     out = [pa.array(tokens, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(marked, pa.bool_())]
-    return pa.StructArray.from_arrays(out, names=["tokens", "chars", "places", "texts", "marked"])
+    return pa.StructArray.from_arrays([*out, pa.ListArray.from_arrays(pa.array(at, pa.int32()), each)], names=PARSED.names)
 
 
 def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(row, gone): the places of each page's main blocks that belong to its host's template; (row, root_at): where the root's tokens stand; (host, slots): the article's slots.
 
-    pages has row, host, tokens, chars, places and marked. No vector of a token's occurrences is ever gathered: a sum of hashes of
+    pages has row, host, and what parsed() gives. No vector of a token's occurrences is ever gathered: a sum of hashes of
     (page, occurrences) stands for it, and tokens of equal sums are one class.
     """
     pages = pages.where("host is not null and size(tokens) > 0")
     hosts = written(pages.groupBy("host").agg(F.count("*").alias("pages"), F.bool_or("marked").alias("marks")).where(F.col("pages") >= PAGES), "hosts")
     shared = pages.join(few(hosts), "host")
-    each = shared.select("host", "row", F.posexplode(F.arrays_zip("tokens", "chars")).alias("place", "t")).select("host", "row", "place", F.col("t.tokens").alias("token"), F.col("t.chars").alias("chars"))
-    main = F.when(F.col("chars") > 0, F.col("chars"))
-    counted = each.groupBy("host", "row", "token").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.count(main).alias("mains"), F.sum(main).alias("chars"))
+    counted = shared.select("host", "row", F.explode("counts").alias("c")).select("host", "row", "c.*")
     vector = F.sum(F.xxhash64("row", "n").cast("decimal(20,0)")).alias("vector")
     tokens = counted.groupBy("host", "token").agg(vector, F.count("*").alias("on")).where(F.col("on") >= PAGES)
     classes = tokens.groupBy("host", "vector", "on").agg(F.count("*").alias("size")).where(F.col("size") >= TOKENS)
@@ -77,7 +85,7 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # each class on each page: its order, and the main text that it holds; shifted tokens stand for texts, so that sums fit
     spots = F.array_sort(F.collect_list(F.struct("first", "token")))
     on_page = found.groupBy("host", "row", "vector").agg(
-        spots.alias("spots"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.shiftright("token", 24) * F.col("mains")).alias("said"), F.sum("chars").alias("chars"),
+        spots.alias("spots"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.shiftright("token", 24) * F.col("mains")).alias("said"), F.sum(F.nullif("chars", F.lit(0))).alias("chars"),
     )
     on_page = written(on_page, "classes")
     text = F.filter(F.arrays_zip("tokens", "chars"), lambda t: t["chars"] > 0)
@@ -109,12 +117,12 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return gone, root_at, slots
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars, a row for each row of pages."""
+def main_text(pages: DataFrame, parse_with=parsed) -> DataFrame:
+    """page_id, url, text and n_chars, a row for each row of pages; parse_with is an expression on the html as parsed()."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    own = bounded_batches(pages).select("page_id", "url", F.when(host != "", host).alias("host"), parsed("html").alias("p"))
+    own = bounded_batches(pages).select("page_id", "url", F.when(host != "", host).alias("host"), parse_with("html").alias("p"))
     own = written(own.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "host", "p.*"), "pages")
-    gone, root_at, slots = templates(own.select("row", "host", "tokens", "chars", "places", "marked"))
+    gone, root_at, slots = templates(own.drop("page_id", "url", "texts"))
     gone, root_at, slots = few(written(gone, "gone")), few(written(root_at, "roots_at")), few(written(slots, "slots"))
     slot = lambda b: F.size(F.filter("root_at", lambda p: p <= b["places"]))
     in_slot = lambda b: F.col("root_at").isNull() | F.col("slots").isNull() | F.array_contains("slots", slot(b))
