@@ -5,12 +5,14 @@ each; expectation-maximisation over the counts of their vote patterns in the who
 estimates how reliable each labeler is; the chances that follow train a logistic span
 classifier. The base spans (email, ip, card, phone by their strict rules) stay whatever it says;
 it decides on the rest. Null and empty texts have no spans. Texts are read whole. Repeated rows get equal
-spans; a table without any span, an empty one too, is left as it is.
+spans; of proposed spans that begin at one place the first kind's is taken. A table without any span, an empty one too, is
+left as it is. Other columns than doc_id and text stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +45,51 @@ _LOOSE = [
     (SECRET, re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?[\"']?[^\s\"'=:]{8,}[\"']?")),
 ]
 
-# What the gazetteers and the context labeler know.
-_MAILERS = ("gmail.", "yahoo.", "hotmail.", "outlook.", "icloud.", "proton", "aol.", "gmx.", "example.", "mail")
-_ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "30", "36", "38", "22", "23", "24", "25", "26", "27")
-_CALLING = ("1", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "64", "65", "7", "81", "82", "86", "90", "91", "351", "353", "358", "420", "971")
+# What the gazetteers and the context labeler know: mail services and ends of host names, beginnings of card
+# numbers, calling codes, private networks, and the lengths of account numbers by country.
+_MAILERS = ("gmail.", "googlemail.", "yahoo.", "ymail.", "hotmail.", "outlook.", "live.", "msn.", "icloud.", "me.", "proton", "pm.", "aol.", "gmx.", "web.de", "t-online.", "orange.", "free.fr", "libero.", "mail", "zoho.", "fastmail.", "example.")
+_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name io co me tv cc dev app ai ar at au be bg br by ca ch cl cn co cr cy cz de dk ec ee eg es eu fi fr gr hk hr hu id ie il in ir is it jp ke kr kz lt lu lv ma mt mx my ng nl "
+    "no nz pe ph pk pl pt ro rs ru sa se sg si sk th tn tr tw ua uk us uy ve vn za".split()
+)
+_ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "64", "65", "35", "30", "36", "38", "39", "22", "23", "24", "25", "26", "27", "62", "50", "56", "57", "58", "67")
+_CALLING = tuple(
+    "1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 7 81 82 84 86 90 91 92 93 94 95 98 211 212 213 216 218 22 23 24 25 26 290 291 297 298 299 "
+    "350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 378 380 381 382 383 385 386 387 389 420 421 423 50 59 67 68 69 800 85 87 88 96 97 99".split()
+)
+_PRIVATE = ("10.", "127.", "192.168.", "169.254.", *(f"172.{i}." for i in range(16, 32)), *(f"100.{i}." for i in range(64, 128)))
+_ACCOUNTS = dict(
+    (x[:2], int(x[2:])) for x in (
+        "AL28 AD24 AT20 AZ28 BH22 BY28 BE16 BA20 BR29 BG22 CR22 HR21 CY28 CZ24 DK18 DO28 EG29 SV28 EE20 FO18 FI18 FR27 GE22 DE22 GI23 GR27 GL18 GT28 HU28 IS26 IQ23 IE22 IL23 IT27 JO30 KZ20 XK20 KW30 LV21 LB28 LI21 LT20 LU20 "
+        "MT31 MR27 MU30 MD24 MC27 ME22 NL18 MK19 NO15 PK24 PS29 PL28 PT25 QA29 RO24 LC32 SM27 SA24 RS22 SC31 SK24 SI19 ES24 SE24 CH21 TN24 TR26 UA29 AE23 GB22 VA22 VG24"
+    ).split()
+)
 _PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live_")
 _FOR = re.compile(r"(?i)(?:e-?mail|mail|contact|phone|tel|call|mobile|fax|whatsapp|card|visa|mastercard|credit|debit|ip|address|host|server|login|ssn|social security|iban|account|password|passwd|pwd|token|secret|key)\W{0,3}(?:\w{1,12}\W{1,2})?$")
 _AGAINST = re.compile(r"(?i)(?:version|release|build|isbn|issn|section|chapter|figure|table|page|order|invoice|ticket|item|part|no|id|rfc|doi|v)\W{0,3}$|[$€£#]\s?$")
 
-BITS = ["checksum_ok", "checksum_bad", "known", "for", "against", "boundary", "shape_odd", "assigned"]
+#: What the span classifier sees: what the labelers saw, and of the text around a span and of its characters what no labeler votes on.
+BITS = ["checksum_ok", "checksum_bad", "known", "for", "against", "boundary", "shape_odd", "assigned", "after_colon", "after_digit", "line_start", "quoted", "sentence_end", "separated", "letters", "long"]
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """A weight for each kind and each bit; a span is accepted if its weights add up to more than 0."""
+
+    kinds: tuple[float, ...]
+    bits: tuple[float, ...]
+
+    def strength(self, kind: Column, bits: Column) -> Column:
+        out = F.element_at(F.array(*[F.lit(w) for w in self.kinds]), kind + 1)
+        for i, w in enumerate(self.bits):
+            out = out + F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, w).otherwise(0.0)
+        return out
+
+    def accepts(self, kind: int, bits: int) -> bool:
+        out = self.kinds[kind]
+        for i, w in enumerate(self.bits):  # in the order of strength(), so that both round alike
+            out = out + (w if bits >> i & 1 else 0.0)
+        return out > 0
 
 
 def luhn(digits: str) -> bool:
@@ -110,10 +148,11 @@ def _votes(text: str, start: int, kind: int, end: int, strict: bool) -> tuple[in
         SECRET: lambda: YES if digits and re.search(r"[A-Za-z]", span) else NO,
     }[kind]()
     known = {
-        EMAIL: lambda: span.rpartition("@")[2].lower().startswith(_MAILERS),
-        IP: lambda: span.startswith(("10.", "192.168.", "172.")),
+        EMAIL: lambda: (host := span.rpartition("@")[2].lower()).startswith(_MAILERS) or host.rpartition(".")[2] in _DOMAINS,
+        IP: lambda: span.startswith(_PRIVATE),
         CARD: lambda: digits.startswith(_ISSUERS),
         PHONE: lambda: digits.startswith(_CALLING) and span[0] == "+",
+        IBAN: lambda: _ACCOUNTS.get(span[:2]) == len(span.replace(" ", "")),
         SECRET: lambda: span.startswith(_PREFIXES),
     }.get(kind, lambda: False)()
     lead = text[max(0, start - 32) : start]
@@ -127,7 +166,11 @@ def _votes(text: str, start: int, kind: int, end: int, strict: bool) -> tuple[in
         YES if strict or kind in (SSN, IBAN, SECRET) else ABSTAIN, check, YES if known else ABSTAIN, NO if against else YES if for_ else ABSTAIN,
         YES if clean else NO, NO if odd else ABSTAIN,
     ]
-    bits = [check == YES, check == NO, known, for_, against, clean, odd, own or kind in (EMAIL,)]
+    close = lead.rstrip(" \t")
+    bits = [
+        check == YES, check == NO, known, for_, against, clean, odd, own or kind in (EMAIL,), close[-1:] in (":", "="), close[-1:].isdigit(), not close or close[-1] == "\n",
+        before in ("\"", "'", "(", "[", "<", "{"), behind[:1] in (".", ",", ";", "!", "?"), any(c in " -." for c in span.strip()), any(c.isalpha() for c in span), len(span) > 24,
+    ]
     return sum(v * 3**i for i, v in enumerate(votes)), sum(int(b) << i for i, b in enumerate(bits))
 
 
@@ -177,7 +220,7 @@ def proposed(texts: pa.Array) -> pa.Array:
     return pa.array(out, type=_ARROW)
 
 
-def masker(accepted: set[int]):
+def masker(model: Classifier):
     """An expression on the text: its spans replaced by their kinds in brackets; overlapping ones by the first."""
 
     @arrow_udf(T.StringType())
@@ -189,7 +232,7 @@ def masker(accepted: set[int]):
         for i in hit:
             text, parts, last = texts[i].as_py(), [], 0
             for start, kind, end, base, _, bits in spans(text):
-                if base or code(kind, bits) in accepted:
+                if base or model.accepts(kind, bits):
                     if start >= last:
                         parts += [text[last:start], f"[{KINDS[kind].upper()}]"]
                     last = max(last, end)
@@ -201,10 +244,6 @@ def masker(accepted: set[int]):
     return masked
 
 
-def code(kind, bits):
-    return kind * (1 << len(BITS)) + bits
-
-
 def reliabilities(kind: np.ndarray, votes: np.ndarray, count: np.ndarray, rounds: int = 50) -> np.ndarray:
     """The chance of personal data for each row (kind, votes, count), by EM.
 
@@ -249,15 +288,15 @@ def _inputs(kind: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.column_stack([kind[:, None] == np.arange(len(KINDS)), (bits[:, None] >> np.arange(len(BITS))) & 1]).astype(np.float64)
 
 
-def fitted(found: DataFrame) -> set[int]:
-    """The codes (kind and bits) that the span classifier accepts; found has a column spans of proposed()."""
+def fitted(found: DataFrame) -> Classifier:
+    """The span classifier of a table; found has a column spans of proposed()."""
     # one row for each kind, vote pattern and bits: as many as the patterns allow, however large the table
-    seen = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.bits").count().toPandas()
+    seen = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.bits").count().toPandas().sort_values(["kind", "votes", "bits"])
     if not len(seen):
-        return set()
+        return Classifier((-1.0,) * len(KINDS), (0.0,) * len(BITS))
     kind, votes, bits, count = (seen[c].to_numpy(np.int64) for c in ("kind", "votes", "bits", "count"))
-    w = classifier(kind, bits, reliabilities(kind, votes, count), count)
-    return {int(c) for c, ok in zip(code(kind, bits), _inputs(kind, bits) @ w > 0, strict=True) if ok}
+    w = classifier(kind, bits, reliabilities(kind, votes, count), count).tolist()
+    return Classifier(tuple(w[: len(KINDS)]), tuple(w[len(KINDS) :]))
 
 
 def _digest(s: Column) -> Column:
@@ -267,23 +306,23 @@ def _digest(s: Column) -> Column:
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
-    """doc_id, counts of the base spans by kind, base_sha256 and spans, a row for each row of documents."""
+    """doc_id, counts of the base spans by kind, base_sha256, spans and their number, a row for each row of documents."""
     found = written(bounded_batches(documents).select("doc_id", proposed("text").alias("spans")), "spans")
-    accepted = F.array(*[F.lit(c) for c in sorted(fitted(found))] or [F.lit(-1)])
+    model = fitted(found)
     base = F.filter("spans", lambda s: s["base"])
 
     def of(i: int) -> Column:
         return F.size(F.filter(base, lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
 
-    every = F.filter("spans", lambda s: s["base"] | F.array_contains(accepted, code(s["kind"], s["bits"])))
+    every = F.filter("spans", lambda s: s["base"] | (model.strength(s["kind"], s["bits"]) > 0))
     return found.select(
         "doc_id", *[of(i) for i in range(4)],
-        F.sha2(_digest(base), 256).alias("base_sha256"), _digest(every).alias("spans"),
+        F.sha2(_digest(base), 256).alias("base_sha256"), _digest(every).alias("spans"), F.size(every).cast("long").alias("n_spans"),
     )
 
 
 def without_personal_data(documents: DataFrame) -> DataFrame:
     """documents with their spans masked in text; n_chars, if there, becomes the new length."""
-    accepted = fitted(bounded_batches(documents).select(proposed("text").alias("spans")))
-    out = documents.withColumn("text", masker(accepted)("text"))
+    model = fitted(bounded_batches(documents).select(proposed("text").alias("spans")))
+    out = documents.withColumn("text", masker(model)("text"))
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out

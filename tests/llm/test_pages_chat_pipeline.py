@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import duckdb
@@ -91,6 +92,82 @@ def test_slots_of_a_small_host_decide_on_its_unmarked_pages(spark):
     rows = [(i, f"https://g.example/{i}", same(i, ("<span class=x>", "</span>") if i == 3 else ("<span itemprop=articleBody>", "</span>"))) for i in range(4)]
     assert texts_of(spark, rows) == {i: f"Story {i}." for i in range(4)}
 
+def plain_templates(pages):
+    """By host: the root's tokens, the tokens of all valid classes and the article's slots, worked out by dictionaries from rows (host, row, parsed)."""
+    out = {}
+    for host in {h for h, *_ in pages}:
+        own = [(row, p) for h, row, p in pages if h == host and p["tokens"]]
+        if len(own) < 3:
+            continue
+        counts = {row: Counter(p["tokens"]) for row, p in own}
+        vectors = {}
+        for token in {t for c in counts.values() for t in c}:
+            vectors.setdefault(tuple(sorted((row, c[token]) for row, c in counts.items() if token in c)), set()).add(token)
+        classes = [(dict(v), ts) for v, ts in vectors.items() if len(v) >= 3 and len(ts) >= 3]
+        shared = {t for _, ts in classes for t in ts}
+        main = {row: [(t, c) for t, c in zip(p["tokens"], p["chars"], strict=True) if c > 0] for row, p in own}
+        rest = {row: tuple(sorted(t for t, _ in m if t not in shared)) for row, m in main.items()}
+        held = lambda row, ts: sum(c for t, c in main[row] if t in ts)  # noqa: E731, B023
+        wide = [(v, ts) for v, ts in classes if 2 * len(v) >= len(own) and len({rest[r] for r in v}) >= 3]
+        if not wide:
+            continue
+        root = max(wide, key=lambda c: (len(c[1]), len(c[0])))
+        first = {row: {} for row, _ in own}
+        for row, p in own:
+            for i, t in enumerate(p["tokens"]):
+                first[row].setdefault(t, [i, i])[1] = i
+        at = {row: sorted(first[row][t][0] for t in root[1]) for row in root[0]}
+        kept = set()
+        for v, ts in classes:
+            order = {tuple(sorted(ts, key=lambda t: first[r][t][0])) for r in v}  # noqa: B023
+            if len(order) > 1:
+                continue
+            if ts is not root[1]:
+                gaps = {(sum(x < min(first[r][t][0] for t in ts) for x in at[r]), sum(x <= max(first[r][t][1] for t in ts) for x in at[r])) for r in v if r in at}
+                small = {rest[r] for r in v if 2 * held(r, ts) <= sum(c for _, c in main[r])}
+                if len(small) < 3 or len(gaps) > 1 or any(a != b for a, b in gaps):
+                    continue
+            if len({rest[r] for r in v}) >= 3:
+                kept |= ts
+        marks, votes = any(p["marked"] for _, p in own), Counter()
+        for row, p in own:
+            if row in at and (p["marked"] or not marks):
+                for i, c in enumerate(p["chars"]):
+                    votes[sum(x <= i for x in at[row])] += c
+        out[host] = (at, kept, {s for s, c in votes.items() if c > 0})
+    return out
+
+
+@pytest.mark.parametrize("marked", [1, 3])
+def test_templates_equal_plain_deduction(spark, marked):
+    """On the fifty pages of the smallest table, all marked as they are, or every third one by an attribute alone."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    html = lambda i, x: x if marked == 1 else x.replace("</article>", "</div>").replace("<article>", "<div itemprop='articleBody'>" if i % marked == 0 else "<div>")
+    offer = "<section><b>Our offer</b><div>Sign now</div></section>"
+    rows = [(i, re.search("//([^/]+)", r["url"])[1], html(i, r["html"]).replace("<h1>", (offer if i % 2 else "") + "<h1>")) for i, r in enumerate(pages)]
+    own = templates.written(spark.createDataFrame(rows, "row long, host string, html string").select("row", "host", templates.parsed("html").alias("p")).select("row", "host", "p.*"), "parsed")
+    want = plain_templates([(r["host"], r["row"], r) for r in own.collect()])
+    gone, root_at, slots = templates.templates(own)
+    assert len(want) > 2 and {r["host"]: set(r["slots"]) for r in slots.collect()} == {h: s for h, (_, _, s) in want.items()}
+    assert {r["row"]: sorted(r["root_at"]) for r in root_at.collect()} == {row: a for at, _, _ in want.values() for row, a in at.items()}
+    lost = {r["row"]: {i for i in r["places"] if r["host"] in want and r["tokens"][i] in want[r["host"]][1]} for r in own.collect()}
+    assert {r["row"]: set(r["gone"]) for r in gone.collect()} == {row: g for row, g in lost.items() if g}
+
+
+def test_templates_decide_where_few_pages_are_marked(spark):
+    """Every tenth page marks its article, by an attribute; on hosts that have such a page all others get their text by the template."""
+    sf = "/root/testdata/sf0.01"
+    pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    schema = "page_id long, url string, html string, row int, host string, p string, tokens int"
+    want = {r["page_id"]: r["text"] for r in templates.main_text(spark.createDataFrame([(*x, 1, "h", "p", 2) for x in pages], schema)).collect()}
+    few = lambda i, x: x.replace("</article>", "</div>").replace("<article>", "<div itemprop='articleBody'>" if i % 10 == 0 else "<div>")
+    got = {r["page_id"]: r["text"] for r in templates.main_text(spark.createDataFrame([(i, u, few(i, x), 1, "h", "p", 2) for i, u, x in pages], schema)).collect()}
+    host = {i: re.search("//([^/]+)", u)[1] for i, u, _ in pages}
+    known = {host[i] for i in host if i % 10 == 0} & {h for h, n in Counter(host.values()).items() if n >= 3}
+    own = [i for i in host if host[i] in known]
+    assert len(own) > 90 and sum(got[i] == want[i] for i in own) >= 0.98 * len(own)
+
+
 def rows_of(df):
     return sorted(map(repr, df.select(*sorted(df.columns)).toPandas().values.tolist()))
 
