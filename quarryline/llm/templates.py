@@ -18,14 +18,14 @@ gives an empty result; columns beside page_id, url and html aren't read, whateve
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from quarryline.llm.common import bounded_batches, written
 from quarryline.llm.htmlblocks import main_blocks, parse
-from quarryline.llm.neardup import few
+from quarryline.llm.neardup import MOST_SENT, few
 
 #: Least tokens of a valid class, and least different articles it stands on.
 TOKENS, PAGES = 3, 3
@@ -68,7 +68,7 @@ def parsed(htmls: pa.Array) -> pa.Array:
 
 
 def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(row, gone): the places of each page's main blocks that belong to its host's template; (row, root_at): where the root's tokens stand; (host, slots): the article's slots.
+    """(row, gone): the places of each page's main blocks that belong to its host's template; (host, root): the root's tokens; (host, slots): the article's slots.
 
     pages has row, host, and what parsed() gives. No vector of a token's occurrences is ever gathered: a sum of hashes of
     (page, occurrences) stands for it, and tokens of equal sums are one class.
@@ -99,6 +99,8 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     wide = members.select("host", "vector", "on", "size").distinct().join(kinds.where(F.col("kinds") >= PAGES), ["host", "vector"]).join(few(hosts), "host").where(2 * F.col("on") >= F.col("pages"))
     roots = written(wide.groupBy("host").agg(F.max_by("vector", F.struct("size", "on", "vector")).alias("vector")), "roots")
     root_at = on_page.join(few(roots), ["host", "vector"]).select("row", F.col("spots.first").alias("root_at"))
+    # a root's tokens are all on one page, so they are no more than a page has
+    root = written(members.join(few(roots), ["host", "vector"]).groupBy("host").agg(F.collect_list("token").alias("root")), "root")
     gap = on_page.join(root_at, "row", "left").join(few(roots.select("host", F.col("vector").alias("of_root"))), "host", "left").select(
         "host", "vector", F.coalesce(F.col("vector") == F.col("of_root"), F.lit(False)).alias("root"), F.xxhash64(F.transform("spots", lambda s: s["token"])).alias("order"),
         F.when(F.col("root_at").isNotNull(), F.size(F.filter("root_at", lambda p: p < F.col("first")))).alias("before"), F.when(F.col("root_at").isNotNull(), F.size(F.filter("root_at", lambda p: p <= F.col("last")))).alias("behind"),
@@ -112,9 +114,22 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     gone = blocks.join(template, ["host", "token"]).groupBy("row").agg(F.collect_set("place").alias("gone"))
     # the slots of the pages' blocks
     at = F.size(F.filter("root_at", lambda p: p <= F.col("place"))).alias("slot")
-    voting = shared.where("marked or not marks").select("host", "row", F.posexplode("chars").alias("place", "chars")).where("chars <> 0").join(root_at, "row")
+    voting = shared.where("marked or not marks").join(_few(root, "root"), "host").select("host", root_places("tokens", "root").alias("root_at"), "chars").where("root_at is not null")
+    voting = voting.select("host", "root_at", F.posexplode("chars").alias("place", "chars")).where("chars <> 0")
     slots = voting.select("host", at, "chars").groupBy("host", "slot").agg(F.sum(F.col("chars").cast("long")).alias("chars")).where("chars > 0").groupBy("host").agg(F.collect_list("slot").alias("slots"))
-    return gone, root_at, slots
+    return gone, root, slots
+
+
+def root_places(tokens: str, root: str) -> Column:
+    """Where the root's tokens stand on a page, in order; null on a page without them. A page has all tokens of a class or none."""
+    places = F.array_sort(F.transform(root, lambda t: F.array_position(tokens, t).cast("int") - 1))
+    return F.when(F.array_contains(tokens, F.element_at(root, 1)), places)
+
+
+def _few(df: DataFrame, column: str, most: int = 4 * MOST_SENT) -> DataFrame:
+    """df with a hint to send it to every executor, if its rows and the elements of their arrays are no more than most (some 16 MB)."""
+    size = df.agg(F.count("*").alias("n"), F.sum(F.size(column)).alias("m")).first()
+    return F.broadcast(df) if size["n"] + (size["m"] or 0) <= most else df
 
 
 def main_text(pages: DataFrame, parse_with=parsed) -> DataFrame:
@@ -122,14 +137,14 @@ def main_text(pages: DataFrame, parse_with=parsed) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     own = bounded_batches(pages).select("page_id", "url", F.when(host != "", host).alias("host"), parse_with("html").alias("p"))
     own = written(own.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "host", "p.*"), "pages")
-    gone, root_at, slots = templates(own.drop("page_id", "url", "texts"))
-    gone, root_at, slots = few(written(gone, "gone")), few(written(root_at, "roots_at")), few(written(slots, "slots"))
+    gone, root, slots = templates(own.drop("page_id", "url", "texts"))
+    gone, root, slots = _few(written(gone, "gone"), "gone"), _few(root, "root"), _few(written(slots, "slots"), "slots")
     slot = lambda b: F.size(F.filter("root_at", lambda p: p <= b["places"]))
     in_slot = lambda b: F.col("root_at").isNull() | F.col("slots").isNull() | F.array_contains("slots", slot(b))
     is_gone = lambda b: F.coalesce(F.array_contains("gone", b["places"]), F.lit(False))
     kept = F.filter(F.arrays_zip("places", "texts"), lambda b: ~is_gone(b) & in_slot(b))
     text = F.array_join(F.transform(kept, lambda b: b["texts"]), "\n")
     whole = F.array_join("texts", "\n")
-    out = own.join(gone, "row", "left").join(root_at, "row", "left").join(slots, "host", "left").select("page_id", "url", text.alias("text"), whole.alias("whole"))
+    out = own.join(gone, "row", "left").join(root, "host", "left").join(slots, "host", "left").withColumn("root_at", root_places("tokens", "root")).select("page_id", "url", text.alias("text"), whole.alias("whole"))
     out = out.select("page_id", "url", F.when(F.col("text") != "", F.col("text")).otherwise(F.col("whole")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

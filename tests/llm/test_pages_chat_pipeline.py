@@ -147,7 +147,8 @@ def test_templates_equal_plain_deduction(spark, marked):
     rows = [(i, re.search("//([^/]+)", r["url"])[1], html(i, r["html"]).replace("<h1>", (offer if i % 2 else "") + "<h1>")) for i, r in enumerate(pages)]
     own = templates.written(spark.createDataFrame(rows, "row long, host string, html string").select("row", "host", templates.parsed("html").alias("p")).select("row", "host", "p.*"), "parsed")
     want = plain_templates([(r["host"], r["row"], r) for r in own.collect()])
-    gone, root_at, slots = templates.templates(own)
+    gone, root, slots = templates.templates(own)
+    root_at = own.join(root, "host").select("row", templates.root_places("tokens", "root").alias("root_at")).where("root_at is not null")
     assert len(want) > 2 and {r["host"]: set(r["slots"]) for r in slots.collect()} == {h: s for h, (_, _, s) in want.items()}
     assert {r["row"]: sorted(r["root_at"]) for r in root_at.collect()} == {row: a for at, _, _ in want.values() for row, a in at.items()}
     lost = {r["row"]: {i for i in r["places"] if r["host"] in want and r["tokens"][i] in want[r["host"]][1]} for r in own.collect()}
