@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.numeric import in_order, nearest_rank, ratio
-from quarryline.functions.text import has_groups, has_tokens, upper_tokens_text
+from quarryline.functions.text import has_groups, has_tokens, question_class, upper_tokens_text
 from quarryline.plans.inputs import STAGES
 
 # The questions, their layers and what an answer must hold.
@@ -138,3 +138,28 @@ def regression_report(pairs: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.round(F.avg(F.abs(err)), 6).alias("mae"), F.round(F.sqrt(F.avg(err * err)), 6).alias("rmse"), F.round(F.corr("expected", "got"), 6).alias("r"),
         F.round(F.avg("got"), 6).alias("mean"), F.round(F.stddev_pop("got"), 6).alias("std"),
     )
+
+
+#: The least raw confidence of a model that was never calibrated.
+LEAST_CONFIDENCE = 0.7
+
+
+def classified(questions: DataFrame) -> DataFrame:
+    """(…, class, confidence, method, model_verdict, model_rejected) of rows (question, model_class, model_confidence, calibration).
+
+    The model's class is taken if it answered and is trusted: by its calibration's verdict, or without one by its raw confidence. Otherwise the
+    rules decide. What the model said and why it was passed over stays beside the result. A null model_class is a model that didn't answer;
+    a null calibration is none.
+    """
+    model, sure, verdict = F.col("model_class"), F.col("model_confidence"), F.col("calibration")
+    rejected = (
+        F.when(model.isNull(), "unreachable").when(verdict.isNotNull() & (verdict != "ANSWERED"), F.concat(F.lit("calibration:"), verdict))
+        .when(verdict.isNull() & (F.coalesce(sure, F.lit(0.0)) < LEAST_CONFIDENCE), "uncalibrated-low-confidence")
+    )
+    rule = question_class(F.col("question"))
+    own = questions.withColumns({"model_rejected": rejected, "rule": rule})
+    taken = F.col("model_rejected").isNull()
+    return own.withColumns({
+        "class": F.when(taken, model).otherwise(F.col("rule")), "confidence": F.when(taken, sure).otherwise(F.when(F.col("rule") == "general", 0.3).otherwise(0.8)),
+        "method": F.when(taken, "model").otherwise("rules"), "model_verdict": model,
+    }).drop("rule", "model_class", "model_confidence", "calibration")

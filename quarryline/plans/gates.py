@@ -120,7 +120,15 @@ def worker_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("model_id", F.when(F.col("top") > 0.979, "RETIRED").when((F.col("runs") >= 5) & (F.col("failures") > F.col("recoveries")), "DEGRADED").otherwise("ACTIVE").alias("phase"))
 
 
-@query()
+@query(
+    f"WITH {LEDGER_SQL}, p AS (SELECT concat(model_id, '/', condition) AS profile, case_key, bool_and(pass) AS pass FROM ledger WHERE kind = 'OBSERVATION' AND pass IS NOT NULL GROUP BY 1, 2), "
+    "a AS (SELECT profile AS m, 0.6 * round(avg(CAST(pass AS DOUBLE)), 6) AS q FROM p GROUP BY 1), "
+    "n AS (SELECT a.profile AS x, b.profile AS y, round(coalesce(count_if(a.pass <> b.pass) / nullif(count_if(NOT a.pass OR NOT b.pass), 0), 0), 6) AS c FROM p a JOIN p b ON a.case_key = b.case_key AND a.profile <> b.profile GROUP BY 1, 2), "
+    "p1 AS (SELECT m FROM a ORDER BY round(q, 9) DESC, m LIMIT 1), "
+    "p2 AS (SELECT a.m FROM a LEFT JOIN n ON y = a.m AND x IN (SELECT m FROM p1) WHERE a.m NOT IN (SELECT m FROM p1) ORDER BY round(q + 0.4 * coalesce(c, 0), 9) DESC, a.m LIMIT 1), p12 AS (SELECT m FROM p1 UNION ALL SELECT m FROM p2), "
+    "p3 AS (SELECT a.m FROM a LEFT JOIN (SELECT y, avg(c) AS c FROM n WHERE x IN (SELECT m FROM p12) GROUP BY y) t ON y = a.m WHERE a.m NOT IN (SELECT m FROM p12) ORDER BY round(q + 0.4 * coalesce(c, 0), 9) DESC, a.m LIMIT 1) "
+    "SELECT 1 AS place, m AS member FROM p1 UNION ALL SELECT 2, m FROM p2 UNION ALL SELECT 3, m FROM p3"
+)
 def greedy_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK-11, DG-07, SP-58: profiles picked one at a time for quality and for what they add to those picked."""
     p = written(L.profiles(ledger(spark, sf_dir)), "profiles")

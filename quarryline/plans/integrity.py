@@ -53,7 +53,10 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+@query(
+    "WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, sha256(text) AS h FROM documents), n AS (SELECT count(*) AS n FROM l) "
+    "SELECT a.idx, CAST(ceil(log2(n)) AS BIGINT) AS steps, true AS valid, a.h = b.h AS next_valid FROM l a, n, l b WHERE b.idx = (a.idx + 1) % n"
+)
 def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-22, AG-25, SP-02: the proof of every document's leaf, verified, and held against the next leaf, which it refuses unless that has the same text."""
     levels = I.merkle_levels(written(I.leaves(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text")), "leaves"))

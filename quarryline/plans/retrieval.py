@@ -104,7 +104,27 @@ def cover_text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cover_terms(postings(spark, sf_dir), 5, 60)
 
 
-@query()
+_SEGMENTS = r"""
+WITH RECURSIVE p AS (SELECT doc_id AS page_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS MATERIALIZED (SELECT page_id, generate_subscripts(ls, 1) AS i, len(ls) AS n, unnest(ls) AS x FROM p),
+t AS MATERIALIZED (SELECT page_id, i, CASE WHEN i < n THEN x || chr(10) ELSE x END AS x FROM l),
+f(page_id, i, held, block) AS (
+  SELECT DISTINCT page_id, 0::BIGINT, 0, 0 FROM t
+  UNION ALL
+  SELECT page_id, i, CASE WHEN ends THEN 0 ELSE held END, CASE WHEN ends THEN block + 1 ELSE block END
+  FROM (SELECT f.page_id, t.i, f.held + 1 AS held, f.block, f.held + 1 >= 12 OR (regexp_replace(x, '\s+', '', 'g') = '' AND f.held + 1 >= 2) AS ends FROM f JOIN t ON t.page_id = f.page_id AND t.i = f.i + 1)),
+b AS (SELECT t.page_id, f.block, min(t.i) - 1 AS first_line, count(*) AS n_lines, string_agg(x, '' ORDER BY t.i) AS text FROM t JOIN f ON f.page_id = t.page_id AND f.i = t.i - 1 GROUP BY ALL),
+k AS (SELECT *, trim(text, ' ') AS body, string_split(trim(text, ' '), chr(10)) AS ls, trim(string_split(trim(text, ' '), chr(10))[1], ' ') AS first FROM b),
+m AS (SELECT *, len(regexp_extract_all(first, '\p{L}')) AS letters, len(regexp_extract_all(first, '\p{Lu}')) AS upper_, len(regexp_extract_all(body, '[=+*/^<>≤≥∑∫√]')) AS maths,
+  len(regexp_extract_all(body, '[{}\[\]();_]')) + len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]{4}'))) AS code, len(list_filter(ls, lambda x: contains(x, '    '))) AS wide FROM k)
+SELECT page_id, CAST(block AS BIGINT) AS block, first_line, n_lines, CASE WHEN body = '' THEN 'whitespace'
+  WHEN strlen(first) <= 90 AND (length(first) >= 2 AND letters > 0 AND upper_ * 100 >= letters * 70 OR regexp_matches(first, '^(Chapter|CHAPTER) ')) THEN 'heading'
+  WHEN maths > 12 AND maths * 20 > length(body) THEN 'equation' WHEN code > len(ls) * 2 THEN 'code' WHEN wide >= 2 THEN 'table' ELSE 'text' END AS kind,
+  sha256(text) AS cid, strlen(text) AS n_bytes FROM m
+"""
+
+
+@query(_SEGMENTS)
 def block_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-11, SF-21: pages cut into blocks, each with its kind and content id."""
     pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")

@@ -183,8 +183,18 @@ def mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).groupBy("model_id").agg(F.round(F.avg(F.when(F.col("failure_code").isNotNull() & (F.col("score") > 0), F.col("score"))), 6).alias("confidence"))
 
 
-@query(f"WITH {LEDGER_SQL} SELECT event_id, round(coalesce(CASE WHEN event_id % 3 = 0 THEN score END, CASE WHEN event_id % 2 = 0 THEN score / 2 END, 0.5), 6) AS score FROM ledger")
+@query(
+    r"WITH c AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'define ' WHEN 1 THEN 'how ' ELSE '' END || text AS question, CASE WHEN (conv_id + turn) % 5 > 0 THEN 'comparison' END AS m, 0.5 + (conv_id + turn) % 4 * 0.15 AS s, CASE (conv_id + turn) % 3 WHEN 0 THEN 'ANSWERED' WHEN 1 THEN 'LOW_EVIDENCE' END AS v FROM conversations), "
+    r"r AS (SELECT *, CASE WHEN m IS NULL THEN 'unreachable' WHEN v <> 'ANSWERED' THEN 'calibration:' || v WHEN v IS NULL AND s < 0.7 THEN 'uncalibrated-low-confidence' END AS model_rejected, ltrim(lower(question), '¿¡\"'' ') AS l FROM c), "
+    r"k AS (SELECT *, CASE WHEN regexp_matches(l, 'compare|comparison|relationship|relaci[óo]n| vs |( vs\.)|difference|diferencia') THEN 'comparison' WHEN regexp_matches(l, '^(what is|what are|qué es|que es|define)') THEN 'definition' WHEN regexp_matches(l, '^(how |cómo|como |why |por qué|por que)| (how|cómo|como|why|por qué|por que) ') THEN 'process' WHEN regexp_matches(question, '\b[0-9]+(?:\.[0-9]+)?\b') THEN 'factual_detail' ELSE 'general' END AS rule FROM r) "
+    "SELECT conv_id, turn, CASE WHEN model_rejected IS NULL THEN m ELSE rule END AS class, round(CASE WHEN model_rejected IS NULL THEN s WHEN rule = 'general' THEN 0.3 ELSE 0.8 END, 6)::DOUBLE AS confidence, CASE WHEN model_rejected IS NULL THEN 'model' ELSE 'rules' END AS method, m AS model_verdict, model_rejected FROM k".replace('\\"', '"')
+)
 def score_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SP-53, SP-52: the first scorer of a chain that has an answer."""
-    i = F.col("event_id")
-    return ledger(spark, sf_dir).select("event_id", F.round(F.coalesce(F.when(i % 3 == 0, F.col("score")), F.when(i % 2 == 0, F.col("score") / 2), F.lit(0.5)), 6).alias("score"))
+    """SP-52, SP-53: a question's class by a recorded model where it can be trusted, else by the rules, with what was passed over and why."""
+    n = F.col("conv_id") + F.col("turn")
+    lead = F.when(F.col("turn") % 3 == 0, "define ").when(F.col("turn") % 3 == 1, "how ").otherwise("")
+    rows = read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat(lead, "text").alias("question"), F.when(n % 5 > 0, "comparison").alias("model_class"), (0.5 + n % 4 * 0.15).alias("model_confidence"),
+        F.when(n % 3 == 0, "ANSWERED").when(n % 3 == 1, "LOW_EVIDENCE").alias("calibration"),
+    )
+    return S.classified(rows).drop("question").withColumn("confidence", F.round("confidence", 6))

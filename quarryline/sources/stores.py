@@ -47,6 +47,13 @@ def read_campaign(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return trials.drop("responses"), responses
 
 
+def write_results(results: DataFrame, trials: DataFrame, path: str) -> None:
+    """Result documents: of each trial of a campaign its fields and its results (question, layer, pass), one JSON line each; a path that exists is an error."""
+    own = F.array_sort(F.collect_list(F.struct("question", "layer", "pass")))
+    rows = trials.join(results.groupBy("trial").agg(own.alias("results")), "trial", "left")
+    rows.withColumn("results", F.coalesce("results", F.array().cast(rows.schema["results"].dataType))).write.mode("errorifexists").json(path)
+
+
 def observations(results: DataFrame, trials: DataFrame, synthetic: bool = False) -> DataFrame:
     """One observation for each (trial, question) result; placeholder models are left out, synthetic ones unless asked for."""
     kind = model_class(F.col("model_id"))
