@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.operators.ledger import exploration_weights, queue, real_failures
 from quarryline.plans.inputs import STAGES
+from quarryline.sources.shared import written
 
 # The vocabularies of debug traces, and how their footer begins.
 STATUSES = ["PASS", "FAIL", "UNKNOWN", "NOT_VERIFIED", "CAPABILITY_MISMATCH"]
@@ -106,33 +108,61 @@ def region_kind(text: Column, height: Column, page_height: Column) -> Column:
     )
 
 
-def closed_loop(trials: DataFrame, generations: int) -> list[dict]:
-    """A recorded loop, generation by generation: the incumbent's failures, the best untested candidate, and whether it takes over.
+def closed_loop(trials: DataFrame, changes: DataFrame, baseline: str, generations: int, per_generation: int = 2, least: float = 0.01) -> list[dict]:
+    """A recorded loop replayed, generation by generation: plan, queue, test, gate, advance.
 
-    trials: (generation, candidate_id, question_id, score). It ends when nothing fails, nothing is left to try, or after `generations`.
+    trials are ledger observations with candidate_id and score, changes are (candidate_id, mutation). A generation looks at the incumbent's
+    failures, weighs the kinds of change by them and by the outcomes so far, queues untested candidates by those weights and tests the first
+    few. One advances if no question's mean falls and the mean of all rises by `least`; the best of them is the next incumbent, ties by id. It
+    stops when the incumbent has no trials or no failures, when nothing is left to test, or after `generations`.
     """
-    means = trials.groupBy("generation", "candidate_id").agg(F.avg("score").alias("mean"), F.count_if(F.col("score") < 0.5).alias("failures"))
-    incumbent, best = "c0", -1.0
-    log = []
-    for g in range(generations):
-        rows = means.where(F.col("generation") == g)
-        own = rows.where(F.col("candidate_id") == incumbent).first()
-        best = max(best, own["mean"]) if own else best
-        if own and own["failures"] == 0:
-            log.append({"generation": g, "incumbent": incumbent, "event": "NO_ACTIVE_FAILURES"})
+    spark = trials.sparkSession
+    trials = written(trials, "trials")
+    means = written(trials.groupBy("candidate_id", "question_id").agg(F.avg("score").alias("mean")), "means")
+    scores = {r["candidate_id"]: (r["score"], r["failures"]) for r in trials.groupBy("candidate_id").agg(F.avg("score").alias("score"), F.count_if(~F.col("pass")).alias("failures")).collect()}
+    bank = {r["candidate_id"] for r in changes.select("candidate_id").distinct().collect()} - {baseline}
+    incumbent, tested, outcomes, log = baseline, set(), [], []
+    for g in range(1, generations + 1):
+        row = {"generation": g, "before": incumbent, "selected": "", "incumbent": incumbent, "event": "KEPT", "remaining": len(bank - tested - {incumbent})}
+        log.append(row)
+        if incumbent not in scores:
+            row["event"] = "INCUMBENT_EXECUTION_UNAVAILABLE"
             break
-        other = rows.where(F.col("candidate_id") != incumbent).orderBy(F.desc("mean"), "candidate_id").first()
-        if other is None:
-            log.append({"generation": g, "incumbent": incumbent, "event": "NO_ELIGIBLE_CANDIDATES"})
+        if not scores[incumbent][1]:
+            row["event"] = "INCUMBENT_NO_ACTIVE_FAILURES"
+            break
+        past = spark.createDataFrame(outcomes, "candidate_id string, delta double").join(changes.select("candidate_id", "mutation").distinct(), "candidate_id")
+        weights = exploration_weights(real_failures(trials.where(F.col("candidate_id") == incumbent)), past.groupBy("mutation").agg(F.avg("delta").alias("mean")))
+        open_ = changes.where(~F.col("candidate_id").isin([incumbent, *tested]))
+        order = [r["candidate_id"] for r in queue(open_, weights, per_generation).orderBy("place").collect()]
+        if not order:
+            row["event"] = "NO_ELIGIBLE_CANDIDATES"
+            break
+        base = means.where(F.col("candidate_id") == incumbent).select("question_id", F.col("mean").alias("base"))
+        cand = means.where(F.col("candidate_id").isin(order))
+        # a question that a candidate lacks has fallen
+        falls = base.crossJoin(cand.select("candidate_id").distinct()).join(cand, ["candidate_id", "question_id"], "left").where(F.coalesce("mean", F.lit(-1.0)) + 1e-12 < F.col("base"))
+        fallen = {r["candidate_id"] for r in falls.select("candidate_id").distinct().collect()}
+        before, able = scores[incumbent][0], []
+        for c in order:
+            tested.add(c)
+            if c in scores:
+                outcomes.append((c, scores[c][0] - before))
+                if c not in fallen and scores[c][0] - before >= least:
+                    able.append((-scores[c][0], c))
+        row["selected"] = ",".join(order)
+        if able:
+            incumbent = min(able)[1]
+            row |= {"incumbent": incumbent, "event": "ADVANCED"}
+        row["remaining"] = len(bank - tested - {incumbent})
+        if not row["remaining"] or able and not scores[incumbent][1]:
             break
-        takes = other["mean"] + 1e-12 >= best
-        incumbent, best = (other["candidate_id"], other["mean"]) if takes else (incumbent, best)
-        log.append({"generation": g, "incumbent": incumbent, "event": "ADVANCED" if takes else "KEPT"})
     return log
 
 
 def loop_table(spark: SparkSession, log: list[dict]) -> DataFrame:
-    return spark.createDataFrame([(r["generation"], r["incumbent"], r["event"]) for r in log], "generation int, incumbent string, event string")
+    names = ("generation", "before", "selected", "incumbent", "event", "remaining")
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in log], "generation int, before string, selected string, incumbent string, event string, remaining int")
 
 
 def json_object(text: Column) -> Column:

@@ -311,10 +311,25 @@ def test_module_packing(spark):
 
 
 def test_closed_loop(spark):
-    rows = [(0, "c0", "q", 0.4), (0, "c1", "q", 0.6), (0, "c2", "q", 0.5), (1, "c1", "q", 0.3), (1, "c2", "q", 0.2), (2, "c1", "q", 0.9)]
-    d = spark.createDataFrame(rows, "generation int, candidate_id string, question_id string, score double")
-    log = [(r["generation"], r["incumbent"], r["event"]) for r in checks.closed_loop(d, 5)]
-    assert log == [(0, "c1", "ADVANCED"), (1, "c1", "KEPT"), (2, "c1", "NO_ACTIVE_FAILURES")]
+    cols = "event_id long, kind string, evidence_class string, candidate_id string, question_id string, score double, pass boolean, stage string, failure_code string, layer string, model_id string, specimen_id string"
+    scores = {"c0": (0.4, 0.5), "c1": (0.6, 0.5), "c2": (0.9, 0.1), "c3": (0.7, 0.8), "c4": (0.61, 0.5)}
+    rows = [(10 * i + k, "OBSERVATION", "REAL_MODEL", c, f"q{k}", x, x >= 0.65, "BOOT", "T2_NOT_FOUND", "P", "m", "s") for i, (c, xs) in enumerate(scores.items()) for k, x in enumerate(xs)]
+    trials = spark.createDataFrame(rows, cols)
+    changes = spark.createDataFrame([("c1", "LAYOUT"), ("c2", "PROMPT"), ("c3", "DEPTH_STRUCTURE"), ("c4", "DEPTH_STRUCTURE")], "candidate_id string, mutation string")
+    log = checks.closed_loop(trials, changes, "c0", 5)
+    # LAYOUT and PROMPT come first for this code; c2 loses a question, so c1 advances; then c3, which has no failure left
+    assert [(r["before"], r["selected"], r["incumbent"], r["event"], r["remaining"]) for r in log] == [("c0", "c1,c2", "c1", "ADVANCED", 2), ("c1", "c3,c4", "c3", "ADVANCED", 0)]
+    assert [r["event"] for r in checks.closed_loop(trials, changes, "c3", 5)] == ["INCUMBENT_NO_ACTIVE_FAILURES"]
+    assert [r["event"] for r in checks.closed_loop(trials, changes, "zz", 5)] == ["INCUMBENT_EXECUTION_UNAVAILABLE"]
+    assert [r["event"] for r in checks.closed_loop(trials, changes.limit(0), "c0", 5)] == ["NO_ELIGIBLE_CANDIDATES"]
+    assert checks.closed_loop(trials, changes, "c0", 5, least=5.0)[0]["event"] == "KEPT"
+    assert checks.loop_table(spark, log).count() == 2
+
+
+def test_classes_by_model_or_rules(spark):
+    rows = [("define x", "process", 0.9, "ANSWERED"), ("define x", "process", 0.9, "UNKNOWN"), ("define x", "process", 0.6, None), ("define x", "process", 0.7, None), ("hm", None, None, None)]
+    got = [(r["class"], r["confidence"], r["method"], r["model_rejected"]) for r in scoring.classified(spark.createDataFrame(rows, "question string, model_class string, model_confidence double, calibration string")).collect()]
+    assert got == [("process", 0.9, "model", None), ("definition", 0.8, "rules", "calibration:UNKNOWN"), ("definition", 0.8, "rules", "uncalibrated-low-confidence"), ("process", 0.7, "model", None), ("general", 0.3, "rules", "unreachable")]
 
 
 def test_percentiles_by_counts(spark):
