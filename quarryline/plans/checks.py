@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.operators import checks as C
+from quarryline.operators import records as R
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import LEDGER_SQL, ledger, read
+from quarryline.sources.stores import run_id
 
 _CHECKS = "WITH c AS (SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN '{' ELSE props END AS body, substr(sha256(props), 1, 8) AS hash, value / 400 AS value, chr(CAST(65 + event_id % 5 AS INTEGER)) AS kind, event_id % 4 <> 0 AS dep FROM events), k AS (SELECT id, unnest(['JSON_VALID', 'HASH_MATCHES', 'REQUIRED_FIELDS', 'IN_RANGE', 'ONE_OF', 'DEPENDENCIES']) AS \"check\", unnest([json_valid(body), starts_with(sha256(body), hash), json_valid(body) AND coalesce(TRY(json_extract_string(body, '$.k')), '') <> '', value BETWEEN 0 AND 1, kind IN ('A', 'B', 'C'), dep]) AS ok FROM c) "
 
@@ -144,11 +146,46 @@ def import_with_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.where("kind = 'OBSERVATION'").join(code, "model_id", "left").groupBy("model_id", F.coalesce("code", F.lit("OTHER")).alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS n, count_if(o_orderstatus = 'F' AND o_totalprice < 50000)::BIGINT AS without_evidence FROM orders GROUP BY 1")
+_RECORDS = (
+    "WITH r AS (SELECT CASE WHEN o_orderkey % 31 = 0 THEN 'low-' || o_orderkey WHEN o_orderkey % 37 = 0 THEN 'C.SAME' ELSE 'C-' || o_orderkey END AS id, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE o_orderpriority END AS statement, "
+    "CASE o_orderkey % 7 WHEN 0 THEN 'designed' WHEN 1 THEN 'implemented' WHEN 2 THEN 'evidenced' WHEN 3 THEN 'evidenced_failing' WHEN 4 THEN 'verified' WHEN 5 THEN 'rejected' ELSE 'done' END AS status, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'r1' END AS version, o_orderkey % 17 = 0 AS bad_date, "
+    "CASE o_orderkey % 6 WHEN 0 THEN [] WHEN 1 THEN ['test:pkg:TestX'] WHEN 2 THEN ['run:7'] WHEN 3 THEN ['hash:ab', 'loose'] WHEN 4 THEN ['run:1', 'test:p:TestY', 'bytes:3'] ELSE ['other:1'] END AS refs FROM orders) "
+)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pick = lambda by, values, other: _ladder(k % by, values, other)
+    refs = [[], ["test:pkg:TestX"], ["run:7"], ["hash:ab", "loose"], ["run:1", "test:p:TestY", "bytes:3"]]
+    return read(spark, sf_dir, "orders").select(
+        F.when(k % 31 == 0, F.concat(F.lit("low-"), k.cast("string"))).when(k % 37 == 0, "C.SAME").otherwise(F.concat(F.lit("C-"), k.cast("string"))).alias("id"), F.when(k % 11 == 0, " ").otherwise(F.col("o_orderpriority")).alias("statement"),
+        pick(7, [F.lit(x) for x in ("designed", "implemented", "evidenced", "evidenced_failing", "verified", "rejected")], F.lit("done")).alias("status"), F.when(k % 13 != 0, "r1").alias("version_introduced"),
+        F.when(k % 17 == 0, "2024-13-01").otherwise("2024-01-13").alias("last_checked"), pick(6, [F.array(*[F.lit(x) for x in r]).cast("array<string>") for r in refs], F.array(F.lit("other:1"))).alias("evidence"),
+    )
+
+
+def _ladder(x: Column, values: list[Column], other: Column) -> Column:
+    out = F.when(x == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(x == i, v)
+    return out.otherwise(other)
+
+
+@query(
+    _RECORDS.rstrip() + ", e AS (SELECT id, unnest([CASE WHEN NOT regexp_full_match(id, '[A-Z0-9][A-Z0-9._-]*') THEN 'BAD_ID' END, CASE WHEN trim(statement) = '' THEN 'EMPTY_STATEMENT' END, CASE WHEN version IS NULL THEN 'EMPTY_VERSION' END, CASE WHEN status = 'done' THEN 'BAD_STATUS' END, CASE WHEN bad_date THEN 'BAD_DATE' END, "
+    "CASE WHEN status NOT IN ('designed', 'rejected', 'done') AND len(refs) = 0 THEN 'NO_EVIDENCE' END, CASE WHEN list_contains(refs, 'loose') THEN 'BAD_REFERENCE' END, CASE WHEN status = 'implemented' AND len(list_filter(refs, lambda r: starts_with(r, 'test:'))) = 0 THEN 'NO_TEST_EVIDENCE' END, "
+    "CASE WHEN status IN ('evidenced', 'evidenced_failing') AND len(list_filter(refs, lambda r: starts_with(r, 'run:'))) = 0 THEN 'NO_RUN_EVIDENCE' END, CASE WHEN status = 'verified' AND len(list_filter(refs, lambda r: starts_with(r, 'hash:') OR starts_with(r, 'invariant:') OR starts_with(r, 'bytes:'))) = 0 THEN 'NO_HASH_OR_INVARIANT_OR_BYTES_EVIDENCE' END]) AS error FROM r "
+    "UNION ALL SELECT id, 'DUPLICATE_ID' FROM r GROUP BY id HAVING count(*) > 1) SELECT DISTINCT id, error FROM e WHERE error IS NOT NULL"
+)
+def claim_record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-29: every rule that a claim record breaks."""
+    return R.claim_record_errors(_records(spark, sf_dir))
+
+
+@query(_RECORDS + "SELECT status, count(*) AS n FROM r GROUP BY 1")
 def claim_ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-29, AG-55: claims by status, and those whose status asks for evidence they lack."""
-    lacks = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 50000)
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.count_if(lacks).alias("without_evidence"))
+    """AG-55: claim records by status."""
+    return _records(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -168,8 +205,8 @@ def model_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH r AS (SELECT strftime(ts, '%Y-%m') AS month, concat(strftime(ts, '%Y%m%dT%H%M%S'), '-', substr(sha256(CAST(user_id AS VARCHAR)), 1, 8)) AS run_id FROM events) SELECT month, count(*) AS n, min(run_id) AS first_run FROM r GROUP BY month")
 def run_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-48, SRC-16: run ids and their month partitions."""
-    rid = F.concat_ws("-", F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 8))
-    return read(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), rid.alias("run_id")).groupBy("month").agg(F.count("*").alias("n"), F.min("run_id").alias("first_run"))
+    e = read(spark, sf_dir, "events").select("ts", F.sha2(F.col("user_id").cast("string"), 256).alias("env"))
+    return e.select(F.date_format("ts", "yyyy-MM").alias("month"), run_id("ts", "env").alias("run_id")).groupBy("month").agg(F.count("*").alias("n"), F.min("run_id").alias("first_run"))
 
 
 @query("WITH a AS (SELECT p_partkey AS k, p_size / 50.0 AS x FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN 0.123 ELSE p_size / 50.0 END AS x FROM part WHERE p_partkey % 4 <> 0), j AS (SELECT a.k IS NULL OR b.k IS NULL OR abs(CAST(a.x AS DOUBLE) - CAST(b.x AS DOUBLE)) > 1e-6 AS off FROM a FULL JOIN b USING (k)) SELECT count_if(off)::BIGINT AS findings, greatest(0.0, 1 - 0.25 * count_if(off))::DOUBLE AS score FROM j")
@@ -183,19 +220,44 @@ def reference_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k", "full_outer").agg(F.count_if(off).alias("findings"), F.greatest(F.lit(0.0), 1 - 0.25 * F.count_if(off)).alias("score"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, lower(text) AS x FROM conversations) SELECT conv_id, turn, concat_ws(',', CASE WHEN contains(x, 'base64') OR contains(x, 'decompress') THEN 'MECHANICAL_DEPENDENCY' END, CASE WHEN contains(x, 'sha') THEN 'UNVERIFIED_HASH' END, CASE WHEN NOT contains(x, 'the') THEN 'NO_SEMANTIC_ANSWER' END) AS violations FROM t")
+_NATIVE = (
+    "WITH t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'INDEX' WHEN 1 THEN 'IDENTITY' WHEN 2 THEN 'OVERVIEW' WHEN 3 THEN 'LOCATE' WHEN 4 THEN 'EXACT' ELSE 'OTHER' END AS query_class, "
+    "concat(CASE (conv_id * 3 + turn) % 8 WHEN 0 THEN 'I need the  binary ' WHEN 1 THEN 'first gzip it ' WHEN 2 THEN 'its SHA256: ab ' WHEN 3 THEN 'unknown ' WHEN 4 THEN '12 bytes of codec-9 ' ELSE '' END, text, CASE WHEN turn % 2 = 0 THEN ' alpha beta gamma' ELSE ' alpha' END) AS output, CASE WHEN turn % 3 = 0 THEN 'codec-9' END AS decoder, CASE WHEN turn % 5 = 0 THEN ' Codec-9' END AS declared, turn % 4 = 3 AS exact FROM conversations), "
+    "u AS (SELECT *, trim(regexp_replace(upper(replace(output, 'ß', 'SS')), '\\s+', ' ', 'g')) AS o FROM t), "
+    "v AS (SELECT *, round((CAST(contains(o, 'ALPHA') AS INT) + CAST(contains(o, 'BETA') AS INT) + CAST(contains(o, 'GAMMA') AS INT) + CAST(contains(o, 'DELTA Q') AS INT)) / 4, 6) AS index_rate, decoder IS NULL OR upper(trim(coalesce(declared, ''))) = 'CODEC-9' OR contains(o, 'CODEC-9') AS discovered, "
+    "query_class IN ('INDEX', 'IDENTITY', 'OVERVIEW', 'LOCATE') AND (contains(o, 'NEED THE BINARY') OR contains(o, 'GZIP')) AS mechanical, CASE WHEN exact THEN '' ELSE concat_ws(',', CASE WHEN contains(o, ' BYTES') THEN 'BYTE_LAYOUT' END, CASE WHEN contains(o, 'GZIP') THEN 'COMPRESSION' END, CASE WHEN contains(o, 'SHA256:') THEN 'HASH' END) END AS unverified FROM u), "
+    "w AS (SELECT *, CASE query_class WHEN 'INDEX' THEN index_rate >= 0.75 WHEN 'EXACT' THEN o <> '' WHEN 'OTHER' THEN false ELSE o <> '' AND NOT contains(o, 'UNKNOWN') END AS answered FROM v) "
+    "SELECT conv_id, turn, index_rate, answered, discovered, mechanical, unverified, answered AND unverified = '' AND (query_class = 'EXACT' OR discovered AND NOT mechanical) AS pass FROM w"
+)
+
+
+@query(_NATIVE)
 def native_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-27, SP-33, AG-56: phrases that an answer should not or must hold."""
-    x = F.lower("text")
-    has = lambda w: F.contains(x, F.lit(w))
-    v = F.concat_ws(",", F.when(has("base64") | has("decompress"), "MECHANICAL_DEPENDENCY"), F.when(has("sha"), "UNVERIFIED_HASH"), F.when(~has("the"), "NO_SEMANTIC_ANSWER"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", v.alias("violations"))
+    """FLT-27, SP-33, AG-56: answers by the rules of their query class: entries recovered, decoder found, what they depend on and what they can't have checked."""
+    c, t = F.col("conv_id"), F.col("turn")
+    lead = _ladder((c * 3 + t) % 8, [F.lit(x) for x in ("I need the  binary ", "first gzip it ", "its SHA256: ab ", "unknown ", "12 bytes of codec-9 ")], F.lit(""))
+    trials = read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", _ladder((c + t) % 6, [F.lit(x) for x in ("INDEX", "IDENTITY", "OVERVIEW", "LOCATE", "EXACT")], F.lit("OTHER")).alias("query_class"),
+        F.concat(lead, "text", F.when(t % 2 == 0, " alpha beta gamma").otherwise(" alpha")).alias("output"), F.array(*[F.lit(x) for x in ("alpha", "beta", "Gamma", "delta q")]).alias("expected"),
+        F.when(t % 3 == 0, "codec-9").alias("decoder"), F.when(t % 5 == 0, " Codec-9").alias("declared"), (t % 4 == 3).alias("exact"),
+    )
+    return R.native_evaluation(trials).select("conv_id", "turn", "index_rate", "answered", "discovered", "mechanical", "unverified", "pass")
 
 
-@query("WITH m AS (SELECT c_custkey, map([concat('ens_', c_custkey % 3), 'other', concat('ens_', 3 + c_custkey % 2)], ['a', 'b', 'c']) AS ctx FROM customer) SELECT c_custkey, concat('ens_', c_custkey % 3, '=a,', 'ens_', 3 + c_custkey % 2, '=c') AS members FROM m")
+@query("SELECT c_custkey, concat('ens_', c_custkey % 3, '=a,', 'ens_', 3 + c_custkey % 2, '=c') AS members FROM customer")
 def ensemble_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SP-59, SP-60, SP-61: the context's entries of an ensemble, by their prefix, in order."""
+    """SP-59: the context's entries of an ensemble, by their prefix, in order."""
     k = F.col("c_custkey")
     ctx = F.create_map(F.concat(F.lit("ens_"), (k % 3).cast("string")), F.lit("a"), F.lit("other"), F.lit("b"), F.concat(F.lit("ens_"), (3 + k % 2).cast("string")), F.lit("c"))
-    own = F.array_sort(F.map_entries(F.map_filter(ctx, lambda n, v: n.startswith("ens_"))))
-    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.transform(own, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("members"))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.transform(R.member_inputs(ctx, "ens_"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("members"))
+
+
+@query(
+    "WITH w AS (SELECT s_nationkey AS plan, s_suppkey AS worker_id, s_suppkey % 4 <> 0 AS model, s_suppkey % 3 = 0 AS deterministic, s_suppkey % 5 * 400000000 AS params, s_nationkey % 2 = 0 AS abstention FROM supplier) "
+    "SELECT CAST(plan AS INTEGER) AS plan, worker_id, 'CHECK_CALIBRATION' AS advice FROM w WHERE abstention AND model AND NOT deterministic UNION ALL SELECT plan, worker_id, 'LARGE_WORKER' FROM w WHERE params > 1000000000"
+)
+def worker_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SP-61: what to look at before a plan's workers run."""
+    k = F.col("s_suppkey")
+    w = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("plan"), k.alias("worker_id"), F.when(k % 4 != 0, "MODEL").otherwise("RULES").alias("engine"), (k % 3 == 0).alias("deterministic"), (k % 5 * 400_000_000).alias("params"), (F.col("s_nationkey") % 2 == 0).alias("abstention"))
+    return R.advisories(w)

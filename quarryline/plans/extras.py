@@ -9,6 +9,7 @@ from quarryline.functions import text as X
 from quarryline.operators import grounding as G
 from quarryline.operators import integrity as I
 from quarryline.operators import ledger as L
+from quarryline.operators import records as P
 from quarryline.operators import retrieval as R
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import read
@@ -86,12 +87,15 @@ def synthesised_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("intent", I.content_id(["target", "mutation"]).alias("candidate_id"), "mutation", "place")
 
 
-@query("SELECT o_orderkey AS build, coalesce(CASE WHEN o_orderkey % 17 = 0 THEN 'MISSING_HASH' WHEN o_orderkey % 5 = 0 THEN 'PARENT_MISMATCH' WHEN o_totalprice < 20000 THEN 'PAYLOAD_CHANGED' END, 'VALID') AS state FROM orders")
+@query("SELECT o_orderkey AS build, CASE WHEN o_orderkey % 23 = 0 THEN 'SCHEMA' WHEN o_orderkey % 17 = 0 THEN 'CANDIDATE' WHEN o_orderkey % 5 = 0 THEN 'PROGRAM' WHEN o_totalprice < 20000 THEN 'PAYLOAD' WHEN o_orderkey % 7 = 0 THEN 'ARTIFACT' ELSE 'VALID' END AS state FROM orders")
 def build_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SP-26: a build's provenance against its candidate, by the first rule it breaks."""
     k = F.col("o_orderkey")
-    o = read(spark, sf_dir, "orders").select(k.alias("build"), F.when(k % 17 != 0, F.lit("h")).alias("hash"), F.when(k % 5 == 0, "x").otherwise("p").alias("parent"), F.lit("p").alias("wanted"), (F.col("o_totalprice") >= 20000).alias("same"))
-    return o.select("build", F.when(F.col("hash").isNull(), "MISSING_HASH").when(F.col("parent") != F.col("wanted"), "PARENT_MISMATCH").when(~F.col("same"), "PAYLOAD_CHANGED").otherwise("VALID").alias("state"))
+    o = read(spark, sf_dir, "orders").select(
+        k.alias("build"), F.when(k % 23 == 0, "old").otherwise("build-1").alias("schema"), F.when(k % 17 != 0, "c1").alias("candidate_id"), F.lit("c1").alias("wanted_candidate_id"), F.when(k % 5 == 0, "x").otherwise("p").alias("program"),
+        F.lit("p").alias("wanted_program"), F.when(F.col("o_totalprice") >= 20000, "d").alias("payload"), F.lit("d").alias("wanted_payload"), F.lit("a").alias("artifact"), F.when(k % 7 != 0, 10).otherwise(0).alias("artifact_bytes"),
+    )
+    return o.select("build", P.build_state("build-1").alias("state"))
 
 
 @query("WITH f AS (SELECT concat('rule.r', c_custkey % 40, '.', CASE c_custkey % 3 WHEN 0 THEN 'target' WHEN 1 THEN 'from' ELSE 'requires' END) AS key, concat('cell', c_custkey % 5, '=ON') AS value FROM customer) SELECT regexp_extract(key, '^rule[.]([^.]+)[.]', 1) AS rule, string_agg(DISTINCT replace(replace(value, 'cell', 'C'), '=', ' is '), ';' ORDER BY replace(replace(value, 'cell', 'C'), '=', ' is ')) AS visible FROM f GROUP BY 1")
@@ -102,9 +106,7 @@ def visible_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("rule.r"), (k % 40).cast("string"), F.lit("."), F.when(k % 3 == 0, "target").when(k % 3 == 1, "from").otherwise("requires")).alias("key"), F.concat(F.lit("cell"), (k % 5).cast("string"), F.lit("=ON")).alias("value")
     )
     names = F.create_map(*[F.lit(x) for i in range(5) for x in (f"cell{i}", f"C{i}")])
-    part = F.split("value", "=")
-    shown = F.concat_ws(" is ", F.element_at(names, part[0]), part[1])
-    return facts.groupBy(F.regexp_extract("key", r"^rule[.]([^.]+)[.]", 1).alias("rule")).agg(F.array_join(F.array_sort(F.collect_set(shown)), ";").alias("visible"))
+    return facts.groupBy(P.rule_of(F.col("key")).alias("rule")).agg(F.array_join(F.array_sort(F.collect_set(P.visible_requires(F.col("value"), names))), ";").alias("visible"))
 
 
 @query("SELECT n_nationkey AS base, CAST(s AS INTEGER) AS stage, concat(n_name, '/', s) AS case_id FROM nation, range(0, 6) t(s) WHERE s <= n_nationkey % 6")
