@@ -52,3 +52,14 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-04, SP-45: the phase of each worker, a model on a question, moved by its successes and failures."""
     own = select(events(spark, sf_dir), LEDGER).where("pass IS NOT NULL").select(F.concat_ws("/", "model_id", "question_id").alias("worker"), "pass", F.col("event_id").alias("seq"))
     return A.lifecycle(own, new_path(spark, "phases"), new_path(spark, "offsets"))
+
+
+@query(
+    r"WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, trim(regexp_replace(regexp_replace(unnest(ls), '[0-9]', '#', 'g'), '\s+', ' ', 'g')) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), "
+    "k AS (SELECT doc_id, count(*) AS n_chunks, list(x ORDER BY i) FILTER (WHERE x <> '') AS ls FROM l GROUP BY doc_id) SELECT doc_id, n_chunks, coalesce(len(ls) >= 2 AND len(list_distinct(ls[-2:])) = 1, false) AS degenerate FROM k".replace("\\\\", "\\")
+)
+def stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-01: every document's lines as a stream of chunks, guarded against ends of one shape; two lines here, as these texts have few."""
+    docs = A.stream(spark, sf_dir, "documents", read(spark, sf_dir, "documents").schema)
+    chunks = docs.select(F.col("doc_id").alias("key"), F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    return A.guarded(chunks, new_path(spark, "guard"), new_path(spark, "offsets"), 2).withColumnRenamed("key", "doc_id")

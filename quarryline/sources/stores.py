@@ -39,9 +39,9 @@ def append_ledger(events: DataFrame, path: str) -> int:
     return n
 
 
-def read_campaign(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Trials, and responses with their place, of nested campaign documents."""
-    doc = spark.read.schema(schemas.CAMPAIGN).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_campaign(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Trials, and responses with their place, of nested campaign documents: a file each, or a line each."""
+    doc = spark.read.schema(schemas.CAMPAIGN).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     trials = doc.select("benchmark_id", F.explode("trials").alias("t")).select("benchmark_id", F.col("t.id").alias("trial"), "t.model_id", "t.condition", F.coalesce("t.diagnostic_mode", F.lit(False)).alias("diagnostic"), F.col("t.specimen.id").alias("specimen_id"), F.col("t.specimen.sha256").alias("specimen_sha"), "t.responses")
     responses = trials.select("trial", F.posexplode("responses").alias("pos", "r")).select("trial", F.col("r.question_id").alias("question"), F.col("r.text").alias("answer"), F.col("pos").cast("long").alias("pos"))
     return trials.drop("responses"), responses
