@@ -176,7 +176,7 @@ def _bags(documents: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFram
     return found.select(shingles("text").alias("s")).select("s.*").dropDuplicates(["node"])
 
 
-def _linked(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+def _linked(documents: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
     """Links (a, b) between nodes that share a band and have similar bags; enough of them for the components.
 
     First each band's nodes are held against the band's least node, and joined where similar. Nodes of a band that
@@ -192,7 +192,7 @@ def _linked(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = firsts.select(F.col("a").alias("node")).union(firsts.select("b"))
     bags = written(_bags(documents, nodes, ids), "bags")
     sims = written(_similar(firsts, bags), "sims")
-    links = sims.where(F.col("sim") >= SIMILAR).select("a", "b")
+    links = sims.where(F.col("sim") >= similar).select("a", "b")
     roots = written(components(links), "roots")
     placed = with_head.join(roots, "node", "left").join(sims.select(F.col("a").alias("node"), F.col("b").alias("head"), "sim"), ["node", "head"], "left")
     placed = placed.select("band", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("sim", F.lit(1.0)).alias("sim"), (F.col("node") == F.col("head")).alias("is_head"))
@@ -206,11 +206,20 @@ def _linked(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     many = max(1, (open_.agg(F.sum("n")).first()[0] or 0) // GROUP)
     tiles = tiles.join(bags, "node").withColumn("part", F.pmod(F.xxhash64("band", "low", "high"), F.lit(many)))
-    late = written(tiles.groupBy("part").applyInArrow(tile_links, "a long, b long").distinct(), "late")
+    late = written(tiles.groupBy("part").applyInArrow(tile_linker(similar), "a long, b long").distinct(), "late")
     return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(late)
 
 
-def tile_links(table: pa.Table) -> pa.Table:
+def tile_linker(similar: float):
+    """tile_links() at a similarity, as a function of a group's rows."""
+
+    def linked(table: pa.Table) -> pa.Table:
+        return tile_links(table, similar)
+
+    return linked
+
+
+def tile_links(table: pa.Table, similar: float = SIMILAR) -> pa.Table:
     """Links between the roots that meet in each tile, a spanning forest of them: no more than a tile has rows.
 
     A tile is a block of a band's nodes, or two blocks held against each other.
@@ -233,7 +242,7 @@ def tile_links(table: pa.Table) -> pa.Table:
         _, ids = np.unique(np.concatenate([words[at[k] : at[k + 1]] for k in own]), return_inverse=True)
         mark = np.zeros(len(ids), dtype=bool)
         for k in range(len(own)):
-            able = (root_ != root_[k]) & (np.minimum(size_, size_[k]) >= SIMILAR * np.maximum(size_, size_[k])) & (np.abs(sim_ - sim_[k]) <= 1 - SIMILAR + 1e-9)
+            able = (root_ != root_[k]) & (np.minimum(size_, size_[k]) >= similar * np.maximum(size_, size_[k])) & (np.abs(sim_ - sim_[k]) <= 1 - similar + 1e-9)
             able[:k] = False
             if low != high:
                 able &= block_ != block_[k]
@@ -246,7 +255,7 @@ def tile_links(table: pa.Table) -> pa.Table:
             else:
                 both = np.add.reduceat(mark[ids].astype(np.int64), first[:-1])[to]
             mark[ids[first[k] : first[k + 1]]] = False
-            near = to[both >= SIMILAR * (size_[to] + size_[k] - both)]
+            near = to[both >= similar * (size_[to] + size_[k] - both)]
             for t in near:
                 if root_[t] != root_[k]:
                     out.append((node[own[k]], node[own[t]]))
@@ -255,32 +264,35 @@ def tile_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _classes(documents: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, hash, node) of documents, and (node, class_node, class_id, class_hash)."""
     rows = written(bounded_batches(documents).select("doc_id", _text_hash().alias("hash"), signed("text").alias("s")).select("doc_id", "hash", "s.*"), "signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
     nodes = rows.where("node is not null").groupBy("node").agg(least.alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes.select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.hash").alias("hash"), "n", "bands"), "nodes")
-    roots = components(_linked(documents, nodes))
+    roots = components(_linked(documents, nodes, similar))
     joined = nodes.select("node", "rep", "hash").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = joined.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "hash")).alias("best"))
     named = joined.join(best, "root").select("node", F.col("best.rep").alias("class_id"), F.col("best.hash").alias("class_hash"))
     return rows.select("doc_id", "hash", "node"), written(named, "classes")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id and class_id of every row of documents; class_id is the least doc_id of the class."""
-    rows, named = _classes(documents)
+def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id and class_id of every row of documents; class_id is the least doc_id of the class.
+
+    The bands are made for a similarity of 0.8 or more; below that, pairs share one less surely.
+    """
+    rows, named = _classes(documents, similar)
     return rows.join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of documents, as they are, without all but one row of each class.
 
     Of rows that repeat both the id and the text of the class's first row, the one of the least values in the other
     columns stays, compared as JSON.
     """
-    rows, named = _classes(documents)
+    rows, named = _classes(documents, similar)
     placed = rows.where("node is not null").join(named, "node")
     is_best = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("hash") == F.col("class_hash"))
     # names that no column of documents has, so that nothing is ambiguous

@@ -128,6 +128,8 @@ def test_near_duplicates_chain_and_multiset(spark):
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(6)] == [0] * 6  # linked in a chain, the ends are not alike
     assert got[50] != got[51]  # equal sets of shingles, different weights
+    strict = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similar=0.99).collect()}
+    assert strict == {r[0]: r[0] for r in rows}
 
 
 def test_bag_min_hash_is_unbiased():
