@@ -76,6 +76,13 @@ def parity(expected: DataFrame, actual: DataFrame, declared: DataFrame) -> DataF
     return j.select("key", blank("e").alias("expected"), blank("a").alias("actual"), state.alias("state"))
 
 
+def monitored(runs: DataFrame, retire_above: float, least: int = 5) -> DataFrame:
+    """(model_id, phase) of runs (model_id, pass, score): RETIRED by one score above what is honest, DEGRADED by more failures than successes in `least` runs or more, else ACTIVE."""
+    c = runs.groupBy("model_id").agg(F.count("*").alias("runs"), F.count_if(~F.col("pass")).alias("failures"), F.count_if("pass").alias("recoveries"), F.max("score").alias("top"))
+    phase = F.when(F.col("top") > retire_above, "RETIRED").when((F.col("runs") >= least) & (F.col("failures") > F.col("recoveries")), "DEGRADED").otherwise("ACTIVE")
+    return c.select("model_id", phase.alias("phase"))
+
+
 def panel(required: DataFrame, trials: DataFrame) -> DataFrame:
     """(model, passes, runs, ok): a required model without a trial fails."""
     own = trials.groupBy("model").agg(F.count_if("pass").alias("passes"), F.count("*").alias("runs"))

@@ -163,3 +163,24 @@ def classified(questions: DataFrame) -> DataFrame:
         "class": F.when(taken, model).otherwise(F.col("rule")), "confidence": F.when(taken, sure).otherwise(F.when(F.col("rule") == "general", 0.3).otherwise(0.8)),
         "method": F.when(taken, "model").otherwise("rules"), "model_verdict": model,
     }).drop("rule", "model_class", "model_confidence", "calibration")
+
+
+def calibration_verdict(predictions: DataFrame, denied: list[str], allowed: list[str], least: float) -> DataFrame:
+    """predictions (domain, confidence, slice) with verdict, by the first rule that applies: a denied domain, one not allowed, too little confidence, out of distribution."""
+    d = F.lower(F.trim("domain"))
+    verdict = F.when(d.isin(denied) | ~d.isin(allowed), "UNSUPPORTED").when(F.col("confidence") < least, "LOW_EVIDENCE").when(F.col("slice") == "out", "UNKNOWN").otherwise("ANSWERED")
+    return predictions.withColumn("verdict", verdict)
+
+
+def admission(predictions: DataFrame, bins: int = 10, least_rows: int = 100, most_error: float = 0.10, least_accuracy: float = 0.8) -> DataFrame:
+    """(domain, reasons): all that keeps a model from being admitted: too few rows out of distribution, its calibration error inside, its accuracy outside."""
+    b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("confidence") * bins)))
+    own = predictions.groupBy("domain", "slice", b.alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("confidence") - F.avg(F.col("correct").cast("double"))).alias("gap"), F.count_if("correct").alias("ok"))
+    inside, out = F.col("slice") == "in", F.col("slice") == "out"
+    m = own.groupBy("domain").agg(
+        (F.sum(F.when(inside, F.col("n") * F.col("gap"))) / F.sum(F.when(inside, F.col("n")))).alias("ece"), F.sum(F.when(out, F.col("n"))).alias("n_out"),
+        (F.sum(F.when(out, F.col("ok"))) / F.sum(F.when(out, F.col("n")))).alias("acc"),
+    )
+    n = F.col("n_out")
+    reasons = [F.when(n < least_rows, "OOD_TOO_SMALL"), F.when(F.col("ece") > most_error, "ECE_ABOVE_CEILING"), F.when((n >= least_rows) & (F.col("acc") < least_accuracy), "OOD_ACCURACY_BELOW_FLOOR")]
+    return m.select("domain", F.concat_ws(",", *reasons).alias("reasons"))

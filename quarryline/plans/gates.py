@@ -116,8 +116,7 @@ def outcome_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LEDGER_SQL}, c AS (SELECT model_id, count(*) AS runs, count_if(pass = false) AS failures, count_if(pass) AS recoveries, max(score) AS top FROM ledger WHERE kind = 'OBSERVATION' GROUP BY model_id) SELECT model_id, CASE WHEN top > 0.979 THEN 'RETIRED' WHEN runs >= 5 AND failures > recoveries THEN 'DEGRADED' ELSE 'ACTIVE' END AS phase FROM c")
 def worker_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-39, AG-40, SM-04, SP-45: each worker's phase by its record."""
-    c = ledger(spark, sf_dir).where("kind = 'OBSERVATION'").groupBy("model_id").agg(F.count("*").alias("runs"), F.count_if(~F.col("pass")).alias("failures"), F.count_if("pass").alias("recoveries"), F.max("score").alias("top"))
-    return c.select("model_id", F.when(F.col("top") > 0.979, "RETIRED").when((F.col("runs") >= 5) & (F.col("failures") > F.col("recoveries")), "DEGRADED").otherwise("ACTIVE").alias("phase"))
+    return G.monitored(ledger(spark, sf_dir).where("kind = 'OBSERVATION'"), 0.979)
 
 
 @query(

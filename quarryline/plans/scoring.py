@@ -111,22 +111,13 @@ def confidence_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PREDICTIONS_SQL} SELECT event_id, CASE WHEN domain = 'error' THEN 'UNSUPPORTED' WHEN domain NOT IN ('view', 'click', 'purchase') THEN 'UNSUPPORTED' WHEN confidence < 0.4 THEN 'LOW_EVIDENCE' WHEN slice = 'out' THEN 'UNKNOWN' ELSE 'ANSWERED' END AS verdict FROM predictions")
 def calibration_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-10: the abstention policy, its first rule that applies."""
-    p = predictions(spark, sf_dir)
-    d = F.lower(F.trim("domain"))
-    verdict = F.when(d == "error", "UNSUPPORTED").when(~d.isin("view", "click", "purchase"), "UNSUPPORTED").when(F.col("confidence") < 0.4, "LOW_EVIDENCE").when(F.col("slice") == "out", "UNKNOWN").otherwise("ANSWERED")
-    return p.select("event_id", verdict.alias("verdict"))
+    return S.calibration_verdict(predictions(spark, sf_dir), ["error"], ["view", "click", "purchase"], 0.4).select("event_id", "verdict")
 
 
 @query(f"WITH {PREDICTIONS_SQL}, b AS (SELECT domain, slice, greatest(0, least(9, floor(confidence * 10))) AS bin, count(*) AS n, abs(avg(confidence) - avg(CAST(correct AS DOUBLE))) AS gap, count_if(correct) AS ok FROM predictions GROUP BY ALL), m AS (SELECT domain, sum(n * gap) FILTER (WHERE slice = 'in') / sum(n) FILTER (WHERE slice = 'in') AS ece, sum(n) FILTER (WHERE slice = 'out') AS n_out, sum(ok) FILTER (WHERE slice = 'out') / sum(n) FILTER (WHERE slice = 'out') AS acc FROM b GROUP BY domain) SELECT domain, concat_ws(',', CASE WHEN n_out < 100 THEN 'OOD_TOO_SMALL' END, CASE WHEN ece > 0.10 THEN 'ECE_ABOVE_CEILING' END, CASE WHEN n_out >= 100 AND acc < 0.8 THEN 'OOD_ACCURACY_BELOW_FLOOR' END) AS reasons FROM m")
 def admission_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-11, SP-44: every reason that keeps a model from being admitted."""
-    p = predictions(spark, sf_dir)
-    b = F.greatest(F.lit(0), F.least(F.lit(9), F.floor(F.col("confidence") * 10)))
-    bins = p.groupBy("domain", "slice", b.alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("confidence") - F.avg(F.col("correct").cast("double"))).alias("gap"), F.count_if("correct").alias("ok"))
-    inside, out = F.col("slice") == "in", F.col("slice") == "out"
-    m = bins.groupBy("domain").agg((F.sum(F.when(inside, F.col("n") * F.col("gap"))) / F.sum(F.when(inside, F.col("n")))).alias("ece"), F.sum(F.when(out, F.col("n"))).alias("n_out"), (F.sum(F.when(out, F.col("ok"))) / F.sum(F.when(out, F.col("n")))).alias("acc"))
-    reasons = [F.when(F.col("n_out") < 100, "OOD_TOO_SMALL"), F.when(F.col("ece") > 0.10, "ECE_ABOVE_CEILING"), F.when((F.col("n_out") >= 100) & (F.col("acc") < 0.8), "OOD_ACCURACY_BELOW_FLOOR")]
-    return m.select("domain", F.concat_ws(",", *reasons).alias("reasons"))
+    return S.admission(predictions(spark, sf_dir))
 
 
 @query("WITH p AS (SELECT quality = 0 AS truth, CASE WHEN n_chars % 7 = 0 THEN NULL ELSE n_chars < 900 END AS guess FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) AS n, count(guess) AS covered, count_if(truth AND guess)::BIGINT AS tp, count_if(NOT truth AND guess)::BIGINT AS fp, count_if(truth AND NOT guess)::BIGINT AS fn FROM p) SELECT *, round(covered / n, 6) AS coverage, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM c")
