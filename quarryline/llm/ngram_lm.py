@@ -256,8 +256,9 @@ def trained(documents: DataFrame) -> Model:
     layout = Layout(path, bits, _hot(documents, bits, size["rows"]))
     word_bits = max(3, bits - 2)
     counted = documents.select("text").mapInArrow(_pair_counts(layout), BLOBS)
-    pairs = counted.groupBy("shard").applyInArrow(_pairs_merged(layout, word_bits), BLOBS)
-    words = pairs.groupBy("shard").applyInArrow(_words_merged(layout), ", ".join(f"{c} long" for c in SUMS))
+    # shards are dealt to four times as many partitions, which stay as they are: a task has a shard or two, at every size of the input
+    pairs = counted.repartition(4 << bits, "shard").groupBy("shard").applyInArrow(_pairs_merged(layout, word_bits), BLOBS)
+    words = pairs.repartition(4 << word_bits, "shard").groupBy("shard").applyInArrow(_words_merged(layout), ", ".join(f"{c} long" for c in SUMS))
     total = words.agg(*[F.sum(c).alias(c) for c in SUMS]).first().asDict()
     return Model(layout, word_bits, {k: v or 0 for k, v in total.items()})
 
