@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage reads what the one before it kept."""
+"""The corpus pipeline: each stage reads what the one before it kept.
+
+All stages but the last return the columns of documents, further ones too, whatever their names; the last one returns the mix. Texts are
+read whole, however long. Null and empty texts fail the base rules and go in the first stage; a stage that is called alone
+keeps them: near_dedup as documents of their own, decontamination and personal_data as they are, mixture with 0 words. Null ids
+stay null. Rows that repeat are treated alike, but for near_dedup, which keeps one of them, and mixture, which takes each by itself.
+Ties are broken by ids, hashes of texts and, for equal ids and texts, by the other columns, so reruns agree. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
