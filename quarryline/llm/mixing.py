@@ -7,7 +7,8 @@ is to be taken e times, every document is taken floor(e) times and a seeded choi
 order of a hash of seed, id and text the documents before the point where the remaining words are reached, the one across that
 point if more than half of it lies before. Null and empty texts have size 0 and are taken 0 times their
 words. Rows that repeat are rows of their own; which of equal rows is taken doesn't matter. An empty table gives an empty
-result. Reruns on the same rows take the same.
+result. Reruns on the same rows take the same; rows of one hash stand in any order, each with a share of its own. Columns beside
+doc_id, source and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
