@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import chat, decontaminate, licenses, mixing, neardup, ngram_lm, pii, ranking, rules, templates
+from quarryline.llm import chat, decontaminate, licenses, mixing, neardup, ngram_lm, pii, ranking, rules, simhash, templates, trie, whitening
 from quarryline.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.language_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_preorder_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,8 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_template_deduction": op8_template_deduction,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_exact_scatter": op11_exact_scatter,
+    "op12_preorder_intervals": op12_preorder_intervals,
+    "op13_pigeonring": op13_pigeonring,
     "pipeline": pipeline,
 }
 
 #: DuckDB SQL for those that SQL expresses.
-ORACLES: dict[str, str] = {"op1_chat_perspectives": chat.ORACLE, "op5_water_filling": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_perspectives": chat.ORACLE, "op5_water_filling": mixing.ORACLE, "op12_preorder_intervals": trie.ORACLE}
