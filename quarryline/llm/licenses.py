@@ -1,13 +1,16 @@
 """Licence families of paragraphs (operator 3), by DataFrame and SQL functions only.
 
-A multinomial logistic regression over the words, pairs and triples of words of a paragraph (a line of text) gives each family, and an
-unknown class, a chance. It is fitted to notices made of the families' names and paragraphs, and to
+A multinomial logistic regression over the words, pairs and triples of words of a paragraph gives each family, and an
+unknown class, a chance. Each line of a text is a paragraph; lines in a row, up to a blank one, are one paragraph more, so that hard-wrapped
+texts are found, with the marks of comments at their lines' starts left out. It is fitted to notices made of the families' names and paragraphs, and to
 paragraphs that license nothing: written ones, and up to some NEGATIVES of the table's own that hold a word of the
 notices but share nothing with any template. A family is reported if its chance reaches the threshold, which is
 calibrated on notices and paragraphs left out of the fit, and if the comparison with the family's templates confirms it: the
-share of one template's distinctive word triples, or pairs in short notices, that the paragraph contains.
+share of one template's distinctive word triples, or pairs in short notices, that the paragraph contains. A bare name confirms only a line that is little more
+than the name, or has a word of licensing or a mark that sets names off, so that a mention is none; wrapped lines are confirmed by paragraphs of a licence's text alone, and
+then stand for the lines in them that hold the family's name, unless one holds a whole paragraph by itself.
 The weights' n-grams each contain a word of the templates that is no stop word, so paragraphs without any such word are unknown; they
-are passed over before n-grams are made. Null and empty texts have no paragraph. Texts are read whole; a line is a paragraph however
+are passed over before n-grams are made. Null and empty texts have no paragraph. Texts are read whole; lines, and rows of lines, are paragraphs however
 long. Repeated rows are reported each; of families of equal chance the first by name holds. An empty table gives an empty result;
 columns beside doc_id and text aren't read, whatever their names.
 """
@@ -39,6 +42,17 @@ BARE = ("MIT", "ISC")
 #: Paragraphs of the table that the unknown class learns from, about.
 NEGATIVES = 2_000
 
+#: Words that make a licence's name a notice.
+CUES = "licensed released distributed available subject terms under uses see spdx identifier dedicated redistribute governed".split()
+#: Marks that set a name off from what is around it.
+MARKS = r"[\[\]{}*_|#<>]"
+#: Words that a line may have beside a licence's name and be a notice without any of them.
+BESIDE = 2
+#: A template of so many words or more is a paragraph of a licence's text.
+LONG = 12
+#: What begins the lines of a comment.
+LEADER = r"^[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|>+|\.\.)?[ \t]*|[ \t]*\*/[ \t]*$"
+
 #: Confirmation: the least share of a template's triples (pairs in short notices).
 CONFIRM = 0.6
 
@@ -135,23 +149,60 @@ def templates(spark: SparkSession) -> DataFrame:
     made = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(dict.fromkeys(rows))], "template int, family string, text string").withColumn("w", words(F.col("text")))
     lead = F.when(F.col("w")[0].isin("the", "a"), F.slice("w", 2, F.size("w") - 1)).otherwise(F.col("w"))
     made = made.withColumn("w", lead)
-    own = F.array_distinct(F.when(F.size("w") >= 12, grams(F.col("w"), 3)).when(F.size("w") >= 2, grams(F.col("w"), 2)).otherwise(F.col("w")))
-    return made.select("template", "family", F.size(own).alias("many"), F.explode(own).alias("gram"))
+    own = F.array_distinct(F.when(F.size("w") >= LONG, grams(F.col("w"), 3)).when(F.size("w") >= 2, grams(F.col("w"), 2)).otherwise(F.col("w")))
+    return made.select("template", "family", F.size("w").alias("length"), F.size(own).alias("many"), F.explode(own).alias("gram"))
+
+
+def paragraphs(texts: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, lines, w, marked): the words of each line of texts (doc_id, text), and of each row of two lines or more up to a blank one.
+
+    paragraph is the place of its first line, from 0; lines how many it has; marked whether a line has marks that set a name off.
+    """
+    bare = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, LEADER, ""))
+    own = texts.select("doc_id", F.split("text", "\n").alias("lines"), bare.alias("bare"))
+    each = own.select("doc_id", F.posexplode("lines").alias("paragraph", "line")).select("doc_id", "paragraph", F.lit(1).alias("lines"), words(F.col("line")).alias("w"), F.col("line").rlike(MARKS).alias("marked"))
+    start = F.struct(F.array().cast("array<struct<at:int,n:int>>").alias("out"), F.lit(0).alias("place"), F.lit(0).alias("head"), F.lit(0).alias("n"))
+    ends = lambda s: F.when(s["n"] > 1, F.array_append(s["out"], F.struct(s["head"].alias("at"), s["n"].alias("n")))).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        blank = F.trim(x) == ""
+        return F.struct(
+            F.when(blank, ends(s)).otherwise(s["out"]).alias("out"), (s["place"] + 1).alias("place"), F.when(blank | (s["n"] > 0), F.when(blank, s["place"] + 1).otherwise(s["head"])).otherwise(s["place"]).alias("head"), F.when(blank, 0).otherwise(s["n"] + 1).alias("n"),
+        )
+
+    runs = own.select("doc_id", "bare", F.explode(F.aggregate("bare", start, step, ends)).alias("r"))
+    joined = runs.select("doc_id", F.col("r.at").alias("paragraph"), F.col("r.n").alias("lines"), words(F.array_join(F.slice("bare", F.col("r.at") + 1, F.col("r.n")), " ")).alias("w"), F.lit(False).alias("marked"))
+    return each.unionByName(joined)
 
 
 def licence_paragraphs(documents: DataFrame) -> DataFrame:
-    """doc_id, paragraph (its place among the text's lines, from 0), family, chance and match of every confirmed paragraph."""
+    """doc_id, paragraph (the place of its first line among the text's lines, from 0), lines, family, chance and match of every confirmed paragraph."""
     spark = documents.sparkSession
     signs = signs_of(examples(spark))
     sign = F.array(*[F.lit(s) for s in signs])
     # a text's words are those of its lines, so texts without any sign have no line with one
-    texts = documents.select("doc_id", "text").where(F.arrays_overlap(words(F.col("text")), sign))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("w", words(F.col("line"))).where(F.arrays_overlap("w", sign))
-    rows = written(lines.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("paragraph").cast("long").alias("paragraph"), features(F.col("w")).alias("grams")), "paragraphs")
-    model = trained(spark, signs, negatives(rows))
-    best = probabilities(rows, model, "doc_id", "paragraph").withColumn("chance", F.array_max("chances"))
+    texts = documents.select(F.monotonically_increasing_id().alias("text_row"), "doc_id", "text").where(F.arrays_overlap(words(F.col("text")), sign))
+    found = paragraphs(texts.select(F.struct("text_row", "doc_id").alias("doc_id"), "text")).where(F.arrays_overlap("w", sign))
+    cue = F.col("marked") | F.arrays_overlap("w", F.array(*[F.lit(c) for c in CUES]))
+    rows = found.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id.text_row").alias("text_row"), F.col("doc_id.doc_id").alias("doc_id"), F.col("paragraph").cast("long").alias("paragraph"), F.col("lines").cast("long").alias("lines"),
+        F.size("w").alias("n_words"), cue.alias("cue"), features(F.col("w")).alias("grams"),
+    )
+    rows = written(rows, "paragraphs")
+    model = trained(spark, signs, negatives(rows.where("lines = 1").select("row", "grams")))
+    keep = ["text_row", "doc_id", "paragraph", "lines", "n_words", "cue"]
+    best = probabilities(rows, model, *keep).withColumn("chance", F.array_max("chances"))
     best = best.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in model.families]), F.array_position("chances", F.col("chance")).cast("int")))
-    best = written(best.where((F.col("family") != "unknown") & (F.col("chance") >= model.threshold)).select("row", "doc_id", "paragraph", "family", "chance"), "likely")
-    shared = rows.select("row", "grams").join(few(best.select("row", "family")), "row").select("row", "family", F.explode("grams").alias("gram")).join(F.broadcast(templates(spark)), ["gram", "family"])
-    match = shared.groupBy("row", "template", "many").count().select("row", (F.col("count") / F.col("many")).alias("m")).groupBy("row").agg(F.max("m").alias("match"))
-    return best.join(match.where(F.col("match") >= CONFIRM), "row").select("doc_id", "paragraph", "family", F.round("chance", 4).alias("chance"), F.round("match", 4).alias("match"))
+    best = written(best.where((F.col("family") != "unknown") & (F.col("chance") >= model.threshold)).select("row", *keep, "family", "chance"), "likely")
+    shared = rows.select("row", "grams").join(few(best.select("row", "family", "lines", "n_words", "cue")), "row").select("row", "family", "lines", "n_words", "cue", F.explode("grams").alias("gram")).join(F.broadcast(templates(spark)), ["gram", "family"])
+    notice = (F.col("length") >= LONG) | ((F.col("lines") == 1) & (F.col("cue") | (F.col("n_words") - F.col("length") <= BESIDE)))
+    each = shared.where(notice).groupBy("row", "template", "many", "length").count().select("row", (F.col("count") / F.col("many")).alias("m"), (F.col("length") >= LONG).alias("long"))
+    match = each.where(F.col("m") >= CONFIRM).groupBy("row").agg(F.max("m").alias("match"), F.bool_or("long").alias("long"))
+    sure = written(best.join(match, "row"), "confirmed")
+    # a line that holds a whole paragraph goes before the lines it stands in, these before a line with no more than the name
+    inner = sure.where("lines = 1").select(F.col("row").alias("line_row"), F.col("text_row").alias("t"), F.col("family").alias("f"), F.col("paragraph").alias("p"), F.col("long").alias("l"))
+    has = (F.col("text_row") == F.col("t")) & (F.col("family") == F.col("f")) & (F.col("p") >= F.col("paragraph")) & (F.col("p") < F.col("paragraph") + F.col("lines"))
+    outer = sure.where("lines > 1").join(inner.where("l"), has, "left_anti")
+    within = inner.join(outer.select("text_row", "family", "paragraph", "lines"), has).select(F.col("line_row").alias("row"))
+    every = outer.unionByName(sure.where("lines = 1").join(within.distinct(), "row", "left_anti"))
+    return every.select("doc_id", "paragraph", "lines", "family", F.round("chance", 4).alias("chance"), F.round("match", 4).alias("match"))
