@@ -5,8 +5,7 @@ An item of n characters is found where it aligns with a stretch of a document wi
 e = min(8% of n, n / 10 - 1) edits, and none below 20 characters. Such a stretch shares n + 1 - 10 * (e + 1) q-grams of
 10 characters with the item at least, all within e diagonals; so no stretch within the budget is missed. Items under 10
 characters have no such q-gram: they are found where all their characters stand in a row.
-Stretches of an item that begin within a few edits of each other are one: its best one is reported. Of an item under
-10 characters each document's first stretch is.
+Stretches of an item that don't overlap are reported each, from left to right; of overlapping ones the best, the first of equals.
 Null and empty documents have no matches; null items, and empty ones or those of white space, match nothing; items with
 equal text match alike, each by its own id, a null one too; rows that repeat a document are reported each. Documents
 are read whole. Empty tables give an empty result; columns beside the ids and texts aren't read.
@@ -134,7 +133,7 @@ class Index:
             i = j
 
     def _short(self, chars, source, at) -> Iterator[tuple[int, int, int, int, int]]:
-        """The first place in each text of each item under Q characters."""
+        """All places, none within the one before it, of each item under Q characters."""
         for q, items in self.short.items():
             keys = np.array(sorted(items), dtype=np.uint64)
             h = _gram_hashes(chars, q)
@@ -143,10 +142,12 @@ class Index:
             key = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             here = np.flatnonzero(keys[key] == h)
             owner = np.searchsorted(at, here, side="right") - 1
-            _, first = np.unique(np.column_stack([owner, key[here]]), axis=0, return_index=True)
-            for k in first.tolist():
-                t, p = int(owner[k]), int(here[k])
-                for i in items[int(keys[key[p]])]:
+            free: dict[tuple[int, int], int] = {}  # by text and item, where the next stretch may begin
+            for t, p, k in zip(owner.tolist(), here.tolist(), key[here].tolist(), strict=True):
+                if p < free.get((t, k), 0):
+                    continue
+                free[(t, k)] = p + q
+                for i in items[int(keys[k])]:
                     yield t, i, int(source[p] - source[at[t]]), int(source[p + q - 1] - source[at[t]] + 1), 0
 
     def _regions(self, chars, source, at, here, key, owner, many) -> Iterator[tuple[int, int, int, int, int]]:
@@ -170,16 +171,28 @@ class Index:
             else:
                 spans.append((low, high))
         for (t, i), spans in found.items():
+            free = int(at[t])  # where the next stretch may begin
             for low, high in spans:
-                for s in range(low, high, 4 * (int(self.e[i]) + 1)):  # a long run of bands in overlapping parts
-                    part = (s, min(high, s + 8 * (int(self.e[i]) + 1)))
-                    hit = aligned(self.items[i], chars, int(at[t]), int(at[t + 1]) - 1, *part, int(self.e[i]))
-                    if hit:
-                        start, end, edits = hit
-                        yield t, i, int(source[start] - source[at[t]]), int(source[end - 1] - source[at[t]] + 1), edits
-                        break
-                    if part[1] == high:
-                        break
+                for start, end, edits in self._stretches(i, chars, free, int(at[t + 1]) - 1, low, high):
+                    free = end
+                    yield t, i, int(source[start] - source[at[t]]), int(source[end - 1] - source[at[t]] + 1), edits
+
+    def _stretches(self, i: int, chars: np.ndarray, begin: int, stop: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+        """The stretches of item i on diagonals low to high, from begin on, none overlapping: a long run of bands is gone through in overlapping parts."""
+        item, e = self.items[i], int(self.e[i])
+        step, s = 4 * (e + 1), max(low, begin - e)
+        while s < high:
+            hit = aligned(item, chars, begin, stop, s, min(high, s + 2 * step), e)
+            if not hit:
+                s += step
+                continue
+            # an overlapping stretch that begins a little later may be better
+            later = aligned(item, chars, begin, stop, max(low, hit[0] - step), min(high, hit[0] + step), e)
+            if later and later[2] < hit[2]:
+                hit = later
+            yield hit
+            begin = max(hit[1], begin + 1)
+            s = max(s, begin - e)
 
 
 def _banded(p: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarray:
