@@ -165,7 +165,61 @@ def loop_table(spark: SparkSession, log: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r[n] for n in names) for r in log], "generation int, before string, selected string, incumbent string, event string, remaining int")
 
 
+def json_objects(text: Column) -> Column:
+    """The texts of all objects in braces inside a text, from the first brace on, however deep: each from a { outside of any other to the } that closes it.
+
+    Braces inside strings don't count, and \" doesn't end a string; quotes outside of braces are prose. A brace that is never closed hides what is behind it.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\.|[{}\"]|[^{}\"\\]+|\\"), 0)
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("head"), F.array().cast("array<struct<head:int,size:int>>").alias("found"))
+
+    def step(s: Column, piece: Column) -> Column:
+        opens, closes = (piece == "{") & ~s["quoted"], (piece == "}") & ~s["quoted"] & (s["depth"] > 0)
+        depth = s["depth"] + opens.cast("int") - closes.cast("int")
+        ends = closes & (depth == 0)
+        one = F.struct(s["head"].alias("head"), (s["at"] - s["head"] + 1).alias("size"))
+        return F.struct(
+            (s["at"] + F.length(piece)).alias("at"), depth.alias("depth"), F.when((piece == '"') & (s["depth"] > 0), ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+            F.when(opens & (s["depth"] == 0), s["at"]).otherwise(s["head"]).alias("head"), F.when(ends, F.array_append(s["found"], one)).otherwise(s["found"]).alias("found"),
+        )
+
+    return F.aggregate(pieces, start, step, lambda s: F.transform(s["found"], lambda f: F.substring(text, f["head"], f["size"])))
+
+
 def json_object(text: Column) -> Column:
-    """The first JSON object inside a text, braces nested two deep at most; null if there is none."""
-    found = F.regexp_extract(text, r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}", 0)
-    return F.when((found != "") & F.try_parse_json(found).isNotNull(), found)
+    """The first of the objects in braces inside a text that is JSON; null if there is none."""
+    return F.get(F.filter(json_objects(text), lambda x: F.try_parse_json(x).isNotNull()), F.lit(0))
+
+
+def json_between(text: Column) -> Column:
+    """What stands from a text's first { to its last }, if that is one JSON object and nothing else; null otherwise."""
+    whole = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    # the parser passes over what follows an object, so the object has to be all there is
+    return F.when((F.get(json_objects(text), F.lit(0)) == whole) & F.try_parse_json(whole).isNotNull(), whole)
+
+
+def structured_observation(text: Column) -> Column:
+    """A model's answer as JSON: the object from its first { to its last } in canonical form; an answer that holds none, trimmed, as a JSON string."""
+    return F.coalesce(F.to_json(F.try_parse_json(json_between(text))), F.concat(F.lit('"'), _escaped(F.btrim(text, F.lit(" \t\r\n"))), F.lit('"')))
+
+
+def _escaped(text: Column) -> Column:
+    """A text's characters as they stand in a JSON string."""
+    out = text
+    for raw, name in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(raw), F.lit(name))
+    return out
+
+
+def normal_evidence(text: Column) -> Column:
+    """Free evidence as the sorted distinct runs of letters, digits and underscores, in capitals, with one space between."""
+    runs = F.regexp_extract_all(F.upper(text), F.lit(r"[\p{L}\p{Nd}_]+"), 0)
+    return F.array_join(F.array_sort(F.array_distinct(runs)), " ")
+
+
+def trace_mismatch(passed: Column, question: Column, status: Column) -> Column:
+    """Whether a debug trace contradicts its answer: one that passed says other than PASS (Q8 may say UNKNOWN or NOT_VERIFIED), or one that failed says PASS."""
+    s = F.upper(F.trim(F.coalesce(status, F.lit(""))))
+    allowed = (s == "PASS") | ((question == "Q8") & s.isin("UNKNOWN", "NOT_VERIFIED"))
+    ok = F.coalesce(passed, F.lit(False))
+    return (ok & ~allowed) | (~ok & (s == "PASS"))

@@ -50,6 +50,52 @@ def fused_single(claims: DataFrame) -> DataFrame:
     return groups.select("s", "p", F.when(clash, "").otherwise(F.col("o")).alias("o"), F.when(clash, "CONFLICT").otherwise("ACCEPTED").alias("status"), "values", "n", "first_id")
 
 
+MODES = ["EXACT", "SINGLE_VALUE"]
+
+
+def policy_rows(policies: DataFrame) -> DataFrame:
+    """(p, fusion) of policies (predicate, cardinality, fusion): predicates in normal form; a blank fusion follows from the cardinality, ONE or else MANY.
+
+    A blank predicate, a predicate that is there twice, and an unknown cardinality or fusion raise, with it in the message.
+    """
+    blank = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    p, card, mode = lower_spaced(F.coalesce("predicate", F.lit(""))), blank("cardinality"), blank("fusion")
+    refuse = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce("predicate", F.lit("")))).cast("string")
+    fusion = (
+        F.when(p == "", refuse("policy without a predicate")).when(~card.isin("", "ONE", "MANY"), refuse("unknown cardinality")).when(~mode.isin("", *MODES), refuse("unknown fusion"))
+        .when(mode != "", mode).when(card == "ONE", "SINGLE_VALUE").otherwise("EXACT")
+    )
+    own = policies.select(p.alias("p"), fusion.alias("fusion")).groupBy("p").agg(F.count("*").alias("n"), F.min("fusion").alias("fusion"))
+    return own.select("p", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two policies of one predicate: "), F.col("p"))).cast("string")).otherwise(F.col("fusion")).alias("fusion"))
+
+
+def fused_by_policy(claims: DataFrame, policies: DataFrame) -> DataFrame:
+    """(s, p, o, fusion, status, values, n, yes, no, confidence, first_id, evidence): one row for each claim group, by the fusion of its predicate, EXACT without a policy.
+
+    Both kinds come out of one aggregation, whose key is the triple or, where a predicate has one value, subject and predicate: an exact group is in
+    conflict if both polarities are claimed, a single-valued one if more than one polarity and object are, and then its object is blank. values counts those.
+    """
+    own = keyed(claims).join(policy_rows(policies), "p", "left").withColumn("fusion", F.coalesce("fusion", F.lit("EXACT")))
+    single = F.col("fusion") == "SINGLE_VALUE"
+    groups = own.withColumn("key", F.when(~single, F.col("o"))).groupBy("s", "p", "fusion", "key").agg(
+        F.min("o").alias("o"), F.count_distinct(F.struct("polarity", "o")).alias("values"), F.count("*").alias("n"), F.count_if("polarity").alias("yes"), F.count_if(~F.col("polarity")).alias("no"),
+        F.max("confidence").alias("confidence"), F.min("candidate_id").alias("first_id"), F.count_distinct("address").alias("evidence"),
+    )
+    clash = F.col("values") > 1  # of an exact group: both polarities of its one object
+    return groups.select(
+        "s", "p", F.when(clash & single, "").otherwise(F.col("o")).alias("o"), "fusion", F.when(clash, "CONFLICT").otherwise("ACCEPTED").alias("status"), "values", "n", "yes", "no",
+        F.round("confidence", 6).alias("confidence"), "first_id", "evidence",
+    )
+
+
+def conflict_members(claims: DataFrame, policies: DataFrame) -> DataFrame:
+    """(s, p, o, candidate_id, side): a row for each candidate of a group in conflict, + for what it affirms and - for what it denies, with its own object."""
+    own = keyed(claims).join(policy_rows(policies), "p", "left").withColumn("key", F.when(F.coalesce("fusion", F.lit("EXACT")) == "EXACT", F.col("o")))
+    lone = own.groupBy("s", "p", "key").agg(F.count_distinct(F.struct("polarity", "o")).alias("values")).where(F.col("values") > 1)
+    same = [own[c].eqNullSafe(lone[c]) for c in ("s", "p", "key")]
+    return own.join(lone, same, "left_semi").select("s", "p", "o", "candidate_id", F.when(F.col("polarity"), "+").otherwise("-").alias("side"))
+
+
 def decisions(claims: DataFrame) -> DataFrame:
     """(candidate_id, decision): rejected, in conflict, and of a merged group the first accepted and the rest merged; rows of one id share its decision."""
     judged = reject_reason(claims)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.operators import checks as C
 from quarryline.operators import records as R
+from quarryline.operators.joins import many_to_one
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import LEDGER_SQL, ledger, read
 from quarryline.sources.stores import run_id
@@ -143,7 +144,9 @@ def import_with_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-01, JN-02, SRC-07: results joined to their trials, with a debug report's code where there is one."""
     own = ledger(spark, sf_dir)
     code = own.where("kind = 'CHANGE'").groupBy("model_id").agg(F.max("failure_code").alias("code"))
-    return own.where("kind = 'OBSERVATION'").join(code, "model_id", "left").groupBy("model_id", F.coalesce("code", F.lit("OTHER")).alias("code")).agg(F.count("*").alias("n"))
+    trials = own.groupBy("model_id", "specimen_id").agg(F.count("*").alias("planned"))
+    results = many_to_one(own.where("kind = 'OBSERVATION'").select("model_id", "specimen_id"), trials, ["model_id", "specimen_id"], "trial")
+    return results.join(code, "model_id", "left").groupBy("model_id", F.coalesce("code", F.lit("OTHER")).alias("code")).agg(F.count("*").alias("n"))
 
 
 _RECORDS = (

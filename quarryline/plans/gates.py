@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import gates as G
 from quarryline.operators import ledger as L
+from quarryline.operators.joins import one_to_one
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import LEDGER_SQL, ledger, read, select
 from quarryline.sources.shared import written
@@ -39,7 +40,8 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_METRICS}, s AS (SELECT candidate_id, round(CAST({_SCORE} AS DOUBLE), 6) AS score, {_FAILED} AS failed FROM m) SELECT candidate_id, score, failed, failed = '' AS eligible, CAST(row_number() OVER (ORDER BY failed = '' DESC, score DESC, candidate_id) AS INTEGER) AS place FROM s")
 def weighted_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-34, SF-35, FLT-12, TK-07, JN-05: gated candidates ranked by a weighted score."""
-    return G.tournament(metrics(spark, sf_dir), BASE, POLICY)
+    own = metrics(spark, sf_dir)
+    return G.tournament(one_to_one(own.select("candidate_id"), own, ["candidate_id"], "candidate", "evidence"), BASE, POLICY)
 
 
 _FIT = {"bootstrap": "boot", "rosetta": "roundtrip", "navigation": "routing", "correctness": "answer_rate", "evidence": "evidence", "unknown": "index_rate"}

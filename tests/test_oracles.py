@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quarryline.plans.registry import FLAGSHIP, ORACLES, QUERIES
@@ -22,7 +23,7 @@ def con():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "null"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
