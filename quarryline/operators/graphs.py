@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quarryline.sources.shared import written
+from quarryline.sources.shared import new_path, written
 
 
-def plan_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, error): ids used twice, dependencies that don't exist, quorums above the number of dependencies."""
-    twice = nodes.groupBy("node").count().where("count > 1").select("node", F.lit("DUPLICATE").alias("error"))
-    unknown = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_anti").select(F.col("dst").alias("node"), F.lit("UNKNOWN_DEPENDENCY").alias("error"))
-    deps = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-    quorum = nodes.join(deps, "node", "left").where(F.col("quorum") > F.coalesce("n", F.lit(0))).select("node", F.lit("QUORUM_TOO_LARGE").alias("error"))
-    return twice.unionAll(unknown).unionAll(quorum).distinct()
+def plan_errors(nodes: DataFrame, edges: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
+    """(plan, node, error) of nodes (plan, node, quorum), edges (plan, src, dst) and, where given, bindings (plan, node, source): plans are told apart.
+
+    An id that a plan uses twice, a dependency that its plan doesn't have, a node that depends on itself, a quorum of none or above the number of dependencies, and
+    an input bound to a node that isn't among the node's dependencies.
+    """
+    key = ["plan", "node"]
+    say = lambda df, error: df.select(*key, F.lit(error).alias("error"))
+    own = nodes.groupBy(*key).agg(F.count("*").alias("times"), F.max("quorum").alias("quorum"))
+    unknown = edges.join(own.select("plan", F.col("node").alias("src")), ["plan", "src"], "left_anti").withColumnRenamed("dst", "node")
+    deps = edges.distinct().groupBy("plan", F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+    quorum = own.join(deps, key, "left").where((F.col("quorum") > F.coalesce("n", F.lit(0))) | (F.col("quorum") <= 0))
+    out = say(own.where("times > 1"), "DUPLICATE").unionAll(say(unknown, "UNKNOWN_DEPENDENCY")).unionAll(say(edges.where("src = dst").withColumnRenamed("dst", "node"), "OWN_DEPENDENCY"))
+    out = out.unionAll(say(quorum.where("quorum > 0"), "QUORUM_TOO_LARGE")).unionAll(say(quorum.where("quorum <= 0"), "QUORUM_TOO_SMALL"))
+    if bindings is not None:
+        named = edges.select("plan", F.col("dst").alias("node"), F.col("src").alias("source"))
+        out = out.unionAll(say(bindings.join(named, [*key, "source"], "left_anti"), "UNBOUND_INPUT"))
+    return out.distinct()
 
 
 class Cyclic(ValueError):
@@ -25,28 +37,62 @@ class MissingProducer(ValueError):
     """A goal needs something that nothing gives."""
 
 
+def _hung(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root, steps, weight): each node with one dependency hangs below it, and so below the nearest node above that has none or several.
+
+    Weight is the cost of the nodes from there on, its own included. Pointers jump to their pointers' ends, so a chain of n nodes takes log2 n rounds; those that go
+    round a cycle of such nodes have no root.
+    """
+    below = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("deps"), F.min("src").alias("src")).where("deps = 1")
+    now = written(below.join(nodes, "node").select("node", F.col("src").alias("root"), F.lit(1).cast("long").alias("steps"), F.col("cost").alias("weight")), "jumps")
+    total, rounds = now.count(), 0
+    while True:
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("above"), F.col("steps").alias("more"), F.col("weight").alias("over"))
+        open_ = now.join(up.select("root"), "root", "left_semi")
+        if open_.isEmpty() or 1 << rounds > total:
+            return now.join(up.select("root"), "root", "left_anti").select("node", "root", "steps", "weight")
+        far = now.join(up, "root", "left").select(
+            "node", F.coalesce("above", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("weight") + F.coalesce("over", F.lit(0))).alias("weight"),
+        )
+        now, rounds = written(far, "jumps"), rounds + 1
+
+
 def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, finish) of nodes (node, cost): round by round those without open dependencies; nodes on a cycle, and those behind it, are never reached.
 
-    The state is one row for each node that is left: how many dependencies are open, and the latest finish of those that are done. It is
-    written out every round, so the lineage stays short. Every round takes off a node at least, so the rounds end without a bound.
+    Nodes with one dependency take no part in the rounds: they hang on another (_hung) and follow from it, so a chain, or a tree, is done at once. The
+    state is one row for each other node that is left: how many dependencies are open, and the latest level and finish of those that are done. A round
+    is one written table, of those that are done and those that are left, and all rounds are read as one relation at the end.
     """
+    spark = nodes.sparkSession
     edges = written(edges.select("src", "dst").distinct(), "edges")
-    open_ = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open"))
-    cost = nodes.groupBy("node").agg(F.max("cost").alias("cost"))
-    left = written(cost.join(open_, "node", "left").select("node", "cost", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).cast("long").alias("before")), "graph")
-    out, level = None, 0
+    cost = written(nodes.groupBy("node").agg(F.max("cost").cast("long").alias("cost")), "costs")
+    hung = written(_hung(cost, edges), "hung")
+    single = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("deps")).where("deps = 1").select("node")
+    far = edges.join(single.withColumnRenamed("node", "dst"), "dst", "left_anti").join(hung.withColumnRenamed("node", "src"), "src", "left")
+    links = written(far.select("dst", F.coalesce("root", "src").alias("src"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"), F.coalesce("weight", F.lit(0)).cast("long").alias("weight")), "links")
+    open_ = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open"))
+    zero = F.lit(0).cast("long")
+    left = cost.join(single, "node", "left_anti").join(open_, "node", "left").select("node", "cost", F.coalesce("open", zero).alias("open"), zero.alias("level"), F.col("cost").alias("finish"))
+    path, n = new_path(spark, "rounds"), 0
+    schema = left.schema
     while True:
-        ready = left.where("open = 0").select("node", F.lit(level).cast("long").alias("level"), (F.col("cost") + F.col("before")).alias("finish"))
-        ready = written(ready, "graph")
-        out = ready if out is None else out.unionAll(ready)
-        if ready.isEmpty():
-            return out
-        done = edges.join(ready.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("done"), F.max("finish").alias("latest"))
-        left = left.where("open > 0").join(done, "node", "left").select(
-            "node", "cost", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open"), F.greatest("before", F.coalesce("latest", F.lit(0)).cast("long")).alias("before"),
+        ready = F.col("open") == 0
+        left.withColumn("done", ready.cast("int")).write.option("compression", "zstd").partitionBy("done").parquet(f"{path}/round={n}")
+        rows = spark.read.schema(StructType([*schema.fields, StructField("done", IntegerType())])).parquet(f"{path}/round={n}")
+        done = rows.where("done = 1").drop("done")
+        if done.isEmpty():
+            break
+        rest = rows.where("done = 0").drop("done")
+        came = done.select(F.col("node").alias("src"), F.col("level").alias("l"), F.col("finish").alias("f")).join(links, "src")
+        came = came.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("closed"), F.max(F.col("l") + F.col("steps")).alias("above"), F.max(F.col("f") + F.col("weight")).alias("latest"))
+        left = rest.join(came, "node", "left").select(
+            "node", "cost", (F.col("open") - F.coalesce("closed", zero)).alias("open"), F.greatest("level", F.coalesce(F.col("above") + 1, zero)).alias("level"), F.greatest("finish", F.coalesce(F.col("latest") + F.col("cost"), zero)).alias("finish"),
         )
-        left, level = written(left, "graph"), level + 1
+        n += 1
+    every = spark.read.schema(StructType([*schema.fields, StructField("done", IntegerType())])).parquet(path).where("done = 1").select("node", "level", "finish")
+    behind = hung.join(every.withColumnRenamed("node", "root"), "root").select("node", (F.col("level") + F.col("steps")).alias("level"), (F.col("finish") + F.col("weight")).alias("finish"))
+    return every.unionByName(behind)
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,6 +115,7 @@ def resolved(goals: DataFrame, needs: DataFrame, producers: DataFrame, available
     `available` (product) needs no producer. Rounds go over distinct workers until nothing is new. A product that nobody gives,
     and workers that need each other, raise.
     """
+    spark = goals.sparkSession
     best = producers.groupBy("product").agg(F.min(F.struct("rank", "worker")).alias("b")).select("product", F.col("b.worker").alias("worker"))
     open_ = needs if available is None else needs.join(available.select("product").distinct(), "product", "left_anti")
     # the links that any goal may follow, worked out once
@@ -76,23 +123,30 @@ def resolved(goals: DataFrame, needs: DataFrame, producers: DataFrame, available
 
     first = goals.join(best.withColumnRenamed("worker", "by"), "product", "left")
     lost = first.where("by IS NULL").select("product").first()
-    edge = written(first.select("goal", F.col("by").alias("worker"), F.lit(0).cast("long").alias("depth")).distinct(), "chain")
+    path = new_path(spark, "chain")
+    edge = first.select("goal", F.col("by").alias("worker"), F.lit(0).cast("long").alias("depth")).distinct()
+    schema = edge.schema
+    edge.write.parquet(f"{path}/round=0")
+    # what is reached, one subfolder a round, is one relation however many rounds there are
+    of = lambda n: spark.read.schema(schema).parquet(f"{path}/round={n}")
+    seen = lambda: spark.read.schema(schema).parquet(path).select(*schema.names)
+    edge = of(0)
     gaps = links.where("by IS NULL")  # only workers that a goal comes to miss anything
     some = not gaps.isEmpty()
-    seen, depth = edge, 0
+    depth = 0
     while not lost and not edge.isEmpty():
         lost = gaps.join(edge, "worker", "left_semi").select("product").first() if some else None
         depth += 1
         step = edge.join(links, "worker").select("goal", F.col("by").alias("worker")).distinct()
-        edge = written(step.join(seen.select("goal", "worker"), ["goal", "worker"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "chain")
-        seen = seen.unionAll(edge)
+        step.join(seen().select("goal", "worker"), ["goal", "worker"], "left_anti").withColumn("depth", F.lit(depth).cast("long")).write.parquet(f"{path}/round={depth}")
+        edge = of(depth)
     if lost:
         raise MissingProducer(f"nothing produces {lost['product']}")
-    used = written(seen.select("worker").distinct(), "chain")
+    used = written(seen().select("worker").distinct(), "chain")
     among = links.join(used, "worker", "left_semi").select(F.col("by").alias("src"), F.col("worker").alias("dst"))
     if levels(used.withColumnRenamed("worker", "node"), among).count() < used.count():
         raise Cyclic("workers need each other")
-    return seen
+    return seen()
 
 
 def barriers(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -114,9 +168,12 @@ def _digest(parts: str) -> Column:
 
 
 def topology_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(plan, edges, shape) of nodes (plan, node, join_kind) and edges (plan, src, dst): a hash of each plan with its names, and of its in-degrees and kinds alone."""
+    """(plan, edges, shape) of nodes (plan, node, join_kind) and edges (plan, src, dst): a hash of each plan with its names, and of its in-degrees and kinds alone.
+
+    Plans may use the same names: a plan's hashes depend on its own rows alone.
+    """
     named = edges.select("plan", F.concat_ws(">", "src", "dst").alias("e")).groupBy("plan").agg(_digest("e").alias("edges"))
-    deg = nodes.join(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("d")), "node", "left")
+    deg = nodes.join(edges.groupBy("plan", F.col("dst").alias("node")).agg(F.count("*").alias("d")), ["plan", "node"], "left")
     shape = deg.select("plan", F.concat_ws(":", F.coalesce("d", F.lit(0)).cast("string"), "join_kind").alias("s")).groupBy("plan").agg(_digest("s").alias("shape"))
     return shape.join(named, "plan", "left").select("plan", "edges", "shape")
 
@@ -171,8 +228,9 @@ def interfered(branches: DataFrame, least: float = 1e-12) -> DataFrame:
 
 
 def transformed(state: DataFrame, linear: DataFrame) -> DataFrame:
-    """A state under a linear map (label, to_label, m_re, m_im): the complex product, added up and scaled."""
-    j = state.join(linear, "label")
+    """A state under a linear map (label, to_label, m_re, m_im): the complex product, added up and scaled. A label that the map lacks raises."""
+    j = state.join(linear, "label", "left")
+    j = j.where(F.when(F.col("to_label").isNull(), F.raise_error(F.concat(F.lit("no mapping for label: "), F.col("label"))).cast("boolean")).otherwise(True))
     re, im, a, b = F.col("re"), F.col("im"), F.col("m_re"), F.col("m_im")
     return interfered(j.select("state_id", F.col("to_label").alias("label"), (re * a - im * b).alias("re"), (re * b + im * a).alias("im")))
 

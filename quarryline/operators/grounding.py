@@ -90,12 +90,17 @@ def claim_verdicts(cases: DataFrame) -> DataFrame:
 
     A claim is held against the span that covers it best, the earliest of equals. Spans and claims of a case meet inside its row.
     """
-    held = F.transform(spans(F.coalesce("evidence", F.lit(""))), lambda x: F.struct(norm(x).alias("n"), terms(norm(x)).alias("t")))
-    own = cases.select("id", spans(F.coalesce("answer", F.lit(""))).alias("claims"), held.alias("spans"))
-    own = own.select("id", F.posexplode("claims").alias("claim_no", "claim"), "spans")
-    own = own.withColumn("c", norm(F.col("claim"))).withColumn("ct", terms(F.col("c")))
-    scored = F.transform("spans", lambda x, i: F.struct(coverage(F.col("ct"), x["t"]).alias("score"), (-i).alias("place"), x["n"].alias("n")))
-    own = own.withColumn("best", F.array_max(scored))
+    held = lambda c: F.transform(spans(F.coalesce(c, F.lit(""))), lambda x: F.struct(norm(x).alias("n"), terms(norm(x)).alias("t")))
+    # the spans are made once, and carried along as each claim looks for its best one; only what it found leaves the row
+    out = "array<struct<c:string,best:struct<score:double,place:int,n:string>>>"
+    start = F.struct(held("evidence").alias("spans"), F.array().cast(out).alias("out"))
+
+    def step(state: Column, claim: Column) -> Column:
+        scored = F.transform(state["spans"], lambda x, i: F.struct(coverage(claim["t"], x["t"]).cast("double").alias("score"), (-i).alias("place"), x["n"].alias("n")))
+        return F.struct(state["spans"].alias("spans"), F.array_append(state["out"], F.struct(claim["n"].alias("c"), F.array_max(scored).alias("best"))).alias("out"))
+
+    found = F.aggregate(held("answer"), start, step, lambda state: state["out"])
+    own = cases.select("id", F.posexplode(found).alias("claim_no", "r")).select("id", "claim_no", F.col("r.c").alias("c"), F.col("r.best").alias("best"))
     s, e, c = F.coalesce(F.col("best.score"), F.lit(0.0)), F.coalesce(F.col("best.n"), F.lit("  ")), F.col("c")
     own = own.select("id", "claim_no", s.alias("alignment"), c.alias("c"), e.alias("e"))
     own = own.withColumns({"nc": numbers(F.col("c")), "ne": numbers(F.col("e")), "qc": quantifier(F.col("c")), "qe": quantifier(F.col("e"))})

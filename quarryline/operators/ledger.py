@@ -30,7 +30,7 @@ TARGET_KINDS = {
     "ROSETTA_TO_T2_ROUTE": "LAYOUT PROMPT REDUNDANCY CHANNEL_ROLE", "TEMPORAL_PROGRAM": "TEMPORAL_STRUCTURE LAYOUT PROMPT REDUNDANCY",
 }
 OTHER_KINDS = "PROMPT LAYOUT REDUNDANCY PRIMITIVE"
-# What a kind of change is suggested to set, and where that differs for two targets.
+# What a kind of change is suggested to set, and where that differs for two targets.
 SUGGESTED = {
     "LAYOUT": "LOCALIZE_FAILURE_TARGET_REGION", "PROMPT": "SHORT_EXPLICIT_PROTOCOL_INSTRUCTION", "REDUNDANCY": "BOUNDED_REDUNDANT_ANCHOR", "CHANNEL_ROLE": "DEDICATED_SEMANTIC_ROUTING_ROLE",
     "PRIMITIVE": "DISTINCT_FAILURE_TARGET_PRIMITIVE", "TEMPORAL_STRUCTURE": "EXPLICIT_PHASE_EVENT_CHECKPOINT_STRUCTURE", "COLOR_USAGE": "HIGH_CONTRAST_ROLE_SEPARATION",

@@ -112,14 +112,12 @@ def settled(cells: DataFrame, rules: DataFrame, requires: DataFrame, most: int =
 
 def consensus(votes: DataFrame, key: list[str]) -> DataFrame:
     """(key, status, value, votes, needed) of votes (key..., value, valid): confirmed is the one value with two thirds of all votes or more; any invalid vote, and a tie of the most, leave UNKNOWN."""
-    counted = votes.groupBy(*key, "value").agg(F.count("*").alias("n"), F.bool_and("valid").alias("ok"))
-    best = counted.groupBy(*key).agg(
-        F.sum("n").alias("total"), F.bool_and("ok").alias("ok"), F.max(F.struct("n", "value")).alias("top"), F.max("n").alias("most"),
-    )
-    tied = counted.join(best.select(*key, "most"), key).where("n = most").groupBy(*key).agg(F.count("*").alias("at_top"))
-    needed = F.floor((2 * F.col("total") + 2) / 3)
-    wins = F.col("ok") & (F.col("at_top") == 1) & (F.col("most") >= needed)
-    return best.join(tied, key).select(*key, F.when(wins, "CONFIRMED").otherwise("UNKNOWN").alias("status"), F.when(wins, F.col("top.value")).alias("value"), F.when(F.col("ok"), F.col("most")).otherwise(0).alias("votes"), needed.alias("needed"))
+    counted = votes.groupBy(*key, "value").agg(F.count("*").alias("_n"), F.bool_and("valid").alias("_ok"))
+    best = counted.groupBy(*key).agg(F.sum("_n").alias("_total"), F.bool_and("_ok").alias("_ok"), F.max(F.struct("_n", "value")).alias("_top"))
+    tied = counted.join(best.select(*key, F.col("_top._n").alias("_most")), key).where("_n = _most").groupBy(*key).agg(F.count("*").alias("_at_top"))
+    needed, most = F.floor((2 * F.col("_total") + 2) / 3), F.col("_top._n")
+    wins = F.col("_ok") & (F.col("_at_top") == 1) & (most >= needed)
+    return best.join(tied, key).select(*key, F.when(wins, "CONFIRMED").otherwise("UNKNOWN").alias("status"), F.when(wins, F.col("_top.value")).alias("value"), F.when(F.col("_ok"), most).otherwise(0).alias("votes"), needed.alias("needed"))
 
 
 # Severities from the least, and the sentinels in the order in which they speak.

@@ -23,7 +23,7 @@ def plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-@query(f"WITH {_NODES}, {_EDGES}, d AS (SELECT dst AS node, count(*) AS deps FROM e GROUP BY 1) SELECT node, 'QUORUM_TOO_LARGE' AS error FROM n LEFT JOIN d USING (node) WHERE quorum > coalesce(deps, 0)")
+@query(f"WITH {_NODES}, {_EDGES}, d AS (SELECT plan, dst AS node, count(*) AS deps FROM e GROUP BY ALL) SELECT plan, node, 'QUORUM_TOO_LARGE' AS error FROM n LEFT JOIN d USING (plan, node) WHERE quorum > coalesce(deps, 0) UNION ALL SELECT DISTINCT e.plan, dst, 'UNKNOWN_DEPENDENCY' FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.plan = e.plan AND n.node = e.src) UNION ALL SELECT DISTINCT plan, dst, 'OWN_DEPENDENCY' FROM e WHERE src = dst")
 def plan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DG-01: rules that a plan breaks."""
     return D.plan_errors(*plan(spark, sf_dir))
@@ -52,7 +52,7 @@ def dag_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUMS = "sha256(concat_ws(':', count(*), sum(CAST('0x' || substr(sha256(x), 1, 15) AS BIGINT)), sum(CAST('0x' || substr(sha256(x), 17, 15) AS BIGINT))))"
 
 
-@query(f"WITH {_NODES}, {_EDGES}, d AS (SELECT dst AS node, count(*) AS deps FROM e GROUP BY 1), s AS (SELECT plan, {_SUMS} AS shape FROM (SELECT plan, concat(coalesce(deps, 0), ':', join_kind) AS x FROM n LEFT JOIN d USING (node)) GROUP BY plan), h AS (SELECT plan, {_SUMS} AS edges FROM (SELECT plan, concat(src, '>', dst) AS x FROM e) GROUP BY plan) SELECT plan, edges, shape FROM s LEFT JOIN h USING (plan)")
+@query(f"WITH {_NODES}, {_EDGES}, d AS (SELECT plan, dst AS node, count(*) AS deps FROM e GROUP BY ALL), s AS (SELECT plan, {_SUMS} AS shape FROM (SELECT plan, concat(coalesce(deps, 0), ':', join_kind) AS x FROM n LEFT JOIN d USING (plan, node)) GROUP BY plan), h AS (SELECT plan, {_SUMS} AS edges FROM (SELECT plan, concat(src, '>', dst) AS x FROM e) GROUP BY plan) SELECT plan, edges, shape FROM s LEFT JOIN h USING (plan)")
 def plan_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DG-08: each plan's hash and that of its shape."""
     return D.topology_hash(*plan(spark, sf_dir))

@@ -9,6 +9,7 @@ from quarryline.plans.catalog import query
 from quarryline.plans.inputs import LEDGER, LEDGER_SQL, read, select
 from quarryline.sources.shared import new_path
 from quarryline.streaming import appends as A
+from quarryline.streaming import states as S
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,9 @@ _NEXT = "CASE WHEN pass THEN CASE phase WHEN 'CANDIDATE' THEN 'SHADOW' WHEN 'SHA
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-04, SP-45: the phase of each worker, a model on a question, moved by its successes and failures."""
     own = select(events(spark, sf_dir), LEDGER).where("pass IS NOT NULL").select(F.concat_ws("/", "model_id", "question_id").alias("worker"), "pass", F.col("event_id").alias("seq"))
-    return A.lifecycle(own, new_path(spark, "phases"), new_path(spark, "offsets"))
+    path = new_path(spark, "phases")
+    S.run(S.lifecycle(own), path, new_path(spark, "offsets"))
+    return S.latest(spark, path, "worker")
 
 
 @query(
@@ -62,4 +65,6 @@ def stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-01: every document's lines as a stream of chunks, guarded against ends of one shape; two lines here, as these texts have few."""
     docs = A.stream(spark, sf_dir, "documents", read(spark, sf_dir, "documents").schema)
     chunks = docs.select(F.col("doc_id").alias("key"), F.posexplode(F.split("text", "\n")).alias("seq", "line"))
-    return A.guarded(chunks, new_path(spark, "guard"), new_path(spark, "offsets"), 2).withColumnRenamed("key", "doc_id")
+    path = new_path(spark, "guard")
+    S.run(S.guarded(chunks, 2), path, new_path(spark, "offsets"))
+    return S.latest(spark, path, "key").withColumnRenamed("key", "doc_id")

@@ -112,6 +112,6 @@ def guarded(chunks: DataFrame, last: int = 16) -> DataFrame:
 
     The state of a key is its number of chunks and those last lines, whatever the order in which they come and however many there were.
     """
-    shaped = chunks.select("key", F.col("seq").cast("long").alias("seq"), repetition_shape(F.col("line")).alias("shape"))
+    shaped = chunks.select("key", F.col("seq").cast("long").alias("seq"), repetition_shape(F.coalesce("line", F.lit(""))).alias("shape"))
     key = shaped.schema["key"].dataType.simpleString()
     return shaped.groupBy("key").applyInPandasWithState(_guard(last), f"key {key}, n_chunks long, degenerate boolean", "n long, seqs array<long>, shapes array<string>", "update", GroupStateTimeout.NoTimeout)
