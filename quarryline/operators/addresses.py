@@ -123,6 +123,7 @@ def contents(index: DataFrame, resolved: DataFrame) -> DataFrame:
     """(request_id, address, number, text): what the taken addresses hold; a page gives its blocks, which joined in order are the page."""
     t = resolved.select("request_id", F.explode("taken").alias("address")).select("request_id", "address", parsed(F.col("address")).alias("a"))
     t = t.select("request_id", "address", F.col("a.kind").alias("a_kind"), F.col("a.doc").alias("a_doc"), F.col("a.page").alias("a_page"), F.col("a.number").alias("a_number"), shard(F.col("a.doc")).alias("a_shard"))
-    one = (F.col("a_kind") == F.col("kind")) & (F.col("a_number") == F.col("number")) | (F.col("a_kind") == "page") & (F.col("kind") == "block")
+    own = (F.col("a_kind") == F.col("kind")) & (F.col("a_number") == F.col("number")) & (F.col("a_kind") != "page")
+    one = own | (F.col("a_kind") == "page") & (F.col("kind") == "block")
     on = (F.col("a_shard") == F.col("shard")) & (F.col("a_doc") == F.col("doc")) & (F.col("a_page") == F.col("page")) & one
     return t.join(index, on).select("request_id", "address", "number", "text")
