@@ -1,4 +1,4 @@
-"""The blocks of text and the tokens of one HTML page."""
+"""The blocks of text, the tokens and their depths of one HTML page."""
 
 from __future__ import annotations
 
@@ -42,6 +42,7 @@ class Block(NamedTuple):
     aside: bool  # inside a part that isn't the article's
     article: bool
     main: bool
+    linked: int = 0  # characters of it inside links, about
 
 
 class _Open(NamedTuple):
@@ -50,6 +51,8 @@ class _Open(NamedTuple):
     article: bool
     main: bool
     path: int
+    depth: int = 0  # block elements around its text, html and body not counted
+    link: bool = False
 
 
 def _h(text: str) -> int:
@@ -74,22 +77,26 @@ def _is_aside(name: str, rest: str, within: _Open) -> bool:
     return False
 
 
-def parse(html: str) -> tuple[list[int], list[Block]]:
-    """The page's tokens in order (hashes of elements with their paths, and of blocks of text with theirs), and its blocks."""
+def parse(html: str) -> tuple[list[int], list[Block], list[int]]:
+    """The page's tokens in order (hashes of elements with their paths, and of blocks of text with theirs), its blocks, and each token's depth: html and body have 0, a block that of what holds it and one more."""
     tokens: list[int] = []
+    depths: list[int] = []
     blocks: list[Block] = []
     stack = [_Open("", False, False, False, 0)]
     # what a block says, and what inline parts set aside inside it say
     held: dict[bool, list[str]] = {False: [], True: []}
     owner = {False: stack[0], True: stack[0]}
+    links = {False: 0, True: 0}
 
     def flush() -> None:
         for side in (False, True):
             whole = " ".join("".join(held[side]).split())
             held[side].clear()
             if whole:
-                blocks.append(Block(len(tokens), whole, side, owner[side].article, owner[side].main))
+                blocks.append(Block(len(tokens), whole, side, owner[side].article, owner[side].main, min(links[side], len(whole))))
                 tokens.append(_h(f"{owner[side].path} {whole}"))
+                depths.append(owner[side].depth + 1)
+            links[side] = 0
 
     def add(piece: str) -> None:
         if piece:
@@ -97,6 +104,8 @@ def parse(html: str) -> tuple[list[int], list[Block]]:
             if not held[top.aside]:
                 owner[top.aside] = top
             held[top.aside].append(unescape(piece))
+            if top.link:
+                links[top.aside] += len(held[top.aside][-1])
 
     at, end = 0, len(html)
     while at < end:
@@ -135,8 +144,10 @@ def parse(html: str) -> tuple[list[int], list[Block]]:
         within = stack[-1]
         aside = within.aside or _is_aside(name, m["rest"], within)
         path = _h(f"{within.path}/{name}") if block else within.path
+        depth = within.depth + (block and name not in ("html", "body"))
         if block:
             tokens.append(path)
+            depths.append(depth)
         if name in _RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             at = close.end() if close else end
@@ -144,9 +155,9 @@ def parse(html: str) -> tuple[list[int], list[Block]]:
         if name in _VOID or m["rest"].endswith("/") and name in ("path", "circle", "rect", "use"):
             continue
         is_main = within.main or name == "main" or "articlebody" in m["rest"].lower()
-        stack.append(_Open(name, aside, within.article or name == "article" and not aside, is_main, path))
+        stack.append(_Open(name, aside, within.article or name == "article" and not aside, is_main, path, depth, within.link or name == "a"))
     flush()
-    return tokens, blocks
+    return tokens, blocks, depths
 
 
 def main_blocks(blocks: list[Block]) -> list[Block]:
