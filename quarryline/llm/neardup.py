@@ -181,7 +181,7 @@ def _linked(documents: DataFrame, nodes: DataFrame, similar: float) -> DataFrame
 
     First each band's nodes are held against the band's least node, and joined where similar. Nodes of a band that
     are in one component by then need no link more. Of the rest, nodes of two components are
-    held against each other inside tasks, a band of many nodes block against block, unless their sizes, or by the
+    held against each other inside tasks, a large band block against block, unless their sizes, or by the
     triangle inequality of the Jaccard distance their similarities to the band's least node, rule out a link.
     """
     members = nodes.select("node", "n", F.explode("bands").alias("band"))
@@ -197,19 +197,38 @@ def _linked(documents: DataFrame, nodes: DataFrame, similar: float) -> DataFrame
     placed = with_head.join(roots, "node", "left").join(sims.select(F.col("a").alias("node"), F.col("b").alias("head"), "sim"), ["node", "head"], "left")
     placed = placed.select("band", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("sim", F.lit(1.0)).alias("sim"), (F.col("node") == F.col("head")).alias("is_head"))
     # the band's least node has been held against all others
-    mixed = placed.where("not is_head").groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("many"))
-    open_ = written(placed.where("not is_head").join(mixed.where("r0 <> r1").select("band", "many"), "band"), "open")
-    block = F.pmod(F.xxhash64("node"), F.col("many")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("many") - 1))
-    tiles = open_.where("many = 1").select("*", F.lit(0).alias("block"), F.lit(0).alias("low"), F.lit(0).alias("high")).unionByName(
-        open_.where("many > 1").select("*", block.alias("block"), other.alias("o")).select("*", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high")).drop("o")
-    )
-    many = max(1, (open_.agg(F.sum("n")).first()[0] or 0) // GROUP)
+    open_ = written(_open(placed.where("not is_head")), "open")
+    tiles = _tiles(open_)
+    many = max(1, (tiles.agg(F.sum("n")).first()[0] or 0) // GROUP)
     tiles = tiles.join(bags, "node").withColumn("part", F.pmod(F.xxhash64("band", "low", "high"), F.lit(many)))
     late = written(tiles.groupBy("part").applyInArrow(tile_linker(similar), "a long, b long").distinct(), "late")
     return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(late)
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """The nodes of bands with two roots or more; with whether a node is of the band's largest root, and in how many blocks those
+    and the others are dealt: none of either if the band is one tile."""
+    sums = placed.groupBy("band", "root").agg(F.sum("n").alias("s"))
+    bands = sums.groupBy("band").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("s", "root")).alias("big"), F.max("s").alias("big_s"), F.sum("s").alias("s")).where("roots > 1")
+    blocks = lambda s: F.when(F.col("s") > BLOCK, F.ceil(s / BLOCK)).otherwise(0).cast("int")
+    bands = bands.select("band", "big", blocks(F.col("s") - F.col("big_s")).alias("rests"), blocks(F.col("big_s")).alias("bigs"))
+    return placed.join(bands, "band").withColumn("is_big", F.col("root") == F.col("big")).drop("big")
+
+
+def _tiles(open_: DataFrame) -> DataFrame:
+    """The nodes of _open() with the tiles they are in: blocks low and high of a band, and their own block.
+
+    The largest root's nodes are one component, so none of their blocks meets another of theirs, only the blocks of the
+    others: a band of one large root and few others is sent once, and the others once for each of its blocks.
+    """
+    hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    block = F.when(F.col("is_big"), F.col("rests") + hashed("bigs")).otherwise(hashed("rests"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_big"), F.col("rests")).otherwise(F.col("rests") + F.col("bigs")) - 1))
+    many = open_.where("rests > 0").select("*", block.alias("block"), other.alias("o")).select("*", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high")).drop("o")
+    one = open_.where("rests = 0").select("*", F.lit(0).alias("block"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    return one.unionByName(many).drop("rests", "bigs", "is_big")
+
+
 def tile_linker(similar: float):
     """tile_links() at a similarity, as a function of a group's rows."""
 
