@@ -147,6 +147,11 @@ def _pair_counts(layout: Layout):
     return run
 
 
+def _slim(count: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each where all of them fit, in eight otherwise."""
+    return count.astype(np.uint32) if not len(count) or count.max() < 1 << 32 else count
+
+
 def _pairs_merged(layout: Layout, word_bits: int):
     """Writes a shard's pairs; sends on what each token and each context gathers from them."""
 
@@ -163,7 +168,7 @@ def _pairs_merged(layout: Layout, word_bits: int):
         context, token = np.concatenate(contexts), np.concatenate(tokens_)
         place, one, count = _merged(layout.places(context, token), np.concatenate(counts))
         layout.save("pairs", shard, place)
-        layout.save("counts", shard, np.minimum(count, 0xFFFFFFFF).astype(np.uint32))
+        layout.save("counts", shard, _slim(count))
         context, token = context[one], token[one]
         word, _, left, total = _merged(token, np.ones(len(token), dtype=np.int64), count)
         seen = [(count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64)]
