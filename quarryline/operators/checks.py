@@ -58,7 +58,7 @@ def debug_violations(trace: Column) -> Column:
 
 def authorised(actions: DataFrame, catalog: DataFrame, ceiling: int, prefix: str) -> DataFrame:
     """(action_id, reasons): why a policy refuses an action: unknown capability, too risky, missing or undeclared arguments, a path outside."""
-    j = actions.join(F.broadcast(catalog), "capability", "left")
+    j = actions.join(catalog, "capability", "left")  # a catalogue goes out whole only if Spark finds it small
     known = F.col("risk").isNotNull()
     rules = [
         ("UNKNOWN_CAPABILITY", ~known), ("RISK_ABOVE_CEILING", F.col("risk") > ceiling), ("MISSING_ARGUMENT", known & (F.size(F.array_except("required", F.map_keys("args"))) > 0)),

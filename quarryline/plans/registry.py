@@ -8,7 +8,7 @@ from quarryline.plans.catalog import ORACLES, QUERIES
 
 FLAGSHIP = "retrieval_budget"
 
-for _name in ("retrieval", "integrity", "claims", "ledger", "scoring", "text", "gates", "graphs", "streams", "checks", "extras", "stores", "evaluation", "states", "rules"):
+for _name in ("retrieval", "integrity", "claims", "ledger", "scoring", "text", "gates", "graphs", "streams", "checks", "extras", "stores", "evaluation", "states", "rules", "executions"):
     importlib.import_module(f"quarryline.plans.{_name}")
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
