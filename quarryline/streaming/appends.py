@@ -14,8 +14,8 @@ from quarryline.sources.stores import append_ledger
 
 
 def stream(spark: SparkSession, sf_dir: str, table: str, schema) -> DataFrame:
-    """A table's file as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    """A table as a stream, whether it is one file or a folder of them: a pattern of one name is taken for either, where a plain path has to be a folder."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def append_once(events: DataFrame, path: str, checkpoint: str) -> None:
