@@ -50,9 +50,10 @@ def portable_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def producer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-09, SP-55, SP-56, SP-57: who makes each request's product: up to k workers, without the excluded, or the pinned one alone."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    requests = read(spark, sf_dir, "customer").select(c.alias("request"), F.col("c_nationkey").alias("product"), (c % 3 + 1).alias("k"), F.when(c % 10 == 0, c % 100).alias("pinned"), F.transform(F.sequence(F.lit(0), F.lit(1500)), lambda i: i * 7 + c % 7).alias("excluded"))
-    offers = read(spark, sf_dir, "supplier").select(s.alias("worker"), F.col("s_nationkey").alias("product"), F.floor(F.col("s_acctbal") / 1000).alias("score"), F.when(s % 4 == 0, 0).otherwise(s * 3).alias("params"))
-    return R.producers(requests, offers)
+    requests = read(spark, sf_dir, "customer").select(c.alias("request"), F.col("c_nationkey").alias("product"), (c % 3 + 1).alias("k"), F.when(c % 10 == 0, c % 100).alias("pinned"), (c % 7).alias("list"))
+    own = read(spark, sf_dir, "supplier")
+    offers = own.select(s.alias("worker"), F.col("s_nationkey").alias("product"), F.floor(F.col("s_acctbal") / 1000).alias("score"), F.when(s % 4 == 0, 0).otherwise(s * 3).alias("params"))
+    return R.producers(requests, offers, own.select((s % 7).alias("list"), s.alias("worker")))
 
 
 @query(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from quarryline.plans import streams
+import duckdb
+
+from quarryline.operators import rules
+from quarryline.plans import registry, streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +15,23 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     d.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     want = {tuple(r) for r in streams.stream_guard(spark, SF).collect()}
     assert len(want) == d.count() and {tuple(r) for r in streams.stream_guard(spark, str(tmp_path)).collect()} == want
+
+
+def test_producers_against_loops_and_past_ten_thousand_workers(spark, tmp_path):
+    offers = [(w, w % 3, w % 5, (w % 4) * 10) for w in range(60)]
+    barred = [("a", w) for w in range(0, 60, 2)] + [("a", 0)] + [("b", w) for w in range(50)]
+    requests = [(i, i % 4, i % 5 + 1, i * 3 if i % 6 == 0 else None, [None, "a", "b", "none"][i % 4 if i % 5 else 1]) for i in range(40)]
+    want = set()
+    for i, product, k, pinned, name in requests:
+        able = sorted((-sc, pa != 0, pa, w) for w, p, sc, pa in offers if p == product and (name, w) not in barred and pinned in (None, w))
+        want |= {(i, x[3], n + 1) for n, x in enumerate(able[:k])}
+    frame = spark.createDataFrame
+    got = rules.producers(frame(requests, "request int, product int, k int, pinned int, list string"), frame(offers, "worker int, product int, score int, params int"), frame(barred, "list string, worker int"))
+    assert {tuple(r) for r in got.collect()} == want
+    # a supplier beyond 10,506 is barred as any other
+    spark.read.parquet(f"{SF}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet(f"{SF}/supplier.parquet").selectExpr("s_suppkey + 70000 AS s_suppkey", "s_nationkey", "s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert {tuple(r) for r in registry.QUERIES["producer_choice"](spark, str(tmp_path)).collect()} == set(con.execute(registry.ORACLES["producer_choice"]).fetchall())
