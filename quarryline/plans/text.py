@@ -12,8 +12,6 @@ from quarryline.operators import grounding as G
 from quarryline.plans.catalog import query
 from quarryline.plans.inputs import read
 
-#: Query vectors that go to the executors at once.
-QUERY_BLOCK = 20_000
 _KEY_STOP = ", ".join(f"'{w}'" for w in X.KEYWORD_STOP)
 _KEYS = f"list_distinct(list_filter(list_transform(list_filter(string_split_regex(lower(%s), '\\s+'), lambda w: w <> ''), lambda w: trim(w, '.,;:!?()[]{{}}\"''')), lambda w: strlen(w) > 4 AND w NOT IN ({_KEY_STOP})))"
 
@@ -166,18 +164,10 @@ def trigram_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_passage_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-33, JN-13, SRC-22: each query vector's best cosine with the vectors of each label, not below 0.
 
-    The queries are the vectors whose id 20 divides, held against all rows in blocks of a bounded number of queries.
+    The queries are the vectors whose id 20 divides, held against all rows.
     """
-    e = read(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q)
-        p = e.join(part, F.col("vec_id") != F.col("query_id"))
-        rows = p.groupBy("query_id", "label").agg(F.round(F.max(F.greatest(F.lit(0.0), N.cosine(F.col("q"), F.col("embedding")))), 6).alias("best"))
-        out = rows if out is None else out.unionAll(rows)
-    return out
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return C.best_cosine(e.where("id % 20 = 0").select("id", "v"), e).select(F.col("id").alias("query_id"), "label", F.round("best", 6).alias("best"))
 
 
 @query(

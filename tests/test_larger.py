@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
 
-from quarryline.operators import rules
+from quarryline.operators import claims, comparison, rules
 from quarryline.plans import registry, streams
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +37,24 @@ def test_producers_against_loops_and_past_ten_thousand_workers(spark, tmp_path):
     for t in ("customer", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert {tuple(r) for r in registry.QUERIES["producer_choice"](spark, str(tmp_path)).collect()} == set(con.execute(registry.ORACLES["producer_choice"]).fetchall())
+
+
+def test_best_cosine_of_odd_vectors_against_loops(spark):
+    vectors = [(i, i % 3 if i % 5 else None, [math.sin(i + j) for j in range(4)]) for i in range(50)]
+    vectors += [(50, 1, None), (60, 1, [1.0, None, 0.0, 0.0]), (70, 2, [0.0] * 4), (80, 2, [1.0, 2.0]), (20, 0, [1.0, 0.0, 0.0, 0.0]), (81, 7, [1.0, 2.1]), (None, 9, [1.0, 1.0]), (82, 1, [])]
+
+    def cosine(a, b):
+        if a is None or b is None or None in a or None in b or len(a) != len(b):
+            return 0.0
+        norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm else 0.0
+
+    want = {}
+    for i, _, q in vectors:
+        for j, label, v in vectors:
+            if i is not None and i % 10 == 0 and j is not None and i != j:
+                want[i, label] = max(want.get((i, label), 0.0), cosine(q, v))
+    rows = spark.createDataFrame(vectors, "id int, label int, v array<double>")
+    for sizes in ((8192, 16384), (7, 2)):
+        got = {(r["id"], r["label"]): r["best"] for r in comparison.best_cosine(rows.where("id % 10 = 0").select("id", "v"), rows, *sizes).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
