@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.numeric import ratio
 from quarryline.functions.text import lower_spaced
+from quarryline.sources.shared import written
 
 _MISSING = (("candidate_id", "MISSING_ID"), ("subject", "MISSING_SUBJECT"), ("predicate", "MISSING_PREDICATE"), ("object", "MISSING_OBJECT"))
 
@@ -69,13 +70,22 @@ def policy_rows(policies: DataFrame) -> DataFrame:
     return own.select("p", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two policies of one predicate: "), F.col("p"))).cast("string")).otherwise(F.col("fusion")).alias("fusion"))
 
 
+def governed(claims: DataFrame, policies: DataFrame) -> DataFrame:
+    """Claims with their normal forms and the fusion of their predicate, EXACT without a policy.
+
+    The policies are written first, so that Spark knows their size and sends a catalogue of them to the claims: predicates are few, and dealt out by
+    them most claims would come to one task.
+    """
+    return keyed(claims).join(written(policy_rows(policies), "policies"), "p", "left").withColumn("fusion", F.coalesce("fusion", F.lit("EXACT")))
+
+
 def fused_by_policy(claims: DataFrame, policies: DataFrame) -> DataFrame:
     """(s, p, o, fusion, status, values, n, yes, no, confidence, first_id, evidence): one row for each claim group, by the fusion of its predicate, EXACT without a policy.
 
     Both kinds come out of one aggregation, whose key is the triple or, where a predicate has one value, subject and predicate: an exact group is in
     conflict if both polarities are claimed, a single-valued one if more than one polarity and object are, and then its object is blank. values counts those.
     """
-    own = keyed(claims).join(policy_rows(policies), "p", "left").withColumn("fusion", F.coalesce("fusion", F.lit("EXACT")))
+    own = governed(claims, policies)
     single = F.col("fusion") == "SINGLE_VALUE"
     groups = own.withColumn("key", F.when(~single, F.col("o"))).groupBy("s", "p", "fusion", "key").agg(
         F.min("o").alias("o"), F.count_distinct(F.struct("polarity", "o")).alias("values"), F.count("*").alias("n"), F.count_if("polarity").alias("yes"), F.count_if(~F.col("polarity")).alias("no"),
@@ -90,7 +100,7 @@ def fused_by_policy(claims: DataFrame, policies: DataFrame) -> DataFrame:
 
 def conflict_members(claims: DataFrame, policies: DataFrame) -> DataFrame:
     """(s, p, o, candidate_id, side): a row for each candidate of a group in conflict, + for what it affirms and - for what it denies, with its own object."""
-    own = keyed(claims).join(policy_rows(policies), "p", "left").withColumn("key", F.when(F.coalesce("fusion", F.lit("EXACT")) == "EXACT", F.col("o")))
+    own = governed(claims, policies).withColumn("key", F.when(F.col("fusion") == "EXACT", F.col("o")))
     lone = own.groupBy("s", "p", "key").agg(F.count_distinct(F.struct("polarity", "o")).alias("values")).where(F.col("values") > 1)
     same = [own[c].eqNullSafe(lone[c]) for c in ("s", "p", "key")]
     return own.join(lone, same, "left_semi").select("s", "p", "o", "candidate_id", F.when(F.col("polarity"), "+").otherwise("-").alias("side"))

@@ -7,7 +7,8 @@ import math
 import duckdb
 
 from quarryline.operators import claims, comparison, rules
-from quarryline.plans import registry, streams
+from quarryline.plans import registry, states, streams
+from quarryline.plans.inputs import claims as claimed
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +59,13 @@ def test_best_cosine_of_odd_vectors_against_loops(spark):
     for sizes in ((8192, 16384), (7, 2)):
         got = {(r["id"], r["label"]): r["best"] for r in comparison.best_cosine(rows.where("id % 10 = 0").select("id", "v"), rows, *sizes).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_claims_are_not_dealt_out_by_their_few_predicates(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "4k")  # less than the table that the policies are read from, more than the policies
+    try:
+        plan = claims.governed(claimed(spark, SF), states.policies(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
