@@ -69,3 +69,22 @@ def test_claims_are_not_dealt_out_by_their_few_predicates(spark):
     finally:
         spark.conf.unset(key)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_best_overlap_counts_in_cells_and_makes_no_row_a_pair(spark):
+    asked = [(q, f"t{(q * 7 + i) % 40}") for q in range(30) for i in range(6)] + [(99, "nowhere"), (98, None)]
+    pages = [(p, f"t{(p * p + 3 * i) % 40}") for p in range(100) for i in range(9)] + [(None, "t1"), (100, None)]
+    pages = sorted(set(pages), key=str)
+    want = set()
+    for q in range(30):
+        counts = {}
+        for p, t in pages:
+            if p is not None and (q, t) in asked:
+                counts[p] = counts.get(p, 0) + 1
+        top = max(counts.values())
+        want.add((q, min(p for p in counts if counts[p] == top), top))
+    ask, held = spark.createDataFrame(asked, "question int, term string"), spark.createDataFrame(pages, "page long, term string")
+    for block, at_once in ((1_000_000, 8192), (50, 7)):
+        found = comparison.best_overlap(ask, held, block, at_once)
+        assert {tuple(r) for r in found.collect()} == want
+    assert "page" not in str([x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "HashAggregate(keys=[page" in x])
