@@ -80,28 +80,29 @@ def settled(cells: DataFrame, rules: DataFrame, requires: DataFrame, most: int =
     """
     spark = cells.sparkSession
     cells, rules, requires = (written(x, "system") for x in (cells.select("key", "cell", "state"), rules.select("key", "rule", "target", "from_state", "to_state"), requires.select("key", "rule", "cell", "state")))
+    big = lambda df: df.hint("merge")  # noqa: E731  # rows of all systems: no round sends them through the driver
     twice = cells.groupBy("key", "cell").count().where("count > 1").select("key", F.lit("DUPLICATE_CELL").alias("error"))
     named = rules.select("key", F.col("target").alias("cell")).union(requires.select("key", "cell"))
-    unknown = named.join(cells, ["key", "cell"], "left_anti").select("key", F.lit("UNKNOWN_CELL").alias("error"))
+    unknown = named.join(big(cells), ["key", "cell"], "left_anti").select("key", F.lit("UNKNOWN_CELL").alias("error"))
     wrong = twice.union(unknown).groupBy("key").agg(F.min("error").alias("error"))
     errors, done = Rounds(spark, "errors", wrong.schema), Rounds(spark, "settled", cells.schema)
     errors.write(wrong, 0)
-    now = written(cells.join(errors.of(0), "key", "left_anti"), "states")
+    now = written(cells.join(big(errors.of(0)), "key", "left_anti"), "states")
     need = written(requires.groupBy("key", "rule").agg(F.count("*").alias("need")), "need")
-    rules = written(rules.where("from_state <> to_state").join(need, ["key", "rule"], "left").withColumn("need", F.coalesce("need", F.lit(0))), "rules")
+    rules = written(rules.where("from_state <> to_state").join(big(need), ["key", "rule"], "left").withColumn("need", F.coalesce("need", F.lit(0))), "rules")
     n = 0
     while not now.isEmpty():
         n += 1
-        met = requires.join(now, ["key", "cell", "state"]).groupBy("key", "rule").agg(F.count("*").alias("met"))
-        able = rules.join(now.select("key", F.col("cell").alias("target"), F.col("state").alias("from_state")), ["key", "target", "from_state"])
-        fires = able.join(met, ["key", "rule"], "left").where(F.col("need") == F.coalesce("met", F.lit(0)))
+        met = requires.join(big(now), ["key", "cell", "state"]).groupBy("key", "rule").agg(F.count("*").alias("met"))
+        able = rules.join(big(now.select("key", F.col("cell").alias("target"), F.col("state").alias("from_state"))), ["key", "target", "from_state"])
+        fires = able.join(big(met), ["key", "rule"], "left").where(F.col("need") == F.coalesce("met", F.lit(0)))
         writes = written(fires.groupBy("key", F.col("target").alias("cell")).agg(F.min("to_state").alias("to"), F.max("to_state").alias("other")), "writes")
         clash = written(writes.where("to <> other").select("key").distinct(), "clash")
         errors.write(clash.select("key", F.lit("CONFLICTING_WRITES").alias("error")), n)
         # a system without a write has settled
-        done.write(now.join(writes, "key", "left_anti"), n)
-        on = now.join(writes.select("key").distinct().join(clash, "key", "left_anti"), "key", "left_semi")
-        now = written(on.join(writes.select("key", "cell", "to"), ["key", "cell"], "left").select("key", "cell", F.coalesce("to", "state").alias("state")), "states")
+        done.write(now.join(big(writes), "key", "left_anti"), n)
+        on = now.join(big(writes.select("key").distinct().join(big(clash), "key", "left_anti")), "key", "left_semi")
+        now = written(on.join(big(writes.select("key", "cell", "to")), ["key", "cell"], "left").select("key", "cell", F.coalesce("to", "state").alias("state")), "states")
         if n == most:
             errors.write(now.select("key", F.lit("NOT_SETTLED").alias("error")).distinct(), n + 1)
             break
