@@ -187,22 +187,24 @@ def rule_fixpoint(cells: DataFrame, rules: DataFrame, requires: DataFrame, most:
 
     rules: (rule, target, from_state, to_state); requires: (rule, cell, state). Conflicting writes, unknown cells and `most` steps without an end raise.
     """
+    big = lambda df: df.hint("merge")  # noqa: E731  # tables of a row for each cell: no round sends one through the driver
     named = rules.select(F.col("target").alias("cell")).union(requires.select("cell"))
-    if not named.join(cells, "cell", "left_anti").isEmpty():
+    if not named.join(big(cells), "cell", "left_anti").isEmpty():
         raise ValueError("a rule names a cell that doesn't exist")
     now = written(cells.select("cell", "state"), "graph")
+    need = requires.groupBy("rule").agg(F.count("*").alias("need"))
+    needing = written(rules.join(big(need), "rule", "left").withColumn("need", F.coalesce("need", F.lit(0))), "graph")
     for _ in range(most):
-        met = requires.join(now, ["cell", "state"]).groupBy("rule").agg(F.count("*").alias("met"))
-        need = requires.groupBy("rule").agg(F.count("*").alias("need"))
-        fires = rules.join(need, "rule", "left").join(met, "rule", "left").where(F.coalesce("need", F.lit(0)) == F.coalesce("met", F.lit(0)))
-        fires = fires.join(now.select(F.col("cell").alias("target"), F.col("state").alias("from_state")), ["target", "from_state"])
+        met = requires.join(big(now), ["cell", "state"]).groupBy("rule").agg(F.count("*").alias("met"))
+        fires = needing.join(big(met), "rule", "left").where(F.col("need") == F.coalesce("met", F.lit(0)))
+        fires = fires.join(big(now.select(F.col("cell").alias("target"), F.col("state").alias("from_state"))), ["target", "from_state"])
         writes = written(fires.groupBy(F.col("target").alias("cell")).agg(F.min("to_state").alias("to_state"), F.max("to_state").alias("other")), "graph")
         found = writes.agg(F.count("*").alias("n"), F.count_if(F.col("to_state") != F.col("other")).alias("clashes")).first()
         if not found["n"]:
             return now
         if found["clashes"]:
             raise ConflictingWrites("two rules write different states to one cell")
-        now = written(now.join(writes.select("cell", "to_state"), "cell", "left").select("cell", F.coalesce("to_state", "state").alias("state")), "graph")
+        now = written(now.join(big(writes.select("cell", "to_state")), "cell", "left").select("cell", F.coalesce("to_state", "state").alias("state")), "graph")
     raise ValueError(f"no fixpoint within {most} steps")
 
 

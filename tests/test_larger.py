@@ -6,7 +6,8 @@ import math
 
 import duckdb
 
-from quarryline.operators import claims, comparison, rules
+from quarryline.operators import claims, comparison, graphs, rules
+from quarryline.operators import states as settling
 from quarryline.plans import registry, states, streams
 from quarryline.plans.inputs import claims as claimed
 
@@ -88,3 +89,25 @@ def test_best_overlap_counts_in_cells_and_makes_no_row_a_pair(spark):
         found = comparison.best_overlap(ask, held, block, at_once)
         assert {tuple(r) for r in found.collect()} == want
     assert "page" not in str([x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "HashAggregate(keys=[page" in x])
+
+
+def test_fixpoints_send_no_table_of_cells_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def spy(module):
+        write = module.written
+
+        def noted(df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df, name)
+
+        monkeypatch.setattr(module, "written", noted)
+
+    spy(graphs)
+    spy(settling)
+    frame = spark.createDataFrame
+    cells, rule, need = frame([("A", "OFF"), ("B", "OFF")], "cell string, state string"), frame([("r", "A", "OFF", "ON"), ("s", "B", "OFF", "ON")], "rule string, target string, from_state string, to_state string"), frame([("s", "A", "ON")], "rule string, cell string, state string")
+    assert {tuple(r) for r in graphs.rule_fixpoint(cells, rule, need).collect()} == {("A", "ON"), ("B", "ON")}
+    done, errors = settling.settled(*[x.selectExpr("1 AS key", "*") for x in (cells, rule, need)])
+    assert {tuple(r) for r in done.collect()} == {(1, "A", "ON"), (1, "B", "ON")} and errors.isEmpty()
+    assert plans and not any("Broadcast" in p for p in plans)
