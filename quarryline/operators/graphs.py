@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quarryline.sources.shared import new_path, written
+from quarryline.sources.shared import bucketed, new_path, written
 
 
 def plan_errors(nodes: DataFrame, edges: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
@@ -60,36 +60,35 @@ def _hung(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, finish) of nodes (node, cost): round by round those without open dependencies; nodes on a cycle, and those behind it, are never reached.
 
-    Nodes with one dependency take no part in the rounds: they hang on another (_hung) and follow from it, so a chain, or a tree, is done at once. The
-    state is one row for each other node that is left: how many dependencies are open, and the latest level and finish of those that are done. A round
-    is one written table, of those that are done and those that are left, and all rounds are read as one relation at the end.
+    Nodes with one dependency take no part in the rounds: they hang on another (_hung) and follow from it, so a chain, or a tree, is done at once. A
+    round goes over the links of the nodes that the round before has done, and over the nodes that wait with a part of their dependencies done: one row
+    each, with their number and the latest level and finish. Nodes that nothing has come to are in no round, and the links stay where they are, dealt out by
+    their source. A round is one written table, of those that are done and those that wait, and all rounds are read as one relation at the end.
     """
     spark = nodes.sparkSession
     edges = written(edges.select("src", "dst").distinct(), "edges")
     cost = written(nodes.groupBy("node").agg(F.max("cost").cast("long").alias("cost")), "costs")
     hung = written(_hung(cost, edges), "hung")
-    single = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("deps")).where("deps = 1").select("node")
-    far = edges.join(single.withColumnRenamed("node", "dst"), "dst", "left_anti").join(hung.withColumnRenamed("node", "src"), "src", "left")
-    links = written(far.select("dst", F.coalesce("root", "src").alias("src"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"), F.coalesce("weight", F.lit(0)).cast("long").alias("weight")), "links")
-    open_ = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open"))
     zero = F.lit(0).cast("long")
-    left = cost.join(single, "node", "left_anti").join(open_, "node", "left").select("node", "cost", F.coalesce("open", zero).alias("open"), zero.alias("level"), F.col("cost").alias("finish"))
+    own = written(cost.join(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")), "node", "left").select("node", "cost", F.coalesce("need", zero).alias("need")), "needs")
+    far = edges.join(own.where("need > 1").withColumnRenamed("node", "dst"), "dst").join(hung.withColumnRenamed("node", "src"), "src", "left")
+    far = far.select(F.coalesce("root", "src").alias("src"), F.col("dst").alias("node"), "cost", "need", F.coalesce("steps", zero).alias("steps"), F.coalesce("weight", zero).cast("long").alias("weight"))
+    links = bucketed(far, "links", "src")
+    now = own.where("need = 0").select("node", "cost", "need", zero.alias("came"), zero.alias("level"), F.col("cost").alias("finish"), F.lit(1).alias("done"))
     path, n = new_path(spark, "rounds"), 0
-    schema = left.schema
+    schema = StructType(now.schema.fields[:-1])
     while True:
-        ready = F.col("open") == 0
-        left.withColumn("done", ready.cast("int")).write.option("compression", "zstd").partitionBy("done").parquet(f"{path}/round={n}")
+        now.write.option("compression", "zstd").partitionBy("done").parquet(f"{path}/round={n}")
         rows = spark.read.schema(StructType([*schema.fields, StructField("done", IntegerType())])).parquet(f"{path}/round={n}")
-        done = rows.where("done = 1").drop("done")
+        done = rows.where("done = 1").select(F.col("node").alias("src"), F.col("level").alias("l"), F.col("finish").alias("f"))
         if done.isEmpty():
             break
-        rest = rows.where("done = 0").drop("done")
-        came = done.select(F.col("node").alias("src"), F.col("level").alias("l"), F.col("finish").alias("f")).join(links, "src")
-        came = came.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("closed"), F.max(F.col("l") + F.col("steps")).alias("above"), F.max(F.col("f") + F.col("weight")).alias("latest"))
-        left = rest.join(came, "node", "left").select(
-            "node", "cost", (F.col("open") - F.coalesce("closed", zero)).alias("open"), F.greatest("level", F.coalesce(F.col("above") + 1, zero)).alias("level"), F.greatest("finish", F.coalesce(F.col("latest") + F.col("cost"), zero)).alias("finish"),
-        )
-        n += 1
+        came = links.join(done.hint("shuffle_hash"), "src").select("node", "cost", "need", F.lit(1).cast("long").alias("came"), (F.col("l") + F.col("steps")).alias("level"), (F.col("f") + F.col("weight")).alias("finish"))
+        every = came.unionByName(rows.where("done = 0").drop("done")).groupBy("node").agg(*[F.max(c).alias(c) for c in ("cost", "need")], F.sum("came").alias("came"), *[F.max(c).alias(c) for c in ("level", "finish")])
+        ready = F.col("came") == F.col("need")
+        # what waits keeps the latest of its dependencies, what is done comes after them
+        level, finish = F.when(ready, F.col("level") + 1).otherwise(F.col("level")), F.when(ready, F.greatest("cost", F.col("finish") + F.col("cost"))).otherwise(F.col("finish"))
+        now, n = every.select("node", "cost", "need", "came", level.alias("level"), finish.alias("finish"), ready.cast("int").alias("done")), n + 1
     every = spark.read.schema(StructType([*schema.fields, StructField("done", IntegerType())])).parquet(path).where("done = 1").select("node", "level", "finish")
     behind = hung.join(every.withColumnRenamed("node", "root"), "root").select("node", (F.col("level") + F.col("steps")).alias("level"), (F.col("finish") + F.col("weight")).alias("finish"))
     return every.unionByName(behind)

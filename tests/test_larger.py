@@ -111,3 +111,17 @@ def test_fixpoints_send_no_table_of_cells_through_the_driver(spark, monkeypatch)
     done, errors = settling.settled(*[x.selectExpr("1 AS key", "*") for x in (cells, rule, need)])
     assert {tuple(r) for r in done.collect()} == {(1, "A", "ON"), (1, "B", "ON")} and errors.isEmpty()
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_rounds_of_levels_leave_alone_what_nothing_has_come_to(spark, monkeypatch):
+    # a comb: node i needs i - 1 and a source of its own, so a round does one node and the others wait
+    nodes = [(i, 1) for i in range(12)] + [(100 + i, 1) for i in range(12)]
+    edges = [(i - 1, i) for i in range(1, 12)] + [(100 + i, i) for i in range(1, 12)] + [(200, 201), (201, 200), (0, 201), (7, 200)]
+    seen = []
+    read = graphs.new_path
+    monkeypatch.setattr(graphs, "new_path", lambda s, name: seen.append(read(s, name)) or seen[-1])
+    n, e = spark.createDataFrame([*nodes, (200, 1), (201, 1)], "node long, cost long"), spark.createDataFrame(edges, "src long, dst long")
+    assert {tuple(r) for r in graphs.levels(n, e).collect()} == {(i, i) for i in range(12)} | {(100 + i, 0) for i in range(12)}
+    # a node waits from the first round on, with its own source done, and one that nothing has come to is in no round
+    written = spark.read.parquet(seen[-1])
+    assert written.where("done = 1").count() == 24 and written.where("node = 5 AND done = 0").count() == 4 and written.where("done = 0 AND came = 0").isEmpty()
