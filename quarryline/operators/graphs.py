@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -107,45 +109,66 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done.select("node", "finish")
 
 
+#: Links of one level that are sent to all tasks; of more, the pairs are sent to the links.
+FEW_LINKS = 500_000
+
+
+class Pairs:
+    """What a loop finds, (goal, worker, depth, level): one table in the shared folder, dealt out by goal, with a part for each level."""
+
+    def __init__(self, spark: SparkSession, parts: int) -> None:
+        self.spark, self.parts, self.table, self.path = spark, parts, f"pairs_{uuid.uuid4().hex}", new_path(spark, "pairs")
+
+    def add(self, df: DataFrame) -> None:
+        out = df.select("goal", "worker", "depth", "level").write.mode("append").option("compression", "zstd").option("path", self.path)
+        out.partitionBy("level").bucketBy(self.parts, "goal").saveAsTable(self.table)
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+
 def resolved(goals: DataFrame, needs: DataFrame, producers: DataFrame, available: DataFrame | None = None) -> DataFrame:
     """(goal, worker, depth): the workers that goals (goal, product) take, by chaining backwards, each at its least depth.
 
     producers is (product, worker, rank): of a product's producers the one of least rank is taken, ties by name. needs is (worker, product). What is
-    `available` (product) needs no producer. Rounds go over distinct workers until nothing is new. A product that nobody gives,
-    and workers that need each other, raise.
+    `available` (product) needs no producer. A product that nobody gives, and workers that need each other, raise.
+    Workers are gone through from the highest level down, so a round knows the least depth of all its pairs (goal, worker) and no pair is met twice. Pairs
+    stay dealt out by goal, in one table with a part for each level; a level of few links goes to them, and only for larger ones they go to the links.
     """
     spark = goals.sparkSession
     best = producers.groupBy("product").agg(F.min(F.struct("rank", "worker")).alias("b")).select("product", F.col("b.worker").alias("worker"))
     open_ = needs if available is None else needs.join(available.select("product").distinct(), "product", "left_anti")
-    # the links that any goal may follow, worked out once
     links = written(open_.join(best.withColumnRenamed("worker", "by"), "product", "left").select("worker", "product", "by"), "links")
-
-    first = goals.join(best.withColumnRenamed("worker", "by"), "product", "left")
-    lost = first.where("by IS NULL").select("product").first()
-    path = new_path(spark, "chain")
-    edge = first.select("goal", F.col("by").alias("worker"), F.lit(0).cast("long").alias("depth")).distinct()
-    schema = edge.schema
-    edge.write.parquet(f"{path}/round=0")
-    # what is reached, one subfolder a round, is one relation however many rounds there are
-    of = lambda n: spark.read.schema(schema).parquet(f"{path}/round={n}")
-    seen = lambda: spark.read.schema(schema).parquet(path).select(*schema.names)
-    edge = of(0)
-    gaps = links.where("by IS NULL")  # only workers that a goal comes to miss anything
-    some = not gaps.isEmpty()
-    depth = 0
-    while not lost and not edge.isEmpty():
-        lost = gaps.join(edge, "worker", "left_semi").select("product").first() if some else None
-        depth += 1
-        step = edge.join(links, "worker").select("goal", F.col("by").alias("worker")).distinct()
-        step.join(seen().select("goal", "worker"), ["goal", "worker"], "left_anti").withColumn("depth", F.lit(depth).cast("long")).write.parquet(f"{path}/round={depth}")
-        edge = of(depth)
+    first = written(goals.join(best.withColumnRenamed("worker", "by"), "product", "left").select("goal", "product", F.col("by").alias("worker")), "goals")
+    lost = first.where("worker IS NULL").select("product").first()
     if lost:
         raise MissingProducer(f"nothing produces {lost['product']}")
-    used = written(seen().select("worker").distinct(), "chain")
-    among = links.join(used, "worker", "left_semi").select(F.col("by").alias("src"), F.col("worker").alias("dst"))
-    if levels(used.withColumnRenamed("worker", "node"), among).count() < used.count():
+    gaps = links.where("by IS NULL")  # only workers that a goal comes to miss anything
+    some = not gaps.isEmpty()
+    hops = links.where("by IS NOT NULL").select("worker", "by")
+    level = written(levels(best.select(F.col("worker").alias("node")).distinct(), hops.select(F.col("by").alias("src"), F.col("worker").alias("dst"))), "levels")
+    # who needs a worker on a cycle has no level either
+    if not first.join(level.withColumnRenamed("node", "worker"), "worker", "left_anti").isEmpty():
         raise Cyclic("workers need each other")
-    return seen()
+    steps = hops.distinct().join(level.select(F.col("node").alias("worker"), F.col("level").alias("at")), "worker").join(level.select(F.col("node").alias("by"), "level"), "by")
+    # a level's links stand together, so a round reads no others
+    steps = written(steps.repartitionByRange("at", "worker").sortWithinPartitions("at", "worker"), "steps")
+    sizes = {r["at"]: r["count"] for r in steps.groupBy("at").count().collect()}
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), first.count() >> 14)
+    pairs = Pairs(spark, parts)
+    pairs.add(first.join(level.withColumnRenamed("node", "worker"), "worker").select("goal", "worker", F.lit(0).cast("long").alias("depth"), "level").distinct().repartition(parts, "goal"))
+    for at in sorted(sizes if not some else {r["level"] for r in level.select("level").distinct().collect()}, reverse=True):
+        front = pairs.all().where(F.col("level") == at).groupBy("goal", "worker").agg(F.min("depth").alias("depth"))
+        if some:
+            lost = gaps.join(front.hint("merge"), "worker", "left_semi").select("product").first()
+            if lost:
+                raise MissingProducer(f"nothing produces {lost['product']}")
+        if at in sizes:
+            few = sizes[at] <= FEW_LINKS
+            step = front.join(steps.where(F.col("at") == at).drop("at").hint("broadcast" if few else "merge"), "worker").select("goal", F.col("by").alias("worker"), (F.col("depth") + 1).alias("depth"), "level")
+            step = step if few else step.repartition(parts, "goal")
+            pairs.add(step.groupBy("goal", "worker", "level").agg(F.min("depth").alias("depth")))
+    return pairs.all().groupBy("goal", "worker").agg(F.min("depth").alias("depth")).select("goal", "worker", "depth")
 
 
 def barriers(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:

@@ -125,3 +125,22 @@ def test_rounds_of_levels_leave_alone_what_nothing_has_come_to(spark, monkeypatc
     # a node waits from the first round on, with its own source done, and one that nothing has come to is in no round
     written = spark.read.parquet(seen[-1])
     assert written.where("done = 1").count() == 24 and written.where("node = 5 AND done = 0").count() == 4 and written.where("done = 0 AND came = 0").isEmpty()
+
+
+def test_goals_meet_each_worker_once_by_levels(spark, monkeypatch):
+    # worker i needs i - 1 and i - 2: each is reached at many depths, the least of which counts
+    needs = [(i, i - j) for i in range(2, 14) for j in (1, 2)] + [(50, 51), (51, 50)]
+    makers = [(i, i, 0) for i in range(14)] + [(50, 50, 0), (51, 51, 0)]
+    frame = spark.createDataFrame
+    sides = frame(needs, "worker long, product long"), frame(makers, "product long, worker long, rank int")
+    want = {(g, w, -((w - p) // 2)) for g, p in (("a", 13), ("b", 8), ("c", 1)) for w in range(p + 1) if p > 1 or w == p}
+    added, add = [], graphs.Pairs.add
+    monkeypatch.setattr(graphs.Pairs, "add", lambda self, df: added.append(df._jdf.queryExecution().executedPlan().toString()) or add(self, df))
+    for few in (500_000, 0):
+        monkeypatch.setattr(graphs, "FEW_LINKS", few)
+        found = graphs.resolved(frame([("a", 13), ("b", 8), ("c", 1)], "goal string, product long"), *sides)
+        assert {(r["goal"], r["worker"], r["depth"]) for r in found.collect()} == want
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        rounds = [p for p in added if "EqualTo(at," in p]
+        added.clear()
+        assert rounds and all(("Exchange hashpartitioning" in p) == (few == 0) for p in rounds)
