@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarryline.sources.shared import new_path, written
+from quarryline.sources.shared import bucketed, new_path, written
 
 
 class Rounds:
@@ -31,33 +31,39 @@ def spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A node runs once its barrier over its dependencies (ALL, ANY, or a QUORUM of them) can open, and fails if `fails`. A dependency that has FAILED or is BLOCKED counts
     against the barrier, unless its edge tolerates that; a quorum of none or less is more than half; a node whose barrier can't open any more is BLOCKED. The label only spreads, so rounds
     over the newly dead nodes end by themselves, on cycles too: what waits for itself alone isn't dead, and counts as COMPLETED.
-    A round looks at the nodes behind the newly dead ones alone, and plans don't meet.
+    A round goes over the links of the newly dead alone, and over what waits: the nodes that some but not all strict dependencies have told of their death, with the
+    number of these. The links stay where they are, dealt out by their source, and plans don't meet.
     """
     spark = nodes.sparkSession
     key = ["plan", "node"]
     edges = written(edges.select("plan", "src", "dst", F.coalesce("tolerated", F.lit(False)).alias("tolerated")).distinct(), "edges")
-    deps = edges.groupBy("plan", F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+    deps = edges.groupBy("plan", F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.count_if(~F.col("tolerated")).alias("strict"))
     quorum = F.when(F.col("quorum") > 0, F.col("quorum")).otherwise(F.floor(F.col("n") / 2) + 1)
     needed = F.when(F.col("join_kind") == "ALL", F.col("n")).when(F.col("join_kind") == "ANY", F.lit(1)).otherwise(quorum)
-    plan = nodes.join(deps, key, "left").select(*key, F.coalesce("fails", F.lit(False)).alias("fails"), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), 0).otherwise(needed).cast("long").alias("needed"))
-    plan = written(plan, "plan")
-    strict = edges.where("NOT tolerated")
-    found = Rounds(spark, "dead", plan.select(*key).schema)
+    spare = F.when(F.col("n").isNull(), 0).otherwise(F.col("n") - needed).cast("long")  # how many may die before the barrier can't open
+    plan = written(nodes.join(deps, key, "left").select(*key, F.coalesce("fails", F.lit(False)).alias("fails"), spare.alias("spare"), F.coalesce("strict", F.lit(0)).alias("strict")), "plan")
     # those that fail when they run are dead from the start, whether they come to run or not; so are those that ask for more than there is
-    found.write(plan.where("fails OR needed > n").select(*key), 0)
-    n = 0
-    while not (front := found.of(n)).isEmpty():
-        dead = found.all()
-        behind = front.join(strict, (front["plan"] == strict["plan"]) & (front["node"] == strict["src"])).select(strict["plan"], F.col("dst").alias("node")).distinct()
-        behind = behind.join(dead, key, "left_anti").join(plan, key)
-        bad = behind.join(strict.withColumnRenamed("dst", "node"), key).join(dead.withColumnRenamed("node", "src"), ["plan", "src"]).groupBy(*key).agg(F.count("*").alias("bad"))
-        n += 1
-        found.write(behind.join(bad, key).where("n - bad < needed").select(*key), n)
-    dead = found.all().distinct()
-    bad = strict.join(dead.withColumnRenamed("node", "src"), ["plan", "src"]).groupBy("plan", F.col("dst").alias("node")).agg(F.count("*").alias("bad"))
-    j = plan.join(bad, key, "left")
-    blocked = F.col("n") - F.coalesce("bad", F.lit(0)) < F.col("needed")
-    return j.select(*key, F.when(blocked, "BLOCKED").when(F.col("fails"), "FAILED").otherwise("COMPLETED").alias("state"))
+    gone = F.col("fails") | (F.col("spare") < 0)
+    links = edges.where("NOT tolerated").select("plan", "src", F.col("dst").alias("node")).join(plan.select(*key, "spare", "strict", gone.alias("gone")), key)
+    links = bucketed(links, "links", "plan", "src")
+    front = plan.where(gone).select("plan", F.col("node").alias("src"))
+    found = Rounds(spark, "dead", links.select(*key, "spare", "strict", "gone", F.lit(1).cast("long").alias("bad"), F.lit(True).alias("newly")).schema)
+    waits, n = None, 0
+    while not front.isEmpty():
+        told = links.join(front.hint("shuffle_hash"), ["plan", "src"]).select(*key, "spare", "strict", "gone", F.lit(1).cast("long").alias("bad"), F.lit(0).cast("long").alias("before"))
+        if waits is not None:
+            told = told.unionByName(waits.drop("newly").withColumn("before", F.col("bad")))
+        now = told.groupBy(*key).agg(*[F.max(c).alias(c) for c in ("spare", "strict", "gone")], F.sum("bad").alias("bad"), F.max("before").alias("before"))
+        # from when a barrier can't open any more; once all strict dependencies have told, nothing comes any more
+        now = now.withColumn("newly", (F.col("spare") >= 0) & (F.col("bad") > F.col("spare")) & (F.col("before") <= F.col("spare")))
+        found.write(now.where(F.col("newly") | (F.col("bad") < F.col("strict"))).select(*found.schema.names), n)
+        waits = found.of(n).where("bad < strict")
+        front, n = found.of(n).where("newly AND NOT gone").select("plan", F.col("node").alias("src")), n + 1
+    blocked = plan.where("spare < 0").select(*key)
+    if n:
+        blocked = blocked.unionByName(found.all().where("newly").select(*key))
+    j = plan.join(blocked.withColumn("blocked", F.lit(True)), key, "left")
+    return j.select(*key, F.when(F.col("blocked"), "BLOCKED").when(F.col("fails"), "FAILED").otherwise("COMPLETED").alias("state"))
 
 
 def run_verdicts(states: DataFrame, nodes: DataFrame) -> DataFrame:

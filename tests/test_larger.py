@@ -144,3 +144,15 @@ def test_goals_meet_each_worker_once_by_levels(spark, monkeypatch):
         rounds = [p for p in added if "EqualTo(at," in p]
         added.clear()
         assert rounds and all(("Exchange hashpartitioning" in p) == (few == 0) for p in rounds)
+
+
+def test_failures_spread_along_links_that_stay_where_they_are(spark, monkeypatch):
+    plans, write = [], settling.Rounds.write
+    monkeypatch.setattr(settling.Rounds, "write", lambda self, df, n: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df, n))
+    frame = spark.createDataFrame
+    nodes = frame([("p", i, "ALL" if i < 4 else "ANY", 0, i in (0, 7)) for i in range(8)], "plan string, node long, join_kind string, quorum int, fails boolean")
+    edges = frame([("p", i, i + 1, False) for i in range(5)] + [("p", 7, 4, False), ("p", 6, 5, True), ("p", 5, 7, False)], "plan string, src long, dst long, tolerated boolean")
+    got = {r["node"]: r["state"] for r in settling.spread(nodes, edges).collect()}
+    # node 4 takes any of two, both of which die, one long after the other; 5 has one that it can do without; 7 fails by itself
+    assert got == {0: "FAILED", 1: "BLOCKED", 2: "BLOCKED", 3: "BLOCKED", 4: "BLOCKED", 5: "COMPLETED", 6: "COMPLETED", 7: "FAILED"}
+    assert len(plans) > 3 and all("Bucketed: true" in p for p in plans)
