@@ -6,7 +6,7 @@ import math
 
 import duckdb
 
-from quarryline.operators import claims, comparison, graphs, rules
+from quarryline.operators import claims, comparison, graphs, retrieval, rules
 from quarryline.operators import states as settling
 from quarryline.plans import registry, states, streams
 from quarryline.plans.inputs import claims as claimed
@@ -156,3 +156,20 @@ def test_failures_spread_along_links_that_stay_where_they_are(spark, monkeypatch
     # node 4 takes any of two, both of which die, one long after the other; 5 has one that it can do without; 7 fails by itself
     assert got == {0: "FAILED", 1: "BLOCKED", 2: "BLOCKED", 3: "BLOCKED", 4: "BLOCKED", 5: "COMPLETED", 6: "COMPLETED", 7: "FAILED"}
     assert len(plans) > 3 and all("Bucketed: true" in p for p in plans)
+
+
+def test_a_pair_of_terms_is_counted_once_and_the_graph_made_once(spark, monkeypatch):
+    made, graph = [], retrieval.term_graph
+    monkeypatch.setattr(retrieval, "term_graph", lambda *a: made.append(graph(*a)) or made[-1])
+    posting = spark.createDataFrame([(b, f"t{t}") for b in range(20) for t in range(9) if (b * 7 + t * t) % 3], "block_id long, term string")
+    want = {}
+    rows = {(r["block_id"], r["term"]) for r in posting.collect()}
+    for b, t in rows:
+        for c, u in rows:
+            if b == c and t != u:
+                want[t, u] = want.get((t, u), 0) + 1
+    found = graph(posting, neighbours=99)
+    assert {(r["src"], r["dst"]): r["weight"] for r in found.collect()} == want
+    assert "src#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and " < dst#" in plan
+    near = registry.QUERIES["graph_neighbours"](spark, SF)
+    assert len(made) == 1 and "collect_list" not in near._jdf.queryExecution().optimizedPlan().toString()
