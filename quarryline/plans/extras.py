@@ -41,7 +41,8 @@ _SHARE = "coalesce(len(list_intersect(list_distinct(list_filter(%s, lambda w: w
 )
 def answer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-31: the twelve features of every turn as an answer to the one before, over a document; vectors of the embeddings stand for those of the texts."""
-    e = read(spark, sf_dir, "embeddings")
+    # the vectors that the rows ask for are those of 500 ids, so they are sent to the rows; whole texts are dealt out once, and meet no other shuffle
+    e = F.broadcast(read(spark, sf_dir, "embeddings").where("vec_id > -500 AND vec_id < 500").select("vec_id", "embedding"))
     k, t = F.col("conv_id"), F.col("turn")
     p = answered(spark, sf_dir).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("passage")), "conv_id")
     for name, at in (("qv", (k * 7 + t) % 500), ("av", (k * 11 + t) % 500), ("gv", k % 500), ("hv", (k + 1) % 500)):

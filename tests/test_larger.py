@@ -173,3 +173,13 @@ def test_a_pair_of_terms_is_counted_once_and_the_graph_made_once(spark, monkeypa
     assert "src#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and " < dst#" in plan
     near = registry.QUERIES["graph_neighbours"](spark, SF)
     assert len(made) == 1 and "collect_list" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_passages_do_not_follow_the_vectors_through_shuffles(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")  # as tables are at size
+    try:
+        plan = registry.QUERIES["answer_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 4
