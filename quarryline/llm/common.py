@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.sources.shared import new_path, shared_dir, written
+from quarryline.sources.shared import bounded_batches, new_path, shared_dir, written
 
 __all__ = ["WORD", "bounded_batches", "fresh", "hash_sample", "new_path", "shared_dir", "table", "written"]
 
@@ -19,16 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches held to some megabytes, so that a worker's memory doesn't follow the texts' lengths."""
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = re.match(r"[0-9]+", conf.get(key) or "")
-        if not now or int(now[0]) > most:
-            conf.set(key, str(most))
-    return df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case of its letters."""
     have = {c.lower() for c in df.columns}

@@ -153,8 +153,8 @@ _TRI = r"list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda
 def trigram_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-08, JN-20: benchmark items of whose word triples a document has half or more."""
     items = read(spark, sf_dir, "benchmark").select("item_id", X.trigrams(F.col("text")).alias("t"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", X.trigrams(F.col("text")).alias("t"))
-    hit = C.contained(docs, items, 0.5)
+    docs = read(spark, sf_dir, "documents").select("doc_id", X.spaced_words(F.col("text")).alias("text"))
+    hit = C.contained_runs(docs, items, 0.5)
     return hit.select("item_id", "doc_id", "shared", "total", F.round("share", 6).alias("share"))
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import random
 
 import duckdb
+from pyspark.sql import functions as F
 
+from quarryline.functions import text
 from quarryline.operators import claims, comparison, graphs, retrieval, rules
 from quarryline.operators import states as settling
 from quarryline.plans import registry, states, streams
@@ -183,3 +186,32 @@ def test_passages_do_not_follow_the_vectors_through_shuffles(spark):
     finally:
         spark.conf.unset(key)
     assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 4
+
+
+def test_runs_of_words_are_told_by_numbers_and_texts_split_once(spark):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(9)))) for i in range(60)]
+    texts += [(7, "a b c a b c"), (None, "a b c d"), (100, None), (101, ""), (102, " a b  c d "), (103, "a bñ c")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    runs = lambda s, n: list(dict.fromkeys(tuple(w[i : i + n]) for w in [(s or "").split(" ")] for i in range(len(w) - n + 1)))
+    asked = [(1, "a b c d"), (2, "c c"), (3, ""), (4, "a bñ c"), (5, "g f e d c b a"), (6, "x y z")]
+    for n in (1, 2, 3):
+        items = [(i, [" ".join(r) for r in runs(t, n) if all(r)]) for i, t in asked]
+        want = {}
+        for d, body in texts:
+            own = {" ".join(r) for r in runs(body, n)}
+            for i, t in items:
+                want[i, d] = want.get((i, d), 0) + len(own & set(t))
+        totals = {i: len(t) for i, t in items}
+        want = {(i, d, k, totals[i]) for (i, d), k in want.items() if totals[i] and k / totals[i] >= 0.3}
+        for block in (1_000_000, 2):
+            found = comparison.contained_runs(docs, spark.createDataFrame(items, "item_id long, t array<string>"), 0.3, n, block)
+            assert {tuple(r)[:4] for r in found.select("item_id", "doc_id", "shared", "total").collect()} == want
+    none = spark.createDataFrame([], "item_id long, t array<string>")
+    assert comparison.contained_runs(docs, none, 0.3).isEmpty()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(registry.QUERIES["trigram_contamination"](spark, SF)).count(r"\p{L}") == 1
+    made = docs.select("doc_id", text.trigrams(F.col("text")).alias("t"))
+    assert plan(made).count(r"\p{L}") == 1
+    few = spark.createDataFrame([(1, ["a b c"])], "item_id long, t array<string>")
+    assert plan(comparison.contained(made, few, 0.5)).count(r"\p{L}") == 1
