@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -15,20 +15,31 @@ def plan_errors(nodes: DataFrame, edges: DataFrame, bindings: DataFrame | None =
     """(plan, node, error) of nodes (plan, node, quorum), edges (plan, src, dst) and, where given, bindings (plan, node, source): plans are told apart.
 
     An id that a plan uses twice, a dependency that its plan doesn't have, a node that depends on itself, a quorum of none or above the number of dependencies, and
-    an input bound to a node that isn't among the node's dependencies.
+    an input bound to a node that isn't among the node's dependencies. An edge that is given twice counts once.
     """
     key = ["plan", "node"]
-    say = lambda df, error: df.select(*key, F.lit(error).alias("error"))
-    own = nodes.groupBy(*key).agg(F.count("*").alias("times"), F.max("quorum").alias("quorum"))
-    unknown = edges.join(own.select("plan", F.col("node").alias("src")), ["plan", "src"], "left_anti").withColumnRenamed("dst", "node")
-    deps = edges.distinct().groupBy("plan", F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-    quorum = own.join(deps, key, "left").where((F.col("quorum") > F.coalesce("n", F.lit(0))) | (F.col("quorum") <= 0))
-    out = say(own.where("times > 1"), "DUPLICATE").unionAll(say(unknown, "UNKNOWN_DEPENDENCY")).unionAll(say(edges.where("src = dst").withColumnRenamed("dst", "node"), "OWN_DEPENDENCY"))
-    out = out.unionAll(say(quorum.where("quorum > 0"), "QUORUM_TOO_LARGE")).unionAll(say(quorum.where("quorum <= 0"), "QUORUM_TOO_SMALL"))
-    if bindings is not None:
-        named = edges.select("plan", F.col("dst").alias("node"), F.col("src").alias("source"))
-        out = out.unionAll(say(bindings.join(named, [*key, "source"], "left_anti"), "UNBOUND_INPUT"))
-    return out.distinct()
+    unknown = edges.join(nodes.select("plan", F.col("node").alias("src")).hint("merge"), ["plan", "src"], "left_anti")
+    # what is known of a node comes together as rows, in order: itself, its dependencies, and one row for each that its plan lacks; nothing is gathered in tables by key
+    row = lambda df, node, kind, src, quorum: df.select("plan", F.col(node).alias("node"), F.lit(kind).alias("kind"), src.alias("src"), quorum.cast("long").alias("quorum"))
+    none, no = F.lit(None), F.lit(None).cast(edges.schema["src"].dataType)
+    rows = row(nodes, "node", 0, no, F.col("quorum")).unionAll(row(edges, "dst", 1, F.col("src"), none)).unionAll(row(unknown, "dst", 2, no, none))
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (nodes.count() + edges.count()) >> 19)
+    w = Window.partitionBy(*key).orderBy("kind", "src")
+    some = lambda c: F.coalesce(F.max(c.cast("int")).over(w), F.lit(0))
+    own = rows.repartition(parts, *key).select(
+        *key, F.lead("kind").over(w).isNull().alias("last"), F.count_if(F.col("kind") == 0).over(w).alias("times"), F.max("quorum").over(w).alias("quorum"), some(F.col("kind") == 2).alias("lacks"),
+        some((F.col("kind") == 1) & (F.col("src") == F.col("node"))).alias("itself"), F.dense_rank().over(w).alias("groups"),
+    ).where("last")
+    # its own rows and those of what its plan lacks are a group each; a null is no node's name
+    deps = F.when(F.col("plan").isNotNull() & F.col("node").isNotNull(), F.col("groups") - (F.col("times") > 0).cast("int") - F.col("lacks")).otherwise(0)
+    found = {
+        "DUPLICATE": F.col("times") > 1, "UNKNOWN_DEPENDENCY": F.col("lacks") == 1, "OWN_DEPENDENCY": F.col("itself") == 1, "QUORUM_TOO_LARGE": (F.col("quorum") > 0) & (F.col("quorum") > deps), "QUORUM_TOO_SMALL": F.col("quorum") <= 0,
+    }
+    out = own.select(*key, F.explode(F.array_compact(F.array(*[F.when(c, error) for error, c in found.items()]))).alias("error"))
+    if bindings is None:
+        return out
+    named = edges.select("plan", F.col("dst").alias("node"), F.col("src").alias("source"))
+    return out.unionAll(bindings.join(named, [*key, "source"], "left_anti").select(*key, F.lit("UNBOUND_INPUT").alias("error")).distinct())
 
 
 class Cyclic(ValueError):
@@ -244,8 +255,6 @@ def receiver_rules(trace: DataFrame) -> DataFrame:
 
 def interfered(branches: DataFrame, least: float = 1e-12) -> DataFrame:
     """(state_id, label, re, im): amplitudes of equal labels added up, what cancels left out, the rest of each state scaled to 1."""
-    from pyspark.sql import Window
-
     s = branches.groupBy("state_id", "label").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).where(F.hypot("re", "im") > least)
     norm = F.sqrt(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).over(Window.partitionBy("state_id")))
     return s.select("state_id", "label", (F.col("re") / norm).alias("re"), (F.col("im") / norm).alias("im"))
@@ -265,8 +274,6 @@ def probabilities(state: DataFrame) -> DataFrame:
 
 def observed(state: DataFrame, x: float) -> DataFrame:
     """(state_id, label): the first label, by name, at which the running probability reaches x."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("state_id").orderBy("label")
     run = probabilities(state).withColumn("run", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.where(F.col("run") >= x - 1e-12).groupBy("state_id").agg(F.min("label").alias("label"))

@@ -18,15 +18,20 @@ def plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("o_orderkey").cast("long")
     kind = F.when(k % 3 == 0, "ALL").when(k % 3 == 1, "ANY").otherwise("QUORUM")
     nodes = read(spark, sf_dir, "orders").select(k.alias("node"), F.col("o_custkey").cast("long").alias("plan"), (10 + k * 7 % 13).alias("cost"), kind.alias("join_kind"), F.lit(2).alias("quorum"))
-    n = nodes.where("node > 0")
-    edges = n.select("plan", F.floor(F.col("node") / 2).alias("src"), F.col("node").alias("dst")).union(n.select("plan", F.floor(F.col("node") / 3), "node")).distinct()
-    return nodes, edges
+    return nodes, links(nodes.select("plan", "node").distinct())
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """What each node depends on: each once, if nodes are."""
+    k = F.col("node")
+    return nodes.where("node > 0").select("plan", F.explode(F.array_distinct(F.array(F.floor(k / 2), F.floor(k / 3)))).alias("src"), k.alias("dst"))
 
 
 @query(f"WITH {_NODES}, {_EDGES}, d AS (SELECT plan, dst AS node, count(*) AS deps FROM e GROUP BY ALL) SELECT plan, node, 'QUORUM_TOO_LARGE' AS error FROM n LEFT JOIN d USING (plan, node) WHERE quorum > coalesce(deps, 0) UNION ALL SELECT DISTINCT e.plan, dst, 'UNKNOWN_DEPENDENCY' FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.plan = e.plan AND n.node = e.src) UNION ALL SELECT DISTINCT plan, dst, 'OWN_DEPENDENCY' FROM e WHERE src = dst")
 def plan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DG-01: rules that a plan breaks."""
-    return D.plan_errors(*plan(spark, sf_dir))
+    nodes, _ = plan(spark, sf_dir)
+    return D.plan_errors(nodes, links(nodes))
 
 
 @query(f"WITH RECURSIVE {_NODES}, {_EDGES}, p(node, level) AS (SELECT node, 0 FROM n WHERE node NOT IN (SELECT dst FROM e) UNION SELECT dst, level + 1 FROM p JOIN e ON src = node) SELECT node, CAST(max(level) AS BIGINT) AS level FROM p GROUP BY node")

@@ -215,3 +215,37 @@ def test_runs_of_words_are_told_by_numbers_and_texts_split_once(spark):
     assert plan(made).count(r"\p{L}") == 1
     few = spark.createDataFrame([(1, ["a b c"])], "item_id long, t array<string>")
     assert plan(comparison.contained(made, few, 0.5)).count(r"\p{L}") == 1
+
+
+def test_errors_of_plans_against_loops_without_tables_by_key(spark):
+    rng = random.Random(8)
+    names = lambda: rng.choice([0, 1, 2, 3, 4, 5, None])
+    nodes = [(rng.choice([1, 2, None]), names(), rng.choice([-1, 0, 1, 2, 3, None])) for _ in range(14)]
+    edges = [(rng.choice([1, 2, 3, None]), names(), names()) for _ in range(24)]
+    edges += edges[:6]
+    bindings = [(rng.choice([1, 2, None]), names(), names()) for _ in range(12)]
+    bindings += bindings[:3]
+    want = set()
+    for plan, node, _ in nodes:
+        quorums = [q for p, x, q in nodes if (p, x) == (plan, node)]
+        quorum = max((q for q in quorums if q is not None), default=None)
+        deps = len({s for p, s, d in edges if (p, d) == (plan, node)}) if None not in (plan, node) else 0
+        if len(quorums) > 1:
+            want.add((plan, node, "DUPLICATE"))
+        if quorum is not None and (quorum <= 0 or quorum > deps):
+            want.add((plan, node, "QUORUM_TOO_SMALL" if quorum <= 0 else "QUORUM_TOO_LARGE"))
+    for plan, src, dst in edges:
+        if None in (plan, src) or not any(n[:2] == (plan, src) for n in nodes):
+            want.add((plan, dst, "UNKNOWN_DEPENDENCY"))
+        if src is not None and src == dst:
+            want.add((plan, dst, "OWN_DEPENDENCY"))
+    unbound = {(p, n, "UNBOUND_INPUT") for p, n, s in bindings if None in (p, n, s) or (p, s, n) not in edges}
+    frame = spark.createDataFrame
+    sides = frame(nodes, "plan int, node long, quorum int"), frame(edges, "plan int, src long, dst long")
+    found = graphs.plan_errors(*sides)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    both = graphs.plan_errors(*sides, frame(bindings, "plan int, node long, source long")).collect()
+    assert sorted(map(tuple, both), key=str) == sorted(want | unbound, key=str)
+    # a task sorts its rows and holds no table of them
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in registry.QUERIES["plan_errors"](spark, SF)._jdf.queryExecution().executedPlan().toString()
