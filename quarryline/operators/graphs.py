@@ -50,6 +50,11 @@ class MissingProducer(ValueError):
     """A goal needs something that nothing gives."""
 
 
+def _big(df: DataFrame) -> DataFrame:
+    """A side of a join that no join sends through the driver: a written table of many rows can be a few MB of files, which Spark takes for a small one."""
+    return df.hint("merge")
+
+
 def _hung(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root, steps, weight): each node with one dependency hangs below it, and so below the nearest node above that has none or several.
 
@@ -57,14 +62,14 @@ def _hung(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     round a cycle of such nodes have no root.
     """
     below = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("deps"), F.min("src").alias("src")).where("deps = 1")
-    now = written(below.join(nodes, "node").select("node", F.col("src").alias("root"), F.lit(1).cast("long").alias("steps"), F.col("cost").alias("weight")), "jumps")
+    now = written(below.join(_big(nodes), "node").select("node", F.col("src").alias("root"), F.lit(1).cast("long").alias("steps"), F.col("cost").alias("weight")), "jumps")
     total, rounds = now.count(), 0
     while True:
         up = now.select(F.col("node").alias("root"), F.col("root").alias("above"), F.col("steps").alias("more"), F.col("weight").alias("over"))
-        open_ = now.join(up.select("root"), "root", "left_semi")
+        open_ = now.join(_big(up.select("root")), "root", "left_semi")
         if open_.isEmpty() or 1 << rounds > total:
-            return now.join(up.select("root"), "root", "left_anti").select("node", "root", "steps", "weight")
-        far = now.join(up, "root", "left").select(
+            return now.join(_big(up.select("root")), "root", "left_anti").select("node", "root", "steps", "weight")
+        far = now.join(_big(up), "root", "left").select(
             "node", F.coalesce("above", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("weight") + F.coalesce("over", F.lit(0))).alias("weight"),
         )
         now, rounds = written(far, "jumps"), rounds + 1
@@ -83,8 +88,8 @@ def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     cost = written(nodes.groupBy("node").agg(F.max("cost").cast("long").alias("cost")), "costs")
     hung = written(_hung(cost, edges), "hung")
     zero = F.lit(0).cast("long")
-    own = written(cost.join(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")), "node", "left").select("node", "cost", F.coalesce("need", zero).alias("need")), "needs")
-    far = edges.join(own.where("need > 1").withColumnRenamed("node", "dst"), "dst").join(hung.withColumnRenamed("node", "src"), "src", "left")
+    own = written(cost.join(_big(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need"))), "node", "left").select("node", "cost", F.coalesce("need", zero).alias("need")), "needs")
+    far = edges.join(_big(own.where("need > 1").withColumnRenamed("node", "dst")), "dst").join(_big(hung.withColumnRenamed("node", "src")), "src", "left")
     far = far.select(F.coalesce("root", "src").alias("src"), F.col("dst").alias("node"), "cost", "need", F.coalesce("steps", zero).alias("steps"), F.coalesce("weight", zero).cast("long").alias("weight"))
     links = bucketed(far, "links", "src")
     now = own.where("need = 0").select("node", "cost", "need", zero.alias("came"), zero.alias("level"), F.col("cost").alias("finish"), F.lit(1).alias("done"))
@@ -103,7 +108,7 @@ def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         level, finish = F.when(ready, F.col("level") + 1).otherwise(F.col("level")), F.when(ready, F.greatest("cost", F.col("finish") + F.col("cost"))).otherwise(F.col("finish"))
         now, n = every.select("node", "cost", "need", "came", level.alias("level"), finish.alias("finish"), ready.cast("int").alias("done")), n + 1
     every = spark.read.schema(StructType([*schema.fields, StructField("done", IntegerType())])).parquet(path).where("done = 1").select("node", "level", "finish")
-    behind = hung.join(every.withColumnRenamed("node", "root"), "root").select("node", (F.col("level") + F.col("steps")).alias("level"), (F.col("finish") + F.col("weight")).alias("finish"))
+    behind = hung.join(_big(every.withColumnRenamed("node", "root")), "root").select("node", (F.col("level") + F.col("steps")).alias("level"), (F.col("finish") + F.col("weight")).alias("finish"))
     return every.unionByName(behind)
 
 
