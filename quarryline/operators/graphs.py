@@ -153,9 +153,12 @@ def resolved(goals: DataFrame, needs: DataFrame, producers: DataFrame, available
     """
     spark = goals.sparkSession
     best = producers.groupBy("product").agg(F.min(F.struct("rank", "worker")).alias("b")).select("product", F.col("b.worker").alias("worker"))
-    open_ = needs if available is None else needs.join(available.select("product").distinct(), "product", "left_anti")
-    links = written(open_.join(best.withColumnRenamed("worker", "by"), "product", "left").select("worker", "product", "by"), "links")
-    first = written(goals.join(best.withColumnRenamed("worker", "by"), "product", "left").select("goal", "product", F.col("by").alias("worker")), "goals")
+    open_ = needs
+    if available is not None:
+        there = written(available.select("product").distinct(), "there")
+        open_ = needs.join(there.hint("broadcast" if there.count() <= FEW_LINKS else "merge"), "product", "left_anti")
+    links = written(open_.join(_big(best.withColumnRenamed("worker", "by")), "product", "left").select("worker", "product", "by"), "links")
+    first = written(goals.join(_big(best.withColumnRenamed("worker", "by")), "product", "left").select("goal", "product", F.col("by").alias("worker")), "goals")
     lost = first.where("worker IS NULL").select("product").first()
     if lost:
         raise MissingProducer(f"nothing produces {lost['product']}")
@@ -164,15 +167,15 @@ def resolved(goals: DataFrame, needs: DataFrame, producers: DataFrame, available
     hops = links.where("by IS NOT NULL").select("worker", "by")
     level = written(levels(best.select(F.col("worker").alias("node")).distinct(), hops.select(F.col("by").alias("src"), F.col("worker").alias("dst"))), "levels")
     # who needs a worker on a cycle has no level either
-    if not first.join(level.withColumnRenamed("node", "worker"), "worker", "left_anti").isEmpty():
+    if not first.join(_big(level.withColumnRenamed("node", "worker")), "worker", "left_anti").isEmpty():
         raise Cyclic("workers need each other")
-    steps = hops.distinct().join(level.select(F.col("node").alias("worker"), F.col("level").alias("at")), "worker").join(level.select(F.col("node").alias("by"), "level"), "by")
+    steps = hops.distinct().join(_big(level.select(F.col("node").alias("worker"), F.col("level").alias("at"))), "worker").join(_big(level.select(F.col("node").alias("by"), "level")), "by")
     # a level's links stand together, so a round reads no others
     steps = written(steps.repartitionByRange("at", "worker").sortWithinPartitions("at", "worker"), "steps")
     sizes = {r["at"]: r["count"] for r in steps.groupBy("at").count().collect()}
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), first.count() >> 14)
     pairs = Pairs(spark, parts)
-    pairs.add(first.join(level.withColumnRenamed("node", "worker"), "worker").select("goal", "worker", F.lit(0).cast("long").alias("depth"), "level").distinct().repartition(parts, "goal"))
+    pairs.add(first.join(_big(level.withColumnRenamed("node", "worker")), "worker").select("goal", "worker", F.lit(0).cast("long").alias("depth"), "level").distinct().repartition(parts, "goal"))
     for at in sorted(sizes if not some else {r["level"] for r in level.select("level").distinct().collect()}, reverse=True):
         front = pairs.all().where(F.col("level") == at).groupBy("goal", "worker").agg(F.min("depth").alias("depth"))
         if some:

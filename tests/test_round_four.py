@@ -28,3 +28,13 @@ def test_levels_send_no_table_of_nodes_through_the_driver(spark, plans):
         want[i] = 1 + (max(want[i // 2], want[i // 3]) if i < 20 else want[i - 1])
     assert {r["node"]: r["level"] for r in done.collect()} == want
     assert len(plans) > 6 and not any("Broadcast" in p for p in [*plans, done._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_goals_send_no_table_of_nodes_through_the_driver(spark, plans, monkeypatch):
+    monkeypatch.setattr(graphs, "FEW_LINKS", 0)  # as levels of many links are, and much that is there already
+    frame = spark.createDataFrame
+    needs, makers = frame([(i, i // k) for i in range(2, 14) for k in (2, 3)], "worker long, product long"), frame([(i, i, 0) for i in range(14)], "product long, worker long, rank int")
+    found = graphs.resolved(frame([("a", 13), ("b", 5)], "goal string, product long"), needs, makers, frame([(1,), (0,), (None,)], "product long"))
+    want = {("a", 13, 0), ("a", 6, 1), ("a", 4, 1), ("a", 3, 2), ("a", 2, 2), ("b", 5, 0), ("b", 2, 1)}
+    assert {tuple(r) for r in found.collect()} == want
+    assert not any("Broadcast" in p for p in [*plans, found._jdf.queryExecution().executedPlan().toString()])
