@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from quarryline.operators import graphs
+from quarryline.operators import graphs, retrieval
+from quarryline.plans import registry
+from quarryline.plans.retrieval import TERMS
 
 
 @pytest.fixture
@@ -38,3 +43,40 @@ def test_goals_send_no_table_of_nodes_through_the_driver(spark, plans, monkeypat
     want = {("a", 13, 0), ("a", 6, 1), ("a", 4, 1), ("a", 3, 2), ("a", 2, 2), ("b", 5, 0), ("b", 2, 1)}
     assert {tuple(r) for r in found.collect()} == want
     assert not any("Broadcast" in p for p in [*plans, found._jdf.queryExecution().executedPlan().toString()])
+
+
+def near(rows, starts, depth):
+    """(start, term, depth, df) by plain loops over blocks."""
+    out, df = set(), {}
+    for _, terms in rows:
+        for t in terms:
+            df[t] = df.get(t, 0) + 1
+    for s in starts:
+        seen = {s: 0}
+        for d in range(1, depth + 1):
+            for t in {t for b, terms in rows if b is not None and seen.keys() & terms for t in terms} - seen.keys():
+                seen[t] = d
+        out |= {(s, t, d, df[t]) for t, d in seen.items() if d}
+    return out
+
+
+def test_neighbours_of_a_term_are_all_that_share_a_block(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, {f"t{rng.randint(5 * (i // 6), 5 * (i // 6) + 8)}" for _ in range(4)}) for i in range(60)] + [(60, set()), (61, {"alone"}), (None, {"t1", "t2", "t50"})]
+    lists = spark.createDataFrame([(b, sorted(t)) for b, t in rows], "block_id long, terms array<string>")
+    starts = ["t1", "t20", "alone", "nowhere", *[f"t{i}" for i in range(30)]] + [f"x{i}" for i in range(40)]
+    for depth, few, first in ((1, 9, 9), (2, 500_000, 512), (3, 0, 2)):
+        monkeypatch.setattr(retrieval, "FEW_BLOCKS", few)
+        monkeypatch.setattr(retrieval, "FIRST_TERMS", first)
+        own = starts if depth == 3 else starts[:6]
+        found = retrieval.spread(lists, retrieval.term_graph(lists, None, None, None, own), own, depth)
+        got = [tuple(r) for r in found.collect()]
+        assert set(got) == near(rows, set(own), depth) and len(got) == len(set(got))
+
+
+def test_graph_neighbours_drops_no_term_of_a_text_and_no_partner(spark, tmp_path):
+    # more terms than 512, texts of more than 64 terms, terms of more than 8 partners, and links of least weight
+    texts = [" ".join([TERMS[i % 3], *[f"w{100 + (i * 37 + j) % 700}" for j in range(70 + i)]]) for i in range(9)] + ["zeta w250 omega", "omega psi", TERMS[4]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")}).write.parquet(f"{tmp_path}/documents.parquet")
+    want = near([(i, set(t.split(" "))) for i, t in enumerate(texts)], TERMS, 2)
+    assert len(want) > 1000 and {tuple(r) for r in registry.QUERIES["graph_neighbours"](spark, str(tmp_path)).collect()} == want
